@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readlake.llm import packing, records
+from readlake.llm import packing, records, secrets, toxicity
+from readlake.llm.labelled import fold
 from readlake.llm.shared import written
 
 
@@ -30,8 +31,22 @@ def op2_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.read_token_records(manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return secrets.secret_digest(secrets.find_secrets(docs))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit_toxicity(docs, labels, folds=5, held_out=0)
+    scored = toxicity.score_toxicity(docs, model, threshold=0.5)
+    return scored.select("doc_id", F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_token_records": op2_token_records,
+    "op5_secret_scan": op5_secret_scan,
+    "op10_toxicity": op10_toxicity,
 }
 ORACLE: dict[str, str] = {}

@@ -125,7 +125,7 @@ def read_token_records(manifest: DataFrame) -> DataFrame:
     """All records of the manifest's files: shard, record, doc_id, start, n_tokens, ids (little-endian u32).
 
     ``start`` counts the ids of all records before.  The running total is over one row per file.  Every frame's
-    checksums, the index and the manifest's counts must agree, else the task fails with a ValueError.
+    checksums, the index and the manifest's counts must agree, else the task fails with a ValueError.  A file is a task.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,7 +163,7 @@ def read_token_records(manifest: DataFrame) -> DataFrame:
 
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     files = manifest.withColumn("before", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
-    return files.repartition("shard").mapInArrow(read, RECORDS)
+    return files.repartition(max(1, manifest.count())).mapInArrow(read, RECORDS)
 
 
 def read_record(path: str, k: int) -> tuple[int | None, np.ndarray]:
