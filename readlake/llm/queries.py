@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readlake.llm import jaccard, packing, quality, records, secrets, toxicity
+from readlake.llm import decontaminate, jaccard, packing, quality, records, secrets, toxicity
 from readlake.llm.labelled import fold
 from readlake.llm.shared import written
 
@@ -31,6 +31,11 @@ def op2_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.read_token_records(manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, benchmark = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
+    return decontaminate.find_leaks(docs, benchmark, shingle=5, percent=80)
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return secrets.secret_digest(secrets.find_secrets(docs))
@@ -58,6 +63,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_token_records": op2_token_records,
+    "op3_decontamination": op3_decontamination,
     "op5_secret_scan": op5_secret_scan,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_line_quality": op7_line_quality,
