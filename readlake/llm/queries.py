@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readlake.llm import decontaminate, jaccard, packing, quality, records, secrets, toxicity
+from readlake.llm import chats, decontaminate, jaccard, neighbours, packing, quality, records, secrets, toxicity
 from readlake.llm.labelled import fold
 from readlake.llm.shared import written
 
@@ -53,6 +53,15 @@ def op7_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(fold(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+def op8_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chats.render_chats(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op9_vantage_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = neighbours.usable(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding")
+    return neighbours.nearest(vectors, vectors.where("id % 50 = 0"), k=5)
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     model = toxicity.fit_toxicity(docs, labels, folds=5, held_out=0)
@@ -67,6 +76,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_secret_scan": op5_secret_scan,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_line_quality": op7_line_quality,
+    "op8_chat_snapshots": op8_chat_snapshots,
+    "op9_vantage_neighbours": op9_vantage_neighbours,
     "op10_toxicity": op10_toxicity,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op8_chat_snapshots": chats.ORACLE}
