@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readlake.llm import chats, decontaminate, jaccard, neighbours, packing, quality, records, secrets, toxicity
+from readlake.llm import chats, decontaminate, jaccard, neighbours, packing, pitman_yor, quality, records, secrets, toxicity
 from readlake.llm.labelled import fold
 from readlake.llm.shared import written
 
@@ -36,6 +36,10 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(docs, benchmark, shingle=5, percent=80)
 
 
+def op4_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.score_texts(spark.read.parquet(f"{sf_dir}/documents.parquet"), folds=7, held_out=2)
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return secrets.secret_digest(secrets.find_secrets(docs))
@@ -73,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_token_records": op2_token_records,
     "op3_decontamination": op3_decontamination,
+    "op4_pitman_yor": op4_pitman_yor,
     "op5_secret_scan": op5_secret_scan,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_line_quality": op7_line_quality,
