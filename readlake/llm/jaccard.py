@@ -1,7 +1,8 @@
 """Exact Jaccard join of n-gram sets by prefix tries, and the groups it links.
 
 1. Every document becomes its set of hashed n-grams.  Equal sets are one node from here on.
-2. A global order of n-grams, rare ones first, comes from a count table of fixed size (2^22 slots over all documents).
+2. A global order of n-grams, rare ones first, comes from two count tables of fixed size (2^22 slots each) over all
+   documents: what the frequencies of its words let expect of an n-gram, or more if its own slot is far above average.
 3. Two sets that link share an n-gram among the first ``n - ceil(t n) + 1`` of each in that order.  Each node lists
    those; lists meet by a shuffle on the n-gram; n-grams with one node are gone at once.
 4. Round one: every node joins the largest of its n-grams' groups.  A group's sets go into a trie whose paths follow
@@ -28,8 +29,8 @@ from readlake.llm.shared import written
 from readlake.llm.textkit import LOWER, U64, binary_column, mix, shingle_hashes, slices, span_hashes, text_bytes, word_spans
 
 _SLOT_BITS, _BLOCK_SLOTS = 22, 1 << 16
-#: A side of a join of up to so many 8-byte keys is broadcast (16 MB); a larger one is shuffled.
-BROADCAST_ROWS = 2_000_000
+#: A side of a join of up to so many rows of some 50 bytes is broadcast; a larger one is shuffled.
+BROADCAST_ROWS = 500_000
 
 
 def small(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
@@ -37,36 +38,44 @@ def small(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if rows <= most else df
 
 
-def text_shingles(buf: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct ``k``-word shingles of each row and their rows (rows in order); a shorter text is one shingle."""
+def text_shingles(buf: np.ndarray, offsets: np.ndarray, k: int, commonness: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct ``k``-word shingles of each row, their rows (in order), their words' ``commonness`` summed, and
+    all word hashes.  A text of fewer words is one shingle."""
     low = LOWER[buf]
     starts, ends, rows = word_spans(low, offsets)
     words = span_hashes(low, starts, ends)
     keys, first = shingle_hashes(words, rows, k)
     owner = rows[first]
+    each = commonness[_slot(words)] if commonness is not None else np.zeros(len(words), np.int32)
+    sums = np.concatenate([[0], np.cumsum(each)])
+    common = sums[first + k] - sums[first]
     n_words = np.bincount(rows, minlength=len(offsets) - 1)
     short = np.flatnonzero((n_words > 0) & (n_words < k))
     if len(short):
-        ends_at = np.cumsum(n_words)
+        begin = (np.cumsum(n_words) - n_words)[short]
         extra = np.zeros(len(short), U64)
         for j in range(k - 1):
             has = n_words[short] > j
-            extra[has] = mix(extra[has] + words[(ends_at - n_words)[short][has] + j])
+            extra[has] = mix(extra[has] + words[begin[has] + j])
         keys, owner = np.concatenate([keys, extra]), np.concatenate([owner, short])
+        common = np.concatenate([common, sums[begin + n_words[short]] - sums[begin]])
         order = np.argsort(owner, kind="stable")
-        keys, owner = keys[order], owner[order]
+        keys, owner, common = keys[order], owner[order], common[order]
     if not len(keys):
-        return keys, owner
+        return keys, owner, common, words
     codes, unique = pd.factorize(mix(owner.astype(U64) + U64(1)) ^ keys)
     first_at = np.empty(len(unique), np.int64)
     first_at[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
     first_at.sort()
-    return keys[first_at], owner[first_at]
+    return keys[first_at], owner[first_at], common[first_at], words
+
+
+def _slot(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> U64(64 - _SLOT_BITS)).astype(np.int64)
 
 
 def set_nodes(keys: np.ndarray, rows: np.ndarray, n_rows: int) -> np.ndarray:
     """A 64-bit name of each row's set: the sum of its mixed keys, mixed again; 0 for an empty set."""
-    sums = np.zeros(n_rows + 1, U64)
     total = np.concatenate([np.zeros(1, U64), np.cumsum(mix(keys ^ U64(0xA5A5A5A5A5A5A5A5)))])
     size = np.bincount(rows, minlength=n_rows) if len(rows) else np.zeros(n_rows, np.int64)
     at = np.concatenate([[0], np.cumsum(size)])
@@ -74,9 +83,19 @@ def set_nodes(keys: np.ndarray, rows: np.ndarray, n_rows: int) -> np.ndarray:
     return np.where(size > 0, mix(sums + size.astype(U64)), U64(0)).view(np.int64)
 
 
-def ordered_keys(keys: np.ndarray, ranks: np.ndarray) -> np.ndarray:
-    """Keys that sort in the global order: 8 bits of frequency rank, then 56 bits of the shingle's hash."""
-    return ranks[(keys >> U64(64 - _SLOT_BITS)).astype(np.int64)].astype(U64) << U64(56) | keys >> U64(8)
+class ShingleOrder:
+    """Sorts shingles by 8 bits of expected frequency, then 56 bits of hash.  Two tables of 2^22 slots, of any corpus."""
+
+    def __init__(self, words: np.ndarray, shingles: np.ndarray, k: int):
+        self.k, self.total = k, float(words.sum())
+        self.commonness = np.round(8 * np.log2(np.maximum(words, 1))).astype(np.uint8)
+        over = np.maximum(shingles - 3 * shingles.mean(), 0)
+        self.excess = np.round(8 * np.log2(1 + over)).astype(np.uint8)
+
+    def keys(self, shingles: np.ndarray, common: np.ndarray) -> np.ndarray:
+        expected = common - 8 * (self.k - 1) * np.log2(max(self.total, 2))
+        rank = np.clip((np.maximum(expected, self.excess[_slot(shingles)]) + 192) / 2, 0, 255).astype(U64)
+        return rank << U64(56) | shingles >> U64(8)
 
 
 class TrieJoin:
@@ -177,125 +196,140 @@ def _grouped(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pd.Da
         yield pd.concat(kept)
 
 
-def _join_groups(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) within each (key, home, guests): members (…, node, comp, probe) with their sets, tried by trie."""
+def _join_groups(members: DataFrame, nodes: DataFrame, texts: DataFrame, sets_of, percent: int) -> DataFrame:
+    """Links (a, b) within each (key, home, guests): members (…, node, comp, probe) with their sets, tried by trie.
+
+    A node's set is made from its first document's text, where it is needed, and shuffled once.
+    """
     by = ["key", "home", "guests"]
 
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            buf, offsets = text_bytes(batch.column("text"))
+            for i, j in slices(offsets):
+                node, data, size = sets_of(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                rows = batch.slice(i, j - i).drop_columns(["text"]).append_column("keys", binary_column(data.view(np.uint8), size * 8))
+                yield rows.filter(pa.array(node == rows.column("node").to_numpy()))  # an id may repeat with another text
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _grouped(batches, by):
-            group = group.sort_values("probe", ascending=False).drop_duplicates("node")
+            group = group.sort_values("probe", ascending=False, kind="stable").drop_duplicates("node")
             trie = TrieJoin([np.frombuffer(s, U64) for s in group["keys"]], group["comp"].tolist(), percent)
-            nodes = group["node"].tolist()
-            found = [(nodes[p], nodes[k]) for p in np.flatnonzero(group["probe"].to_numpy()) for k in trie.links(p)]
+            nodes_ = group["node"].tolist()
+            found = [(nodes_[p], nodes_[k]) for p in np.flatnonzero(group["probe"].to_numpy()) for k in trie.links(p)]
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
 
-    full = members.join(sets, "node")
-    return full.repartition(*by).sortWithinPartitions(*by).select(*by, "node", "comp", "probe", "keys").mapInArrow(run, "a long, b long")
+    placed = written(members.join(nodes.where("first_doc is not null"), "node").select(F.col("first_doc").alias("doc_id"), *by, "node", "comp", "probe"))
+    fields = "key long, home int, guests int, node long, comp long, probe boolean"
+    with_text = texts.join(small(placed, placed.count()), "doc_id").select(*by, "node", "comp", "probe", "text")
+    return with_text.mapInArrow(make, f"{fields}, keys binary").repartition(*by).sortWithinPartitions(*by).mapInArrow(run, "a long, b long")
 
 
 def shingle_groups(docs: DataFrame, shingle: int = 3, percent: int = 90, block: int = 256, leaders: int = 4) -> DataFrame:
     """doc_id, n_shingles, component_id for every row: the smallest doc_id reachable by links of ``percent`` or more.
 
-    Null and empty texts have no shingles and are their own component; a null id is never a component's name unless
-    no other is there; rows that repeat get the same answer.  Only doc_id and text are read.
+    Null and empty texts have no shingles and are their own component; texts whose only ids are null link with
+    nothing; rows that repeat get the same answer.  Only doc_id and text are read.
     """
     spark = docs.sparkSession
     own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    n_slots = 1 << _SLOT_BITS
+
+    def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, wait, waiting = np.zeros((2, n_slots), np.uint32), ([], []), 0
+
+        def settle() -> None:
+            for k in (0, 1):
+                if wait[k]:
+                    counts[k] += np.bincount(np.concatenate(wait[k]), minlength=n_slots).astype(np.uint32)
+                    wait[k].clear()
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
             buf, offsets = text_bytes(batch.column("text"))
             for i, j in slices(offsets):
-                keys, rows = text_shingles(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], shingle)
-                yield batch.slice(i, j - i), keys, rows, j - i
-
-    def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, wait, waiting = np.zeros(1 << _SLOT_BITS, np.uint32), [], 0
-        for batch, keys, rows, n in each(batches):
-            wait.append((keys >> U64(64 - _SLOT_BITS)).astype(np.int32))
-            waiting += len(keys)
-            if waiting > 1 << _SLOT_BITS:
-                counts += np.bincount(np.concatenate(wait), minlength=len(counts)).astype(np.uint32)
-                wait, waiting = [], 0
-            none = pa.nulls(n, pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(set_nodes(keys, rows, n)), pa.array(np.bincount(rows, minlength=n) if len(rows) else np.zeros(n, np.int64)), none, pa.nulls(n, pa.binary())], names=["doc_id", "node", "n_shingles", "part", "counts"])
-        if wait:
-            counts += np.bincount(np.concatenate(wait), minlength=len(counts)).astype(np.uint32)
+                n = j - i
+                keys, rows, _, words = text_shingles(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], shingle)
+                wait[0].append(_slot(words).astype(np.int32))
+                wait[1].append(_slot(keys).astype(np.int32))
+                waiting += len(keys)
+                if waiting > n_slots:
+                    settle()
+                    waiting = 0
+                size = np.bincount(rows, minlength=n) if len(rows) else np.zeros(n, np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, n), pa.array(set_nodes(keys, rows, n)), pa.array(size), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=["doc_id", "node", "n_shingles", "part", "counts"])
+        settle()
         parts = np.minimum(counts, 65535).astype("<u2").reshape(-1, _BLOCK_SLOTS)
         for k in np.flatnonzero(parts.any(axis=1)):
             empty = pa.nulls(1, pa.int64())
             yield pa.RecordBatch.from_arrays([empty, empty, empty, pa.array([k], pa.int32()), pa.array([parts[k].tobytes()], pa.binary())], names=["doc_id", "node", "n_shingles", "part", "counts"])
 
     seen = written(own.mapInArrow(summarise, "doc_id long, node long, n_shingles long, part int, counts binary"))
-    sets_of = seen.where("part is null").select("doc_id", "node", "n_shingles")
+    described = seen.where("part is null").select("doc_id", "node", "n_shingles")
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for part, counts in zip(batch.column("part").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                total[part] = total.get(part, 0) + np.frombuffer(counts, "<u2").astype(np.uint32)
-        for part, counts in total.items():
-            rank = np.minimum(4 * np.log2(1.0 + counts), 255).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([rank.tobytes()], pa.binary())], names=["part", "ranks"])
-
-    # 2^22 bytes in all, whatever the input
-    ranks = np.zeros((1 << _SLOT_BITS - 16, _BLOCK_SLOTS), np.uint8)
-    for row in seen.where("part is not null").select("part", "counts").repartition("part").mapInArrow(add, "part int, ranks binary").collect():
-        ranks[row["part"]] = np.frombuffer(row["ranks"], np.uint8)
-    order = spark.sparkContext.broadcast(ranks.ravel())
-
-    def sorted_sets(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        keys = ordered_keys(keys, order.value)
-        return keys[np.lexsort((keys, rows))], rows
+                total[part] = total.get(part, 0) + np.frombuffer(counts, "<u2").astype(np.float32)
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], names=["part", "counts"])
+
+    # 2 x 2^22 counts of 4 bytes in all, whatever the input
+    counts = np.zeros((2 * n_slots // _BLOCK_SLOTS, _BLOCK_SLOTS), np.float32)
+    for row in seen.where("part is not null").select("part", "counts").repartition("part").mapInArrow(add, "part int, counts binary").toLocalIterator():
+        counts[row["part"]] = np.frombuffer(row["counts"], np.float32)
+    order = spark.sparkContext.broadcast(ShingleOrder(*counts.reshape(2, -1), shingle))
+
+    def sets_of(buf: np.ndarray, offsets: np.ndarray, skip=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Node, shingles in the global order one row after another, and their number, of each row."""
+        n = len(offsets) - 1
+        keys, rows, common, _ = text_shingles(buf, offsets, shingle, order.value.commonness)
+        node = set_nodes(keys, rows, n)
+        if skip is not None:
+            use = ~skip(node)
+            at = use[rows] if len(rows) else np.zeros(0, bool)
+            keys, rows, common = keys[at], rows[at], common[at]
+        ordered = order.value.keys(keys, common)
+        return node, ordered[np.lexsort((ordered, rows))], np.bincount(rows, minlength=n) if len(rows) else np.zeros(n, np.int64)
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done: set[int] = set()
-        for _, keys, rows, n in each(batches):
-            node = set_nodes(keys, rows, n)
-            size = np.bincount(rows, minlength=n) if len(rows) else np.zeros(n, np.int64)
-            new = np.array([size[k] > 0 and (x not in done and not done.add(x)) for k, x in enumerate(node.tolist())], bool)
+        done: set[int] = {0}
+
+        def again(node: np.ndarray) -> np.ndarray:
             if len(done) > 1_000_000:
                 done.clear()
-            keys, rows = sorted_sets(keys[new[rows]], rows[new[rows]])
-            take = np.where(new, size - -(-percent * size // 100) + 1, 0)
-            size = np.where(new, size, 0)
-            at = np.arange(len(keys)) - np.repeat(np.cumsum(size) - size, size)
-            head = keys[at < np.repeat(take, size)].view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(node[new]), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(take[new])]), pa.int32()), pa.array(head))], names=["node", "keys"])
+                done.add(0)
+            return np.array([x in done or bool(done.add(x)) for x in node.tolist()], bool)
+
+        for batch in batches:
+            buf, offsets = text_bytes(batch.column("text"))
+            for i, j in slices(offsets):
+                node, keys, size = sets_of(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], again)
+                new = size > 0
+                take = np.where(new, size - -(-percent * size // 100) + 1, 0)
+                at = np.arange(len(keys)) - np.repeat(np.cumsum(size) - size, size)
+                head = keys[at < np.repeat(take, size)].view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(node[new]), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(take[new])]), pa.int32()), pa.array(head))], names=["node", "keys"])
 
     heads = written(own.mapInArrow(prefixes, "node long, keys array<long>")).select("node", F.explode("keys").alias("key"))
     shared = heads.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("key")
     members = written(heads.join(shared, "key").distinct())
     sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
-    nodes = written(sets_of.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("first_doc")))
-    wanted = written(members.select("node").distinct().join(nodes, "node").where("first_doc is not null"))
-
-    def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, keys, rows, n in each(batches):
-            node = set_nodes(keys, rows, n)
-            size = np.bincount(rows, minlength=n) if len(rows) else np.zeros(n, np.int64)
-            keys, rows = sorted_sets(keys, rows)
-            yield pa.RecordBatch.from_arrays([pa.array(node), binary_column(keys.view(np.uint8), size * 8)], names=["node", "keys"])
-
-    chosen = own.join(small(wanted.select(F.col("first_doc").alias("doc_id")), wanted.count()), "doc_id", "left_semi")
-    # an id that repeats with other texts brings sets nobody asked for; equal sets are equal rows
-    sets = written(chosen.mapInArrow(full_sets, "node long, keys binary").dropDuplicates(["node"]))
+    nodes = written(described.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("first_doc")))
 
     own_group = members.join(sizes, "key").groupBy("node").agg(F.max(F.struct("size", "key"))["key"].alias("key"))
     first = own_group.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    dealt = own_group.join(first, "key").withColumn("homes", F.ceil(F.col("size") / block).cast("int"))
-    home = F.pmod(F.xxhash64("node", "key"), F.col("homes")).cast("int")
-    residents = dealt.select("key", home.alias("home"), "node")
+    dealt = written(own_group.join(first, "key").withColumn("homes", F.ceil(F.col("size") / block).cast("int")))
+    residents = dealt.select("key", F.pmod(F.xxhash64("node", "key"), F.col("homes")).cast("int").alias("home"), "node")
     lead = dealt.where(F.pmod(F.xxhash64("node"), F.greatest(F.lit(1), F.col("size") / leaders).cast("long")) == 0).where("homes > 1")
     visiting = lead.select("key", F.explode(F.sequence(F.lit(0), F.col("homes") - 1)).alias("home"), "node")
     round_one = residents.unionByName(visiting).select("key", "home", F.lit(0).alias("guests"), "node", F.col("node").alias("comp"), F.lit(True).alias("probe"))
-    links = written(_join_groups(round_one, sets, percent))
+    links = written(_join_groups(round_one, nodes, own, sets_of, percent))
     stars = components(links)
 
     placed = written(members.join(stars, "node", "left").select("key", "node", F.coalesce("root", "node").alias("comp")))
     open_keys = placed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("who")).where("lo <> hi")
     open_keys = open_keys.groupBy("size", "who").agg(F.min("key").alias("key"))  # keys with the same members are one group
-    at_work = placed.join(open_keys.select("key", "size"), "key")
+    at_work = written(placed.join(open_keys.select("key"), "key"))
     by_comp = at_work.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
     largest = by_comp.groupBy("key").agg(F.max(F.struct("n", "comp"))["comp"].alias("main"), F.sum("n").alias("all"), F.max("n").alias("n"))
     largest = largest.select("key", "main", F.ceil(F.col("all") / block).cast("int").alias("homes"), F.ceil((F.col("all") - F.col("n")) / block).cast("int").alias("halls"))
@@ -303,13 +337,13 @@ def shingle_groups(docs: DataFrame, shingle: int = 3, percent: int = 90, block:
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     hosts = second.select("key", F.pmod(F.xxhash64("node", "key"), F.col("homes")).cast("int").alias("home"), "halls", "node", "comp").select("key", "home", every(F.col("halls")).alias("guests"), "node", "comp", F.lit(False).alias("probe"))
     guests = second.where("comp <> main").select("key", F.pmod(F.xxhash64("key", "node"), F.col("halls")).cast("int").alias("guests"), "homes", "node", "comp").select("key", every(F.col("homes")).alias("home"), "guests", "node", "comp", F.lit(True).alias("probe"))
-    more = _join_groups(hosts.unionByName(guests), sets, percent)
+    more = _join_groups(hosts.unionByName(guests), nodes, own, sets_of, percent)
     stars = components(links.unionByName(more))
 
     named = nodes.join(stars, "node", "left").select("node", "first_doc", F.coalesce("root", "node").alias("root"))
     names = named.groupBy("root").agg(F.min("first_doc").alias("component"))
     lookup = named.join(names, "root").select("node", "component")
-    return sets_of.join(lookup, "node", "left").select("doc_id", "n_shingles", F.coalesce(F.when(F.col("n_shingles") > 0, F.col("component")), F.col("doc_id")).alias("component_id"))
+    return described.join(lookup, "node", "left").select("doc_id", "n_shingles", F.coalesce(F.when(F.col("n_shingles") > 0, F.col("component")), F.col("doc_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
