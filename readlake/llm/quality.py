@@ -197,3 +197,22 @@ def score_quality(docs: DataFrame, model: LineCRF, threshold: float = 0.7) -> Da
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(got), pa.array((got >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(score, "doc_id long, score double, predicted int")
+
+
+def accepted(docs: DataFrame, model: LineCRF, threshold: float = 0.7, text: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose score reaches ``threshold``.
+
+    Rows are filtered where they are read: no join, whatever ids repeat or are null.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            buf, offsets = text_bytes(batch.column(text).cast(pa.string()))
+            scores = []
+            for i, j in slices(offsets):
+                bins, size, rows = line_features(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                scores.append(shared.value.score(bins, size, rows, j - i))
+            yield batch.filter(pa.array(np.concatenate([*scores, np.zeros(0)]) >= threshold))
+
+    return docs.mapInArrow(keep, docs.schema)

@@ -192,3 +192,24 @@ def secret_digest(found: DataFrame) -> DataFrame:
 
 def sha256_of(spans: list[tuple[str, int, int]]) -> str:
     return hashlib.sha256(",".join(f"{k}:{b}:{e}" for k, b, e in ordered(spans)).encode()).hexdigest()
+
+
+def with_redactions(docs: DataFrame, text: str = "text", length: str = "n_chars") -> DataFrame:
+    """``docs`` with secrets replaced in ``text``; ``length``, where present, counts the new text of changed rows.
+
+    Every row stays, and all other columns; null texts stay null.
+    """
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(text).to_pylist()
+            found = [base_spans(t) + confirmed_spans(t) if t else [] for t in texts]
+            if any(found):
+                clean = [redacted(t, s) if s else t for t, s in zip(texts, found, strict=True)]
+                batch = batch.set_column(batch.schema.get_field_index(text), text, pa.array(clean, batch.column(text).type))
+                if length in batch.schema.names:
+                    sizes = [len(c) if s else n for c, s, n in zip(clean, found, batch.column(length).to_pylist(), strict=True)]
+                    batch = batch.set_column(batch.schema.get_field_index(length), length, pa.array(sizes, batch.column(length).type))
+            yield batch
+
+    return docs.mapInArrow(scan, docs.schema)
