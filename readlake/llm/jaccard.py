@@ -1,10 +1,10 @@
 """Exact Jaccard join of n-gram sets by prefix tries, and the groups it links.
 
 1. Every document becomes its set of hashed n-grams.  Equal sets are one node from here on.
-2. A global order of n-grams, rare ones first, comes from two count tables of fixed size (2^22 slots each) over all
+2. A global order of n-grams, rare ones first, comes from two count tables of fixed size (2^21 slots each) over all
    documents: what the frequencies of its words let expect of an n-gram, or more if its own slot is far above average.
 3. Two sets that link share an n-gram among the first ``n - ceil(t n) + 1`` of each in that order.  Each node lists
-   those; lists meet by a shuffle on the n-gram; n-grams with one node are gone at once.
+   those; lists meet by a shuffle on the n-gram and the class of the set's size; those with one node are gone at once.
 4. Round one: every node joins the largest of its n-grams' groups.  A group's sets go into a trie whose paths follow
    the global order, frequent end first, so that near copies share long paths; a traversal carries the overlap
    so far and leaves a subtree when the elements left on either side can't reach the bound, or when all of it is
@@ -28,7 +28,7 @@ from readlake.llm.components import components
 from readlake.llm.shared import written
 from readlake.llm.textkit import LOWER, U64, binary_column, mix, shingle_hashes, slices, span_hashes, text_bytes, word_spans
 
-_SLOT_BITS, _BLOCK_SLOTS = 22, 1 << 16
+_SLOT_BITS, _BLOCK_SLOTS = 21, 1 << 16
 #: A side of a join of up to so many rows of some 50 bytes is broadcast; a larger one is shuffled.
 BROADCAST_ROWS = 500_000
 
@@ -84,7 +84,7 @@ def set_nodes(keys: np.ndarray, rows: np.ndarray, n_rows: int) -> np.ndarray:
 
 
 class ShingleOrder:
-    """Sorts shingles by 8 bits of expected frequency, then 56 bits of hash.  Two tables of 2^22 slots, of any corpus."""
+    """Sorts shingles by 8 bits of expected frequency, then 56 bits of hash.  Two tables of 2^21 slots, of any corpus."""
 
     def __init__(self, words: np.ndarray, shingles: np.ndarray, k: int):
         self.k, self.total = k, float(words.sum())
@@ -93,8 +93,10 @@ class ShingleOrder:
         self.excess = np.round(8 * np.log2(1 + over)).astype(np.uint8)
 
     def keys(self, shingles: np.ndarray, common: np.ndarray) -> np.ndarray:
-        expected = common - 8 * (self.k - 1) * np.log2(max(self.total, 2))
-        rank = np.clip((np.maximum(expected, self.excess[_slot(shingles)]) + 192) / 2, 0, 255).astype(U64)
+        # in eighths of a bit: the words' frequencies, or what the shingle's slot has above the average
+        seen = self.excess[_slot(shingles)].astype(np.float64)
+        rank = np.maximum(common, np.where(seen > 0, seen + 8 * (self.k - 1) * np.log2(max(self.total, 2)), 0))
+        rank = np.clip(rank / 4, 0, 255).astype(U64)
         return rank << U64(56) | shingles >> U64(8)
 
 
@@ -273,7 +275,7 @@ def shingle_groups(docs: DataFrame, shingle: int = 3, percent: int = 90, block:
                 total[part] = total.get(part, 0) + np.frombuffer(counts, "<u2").astype(np.float32)
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], names=["part", "counts"])
 
-    # 2 x 2^22 counts of 4 bytes in all, whatever the input
+    # 2 x 2^21 counts of 4 bytes in all, whatever the input
     counts = np.zeros((2 * n_slots // _BLOCK_SLOTS, _BLOCK_SLOTS), np.float32)
     for row in seen.where("part is not null").select("part", "counts").repartition("part").mapInArrow(add, "part int, counts binary").toLocalIterator():
         counts[row["part"]] = np.frombuffer(row["counts"], np.float32)
@@ -308,11 +310,17 @@ def shingle_groups(docs: DataFrame, shingle: int = 3, percent: int = 90, block:
                 take = np.where(new, size - -(-percent * size // 100) + 1, 0)
                 at = np.arange(len(keys)) - np.repeat(np.cumsum(size) - size, size)
                 head = keys[at < np.repeat(take, size)].view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(node[new]), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(take[new])]), pa.int32()), pa.array(head))], names=["node", "keys"])
-
-    heads = written(own.mapInArrow(prefixes, "node long, keys array<long>")).select("node", F.explode("keys").alias("key"))
-    shared = heads.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("key")
-    members = written(heads.join(shared, "key").distinct())
+                yield pa.RecordBatch.from_arrays([pa.array(node[new]), pa.array(size[new]), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(take[new])]), pa.int32()), pa.array(head))], names=["node", "size", "keys"])
+
+    heads = written(own.mapInArrow(prefixes, "node long, size long, keys array<long>")).select("node", "size", F.explode("keys").alias("key"))
+    several = lambda df: df.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("key")
+    meeting = heads.join(several(heads), "key")
+    # sets link only if their sizes are within the bound, so each goes to the cell of its size class and the next
+    step = float(np.log(100 / percent)) * 1.001 + 1e-9  # a little wide, so that rounding parts no pair
+    cell = F.floor(F.log("size") / step)
+    celled = meeting.select("node", "key", F.explode(F.array(cell, cell + 1)).alias("cell"))
+    celled = written(celled.select("node", F.xxhash64("key", "cell").alias("key")).distinct())
+    members = written(celled.join(several(celled), "key"))
     sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
     nodes = written(described.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("first_doc")))
 
