@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("text",)
+_MODULES = ("text", "tables")
 
 
 def all_queries() -> tuple[dict, dict]:
