@@ -9,6 +9,8 @@
    the global order, frequent end first, so that near copies share long paths; a traversal carries the overlap
    so far and leaves a subtree when the elements left on either side can't reach the bound, or when all of it is
    linked already.  Groups larger than ``block`` are dealt over blocks, each of which also gets the group's leaders.
+   Before sets move at all, members of a group compare 512-bit parity maps of their sets: two maps never differ in
+   more bits than the sets do in elements, so what differs too much is out, exactly, and only the rest sends its set.
 5. Round two, for all other groups whose nodes aren't all in one component yet: members outside the group's largest
    component visit every block of the group.  Pairs inside one component need no test, so no link is lost and
    thousands of near copies cost about one test each.
@@ -16,6 +18,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -175,27 +178,39 @@ class TrieJoin:
         return out
 
 
-def _grouped(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pd.DataFrame]:
-    """Groups of rows that come sorted by ``by``, one at a time."""
+def parity_maps(keys: np.ndarray, rows: np.ndarray, n_rows: int) -> np.ndarray:
+    """512 bits for each row: bit b is set when an odd number of its shingles hash to b."""
+    bit = (keys & U64(511)).astype(np.int64)
+    odd = (np.bincount(rows * 512 + bit, minlength=n_rows * 512) & 1).astype(np.uint8) if len(rows) else np.zeros(n_rows * 512, np.uint8)
+    return np.packbits(odd.reshape(n_rows, 512), axis=1)
+
+
+def can_link(size_a: np.ndarray, size_b: np.ndarray, apart: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of these sizes that differ in ``apart`` elements or more can reach the bound."""
+    return apart * (100 + percent) <= (100 - percent) * (size_a + size_b)
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch], by: list[str], least: int = 20_000) -> Iterator[pd.DataFrame]:
+    """Rows that come sorted by ``by``, in frames of whole groups."""
     kept: list[pd.DataFrame] = []
+    rows = 0
     for batch in batches:
-        frame = batch.to_pandas()
-        if not len(frame):
-            continue
-        cut = (frame[by] != frame[by].shift()).any(axis=1).to_numpy().nonzero()[0]
-        if kept and (kept[-1][by].iloc[-1] == frame[by].iloc[0]).all():
-            cut = cut[1:]
-        edges = [0, *[c for c in cut if c], len(frame)]
-        if kept and len(cut) and cut[0] == 0:
-            yield pd.concat(kept)
-            kept = []
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
-            if a and kept:
-                yield pd.concat(kept)
-                kept = []
-            kept.append(frame.iloc[a:b])
-    if kept:
-        yield pd.concat(kept)
+        kept.append(batch.to_pandas())
+        rows += batch.num_rows
+        if rows >= least:
+            frame = pd.concat(kept, ignore_index=True)
+            last = (frame[by] != frame[by].iloc[-1]).any(axis=1).to_numpy().nonzero()[0]
+            cut = int(last[-1]) + 1 if len(last) else 0
+            if cut:
+                yield frame.iloc[:cut]
+            kept, rows = [frame.iloc[cut:]], len(frame) - cut
+    if rows:
+        yield pd.concat(kept, ignore_index=True)
+
+
+def _group_edges(frame: pd.DataFrame, by: list[str]) -> np.ndarray:
+    new = (frame[by] != frame[by].shift()).any(axis=1).to_numpy()
+    return np.append(np.flatnonzero(new), len(frame))
 
 
 def _join_groups(members: DataFrame, nodes: DataFrame, texts: DataFrame, sets_of, percent: int) -> DataFrame:
@@ -213,16 +228,37 @@ def _join_groups(members: DataFrame, nodes: DataFrame, texts: DataFrame, sets_of
                 rows = batch.slice(i, j - i).drop_columns(["text"]).append_column("keys", binary_column(data.view(np.uint8), size * 8))
                 yield rows.filter(pa.array(node == rows.column("node").to_numpy()))  # an id may repeat with another text
 
+    def promising(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in _whole_groups(batches, by):
+            edges = _group_edges(frame, by)
+            group = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
+            maps = np.frombuffer(b"".join(frame["parity"]), U64).reshape(-1, 8)
+            node, comp, size, probe = (frame[c].to_numpy() for c in ("node", "comp", "size", "probe"))
+            keep = np.zeros(len(frame), bool)
+            left = np.arange(len(frame))
+            for shift in range(1, int(np.diff(edges).max())):
+                left = left[left + shift < len(frame)]
+                left = left[group[left] == group[left + shift]]
+                i, j = left, left + shift
+                ok = (probe[i] | probe[j]) & (node[i] != node[j]) & (comp[i] != comp[j])
+                i, j = i[ok], j[ok]
+                ok = can_link(size[i], size[j], np.bitwise_count(maps[i] ^ maps[j]).sum(axis=1), percent)
+                keep[i[ok]] = keep[j[ok]] = True
+            yield pa.RecordBatch.from_pandas(frame.loc[keep, [*by, "node", "comp", "probe"]], preserve_index=False)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _grouped(batches, by):
+        groups = (frame.iloc[a:b] for frame in _whole_groups(batches, by, 2000) for a, b in itertools.pairwise(_group_edges(frame, by)))
+        for group in groups:
             group = group.sort_values("probe", ascending=False, kind="stable").drop_duplicates("node")
             trie = TrieJoin([np.frombuffer(s, U64) for s in group["keys"]], group["comp"].tolist(), percent)
             nodes_ = group["node"].tolist()
             found = [(nodes_[p], nodes_[k]) for p in np.flatnonzero(group["probe"].to_numpy()) for k in trie.links(p)]
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
 
-    placed = written(members.join(nodes.where("first_doc is not null"), "node").select(F.col("first_doc").alias("doc_id"), *by, "node", "comp", "probe"))
     fields = "key long, home int, guests int, node long, comp long, probe boolean"
+    mapped = members.join(nodes.where("first_doc is not null").select("node", "size", "parity"), "node").select(*by, "node", "comp", "probe", "size", "parity")
+    alike = mapped.repartition(*by).sortWithinPartitions(*by).mapInArrow(promising, fields)
+    placed = written(alike.join(nodes.select("node", F.col("first_doc").alias("doc_id")), "node"))
     with_text = texts.join(small(placed, placed.count()), "doc_id").select(*by, "node", "comp", "probe", "text")
     return with_text.mapInArrow(make, f"{fields}, keys binary").repartition(*by).sortWithinPartitions(*by).mapInArrow(run, "a long, b long")
 
@@ -291,7 +327,8 @@ def shingle_groups(docs: DataFrame, shingle: int = 3, percent: int = 90, block:
             at = use[rows] if len(rows) else np.zeros(0, bool)
             keys, rows, common = keys[at], rows[at], common[at]
         ordered = order.value.keys(keys, common)
-        return node, ordered[np.lexsort((ordered, rows))], np.bincount(rows, minlength=n) if len(rows) else np.zeros(n, np.int64)
+        ordered = ordered[np.lexsort((ordered, rows))]
+        return node, ordered, np.bincount(rows, minlength=n) if len(rows) else np.zeros(n, np.int64)
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = {0}
@@ -310,9 +347,11 @@ def shingle_groups(docs: DataFrame, shingle: int = 3, percent: int = 90, block:
                 take = np.where(new, size - -(-percent * size // 100) + 1, 0)
                 at = np.arange(len(keys)) - np.repeat(np.cumsum(size) - size, size)
                 head = keys[at < np.repeat(take, size)].view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(node[new]), pa.array(size[new]), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(take[new])]), pa.int32()), pa.array(head))], names=["node", "size", "keys"])
+                parity = parity_maps(keys, np.repeat(np.arange(j - i), size), j - i)[new]
+                yield pa.RecordBatch.from_arrays([pa.array(node[new]), pa.array(size[new]), binary_column(parity.ravel(), np.full(len(parity), 64)), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(take[new])]), pa.int32()), pa.array(head))], names=["node", "size", "parity", "keys"])
 
-    heads = written(own.mapInArrow(prefixes, "node long, size long, keys array<long>")).select("node", "size", F.explode("keys").alias("key"))
+    firsts = written(own.mapInArrow(prefixes, "node long, size long, parity binary, keys array<long>"))
+    heads = firsts.select("node", "size", F.explode("keys").alias("key"))
     several = lambda df: df.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("key")
     meeting = heads.join(several(heads), "key")
     # sets link only if their sizes are within the bound, so each goes to the cell of its size class and the next
@@ -322,7 +361,9 @@ def shingle_groups(docs: DataFrame, shingle: int = 3, percent: int = 90, block:
     celled = written(celled.select("node", F.xxhash64("key", "cell").alias("key")).distinct())
     members = written(celled.join(several(celled), "key"))
     sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
-    nodes = written(described.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("first_doc")))
+    docs_of = described.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("first_doc"))
+    # a node's rows in ``firsts`` are equal, one for each task that met it
+    nodes = written(docs_of.join(firsts.select("node", "size", "parity").dropDuplicates(["node"]), "node"))
 
     own_group = members.join(sizes, "key").groupBy("node").agg(F.max(F.struct("size", "key"))["key"].alias("key"))
     first = own_group.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
