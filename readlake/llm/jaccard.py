@@ -9,7 +9,7 @@
    the global order, frequent end first, so that near copies share long paths; a traversal carries the overlap
    so far and leaves a subtree when the elements left on either side can't reach the bound, or when all of it is
    linked already.  Groups larger than ``block`` are dealt over blocks, each of which also gets the group's leaders.
-   Before sets move at all, members of a group compare 512-bit parity maps of their sets: two maps never differ in
+   Before sets move at all, members of a group compare small parity maps of their sets: two maps never differ in
    more bits than the sets do in elements, so what differs too much is out, exactly, and only the rest sends its set.
 5. Round two, for all other groups whose nodes aren't all in one component yet: members outside the group's largest
    component visit every block of the group.  Pairs inside one component need no test, so no link is lost and
@@ -178,11 +178,28 @@ class TrieJoin:
         return out
 
 
-def parity_maps(keys: np.ndarray, rows: np.ndarray, n_rows: int) -> np.ndarray:
-    """512 bits for each row: bit b is set when an odd number of its shingles hash to b."""
-    bit = (keys & U64(511)).astype(np.int64)
-    odd = (np.bincount(rows * 512 + bit, minlength=n_rows * 512) & 1).astype(np.uint8) if len(rows) else np.zeros(n_rows * 512, np.uint8)
-    return np.packbits(odd.reshape(n_rows, 512), axis=1)
+def parity_bits(size: np.ndarray) -> np.ndarray:
+    """Bits of a set's parity map: the power of two from half its size up, 512 at least.  Unrelated maps then differ
+    in about half their bits, more than sets that link can."""
+    return 1 << np.maximum(np.ceil(np.log2(np.maximum(size, 1) / 2)), 9).astype(np.int64)
+
+
+def parity_maps(keys: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of the parity maps of rows with ``size`` keys each, one after another, and how many a row has: bit b is
+    set when an odd number of the row's shingles hash to b."""
+    bits = parity_bits(size)
+    begin = np.cumsum(bits) - bits
+    at = np.repeat(begin, size) + (keys & (np.repeat(bits, size) - 1).astype(U64)).astype(np.int64)
+    odd = (np.bincount(at, minlength=int(bits.sum())) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little"), bits // 8
+
+
+def folded(maps: list[bytes], length: int) -> np.ndarray:
+    """Maps as rows of ``length`` bytes; longer ones are folded: a shorter map is the longer's halves, exclusive-or."""
+    out = np.zeros((len(maps), length), np.uint8)
+    for k, m in enumerate(maps):
+        out[k] = np.bitwise_xor.reduce(np.frombuffer(m, np.uint8).reshape(-1, length), axis=0)
+    return out.view(U64)
 
 
 def can_link(size_a: np.ndarray, size_b: np.ndarray, apart: np.ndarray, percent: int) -> np.ndarray:
@@ -229,21 +246,27 @@ def _join_groups(members: DataFrame, nodes: DataFrame, texts: DataFrame, sets_of
                 yield rows.filter(pa.array(node == rows.column("node").to_numpy()))  # an id may repeat with another text
 
     def promising(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for frame in _whole_groups(batches, by):
+        for frame in _whole_groups(batches, by, 5000):
             edges = _group_edges(frame, by)
             group = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
-            maps = np.frombuffer(b"".join(frame["parity"]), U64).reshape(-1, 8)
             node, comp, size, probe = (frame[c].to_numpy() for c in ("node", "comp", "size", "probe"))
+            length = np.minimum.reduceat(frame["parity"].str.len().to_numpy(), edges[:-1])[group]  # a group's shortest
             keep = np.zeros(len(frame), bool)
-            left = np.arange(len(frame))
-            for shift in range(1, int(np.diff(edges).max())):
-                left = left[left + shift < len(frame)]
-                left = left[group[left] == group[left + shift]]
-                i, j = left, left + shift
-                ok = (probe[i] | probe[j]) & (node[i] != node[j]) & (comp[i] != comp[j])
-                i, j = i[ok], j[ok]
-                ok = can_link(size[i], size[j], np.bitwise_count(maps[i] ^ maps[j]).sum(axis=1), percent)
-                keep[i[ok]] = keep[j[ok]] = True
+            for n in np.unique(length):
+                rows = np.flatnonzero(length == n)
+                maps, own = folded(frame["parity"].iloc[rows].tolist(), int(n)), group[rows]
+                left, shift = np.arange(len(rows)), 1
+                while True:
+                    left = left[left + shift < len(rows)]
+                    left = left[own[left] == own[left + shift]]
+                    if not len(left):
+                        break
+                    i, j = rows[left], rows[left + shift]
+                    ok = (probe[i] | probe[j]) & (node[i] != node[j]) & (comp[i] != comp[j])
+                    i, j, m = i[ok], j[ok], left[ok]
+                    ok = can_link(size[i], size[j], np.bitwise_count(maps[m] ^ maps[m + shift]).sum(axis=1), percent)
+                    keep[i[ok]] = keep[j[ok]] = True
+                    shift += 1
             yield pa.RecordBatch.from_pandas(frame.loc[keep, [*by, "node", "comp", "probe"]], preserve_index=False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -347,8 +370,7 @@ def shingle_groups(docs: DataFrame, shingle: int = 3, percent: int = 90, block:
                 take = np.where(new, size - -(-percent * size // 100) + 1, 0)
                 at = np.arange(len(keys)) - np.repeat(np.cumsum(size) - size, size)
                 head = keys[at < np.repeat(take, size)].view(np.int64)
-                parity = parity_maps(keys, np.repeat(np.arange(j - i), size), j - i)[new]
-                yield pa.RecordBatch.from_arrays([pa.array(node[new]), pa.array(size[new]), binary_column(parity.ravel(), np.full(len(parity), 64)), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(take[new])]), pa.int32()), pa.array(head))], names=["node", "size", "parity", "keys"])
+                yield pa.RecordBatch.from_arrays([pa.array(node[new]), pa.array(size[new]), binary_column(*parity_maps(keys, size[new])), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(take[new])]), pa.int32()), pa.array(head))], names=["node", "size", "parity", "keys"])
 
     firsts = written(own.mapInArrow(prefixes, "node long, size long, parity binary, keys array<long>"))
     heads = firsts.select("node", "size", F.explode("keys").alias("key"))
