@@ -20,7 +20,7 @@ LOWER[65:91] += 32
 _STEP = 0x9E3779B97F4A7C15
 _BASE = 0xD1342543DE82EF95
 #: Bytes of text that one numpy pass takes; a longer document is a pass of its own.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
