@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("text", "tables", "rebuild", "article")
+_MODULES = ("text", "tables", "rebuild", "article", "events", "files")
 
 
 def all_queries() -> tuple[dict, dict]:
