@@ -41,6 +41,8 @@ def line_spans(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     ends = np.empty(len(rows), np.int64)
     ends[last] = offsets[1:]
     ends[~last] = starts[1:][~last[:-1]] - 1
+    closed = np.flatnonzero(last & (ends > starts))
+    ends[closed] -= buf[ends[closed] - 1] == 10
     return starts, ends, rows
 
 
@@ -89,7 +91,7 @@ def _neighbours(bins: np.ndarray, rows: np.ndarray) -> np.ndarray:
     same = rows[1:] == rows[:-1]
     wide[1:, 1] = bins[:-1] * same[:, None]
     wide[:-1, 2] = bins[1:] * same[:, None]
-    return wide.reshape(len(bins), -1) + np.arange(3 * bins.shape[1]) * _BINS
+    return wide.reshape(len(bins), 3 * bins.shape[1]) + np.arange(3 * bins.shape[1]) * _BINS
 
 
 @dataclass
