@@ -1,8 +1,8 @@
 """The event operators on streams of frames.
 
 Stateless rules run as they are; latest-per-key uses update mode; rules that carry state along a connection use
-``transformWithStateInPandas`` with a time to live, so that a closed connection's state goes.  Frames of a connection
-are expected in order of ``seq`` within a micro-batch's partition and are sorted there.
+``applyInPandasWithState`` with a timeout, so that a closed connection's state goes.  A connection's frames of one
+micro-batch are put in order of ``seq`` before they are taken.
 """
 
 from __future__ import annotations
@@ -13,11 +13,10 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from readlake.operators.events import parse_frames
 
-STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: State of a connection without frames for so long is dropped.
 IDLE_MS = 24 * 3600 * 1000
 
@@ -53,13 +52,12 @@ def activity(frames: DataFrame, gap: str = "30 minutes", ts: str = "ts") -> Data
     return frames.groupBy("conn", F.session_window(ts, gap).alias("w")).agg(F.count(F.lit(1)).alias("frames")).select("conn", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "frames")
 
 
-class _Ordered(StatefulProcessor):
-    """Base: one value of state a connection, rows of a micro-batch by ``seq``."""
+class ConnectionRule:
+    """A fold over a connection's frames: ``step`` takes the state and a frame and gives the new state and, maybe,
+    what to put out."""
 
-    STATE = ""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("state", self.STATE, ttlDurationMs=IDLE_MS)
+    STATE = SCHEMA = ""
+    COLUMNS: list[str] = []
 
     def start(self) -> tuple:
         raise NotImplementedError
@@ -67,22 +65,8 @@ class _Ordered(StatefulProcessor):
     def step(self, state: tuple, row: Any) -> tuple[tuple, tuple | None]:
         raise NotImplementedError
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        frame = pd.concat(list(rows)).sort_values("seq")
-        state = tuple(self.state.get()) if self.state.exists() else self.start()
-        out = []
-        for row in frame.itertuples(index=False):
-            state, made = self.step(state, row)
-            if made is not None:
-                out.append((key[0], *made))
-        self.state.update(state)
-        yield pd.DataFrame(out, columns=self.COLUMNS)
-
-    def close(self) -> None:
-        pass
-
 
-class HandshakeGate(_Ordered):
+class HandshakeGate(ConnectionRule):
     """Frames of a connection from its first hello on."""
 
     STATE, COLUMNS, SCHEMA = "said boolean", ["conn", "seq", "type"], "conn long, seq long, type string"
@@ -95,7 +79,7 @@ class HandshakeGate(_Ordered):
         return (said,), ((int(row.seq), row.type) if said else None)
 
 
-class PairPageBinary(_Ordered):
+class PairPageBinary(ConnectionRule):
     """Each binary frame with the page frame right before it."""
 
     STATE, COLUMNS, SCHEMA = "meta long", ["conn", "seq", "meta_seq"], "conn long, seq long, meta_seq long"
@@ -111,7 +95,7 @@ class PairPageBinary(_Ordered):
         return state, None
 
 
-class CurrentContent(_Ordered):
+class CurrentContent(ConnectionRule):
     """Receipts whose content id is the one begun last."""
 
     STATE, COLUMNS, SCHEMA = "begun long", ["conn", "seq", "content_id"], "conn long, seq long, content_id long"
@@ -126,7 +110,7 @@ class CurrentContent(_Ordered):
         return state, ((int(row.seq), int(row.content_id)) if good else None)
 
 
-class InFlightGate(_Ordered):
+class InFlightGate(ConnectionRule):
     """Asks that are taken while none is unanswered; ``seq`` is the turn, ``type`` the role."""
 
     STATE, COLUMNS, SCHEMA = "busy boolean", ["conn", "seq"], "conn long, seq long"
@@ -140,7 +124,7 @@ class InFlightGate(_Ordered):
         return ((False,) if row.type == "assistant" else state), None
 
 
-class AckThrottle(_Ordered):
+class AckThrottle(ConnectionRule):
     """One live frame in flight until its receipt or 1,200 ms, 500 ms apart at least; rows carry ``ms``."""
 
     STATE, COLUMNS, SCHEMA = "last long, busy boolean", ["conn", "seq", "sent"], "conn long, seq long, sent boolean"
@@ -159,6 +143,21 @@ class AckThrottle(_Ordered):
         return ((int(row.ms), True) if send else (last, busy)), (int(row.seq), send)
 
 
-def by_connection(frames: DataFrame, processor: _Ordered) -> DataFrame:
-    """A stateful rule over a stream; the session needs the RocksDB state store (``STATE_STORE``)."""
-    return frames.groupBy("conn").transformWithStateInPandas(statefulProcessor=processor, outputStructType=processor.SCHEMA, outputMode="Append", timeMode="ProcessingTime")
+def by_connection(frames: DataFrame, rule: ConnectionRule) -> DataFrame:
+    """A rule over a stream of frames; for append mode."""
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
+        if kept.hasTimedOut:
+            kept.remove()
+            return
+        state = tuple(kept.get) if kept.exists else rule.start()
+        out = []
+        for row in pd.concat(list(batches)).sort_values("seq").itertuples(index=False):
+            state, made = rule.step(state, row)
+            if made is not None:
+                out.append((key[0], *made))
+        kept.update(state)
+        kept.setTimeoutDuration(IDLE_MS)
+        yield pd.DataFrame(out, columns=rule.COLUMNS)
+
+    return frames.groupBy("conn").applyInPandasWithState(run, rule.SCHEMA, rule.STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)

@@ -21,8 +21,10 @@ def rows(spark, sf, tmp_path_factory):
     return spark.read.parquet(path), path
 
 
-def run(spark, stream, mode="append"):
+def run(spark, stream, mode="append", timers=False):
+    """The stream's output once it has read everything; processing-time timers would keep it going without data."""
     name = "q" + uuid.uuid4().hex
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", str(not timers).lower())
     query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.table(name)
@@ -34,14 +36,14 @@ def stream_of(spark, rows):
 
 @pytest.mark.parametrize(("processor", "batch"), [(s.HandshakeGate, e.handshake_gate), (s.PairPageBinary, e.pair_page_binary), (s.CurrentContent, e.current_content)])
 def test_stateful_rules(spark, rows, processor, batch):
-    got = run(spark, s.by_connection(stream_of(spark, rows), processor()))
+    got = run(spark, s.by_connection(stream_of(spark, rows), processor()), timers=True)
     want = batch(rows[0]).select(*processor.COLUMNS)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and want.count()
 
 
 def test_ack_throttle(spark, rows):
     live = "type in ('page', 'rendered')"
-    got = run(spark, s.by_connection(stream_of(spark, rows).where(live), s.AckThrottle()))
+    got = run(spark, s.by_connection(stream_of(spark, rows).where(live), s.AckThrottle()), timers=True)
     want = e.ack_throttle(rows[0].where(live))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
@@ -64,7 +66,7 @@ def test_in_flight_gate(spark, tmp_path):
     turns = [(1, 0, "user"), (1, 1, "user"), (1, 2, "assistant"), (1, 3, "user"), (2, 0, "assistant"), (2, 1, "user")]
     df = spark.createDataFrame(turns, "conn long, seq long, type string")
     df.write.parquet(str(tmp_path / "t"))
-    got = run(spark, s.by_connection(spark.readStream.schema(df.schema).parquet(str(tmp_path / "t")), s.InFlightGate()))
+    got = run(spark, s.by_connection(spark.readStream.schema(df.schema).parquet(str(tmp_path / "t")), s.InFlightGate()), timers=True)
     assert {tuple(r) for r in got.collect()} == {(1, 0), (1, 3), (2, 1)}
 
 
