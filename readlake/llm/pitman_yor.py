@@ -6,9 +6,9 @@ restaurant of the ``order - 1`` bytes before it.  A spelling restaurant of conte
 of u without its oldest byte, so contexts with the same suffix share a parent, down to the empty context over a
 uniform base.  Known words get what was counted, unseen ones what their spelling deserves.
 
-Customers of a parent are tables below it.  Seating is sampled by Gibbs rounds: in each one every dish with two
-customers or more loses a random one and seats it again; dishes move together within a round.  Predictive weights are
-averaged over the rounds after the burn-in.
+Customers of a parent are tables below it.  Seating is sampled by Gibbs rounds: in each one all customers of every
+dish leave and sit down again, in blocks where there are many; dishes move together within a round.  Predictive
+weights are averaged over the rounds after the burn-in.
 
 Contexts of three bytes or more that end in the same three bytes form a block, and blocks are sampled apart, in
 tasks.  Contexts of two bytes or fewer (2^24 entries at the very most, whatever the corpus) are sampled on the driver.
@@ -28,13 +28,14 @@ from pyspark.sql import functions as F
 
 from readlake.llm.labelled import fold
 from readlake.llm.shared import written
-from readlake.llm.textkit import LOWER, ragged, slices, span_hashes, text_bytes, word_spans
+from readlake.llm.textkit import LOWER, U64, mix, ragged, slices, span_hashes, text_bytes, word_spans
 
 #: Discount and strength of restaurants by context length.
 DISCOUNTS = (0.3, 0.4, 0.5, 0.6, 0.7, 0.75, 0.8)
 STRENGTH = 1.0
 _TOP = 2  # longest context sampled on the driver
 _END = 1  # the end token's key among word hashes
+_SEED = 0x9E3779B97F4A7C15
 
 
 def text_tokens(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -65,62 +66,72 @@ def spelling_grams(buf: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np
     return key, np.repeat(np.arange(len(size)), size)
 
 
+def _uniform(keys: np.ndarray, seed: int) -> np.ndarray:
+    """A number in (0, 1) for each key, the same in every run, plan and partitioning."""
+    bits = mix(keys.astype(np.int64).view(U64) ^ mix(np.array([seed], U64) * U64(_SEED)))
+    return ((bits >> U64(11)).astype(float) + 0.5) / (1 << 53)
+
+
+def _successes(m: np.ndarray, p: np.ndarray, keys: np.ndarray, seed: int) -> np.ndarray:
+    """Binomial draws: by inversion where few are expected, else by the normal limit."""
+    u, out = _uniform(keys, seed), np.zeros(len(m), np.int64)
+    one = m == 1
+    out[one] = u[one] < p[one]
+    many = ~one & (m * p * (1 - p) > 25)
+    if many.any():
+        z = np.sqrt(-2 * np.log(u[many])) * np.cos(2 * np.pi * _uniform(keys[many], ~seed & 0xFFFFFFFF))
+        mean = m[many] * p[many]
+        out[many] = np.clip(np.rint(mean + z * np.sqrt(mean * (1 - p[many]))), 0, m[many])
+    left = np.flatnonzero(~one & ~many)
+    flip = p[left] > 0.5
+    q, size, rest = np.where(flip, 1 - p[left], p[left]), m[left].astype(float), u[left].copy()
+    mass, got = np.exp(size * np.log1p(-q)), np.zeros(len(left), np.int64)
+    open_ = np.arange(len(left))
+    while len(open_ := open_[(rest[open_] >= mass[open_]) & (got[open_] < size[open_])]):
+        rest[open_] -= mass[open_]
+        mass[open_] *= (size[open_] - got[open_]) / (got[open_] + 1) * q[open_] / (1 - q[open_])
+        got[open_] += 1
+    out[left] = np.where(flip, m[left] - got, got)
+    return out
+
+
+def reseat(n: np.ndarray, parent: np.ndarray, elsewhere: np.ndarray, discount: float, keys: np.ndarray, seed: int) -> np.ndarray:
+    """Tables of each dish after all its ``n`` customers left and sat down again.
+
+    ``elsewhere`` is the number of tables that the restaurant has for other dishes.  Customers sit down one by one
+    while there are few, then in blocks of an eighth of those seated: in a block the chance of a new table is that of its middle.
+    """
+    t = np.minimum(n, 1).astype(np.int64)
+    live = np.flatnonzero(n > 1)
+    seated, size, base, others, own, tables, step = np.ones(len(live), np.int64), n[live], parent[live], elsewhere[live], keys[live], np.ones(len(live), np.int64), 0
+    while len(live):
+        block = np.minimum(np.maximum(seated // 8, 1), size - seated)
+        new = (STRENGTH + discount * (others + tables)) * base
+        middle = seated + (block - 1) / 2
+        tables = tables + _successes(block, new / (new + middle - discount * tables), own, seed * 4096 + step)
+        seated, step = seated + block, step + 1
+        done = seated == size
+        if done.any():
+            t[live[done]] = tables[done]
+            live, seated, size, base, others, own, tables = (x[~done] for x in (live, seated, size, base, others, own, tables))
+    return t
+
+
 class _Level:
     """The restaurants of one context length."""
 
     def __init__(self, keys: np.ndarray, customers: np.ndarray, depth: int):
-        self.keys, self.c, self.depth, self.elsewhere = keys, customers.astype(np.int64), depth, 0
+        self.keys, self.c, self.depth = keys, customers.astype(np.int64), depth
         self.contexts, self.house = np.unique(keys >> 8, return_inverse=True)
-        self.t = np.ones(len(keys), np.int64)
-        self.dish, self.size = np.arange(len(keys)), self.c.copy()  # tables, in order of their dish
+        self.t = np.minimum(self.c, 1)
         self.discount = DISCOUNTS[depth]
         self.alpha, self.gamma, self.samples = np.zeros(len(keys)), np.zeros(len(self.contexts)), 0
 
     def tables(self) -> np.ndarray:
-        return np.bincount(self.house, self.t, len(self.contexts)) + self.elsewhere
-
-    def _pick(self, dishes: np.ndarray, weight: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-        """A table of each dish, in proportion to ``weight``."""
-        sums = np.cumsum(weight)
-        first = np.searchsorted(self.dish, dishes)
-        last = np.searchsorted(self.dish, dishes, "right") - 1
-        low = sums[first] - weight[first]
-        k = np.searchsorted(sums, low + rng.random(len(dishes)) * (sums[last] - low), "right")
-        return np.clip(k, first, last)
-
-    def leave(self, dishes: np.ndarray, rng: np.random.Generator) -> None:
-        """One customer of each dish, any with the same chance, goes."""
-        k = self._pick(dishes, self.size.astype(float), rng)
-        self.size[k] -= 1
-        self.c[dishes] -= 1
-        gone = self.size[k] == 0
-        self.t[dishes[gone]] -= 1
-        if gone.any():
-            keep = self.size > 0
-            self.dish, self.size = self.dish[keep], self.size[keep]
-
-    def sit(self, dishes: np.ndarray, parent: np.ndarray, rng: np.random.Generator) -> None:
-        """One customer for each dish sits down, at a new table or one that serves it."""
-        new = (STRENGTH + self.discount * self.tables()[self.house[dishes]]) * parent[dishes]
-        old = np.maximum(self.c[dishes] - self.discount * self.t[dishes], 0)
-        opens = (self.t[dishes] == 0) | (rng.random(len(dishes)) * (new + old) < new)
-        join = dishes[~opens]
-        if len(join):
-            self.size[self._pick(join, self.size - self.discount, rng)] += 1
-        self.c[dishes] += 1
-        fresh = dishes[opens]
-        self.t[fresh] += 1
-        if len(fresh):
-            at = np.searchsorted(self.dish, fresh, "right")
-            self.dish, self.size = np.insert(self.dish, at, fresh), np.insert(self.size, at, 1)
-
-    def match(self, customers: np.ndarray, parent: np.ndarray, rng: np.random.Generator) -> None:
-        """Seat and dismiss customers until each dish has as many as the longer contexts have tables."""
-        while (off := customers - self.c).any():
-            if len(less := np.flatnonzero(off < 0)):
-                self.leave(less, rng)
-            if len(more := np.flatnonzero(off > 0)):
-                self.sit(more, parent, rng)
+        return np.bincount(self.house, self.t, len(self.contexts))
+
+    def reseat(self, parent: np.ndarray, seed: int) -> None:
+        self.t = reseat(self.c, parent, self.tables()[self.house] - self.t, self.discount, self.keys, seed * 16 + self.depth)
 
     def weights(self) -> tuple[np.ndarray, np.ndarray]:
         """alpha of each dish and gamma of each context: P(w | u) = alpha + gamma P(w | parent)."""
@@ -152,16 +163,13 @@ class Restaurants:
             out.append((a + g[level.house] * out[-1])[up])
         return out[::-1]
 
-    def sample(self, base: np.ndarray, rounds: int, burn_in: int, rng: np.random.Generator) -> None:
+    def sample(self, base: np.ndarray, rounds: int, burn_in: int) -> None:
         for r in range(rounds):
             parents = self._parents(base)
             for k, level in enumerate(self.levels):
                 if k:
-                    level.match(np.bincount(self.up[k - 1], self.levels[k - 1].t, len(level.keys)).astype(np.int64), parents[k], rng)
-                several = np.flatnonzero(level.c > 1)
-                if len(several):
-                    level.leave(several, rng)
-                    level.sit(several, parents[k], rng)
+                    level.c = np.bincount(self.up[k - 1], self.levels[k - 1].t, len(level.keys)).astype(np.int64)
+                level.reseat(parents[k], r)
             if r >= burn_in:
                 for level in self.levels:
                     level.keep()
@@ -278,7 +286,7 @@ def fit_spelling(grams: DataFrame, order: int, rounds: int = 12, burn_in: int =
     if len(keys):
         rooms = Restaurants(keys[by], n[by], _TOP, 0)
         base = np.full(len(rooms.levels[-1].keys), 1 / 256)
-        rooms.sample(base, rounds, burn_in, np.random.default_rng(0))
+        rooms.sample(base, rounds, burn_in)
         for depth, dishes, p, contexts, g in rooms.model(base):
             top.dishes[depth], top.contexts[depth] = (dishes, p), (contexts, g)
     shared = spark.sparkContext.broadcast(top)
@@ -304,7 +312,7 @@ def fit_spelling(grams: DataFrame, order: int, rounds: int = 12, burn_in: int =
             by = np.argsort(key)
             rooms = Restaurants(key[by], n[by], order - 1, _TOP + 1)
             base = shared.value.probability(rooms.levels[-1].keys, _TOP)
-            rooms.sample(base, rounds, burn_in, np.random.default_rng(int(key[by[0]])))
+            rooms.sample(base, rounds, burn_in)
             for depth, dishes, p, contexts, g in rooms.model(base):
                 for is_context, k, v in ((False, dishes, p), (True, contexts, g)):
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), depth, np.int8)), pa.array(np.full(len(k), is_context)), pa.array(k), pa.array(v)], names=["depth", "is_context", "key", "value"])
@@ -365,45 +373,67 @@ def _spelled_by_join(words: DataFrame, model: DataFrame, top: Tables) -> DataFra
     return grams.groupBy("word", "n").agg(F.sum(F.log(p)).alias("spelled"))
 
 
+def _keyed(spelled: DataFrame) -> DataFrame:
+    """(key, n, spelled): words by their hash."""
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            buf, offsets = text_bytes(part.column("word"))
+            key = span_hashes(buf, offsets[:-1], offsets[1:]).view(np.int64)
+            is_end = np.diff(offsets) == 1
+            is_end[is_end] = buf[offsets[:-1][is_end]] == 0x0A
+            yield pa.RecordBatch.from_arrays([pa.array(np.where(is_end, _END, key)), part.column("n"), part.column("spelled")], names=["key", "n", "spelled"])
+
+    return spelled.select("word", "n", "spelled").mapInArrow(name, "key long, n long, spelled double")
+
+
 def lexicon(spelled: DataFrame, total: int, kinds: int, discount: float, rounds: int = 12, burn_in: int = 4) -> tuple[DataFrame, float]:
     """(key, n, open_value), the log10 probability of every word in the word restaurant over spellings; and that of
     all unknown spellings together, the score of an unknown word over the outcomes that the add-one base has.
-    Dishes are dealt over tasks; a task holds the tables of other tasks' words at one each while it samples.
     """
+    return _seated(written(_keyed(spelled)), total, kinds, discount, rounds, burn_in)
 
-    def seat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a in range(0, batch.num_rows, 100_000):
-                part = batch.slice(a, 100_000)
-                n, spelled = part.column("n").to_numpy(), part.column("spelled").to_numpy()
-                buf, offsets = text_bytes(part.column("word"))
-                key = span_hashes(buf, offsets[:-1], offsets[1:]).view(np.int64)
-                is_end = np.diff(offsets) == 1
-                is_end[is_end] = buf[offsets[:-1][is_end]] == 0x0A
-                key = np.where(is_end, _END, key)
-                tables = np.zeros(len(n))
-                served = np.flatnonzero(n)
-                if len(served):
-                    level = _Level(np.zeros(len(served), np.int64), n[served], 0)
-                    level.discount, level.elsewhere = discount, kinds - len(served)
-                    parent, rng = np.exp(spelled[served]), np.random.default_rng(int(n.sum()) % (1 << 32))
-                    several = np.flatnonzero(level.c > 1)
-                    for r in range(rounds):
-                        if len(several):
-                            level.leave(several, rng)
-                            level.sit(several, parent, rng)
-                        if r >= burn_in:
-                            tables[served] += level.t
-                    tables /= rounds - burn_in
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n), pa.array(tables), pa.array(spelled)], names=["key", "n", "tables", "spelled"])
-
-    # one order of words, whatever the plan and the run: the same seating each time
-    dealt = spelled.select("word", "n", "spelled").repartition("word").sortWithinPartitions("word")
-    seated = written(dealt.mapInArrow(seat, "key long, n long, tables double, spelled double"))
-    sums = seated.agg(F.coalesce(F.sum("tables"), F.lit(0.0)), F.coalesce(F.sum(F.when(F.col("n") > 0, F.exp("spelled"))), F.lit(0.0))).first()
-    new = (STRENGTH + discount * float(sums[0])) / (STRENGTH + total)
+
+def _seated(named: DataFrame, total: int, kinds: int, discount: float, rounds: int = 12, burn_in: int = 4) -> tuple[DataFrame, float]:
+    """``lexicon`` of (key, n, spelled).  A round reseats all customers of every word; the number of tables in the
+    whole restaurant is summed over the tasks and goes into the next round.  A word's draws depend on its key, the
+    round and those sums alone, so a task plays earlier rounds again in place of storing them.
+    """
+
+    def replay(n: np.ndarray, spelled: np.ndarray, key: np.ndarray, sums: list[int]) -> Iterator[np.ndarray]:
+        t, parent = np.minimum(n, 1), np.exp(spelled)
+        several = np.flatnonzero(n > 1)
+        for r, s in enumerate(sums):
+            t = t.copy()
+            t[several] = reseat(n[several], parent[several], s - t[several], discount, key[several], r)
+            yield t
+
+    def count(batches: Iterator[pa.RecordBatch], sums: list[int]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            n, spelled, key = (part.column(c).to_numpy() for c in ("n", "spelled", "key"))
+            *_, t = replay(n, spelled, key, sums)
+            yield pa.RecordBatch.from_arrays([pa.array([int(t.sum())])], names=["t"])
+
+    def seat(batches: Iterator[pa.RecordBatch], sums: list[int]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            n, spelled, key = (part.column(c).to_numpy() for c in ("n", "spelled", "key"))
+            kept = np.zeros(len(n))
+            for r, t in enumerate(replay(n, spelled, key, sums)):
+                if r >= burn_in:
+                    kept += t
+            yield pa.RecordBatch.from_arrays([part.column("key"), part.column("n"), pa.array(kept / (rounds - burn_in)), part.column("spelled")], names=["key", "n", "tables", "spelled"])
+
+    sums = [kinds]
+    for _ in range(rounds - 1):
+        more = named.where("n > 1").mapInArrow(lambda batches, sums=tuple(sums): count(batches, sums), "t long").agg(F.coalesce(F.sum("t"), F.lit(0))).first()[0]
+        if len(sums) == 1:
+            once = named.where("n = 1").count()
+        sums.append(int(more) + once)
+    seated = written(named.mapInArrow(lambda batches: seat(batches, sums), "key long, n long, tables double, spelled double"))
+    got = seated.agg(F.coalesce(F.sum("tables"), F.lit(0.0)), F.coalesce(F.sum(F.when(F.col("n") > 0, F.exp("spelled"))), F.lit(0.0))).first()
+    new = (STRENGTH + discount * float(got[0])) / (STRENGTH + total)
     exact = F.log10((F.col("n") - discount * F.col("tables")) / (STRENGTH + total) + new * F.exp("spelled"))
-    unknown = float(np.log10(new * max(1.0 - float(sums[1]), 1e-12)))
+    unknown = float(np.log10(new * max(1.0 - float(got[1]), 1e-12)))
     return seated.select("key", "n", exact.alias("open_value")), unknown
 
 

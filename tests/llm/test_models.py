@@ -191,6 +191,26 @@ def test_word_probabilities_sum_to_one(spark, docs):
     assert np.isclose(sum(10 ** r["open_value"] for r in book.collect()) + 10**unknown, 1, atol=1e-6)
 
 
+def test_every_customer_is_seated_again(spark):
+    """Tables of frequent words grow as one-by-one seating makes them, and don't depend on partitions or batches."""
+    rng, n, parent, discount, others = np.random.default_rng(0), 3000, 0.02, 0.5, 500
+    one_by_one = []
+    for _ in range(200):
+        t = 1
+        for c in range(1, n):
+            new = (1 + discount * (others + t)) * parent
+            t += rng.random() * (new + c - discount * t) < new
+        one_by_one.append(t)
+    k = 400
+    got = pitman_yor.reseat(np.full(k, n), np.full(k, parent), np.full(k, others), discount, np.arange(k), 3)
+    assert abs(got.mean() - np.mean(one_by_one)) < 1.5 and got.min() > 13 and got.std() > 1
+    rows = [(f"w{i}".encode(), 1 + i * i, -3.0 - i / 50) for i in range(300)]
+    df = spark.createDataFrame(rows, "word binary, n long, spelled double")
+    total = sum(r[1] for r in rows)
+    first, second = ({r["key"]: r["open_value"] for r in pitman_yor.lexicon(df.repartition(parts), total, 300, 0.7)[0].collect()} for parts in (1, 7))
+    assert first.keys() == second.keys() and all(math.isclose(first[w], second[w], rel_tol=1e-9) for w in first)
+
+
 def test_held_out_texts_score_above_the_base(spark):
     rows = [r for r in queries.op4_pitman_yor(spark, "/root/testdata/sf0.01").collect() if r["held_out"]]
     assert sum(r["score"] for r in rows) > sum(r["base_score"] for r in rows)
