@@ -1,7 +1,8 @@
 """Language-model scores by a hierarchical Pitman-Yor model.
 
-A text is its words, lower-cased (A-Z), and an end.  Words are customers of one restaurant; a new table there takes
-its word from a spelling model, and that writes a word byte by byte (a blank closes it), every byte from the
+A text is its words, lower-cased (A-Z), and an end.  Words are customers of the restaurant of the word before them
+(a start before the first); new tables there take their word from one restaurant of words, whose customers are the
+tables of all contexts.  A new table there takes its word from a spelling model, and that writes a word byte by byte (a blank closes it), every byte from the
 restaurant of the ``order - 1`` bytes before it.  A spelling restaurant of context u takes its new tables from that
 of u without its oldest byte, so contexts with the same suffix share a parent, down to the empty context over a
 uniform base.  Known words get what was counted, unseen ones what their spelling deserves.
@@ -35,6 +36,8 @@ DISCOUNTS = (0.3, 0.4, 0.5, 0.6, 0.7, 0.75, 0.8)
 STRENGTH = 1.0
 _TOP = 2  # longest context sampled on the driver
 _END = 1  # the end token's key among word hashes
+_START = 2  # the key of the context before a text's first word
+_HOT = 500_000  # most frequent pairs, about, that go to every task
 _SEED = 0x9E3779B97F4A7C15
 
 
@@ -437,6 +440,191 @@ def _seated(named: DataFrame, total: int, kinds: int, discount: float, rounds: i
     return seated.select("key", "n", exact.alias("open_value")), unknown
 
 
+def _previous(tokens: np.ndarray, rows: np.ndarray, n_rows: int, start: int) -> np.ndarray:
+    """The token before each, for words in order with the rows' ends behind all of them (see ``_tokens``)."""
+    n = len(tokens) - n_rows
+    out = np.full(len(tokens), start, np.int64)
+    same = np.flatnonzero(rows[1:n] == rows[: n - 1]) if n > 1 else np.zeros(0, np.int64)
+    out[same + 1] = tokens[same]
+    last = np.flatnonzero(np.append(rows[1:n] != rows[: n - 1], True)) if n else np.zeros(0, np.int64)
+    out[n + rows[last]] = tokens[last]
+    return out
+
+
+def _pair_hash(prev: np.ndarray, key: np.ndarray) -> np.ndarray:
+    return (mix(prev.view(U64) * U64(_SEED)) ^ key.view(U64)).view(np.int64)
+
+
+def _numbered(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
+    codes, unique = pd.factorize(keys)
+    return np.searchsorted(known, unique)[codes]
+
+
+def pair_counts(docs: DataFrame, learn: Column, known: Broadcast | None) -> DataFrame:
+    """(pair, prev, word, n): every word of the learned texts with the one before it.  With ``known``, the sorted keys,
+    words are places in it and a pair holds both; else all three are hashes."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wait: list[tuple[np.ndarray, ...]] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if not wait:
+                return
+            pair, prev, word = (np.concatenate(x) for x in zip(*wait, strict=True))
+            wait.clear()
+            codes, unique = pd.factorize(pair)
+            out = [pa.array(unique), pa.array(np.bincount(codes, minlength=len(unique)))]
+            if known is None:
+                first = np.empty(len(unique), np.int64)
+                first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
+                out += [pa.array(prev[first]), pa.array(word[first])]
+            yield pa.RecordBatch.from_arrays(out, names=["pair", "n", "prev", "word"][: len(out)])
+
+        for batch in batches:
+            buf, offsets = text_bytes(batch.column("text"))
+            for i, j in slices(offsets):
+                word, rows = _tokens(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                if known is None:
+                    prev = _previous(word, rows, j - i, _START)
+                    wait.append((_pair_hash(prev, word), prev, word))
+                else:
+                    word = _numbered(word, known.value)
+                    pair = _previous(word, rows, j - i, len(known.value)) << 32 | word
+                    wait.append((pair, pair[:0], pair[:0]))
+                if sum(len(w[0]) for w in wait) > 3_000_000:
+                    yield from flush()
+        yield from flush()
+
+    rows = docs.where(F.coalesce(learn, F.lit(False))).select("text")
+    if known is None:
+        return rows.mapInArrow(count, "pair long, n long, prev long, word long").groupBy("pair", "prev", "word").agg(F.sum("n").alias("n"))
+    out = written(rows.mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")))
+    return out.select("pair", F.shiftright("pair", 32).alias("prev"), F.col("pair").bitwiseAND(0xFFFFFFFF).alias("word"), "n")
+
+
+def seat_pairs(dishes: DataFrame, discount: float, rounds: int = 12, burn_in: int = 4) -> DataFrame:
+    """(pair, prev, word, n, t, last): tables of the dishes ``(pair, prev, word, n, seed, parent, singles)``, averaged and
+    of the last round.  A restaurant's dishes of one customer aren't among them; they have a table each, ``singles``."""
+    columns = ("pair", "prev", "word", "n", "seed", "parent", "singles")
+
+    def houses(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+        """Runs of whole restaurants."""
+        kept, waiting = [], 0
+        for batch in batches:
+            kept.append([batch.column(c).to_numpy() for c in columns])
+            waiting += batch.num_rows
+            if waiting > 500_000:
+                whole = [np.concatenate(x) for x in zip(*kept, strict=True)]
+                cut = int(np.flatnonzero(whole[1] == whole[1][-1])[0])
+                if cut:
+                    yield [x[:cut] for x in whole]
+                kept = [[x[cut:] for x in whole]]
+                waiting = 0
+        if kept:
+            yield [np.concatenate(x) for x in zip(*kept, strict=True)]
+
+    def seat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for pair, prev, word, n, seed, parent, singles in houses(batches):
+            if not len(pair):
+                continue
+            house = pd.factorize(prev)[0]
+            t, kept = np.ones(len(n), np.int64), np.zeros(len(n))
+            for r in range(rounds):
+                here = np.bincount(house, t)[house].astype(np.int64)
+                t = reseat(n, parent, singles + here - t, discount, seed, r)
+                if r >= burn_in:
+                    kept += t
+            out = [pair, prev, word, n, kept / (rounds - burn_in), t]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["pair", "prev", "word", "n", "t", "last"])
+
+    dealt = dishes.select(*columns).repartition("prev").sortWithinPartitions("prev", "pair")
+    return written(dealt.mapInArrow(seat, "pair long, prev long, word long, n long, t double, last long"))
+
+
+def _with_places(df: DataFrame, names: str, make) -> DataFrame:
+    """``df`` with long and double columns (``names``: their DDL) that ``make`` gives for arrays of prev and word."""
+    added = [x.split()[0] for x in names.split(", ")]
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            more = make(batch.column("prev").to_numpy(), batch.column("word").to_numpy())
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x) for x in more)], names=[*batch.schema.names, *added])
+
+    return df.mapInArrow(add, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields) + ", " + names)
+
+
+def _ordered(df: DataFrame, at: str, value: str, size: int, kind: type) -> np.ndarray:
+    """A column as an array, at the places that column ``at`` gives; 0 elsewhere."""
+    got, out = df.select(at, value).toArrow(), np.zeros(size, kind)
+    out[got.column(at).to_numpy()] = got.column(value).to_numpy()
+    return out
+
+
+def _discount(once: int, twice: int) -> float:
+    return min(max(once / max(once + 2 * twice, 1), 0.1), 0.95)
+
+
+def contexts(docs: DataFrame, learn: Column, named: DataFrame, kinds: int, known: np.ndarray | None) -> tuple[DataFrame, float, DataFrame, DataFrame]:
+    """The word restaurant over the tables of its contexts, (key, n, open_value) and the unknown words' score; the
+    contexts' back-off (prev, gamma), log10; and (pair, n, lift), what the log10 probability of a pair is above its
+    back-off.  One seating of the words over one table a pair, then of the pairs over those, then of the words again.
+    """
+    spark, fast = docs.sparkSession, known is not None
+    keys = spark.sparkContext.broadcast(known) if fast else None
+    pairs = pair_counts(docs, learn, keys)
+    pairs = pairs if fast else written(pairs)
+    sizes = pairs.agg(F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first()
+    d = _discount(*map(int, sizes))
+    houses = written(pairs.groupBy("prev").agg(F.sum("n").alias("c"), F.count_if(F.col("n") == 1).alias("singles")))
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.searchsorted(keys.value, batch.column("key").to_numpy()))], names=["key", "spelled", "word"])
+
+    own = named.select("key", "spelled")
+    own = written(own.mapInArrow(name, "key long, spelled double, word long")) if fast else own.withColumn("word", F.col("key"))
+
+    def words(customers: DataFrame) -> tuple[DataFrame, float]:
+        seats = written(own.join(customers, "word", "left").select("key", F.coalesce("n", F.lit(0)).cast("long").alias("n"), "spelled"))
+        s = seats.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first()
+        return _seated(seats, int(s[0]), kinds, _discount(int(s[1]), int(s[2])))
+
+    def probabilities(book: DataFrame) -> DataFrame:
+        return book.select("key", F.pow(F.lit(10.0), "open_value").alias("parent"))
+
+    book, _ = words(pairs.groupBy("word").agg(F.count(F.lit(1)).alias("n")))
+    several, size = pairs.where("n > 1"), len(known) + 1 if fast else 0
+    if fast:
+        p = np.append(_by_key(probabilities(book), "parent"), 0.0)
+        shared = spark.sparkContext.broadcast((p, _ordered(houses, "prev", "singles", size, np.int64)))
+
+        def make(prev, word):
+            named_keys = np.append(keys.value, _START)
+            return _pair_hash(named_keys[prev], named_keys[word]), shared.value[0][word], shared.value[1][prev]
+
+        dishes = _with_places(several, "seed long, parent double, singles long", make)
+    else:
+        dishes = several.join(probabilities(book).withColumnRenamed("key", "word"), "word").join(houses.select("prev", "singles"), "prev").withColumn("seed", F.col("pair"))
+    seated = seat_pairs(dishes, d)
+    lone = pairs.where("n = 1").select("pair", "prev", "word", "n", F.lit(1.0).alias("t"), F.lit(1).cast("long").alias("last"))
+    book, unknown = words(lone.unionByName(seated).groupBy("word").agg(F.sum("last").alias("n")))
+    tables = houses.join(seated.groupBy("prev").agg(F.sum("t").alias("t")), "prev", "left").withColumn("open", STRENGTH + d * (F.col("singles") + F.coalesce("t", F.lit(0.0))))
+    tables = written(tables.select("prev", "open", F.log10(F.col("open") / (STRENGTH + F.col("c"))).alias("gamma")))
+    every = lone.unionByName(seated).drop("last")
+    if fast:
+        q = spark.sparkContext.broadcast((np.append(_by_key(probabilities(book), "parent"), 1.0), _ordered(tables, "prev", "open", size, float)))
+        every = _with_places(every, "open double, parent double", lambda prev, word: (q.value[1][prev], q.value[0][word]))
+    else:
+        every = every.join(tables.select("prev", "open"), "prev").join(probabilities(book).withColumnRenamed("key", "word"), "word")
+    lift = F.log10(1 + (F.col("n") - d * F.col("t")) / (F.col("open") * F.col("parent")))
+    return book, unknown, tables.select("prev", "gamma"), every.select("pair", "n", lift.alias("lift"))
+
+
+def _by_key(df: DataFrame, value: str) -> np.ndarray:
+    got = df.select("key", value).toArrow()
+    return got.column(value).to_numpy()[np.argsort(got.column("key").to_numpy())]
+
+
 def score_texts(docs: DataFrame, folds: int = 7, held_out: int = 2, order: int = 6, broadcast_rows: int = 5_000_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, open_score for every row.
 
@@ -447,23 +635,30 @@ def score_texts(docs: DataFrame, folds: int = 7, held_out: int = 2, order: int =
     held out; null texts count as empty (the end alone); repeated rows count as often as they come.  An empty
     training set makes every word unknown.
 
+    ``score`` and ``open_score`` take every word in the context of the one before it.
+
     The spelling model and the lexicon are broadcast while each has ``broadcast_rows`` rows at most (24 bytes a
-    row); beyond that they are joined with the words' n-grams and the texts' words, to the same scores.
+    row); beyond that they are joined with the words' n-grams and the texts' words, to the same scores.  Of the word pairs about ``_HOT`` are broadcast, the others joined.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     words = written(word_counts(own, fold(F.col("doc_id"), folds) != held_out))
     some = F.col("n") > 0
-    seen = words.agg(F.count(F.lit(1)), F.count_if(some), F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first()
-    rows, kinds, total, once, twice = (int(x) for x in seen)
+    seen = words.agg(F.count(F.lit(1)), F.count_if(some), F.coalesce(F.sum("n"), F.lit(0))).first()
+    rows, kinds, total = (int(x) for x in seen)
     model, top = fit_spelling(written(gram_counts(words.where(some), order)), order)
     shared = own.sparkSession.sparkContext.broadcast(_in_arrays(model, top)) if model.count() <= broadcast_rows else None
     spelled = _spelled_in_tasks(words, shared) if shared else _spelled_by_join(words, model, top)
-    discount = min(max(once / max(once + 2 * twice, 1), 0.1), 0.95)
-    book, unknown = lexicon(spelled, total, kinds, discount)
+    named = written(_keyed(spelled))
     if shared:
         shared.destroy()
+    known = np.sort(named.select("key").toArrow().column("key").to_numpy()) if rows <= broadcast_rows else None
+    book, unknown, gammas, lifts = contexts(own, fold(F.col("doc_id"), folds) != held_out, named, kinds, known)
     base = float(np.log10(total + kinds + 1))
-    scored = (_score_in_tasks if rows <= broadcast_rows else _score_by_join)(own, book, base, unknown)
+    if known is None:
+        scored = _score_by_join(own, named.select("key", "n").join(book.select("key", "open_value"), "key"), gammas, lifts, base, unknown)
+    else:
+        counts = _by_key(named, "n")
+        scored = _score_in_tasks(own, (known, counts, _by_key(book, "open_value"), _ordered(gammas, "prev", "gamma", len(known) + 1, float)), lifts, base, unknown)
     out = F.coalesce(fold(F.col("doc_id"), folds) == held_out, F.lit(False))
     return scored.select("doc_id", out.alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score", "open_score")
 
@@ -478,34 +673,59 @@ def _tokens(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.append(keys, np.full(n, _END)), np.append(rows, np.arange(n))
 
 
-def _score_in_tasks(docs: DataFrame, book: DataFrame, base: float, unknown: float) -> DataFrame:
-    small = (book.agg(F.max("n")).first()[0] or 0) < 1 << 31
-    got = book.select("key", F.col("n").cast("int" if small else "long"), "open_value").toArrow()
-    by = np.argsort(got.column("key").to_numpy()).astype(np.int32)
-    arrays = []
-    for column in ("key", "n", "open_value"):
-        arrays.append(got.column(column).to_numpy()[by])
-        got = got.drop_columns([column])
-    del got, by
-    pa.default_memory_pool().release_unused()
-    shared = docs.sparkSession.sparkContext.broadcast(arrays)
+def _score_in_tasks(docs: DataFrame, arrays: tuple[np.ndarray, ...], lifts: DataFrame, base: float, unknown: float) -> DataFrame:
+    """Words and back-off by arrays in tasks, and what pairs add: the most frequent ones there too, the others by a join
+    on pairs.  Rows of one id and text add up together and are divided again."""
+    spark, n_pairs = docs.sparkSession, lifts.count()
+    least = lifts.agg(F.percentile_approx("n", 1 - _HOT / n_pairs)).first()[0] + 1 if n_pairs > _HOT else 0
+    got = lifts.where(F.col("n") >= least).select("pair", "lift").toArrow()
+    pair, lift = got.column("pair").to_numpy(), got.column("lift").to_numpy()
+    by = np.argsort(pair)
+    shared = spark.sparkContext.broadcast((*arrays, pair[by], lift[by]))
+    del got, pair, lift, by, arrays
+    named = docs.withColumn("name", F.xxhash64("doc_id", "text"))
+
+    def parts(batch: pa.RecordBatch) -> Iterator[tuple]:
+        known, n, open_value, gamma, hot, hot_lift = shared.value
+        buf, offsets = text_bytes(batch.column("text"))
+        for i, j in slices(offsets):
+            keys, rows = _tokens(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+            word = _numbered(keys, known)  # the lexicon has every word
+            prev = _previous(word, rows, j - i, len(known))
+            pair = prev << 32 | word
+            codes, unique = pd.factorize(pair)
+            at = np.minimum(np.searchsorted(hot, unique), max(len(hot) - 1, 0))
+            hit = hot[at] == unique if len(hot) else np.zeros(len(unique), bool)
+            yield i, j, rows, word, prev, pair, hit[codes], np.where(hit, hot_lift[at], 0.0)[codes] if len(hot) else np.zeros(len(pair))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, n, open_value = shared.value
+        _, n, open_value, gamma, *_ = shared.value
         for batch in batches:
-            buf, offsets = text_bytes(batch.column("text"))
-            for i, j in slices(offsets):
-                keys, rows = _tokens(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                codes, unique = pd.factorize(keys)
-                at = np.searchsorted(known, unique)  # the lexicon has every word
-                total = lambda w: np.bincount(rows, w[codes], j - i)  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(np.bincount(rows, minlength=j - i)), pa.array(total(n[at] > 0).astype(np.int64)), pa.array(total(np.log10(n[at] + 1.0) - base)), pa.array(total(np.where(n[at] > 0, open_value[at], unknown))), pa.array(total(open_value[at]))], names=["doc_id", "n_tokens", "n_known", "base_score", "score", "open_score"])
+            for i, j, rows, word, prev, _, _, more in parts(batch):
+                total = lambda w: np.bincount(rows, w, j - i)  # noqa: B023, E731
+                more, seen = more + gamma[prev], n[word] > 0
+                yield pa.RecordBatch.from_arrays([batch.column("name").slice(i, j - i), batch.column("doc_id").slice(i, j - i), pa.array(np.bincount(rows, minlength=j - i)), pa.array(total(seen).astype(np.int64)), pa.array(total(np.log10(n[word] + 1.0) - base)), pa.array(total(np.where(seen, open_value[word], unknown) + more)), pa.array(total(open_value[word] + more))], names=["name", "doc_id", "n_tokens", "n_known", "base_score", "score", "open_score"])
 
-    return docs.mapInArrow(score, _SCORED)
-
-
-def _score_by_join(docs: DataFrame, book: DataFrame, base: float, unknown: float) -> DataFrame:
-    """The same by a join on words: equal texts of an id are counted once and given to all their rows."""
+    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, n, _, gamma, *_ = shared.value
+        for batch in batches:
+            names = batch.column("name").to_numpy()
+            for i, _, rows, word, prev, pair, hit, _ in parts(batch):
+                ask = ~hit & (n[word] > 0) & (gamma[prev] != 0)
+                yield pa.RecordBatch.from_arrays([pa.array(names[i + rows[ask]]), pa.array(pair[ask])], names=["name", "pair"])
+
+    alone = written(named.mapInArrow(score, "name long, " + _SCORED))
+    if not least:
+        return alone.drop("name")
+    asked = named.mapInArrow(others, "name long, pair long")
+    sums = asked.join(lifts.where(F.col("n") < least).select("pair", "lift"), "pair").groupBy("name").agg(F.sum("lift").alias("lift"))
+    share = sums.join(alone.groupBy("name").agg(F.count(F.lit(1)).alias("copies")), "name").select("name", (F.col("lift") / F.col("copies")).alias("more"))
+    more = F.coalesce("more", F.lit(0.0))
+    return alone.join(share, "name", "left").select("doc_id", "n_tokens", "n_known", "base_score", (F.col("score") + more).alias("score"), (F.col("open_score") + more).alias("open_score"))
+
+
+def _score_by_join(docs: DataFrame, book: DataFrame, gammas: DataFrame, lifts: DataFrame, base: float, unknown: float) -> DataFrame:
+    """The same by joins on words, contexts and pairs: equal texts of an id are counted once and given to all their rows."""
     named = docs.withColumn("name", F.coalesce(F.xxhash64("text"), F.lit(0).cast("long")))
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -513,16 +733,18 @@ def _score_by_join(docs: DataFrame, book: DataFrame, base: float, unknown: float
             buf, offsets = text_bytes(batch.column("text"))
             for i, j in slices(offsets):
                 key, row = _tokens(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                by = np.lexsort((key, row))
-                key, row = key[by], row[by]
-                first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (row[1:] != row[:-1])]))
+                prev = _previous(key, row, j - i, _START)
+                pair = _pair_hash(prev, key)
+                by = np.lexsort((pair, row))
+                key, row, prev, pair = key[by], row[by], prev[by], pair[by]
+                first = np.flatnonzero(np.concatenate([[True], (pair[1:] != pair[:-1]) | (row[1:] != row[:-1])]))
                 at = pa.array(row[first] + i)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("name").take(at), pa.array(key[first]), pa.array(np.diff(np.append(first, len(key))))], names=["doc_id", "name", "key", "m"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("name").take(at), pa.array(key[first]), pa.array(prev[first]), pa.array(pair[first]), pa.array(np.diff(np.append(first, len(key))))], names=["doc_id", "name", "key", "prev", "pair", "m"])
 
-    once = named.dropDuplicates(["doc_id", "name"]).mapInArrow(parts, "doc_id long, name long, key long, m long")
-    m = F.col("m")
-    sums = once.join(book, "key").groupBy("doc_id", "name").agg(
-        F.sum(m).alias("n_tokens"), F.sum(F.when(F.col("n") > 0, m).otherwise(0)).alias("n_known"), F.sum(m * (F.log10(F.col("n") + 1) - base)).alias("base_score"), F.sum(m * F.when(F.col("n") > 0, F.col("open_value")).otherwise(unknown)).alias("score"), F.sum(m * F.col("open_value")).alias("open_score")
+    once = named.dropDuplicates(["doc_id", "name"]).mapInArrow(parts, "doc_id long, name long, key long, prev long, pair long, m long")
+    m, more = F.col("m"), F.coalesce("gamma", F.lit(0.0)) + F.coalesce("lift", F.lit(0.0))
+    sums = once.join(book, "key").join(gammas, "prev", "left").join(lifts.select("pair", "lift"), "pair", "left").groupBy("doc_id", "name").agg(
+        F.sum(m).alias("n_tokens"), F.sum(F.when(F.col("n") > 0, m).otherwise(0)).alias("n_known"), F.sum(m * (F.log10(F.col("n") + 1) - base)).alias("base_score"), F.sum(m * (F.when(F.col("n") > 0, F.col("open_value")).otherwise(unknown) + more)).alias("score"), F.sum(m * (F.col("open_value") + more)).alias("open_score")
     )
     names = named.select("doc_id", "name")
     return names.join(sums, names["doc_id"].eqNullSafe(sums["doc_id"]) & (names["name"] == sums["name"])).select(names["doc_id"], "n_tokens", "n_known", "base_score", "score", "open_score")

@@ -211,6 +211,28 @@ def test_every_customer_is_seated_again(spark):
     assert first.keys() == second.keys() and all(math.isclose(first[w], second[w], rel_tol=1e-9) for w in first)
 
 
+def test_scores_depend_on_word_order(spark, monkeypatch):
+    """A phrase of the training texts scores above its scrambled words, in all plans."""
+    import random
+
+    rng = random.Random(3)
+    vocabulary = [f"w{k}" for k in range(60)]
+    rows = [(k, " ".join(rng.sample(vocabulary, 30))) for k in range(300)]
+    learned = next(t for d, t in rows if zlib.crc32(str(d).encode()) % 7 != 2).split()
+    held = [k for k in range(300, 400) if zlib.crc32(str(k).encode()) % 7 == 2]
+    scrambled = learned[:]
+    rng.shuffle(scrambled)
+    rows += [(held[0], " ".join(learned)), (held[1], " ".join(scrambled)), (held[2], ""), *((d, w) for d, w in zip(held[3:], vocabulary, strict=False))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    plans = [pitman_yor.score_texts(df), pitman_yor.score_texts(df, broadcast_rows=0)]
+    monkeypatch.setattr(pitman_yor, "_HOT", 50)
+    plans.append(pitman_yor.score_texts(df))
+    got = [{r["doc_id"]: r for r in p.collect()} for p in plans]
+    for g in got:
+        assert g[held[0]]["score"] > g[held[1]]["score"] + 1 and g[held[0]]["base_score"] == pytest.approx(g[held[1]]["base_score"])
+        assert all(g[d]["score"] == pytest.approx(got[0][d]["score"], abs=1e-6) for d, _ in rows)
+
+
 def test_held_out_texts_score_above_the_base(spark):
     rows = [r for r in queries.op4_pitman_yor(spark, "/root/testdata/sf0.01").collect() if r["held_out"]]
     assert sum(r["score"] for r in rows) > sum(r["base_score"] for r in rows)
