@@ -1,10 +1,12 @@
-"""Toxicity by two Kneser-Ney models, one for each class, over shared backoff counts.
+"""Toxicity by two Kneser-Ney models, one for each class, over one vocabulary.
 
 Counts are Kneser-Ney's at every level: a word counts once for each word seen before it, a word pair once for each
 word seen before the pair, so a phrase that copies repeat counts once.  A class's pair model backs off to its word
-model, and that to the word counts of both classes together: what is rare in both gets the same probability in both.
-A text's evidence is the largest length-normalised log-likelihood ratio, toxic against ordinary, of a run of ``span``
-words; a logistic link fitted on the training sample turns it into a score.
+model, and that to equal chances for all words of both classes and one for unknown ones.
+Discounts are Kneser-Ney's estimates from counts of counts, below 1.  A text's evidence is its length-normalised
+log-likelihood ratio, toxic against ordinary, the largest such ratio of its runs of words for each length in
+``spans``, both by the word model and by the pair model, and its length: a longest run's maximum grows with the text, and the link takes that off.  The logistic
+link is fitted on evidence of models that haven't seen the text.
 
 Words are lower-cased (A-Z) and punctuation at a word's ends doesn't count.
 """
@@ -19,13 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from readlake.llm.labelled import fold, label_sample, logistic, sigmoid
+from readlake.llm.labelled import fold, label_sample, sigmoid
 from readlake.llm.textkit import LOWER, U64, binary_column, mix, slices, span_hashes, text_bytes, word_spans
 
 #: ASCII letters, digits and every byte of a non-ASCII character.
 _INK = np.zeros(256, bool)
 _INK[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
 _PAIR = U64(0x9E3779B97F4A7C15)
+_PARTS = 4  # parts of the sample; each gets its evidence from the others
 
 
 def text_words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -63,9 +66,19 @@ def _at(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, default: float
     return np.where(keys[where] == wanted, values[where], default)
 
 
+def _features(spans: tuple[int, ...]) -> int:
+    return 1 + 2 * (1 + len(spans))
+
+
+def _discount(counts: np.ndarray) -> float:
+    """n1 / (n1 + 2 n2), Kneser and Ney's estimate from the numbers of kinds counted once and twice."""
+    once, twice = (counts == 1).sum(), (counts == 2).sum()
+    return float(np.clip(once / max(once + 2 * twice, 1), 0.1, 0.95))
+
+
 @dataclass
 class _Class:
-    """One class: word probabilities, and pairs and contexts where the discount leaves something above the backoff."""
+    """One class: word probabilities, pairs and contexts."""
 
     words: np.ndarray
     prob: np.ndarray
@@ -76,57 +89,90 @@ class _Class:
     backoff: np.ndarray
 
     @classmethod
-    def fit(cls, words: np.ndarray, rows: np.ndarray, vocabulary: np.ndarray, shared: np.ndarray, rare: float, discounts: tuple[float, float]) -> _Class:
+    def fit(cls, words: np.ndarray, rows: np.ndarray, vocabulary: np.ndarray, even: float) -> _Class:
         prev, prev2 = _before(words, rows), _before(words, rows, 2)
         pair = mix(prev * _PAIR) ^ words
         kinds, n = _distinct(pair, words)
         count = np.zeros(len(vocabulary))
         count[np.searchsorted(vocabulary, kinds)] = n
         total = max(count.sum(), 1)
-        freed = np.minimum(count, discounts[0]).sum() / total if len(words) else 1.0
-        prob = np.maximum(count - discounts[0], 0) / total + freed * shared
+        d = _discount(n)
+        freed = np.minimum(count, d).sum() / total if len(words) else 1.0
+        prob = np.maximum(count - d, 0) / total + freed * even
         _, first = np.unique(mix(pair) ^ prev2, return_index=True)
         pairs, at, n = np.unique(pair[first], return_index=True, return_counts=True)
         contexts, which = np.unique(prev[first][at], return_inverse=True)
         size = np.bincount(which, n, len(contexts))
-        left = np.bincount(which, np.minimum(n, discounts[1]), len(contexts))
-        over, part = n > discounts[1], left < size
-        return cls(vocabulary, prob, freed * rare, pairs[over], ((n - discounts[1]) / size[which])[over], contexts[part], (left / size)[part])
+        d = _discount(n)
+        left = np.bincount(which, minlength=len(contexts)) * d
+        return cls(vocabulary, prob, freed * even, pairs, (n - d) / size[which], contexts, left / size)
 
-    def log_prob(self, words: np.ndarray, prev: np.ndarray, pair: np.ndarray) -> np.ndarray:
+    def log_probs(self, words: np.ndarray, prev: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the words alone, and after the words before them."""
         p = _at(self.words, self.prob, words, self.unseen)
-        return np.log(_at(self.pairs, self.pair_prob, pair, 0.0) + _at(self.contexts, self.backoff, prev, 1.0) * p)
+        return np.log(p), np.log(_at(self.pairs, self.pair_prob, pair, 0.0) + _at(self.contexts, self.backoff, prev, 1.0) * p)
 
 
 @dataclass
 class ToxicityModel:
     toxic: _Class
     ordinary: _Class
-    span: int = 1
-    slope: float = 0.0
+    spans: tuple[int, ...]
+    weights: np.ndarray
     intercept: float = 0.0
 
+    @classmethod
+    def learn(cls, words: np.ndarray, rows: np.ndarray, toxic: np.ndarray, spans: tuple[int, ...]) -> ToxicityModel:
+        """Both classes of the sample's words; ``toxic`` tells it of each word's row."""
+        vocabulary = np.unique(words)
+        even = 1 / (len(vocabulary) + 1)
+        parts = [_Class.fit(words[own], rows[own], vocabulary, even) for own in (toxic, ~toxic)]
+        return cls(parts[0], parts[1], spans, np.zeros(_features(spans)))
+
     def evidence(self, words: np.ndarray, rows: np.ndarray, n_rows: int) -> np.ndarray:
-        """Per row the largest mean log-ratio of ``span`` words (all words, where there are fewer); 0 without words."""
+        """Per row the logarithm of its length and, for words alone and for words in context, the mean log-ratio and
+        the largest mean of each span's runs (of all words, where there are fewer); 0 without words."""
         prev = _before(words, rows)
         pair = mix(prev * _PAIR) ^ words
-        ratio = self.toxic.log_prob(words, prev, pair) - self.ordinary.log_prob(words, prev, pair)
-        sums = np.concatenate([[0.0], np.cumsum(ratio)])
-        out = np.full(n_rows, -np.inf)
-        n = len(words) - self.span + 1
-        if n > 0:
-            first = np.flatnonzero(rows[:n] == rows[self.span - 1 :])
-            np.maximum.at(out, rows[first], (sums[first + self.span] - sums[first]) / self.span)
         size = np.bincount(rows, minlength=n_rows) if len(rows) else np.zeros(n_rows)
-        short = ~np.isfinite(out)
-        mean = np.bincount(rows, ratio, n_rows) / np.maximum(size, 1) if len(rows) else np.zeros(n_rows)
-        return np.where(short, mean, out)
+        out = [np.log1p(size)]
+        for toxic, ordinary in zip(self.toxic.log_probs(words, prev, pair), self.ordinary.log_probs(words, prev, pair), strict=True):
+            ratio = toxic - ordinary
+            sums = np.concatenate([[0.0], np.cumsum(ratio)])
+            mean = np.bincount(rows, ratio, n_rows) / np.maximum(size, 1) if len(rows) else np.zeros(n_rows)
+            out.append(mean)
+            for span in self.spans:
+                most, n = np.full(n_rows, -np.inf), len(words) - span + 1
+                if n > 0:
+                    first = np.flatnonzero(rows[:n] == rows[span - 1 :])
+                    np.maximum.at(most, rows[first], (sums[first + span] - sums[first]) / span)
+                out.append(np.where(np.isfinite(most), most, mean))
+        return np.stack(out, 1)
 
     def score(self, words: np.ndarray, rows: np.ndarray, n_rows: int) -> np.ndarray:
-        return sigmoid(self.slope * self.evidence(words, rows, n_rows) + self.intercept)
-
-
-def fit_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, toxic_docs: int = 2000, ordinary_docs: int = 6000, discounts: tuple[float, float] = (2.0, 32.0), span: int = 1) -> ToxicityModel:
+        return sigmoid(self.evidence(words, rows, n_rows) @ self.weights + self.intercept)
+
+
+def _link(x: np.ndarray, y: np.ndarray, prior: float, steps: int = 50) -> tuple[np.ndarray, float]:
+    """Weights and intercept of P(y=1 | x) by damped Newton steps with a weak ridge, moved to the base rate ``prior``."""
+    if not len(x) or y.min() == y.max():
+        return np.zeros(x.shape[1]), float(np.log(prior / (1 - prior)))
+    mean, scale = x.mean(0), np.where(x.std(0) > 1e-9, x.std(0), 1.0)
+    design = np.column_stack([(x - mean) / scale, np.ones(len(x))])
+    ridge = np.append(np.full(x.shape[1], 1e-4 * len(x)), 1e-6)
+    w = np.zeros(design.shape[1])
+    for _ in range(steps):
+        p = sigmoid(design @ w)
+        step = np.linalg.solve(design.T @ (design * (p * (1 - p))[:, None]) + np.diag(ridge), design.T @ (p - y) + ridge * w)
+        w -= np.clip(step, -2, 2)
+        if abs(step).max() < 1e-6:
+            break
+    own = y.mean()
+    shift = np.log(prior / (1 - prior)) - np.log(own / (1 - own))
+    return w[:-1] / scale, float(w[-1] - (w[:-1] * mean / scale).sum() + shift)
+
+
+def fit_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, toxic_docs: int = 2000, ordinary_docs: int = 6000, spans: tuple[int, ...] = (2, 4, 8)) -> ToxicityModel:
     """Fit on at most ``toxic_docs`` and ``ordinary_docs`` labelled documents outside the held-out fold.
 
     The driver gets the sample's word hashes, whose size those two bounds set.  Equal texts count once.  Without
@@ -148,13 +194,17 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: i
     per_doc = [np.frombuffer(w, U64) for w in unique]
     rows = np.repeat(np.arange(len(per_doc)), [len(w) for w in per_doc])
     words = np.concatenate([*per_doc, np.zeros(0, U64)])
-    vocabulary, shared_n = _distinct(mix(_before(words, rows) * _PAIR) ^ words, words)
-    total = shared_n.sum() + 0.5 * (len(shared_n) + 1)
-    parts = [_Class.fit(words[kinds[rows] == k], rows[kinds[rows] == k], vocabulary, (shared_n + 0.5) / total, 0.5 / total, discounts) for k in (1, 0)]
-    model = ToxicityModel(parts[0], parts[1], span)
+    model = ToxicityModel.learn(words, rows, kinds[rows] == 1, spans)
     rate = labels.where(F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), folds) != held_out)).agg(F.avg(F.col("toxic").cast("int"))).first()[0]
-    evidence = model.evidence(words, rows, len(per_doc)) if len(per_doc) else np.zeros(0)
-    model.slope, model.intercept = logistic(evidence, kinds, min(max(rate or 0.0, 1e-3), 1 - 1e-3))
+    evidence = np.zeros((len(per_doc), _features(spans)))
+    part = np.array([int(np.bitwise_xor.reduce(w)) % _PARTS for w in per_doc], int)
+    for p in range(_PARTS):
+        out = part == p
+        rest = ~out[rows]
+        seen = ToxicityModel.learn(words[rest], rows[rest], kinds[rows][rest] == 1, spans)
+        place = np.cumsum(out) - 1
+        evidence[out] = seen.evidence(words[~rest], place[rows[~rest]], int(out.sum()))
+    model.weights, model.intercept = _link(evidence, kinds, min(max(rate or 0.0, 1e-3), 1 - 1e-3))
     return model
 
 

@@ -140,6 +140,22 @@ def test_toxicity_held_out(spark):
     assert n > 500 and good > 0.95 and all(0 <= r["score"] <= 1 for r in rows)
 
 
+def test_toxic_phrase_of_ordinary_words(spark):
+    """A rare phrase of words that both classes have is toxic; a long clean text with its words apart isn't."""
+    import random
+
+    rng = random.Random(5)
+    vocabulary = [f"w{k}" for k in range(3000)]
+    text = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    phrase = vocabulary[7:13]
+    rows = [(k, " ".join([*text(rng.choice((5, 40, 150, 400))), *phrase * (k % 4 == 0), *text(20)]), int(k % 4 == 0)) for k in range(1200)]
+    rows += [(5000 + k, " ".join([*text(20), *phrase, *text(20)]), None) for k in range(20)] + [(6000 + k, " ".join(text(400)), None) for k in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    labels = df.where("toxic is not null").select("doc_id", "toxic")
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.score_toxicity(df, toxicity.fit_toxicity(df, labels)).collect()}
+    assert sum(got[5000 + k] for k in range(20)) >= 18 and sum(got[6000 + k] for k in range(20)) <= 2
+
+
 @pytest.mark.parametrize("fit", [(quality.fit_quality, quality.score_quality, "quality"), (toxicity.fit_toxicity, toxicity.score_toxicity, "toxic")])
 def test_classifiers_on_odd_tables(spark, docs, messy, none, fit):
     train, score, label = fit
