@@ -35,7 +35,7 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontaminate.without_leaks(docs, decontaminate.find_leaks(docs, _table(spark, sf_dir, "benchmark"), shingle=5, percent=80))
+    return decontaminate.without_leaks(docs, _table(spark, sf_dir, "benchmark"), shingle=5, percent=80)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

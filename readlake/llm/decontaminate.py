@@ -20,7 +20,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from readlake.llm.shared import written
 from readlake.llm.textkit import LOWER, U64, ragged, shingle_hashes, slices, span_hashes, text_bytes, word_spans
 
 _FILTER_BITS = 22
@@ -177,9 +176,28 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, percent:
     return out
 
 
-def without_leaks(docs: DataFrame, leaks: DataFrame) -> DataFrame:
-    """The rows of ``docs`` in which no item was found."""
-    from readlake.llm.jaccard import small
+def without_leaks(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, percent: int = 80, radius: int = 21) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, in which no item was found.
 
-    hit = written(leaks.select("doc_id").distinct())
-    return docs.join(small(hit, hit.count()), "doc_id", "left_anti")
+    Rows are filtered where they are read: no join, whatever ids repeat or are null.
+    """
+    items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long"), F.col("text").cast("string"))
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    passes = max(1, -(-int(total) // INDEX_BYTES))
+    for p in range(passes):
+        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == p) if passes > 1 else items
+        index = docs.sparkSession.sparkContext.broadcast(build_index([tuple(r) for r in part.collect()], shingle, percent, radius))
+
+        def keep(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                buf, offsets = text_bytes(batch.column("text").cast(pa.string()))
+                clean = np.ones(batch.num_rows, bool)
+                for i, j in slices(offsets):
+                    words, rows = text_hashes(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                    for own in index.value:
+                        for h in own.find(words, rows):
+                            clean[i + int(h[0])] = False
+                yield batch.filter(pa.array(clean))
+
+        docs = docs.mapInArrow(keep, docs.schema)
+    return docs

@@ -286,3 +286,13 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
             assert set(ids) == set(before) and after.count() >= len(before)
         seen = after
     shutil.rmtree(tmp_path, ignore_errors=True)
+
+
+def test_leaks_go_by_row(spark):
+    from readlake.llm import decontaminate
+
+    item = " ".join(f"q{k}" for k in range(20))
+    rows = [(None, f"a b {item} c"), (None, "clean text"), (5, f"{item} d"), (5, "another clean text"), (6, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = decontaminate.without_leaks(df, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert out.schema == df.schema and {tuple(r) for r in out.collect()} == {(None, "clean text"), (5, "another clean text"), (6, None)}
