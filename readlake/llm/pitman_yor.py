@@ -2,8 +2,8 @@
 
 A text is its words, lower-cased (A-Z), and an end.  Words are customers of the restaurant of the word before them
 (a start before the first); new tables there take their word from one restaurant of words, whose customers are the
-tables of all contexts.  A new table there takes its word from a spelling model, and that writes a word byte by byte (a blank closes it), every byte from the
-restaurant of the ``order - 1`` bytes before it.  A spelling restaurant of context u takes its new tables from that
+tables of all contexts.  A new table there takes its word from a spelling model, and that writes a word byte by byte (a blank
+closes it), every byte from the restaurant of the ``order - 1`` bytes before it.  A spelling restaurant of context u takes its new tables from that
 of u without its oldest byte, so contexts with the same suffix share a parent, down to the empty context over a
 uniform base.  Known words get what was counted, unseen ones what their spelling deserves.
 
@@ -17,6 +17,7 @@ tasks.  Contexts of two bytes or fewer (2^24 entries at the very most, whatever
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from readlake.llm.labelled import fold
-from readlake.llm.shared import written
+from readlake.llm.shared import discard, written
 from readlake.llm.textkit import LOWER, U64, mix, ragged, slices, span_hashes, text_bytes, word_spans
 
 #: Discount and strength of restaurants by context length.
@@ -37,7 +38,9 @@ STRENGTH = 1.0
 _TOP = 2  # longest context sampled on the driver
 _END = 1  # the end token's key among word hashes
 _START = 2  # the key of the context before a text's first word
-_HOT = 500_000  # most frequent pairs, about, that go to every task
+_HOT = 500_000  # most frequent pairs, at most, that go to every task
+_BUCKET_TOKENS = 8_000_000  # training tokens a bucket of pairs, about
+_CHUNK_TOKENS = 3_000_000  # tokens that a task gathers before it deals them over the buckets
 _SEED = 0x9E3779B97F4A7C15
 
 
@@ -460,164 +463,365 @@ def _numbered(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
     return np.searchsorted(known, unique)[codes]
 
 
-def pair_counts(docs: DataFrame, learn: Column, known: Broadcast | None) -> DataFrame:
-    """(pair, prev, word, n): every word of the learned texts with the one before it.  With ``known``, the sorted keys,
-    words are places in it and a pair holds both; else all three are hashes."""
+def _discount(once: int, twice: int) -> float:
+    return min(max(once / max(once + 2 * twice, 1), 0.1), 0.95)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wait: list[tuple[np.ndarray, ...]] = []
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            if not wait:
-                return
-            pair, prev, word = (np.concatenate(x) for x in zip(*wait, strict=True))
-            wait.clear()
-            codes, unique = pd.factorize(pair)
-            out = [pa.array(unique), pa.array(np.bincount(codes, minlength=len(unique)))]
-            if known is None:
-                first = np.empty(len(unique), np.int64)
-                first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
-                out += [pa.array(prev[first]), pa.array(word[first])]
-            yield pa.RecordBatch.from_arrays(out, names=["pair", "n", "prev", "word"][: len(out)])
+def _packed(x: np.ndarray) -> bytes:
+    """Integers as compressed bytes, byte by byte of their size: small or like numbers take little room."""
+    planes = np.ascontiguousarray(x.astype("<i8").view(np.uint8).reshape(-1, 8).T)
+    return len(x).to_bytes(8, "little") + (pa.compress(planes.tobytes(), codec="zstd", asbytes=True) if len(x) else b"")
 
-        for batch in batches:
-            buf, offsets = text_bytes(batch.column("text"))
-            for i, j in slices(offsets):
-                word, rows = _tokens(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                if known is None:
-                    prev = _previous(word, rows, j - i, _START)
-                    wait.append((_pair_hash(prev, word), prev, word))
-                else:
-                    word = _numbered(word, known.value)
-                    pair = _previous(word, rows, j - i, len(known.value)) << 32 | word
-                    wait.append((pair, pair[:0], pair[:0]))
-                if sum(len(w[0]) for w in wait) > 3_000_000:
-                    yield from flush()
-        yield from flush()
 
-    rows = docs.where(F.coalesce(learn, F.lit(False))).select("text")
-    if known is None:
-        return rows.mapInArrow(count, "pair long, n long, prev long, word long").groupBy("pair", "prev", "word").agg(F.sum("n").alias("n"))
-    out = written(rows.mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")))
-    return out.select("pair", F.shiftright("pair", 32).alias("prev"), F.col("pair").bitwiseAND(0xFFFFFFFF).alias("word"), "n")
+def _unpacked(blob: bytes) -> np.ndarray:
+    size = int.from_bytes(blob[:8], "little")
+    if not size:
+        return np.zeros(0, np.int64)
+    planes = np.frombuffer(pa.decompress(blob[8:], decompressed_size=size * 8, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, size).T).view("<i8").ravel()
 
 
-def seat_pairs(dishes: DataFrame, discount: float, rounds: int = 12, burn_in: int = 4) -> DataFrame:
-    """(pair, prev, word, n, t, last): tables of the dishes ``(pair, prev, word, n, seed, parent, singles)``, averaged and
-    of the last round.  A restaurant's dishes of one customer aren't among them; they have a table each, ``singles``."""
-    columns = ("pair", "prev", "word", "n", "seed", "parent", "singles")
+def _rows_of(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[tuple]:
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield tuple(batch.column(c)[k].as_py() for c in columns)
 
-    def houses(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-        """Runs of whole restaurants."""
-        kept, waiting = [], 0
-        for batch in batches:
-            kept.append([batch.column(c).to_numpy() for c in columns])
-            waiting += batch.num_rows
-            if waiting > 500_000:
-                whole = [np.concatenate(x) for x in zip(*kept, strict=True)]
-                cut = int(np.flatnonzero(whole[1] == whole[1][-1])[0])
-                if cut:
-                    yield [x[:cut] for x in whole]
-                kept = [[x[cut:] for x in whole]]
-                waiting = 0
-        if kept:
-            yield [np.concatenate(x) for x in zip(*kept, strict=True)]
 
-    def seat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for pair, prev, word, n, seed, parent, singles in houses(batches):
-            if not len(pair):
-                continue
-            house = pd.factorize(prev)[0]
-            t, kept = np.ones(len(n), np.int64), np.zeros(len(n))
-            for r in range(rounds):
-                here = np.bincount(house, t)[house].astype(np.int64)
-                t = reseat(n, parent, singles + here - t, discount, seed, r)
-                if r >= burn_in:
-                    kept += t
-            out = [pair, prev, word, n, kept / (rounds - burn_in), t]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["pair", "prev", "word", "n", "t", "last"])
+_BLOCK = "bucket int, kind int, pairs binary, n binary, more binary"
 
-    dealt = dishes.select(*columns).repartition("prev").sortWithinPartitions("prev", "pair")
-    return written(dealt.mapInArrow(seat, "pair long, prev long, word long, n long, t double, last long"))
 
+def _block(bucket: int, kind: int, pairs: np.ndarray, n: np.ndarray, more: np.ndarray) -> pa.RecordBatch:
+    """A bucket's sorted pairs with a number each, and more numbers (as many as the sum of ``n`` for questions)."""
+    values = [[bucket], [kind], [_packed(np.diff(pairs, prepend=0))], [_packed(n)], [_packed(more)]]
+    kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, kinds, strict=True)], names=["bucket", "kind", "pairs", "n", "more"])
 
-def _with_places(df: DataFrame, names: str, make) -> DataFrame:
-    """``df`` with long and double columns (``names``: their DDL) that ``make`` gives for arrays of prev and word."""
-    added = [x.split()[0] for x in names.split(", ")]
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            more = make(batch.column("prev").to_numpy(), batch.column("word").to_numpy())
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x) for x in more)], names=[*batch.schema.names, *added])
+def _buckets_of(pairs: np.ndarray, buckets: int) -> np.ndarray:
+    return ((mix(pairs.view(U64)) >> U64(33)) % U64(buckets)).astype(np.int32)
 
-    return df.mapInArrow(add, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields) + ", " + names)
 
+class WordPairs:
+    """The restaurants of words in the context of the word before them, over places in the sorted lexicon ``known``.
 
-def _ordered(df: DataFrame, at: str, value: str, size: int, kind: type) -> np.ndarray:
-    """A column as an array, at the places that column ``at`` gives; 0 elsewhere."""
-    got, out = df.select(at, value).toArrow(), np.zeros(size, kind)
-    out[got.column(at).to_numpy()] = got.column(value).to_numpy()
-    return out
+    A pair is ``previous place << 32 | place`` and lives in a bucket by its hash, so that no word and no context, however
+    frequent, meets in one task.  A bucket is one row: its pairs and counts; the seats of pairs counted twice or more
+    are rows of their own, written anew in each pass.  What a pass needs of other buckets, the words' probabilities
+    and the contexts' tables, goes to the tasks in arrays as long as the lexicon.
+    """
 
+    def __init__(self, docs: DataFrame, learn: Column, named: DataFrame, known: np.ndarray, total: int):
+        self.spark, self.known = docs.sparkSession, self._share(docs, known)
+        self.buckets = max(48, total // _BUCKET_TOKENS)
+        self.blocks = self._count(docs.where(F.coalesce(learn, F.lit(False))).select("text"))
+        self.size = len(known) + 1
+        base = written(self._tally(self.blocks, lambda n, more: np.ones(len(n))))
+        self.tables = self._array(base.where("context"), "t")
+        self.customers = self._array(base.where("context"), "c")
+        kinds = base.where("not context").select(F.col("place").cast("long").alias("word"), F.col("t").cast("long").alias("n"))
+        self.own = written(self._with_places(named).join(kinds, "word", "left").select("word", "key", "spelled", F.coalesce("n", F.lit(0)).cast("long").alias("n")))
+        sizes = self._histogram().agg(F.sum(F.when(F.col("n") == 1, F.col("kinds"))), F.sum(F.when(F.col("n") == 2, F.col("kinds")))).first()
+        self.discount, self.seats = _discount(*(int(x or 0) for x in sizes)), None
 
-def _discount(once: int, twice: int) -> float:
-    return min(max(once / max(once + 2 * twice, 1), 0.1), 0.95)
+    @staticmethod
+    def _share(docs: DataFrame, value) -> Broadcast:
+        return docs.sparkSession.sparkContext.broadcast(value)
 
+    def _with_places(self, named: DataFrame) -> DataFrame:
+        known = self.known
 
-def contexts(docs: DataFrame, learn: Column, named: DataFrame, kinds: int, known: np.ndarray | None) -> tuple[DataFrame, float, DataFrame, DataFrame]:
-    """The word restaurant over the tables of its contexts, (key, n, open_value) and the unknown words' score; the
-    contexts' back-off (prev, gamma), log10; and (pair, n, lift), what the log10 probability of a pair is above its
-    back-off.  One seating of the words over one table a pair, then of the pairs over those, then of the words again.
-    """
-    spark, fast = docs.sparkSession, known is not None
-    keys = spark.sparkContext.broadcast(known) if fast else None
-    pairs = pair_counts(docs, learn, keys)
-    pairs = pairs if fast else written(pairs)
-    sizes = pairs.agg(F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first()
-    d = _discount(*map(int, sizes))
-    houses = written(pairs.groupBy("prev").agg(F.sum("n").alias("c"), F.count_if(F.col("n") == 1).alias("singles")))
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.searchsorted(known.value, batch.column("key").to_numpy()))], names=["key", "spelled", "word"])
 
-    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.searchsorted(keys.value, batch.column("key").to_numpy()))], names=["key", "spelled", "word"])
+        return named.select("key", "spelled").mapInArrow(add, "key long, spelled double, word long")
 
-    own = named.select("key", "spelled")
-    own = written(own.mapInArrow(name, "key long, spelled double, word long")) if fast else own.withColumn("word", F.col("key"))
+    def _array(self, rows: DataFrame, value: str) -> np.ndarray:
+        """A column at the places of its rows; 0 elsewhere."""
+        got, out = rows.select("place", value).toArrow(), np.zeros(self.size)
+        out[got.column("place").to_numpy()] = got.column(value).to_numpy()
+        return out
 
-    def words(customers: DataFrame) -> tuple[DataFrame, float]:
-        seats = written(own.join(customers, "word", "left").select("key", F.coalesce("n", F.lit(0)).cast("long").alias("n"), "spelled"))
-        s = seats.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first()
-        return _seated(seats, int(s[0]), kinds, _discount(int(s[1]), int(s[2])))
+    def _count(self, texts: DataFrame) -> DataFrame:
+        known, buckets = self.known, self.buckets
 
-    def probabilities(book: DataFrame) -> DataFrame:
-        return book.select("key", F.pow(F.lit(10.0), "open_value").alias("parent"))
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            wait: list[np.ndarray] = []
 
-    book, _ = words(pairs.groupBy("word").agg(F.count(F.lit(1)).alias("n")))
-    several, size = pairs.where("n > 1"), len(known) + 1 if fast else 0
-    if fast:
-        p = np.append(_by_key(probabilities(book), "parent"), 0.0)
-        shared = spark.sparkContext.broadcast((p, _ordered(houses, "prev", "singles", size, np.int64)))
+            def flush() -> Iterator[pa.RecordBatch]:
+                if wait:
+                    pairs, n = np.unique(np.concatenate(wait), return_counts=True)
+                    wait.clear()
+                    home = _buckets_of(pairs, buckets)
+                    by = np.argsort(home, kind="stable")
+                    edges = np.searchsorted(home[by], np.arange(buckets + 1))
+                    for b in np.flatnonzero(np.diff(edges)).tolist():
+                        own = by[edges[b] : edges[b + 1]]
+                        yield _block(b, 0, pairs[own], n[own], n[:0])
 
-        def make(prev, word):
-            named_keys = np.append(keys.value, _START)
-            return _pair_hash(named_keys[prev], named_keys[word]), shared.value[0][word], shared.value[1][prev]
+            for batch in batches:
+                buf, offsets = text_bytes(batch.column("text"))
+                for i, j in slices(offsets):
+                    keys, rows = _tokens(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                    word = _numbered(keys, known.value)
+                    wait.append(_previous(word, rows, j - i, len(known.value)) << 32 | word)
+                    if sum(map(len, wait)) > _CHUNK_TOKENS:
+                        yield from flush()
+            yield from flush()
+
+        def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for bucket, rows in itertools.groupby(_rows_of(batches, ("bucket", "pairs", "n")), lambda r: r[0]):
+                parts = [(np.cumsum(_unpacked(p)), _unpacked(n)) for _, p, n in rows]
+                pairs, at = np.unique(np.concatenate([p for p, _ in parts]), return_inverse=True)
+                n = np.bincount(at, np.concatenate([c for _, c in parts]), len(pairs)).astype(np.int64)
+                yield _block(bucket, 0, pairs, n, n[:0])
+
+        return written(texts.mapInArrow(count, _BLOCK).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(merge, _BLOCK))
 
-        dishes = _with_places(several, "seed long, parent double, singles long", make)
-    else:
-        dishes = several.join(probabilities(book).withColumnRenamed("key", "word"), "word").join(houses.select("prev", "singles"), "prev").withColumn("seed", F.col("pair"))
-    seated = seat_pairs(dishes, d)
-    lone = pairs.where("n = 1").select("pair", "prev", "word", "n", F.lit(1.0).alias("t"), F.lit(1).cast("long").alias("last"))
-    book, unknown = words(lone.unionByName(seated).groupBy("word").agg(F.sum("last").alias("n")))
-    tables = houses.join(seated.groupBy("prev").agg(F.sum("t").alias("t")), "prev", "left").withColumn("open", STRENGTH + d * (F.col("singles") + F.coalesce("t", F.lit(0.0))))
-    tables = written(tables.select("prev", "open", F.log10(F.col("open") / (STRENGTH + F.col("c"))).alias("gamma")))
-    every = lone.unionByName(seated).drop("last")
-    if fast:
-        q = spark.sparkContext.broadcast((np.append(_by_key(probabilities(book), "parent"), 1.0), _ordered(tables, "prev", "open", size, float)))
-        every = _with_places(every, "open double, parent double", lambda prev, word: (q.value[1][prev], q.value[0][word]))
-    else:
-        every = every.join(tables.select("prev", "open"), "prev").join(probabilities(book).withColumnRenamed("key", "word"), "word")
-    lift = F.log10(1 + (F.col("n") - d * F.col("t")) / (F.col("open") * F.col("parent")))
-    return book, unknown, tables.select("prev", "gamma"), every.select("pair", "n", lift.alias("lift"))
+    @staticmethod
+    def _tally(rows: DataFrame, tables) -> DataFrame:
+        """(place, context, t, c): sums over the pairs of each word and of each context; ``tables`` of n and more."""
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for pairs, n, more in _rows_of(batches, ("pairs", "n", "more")):
+                pairs, n = np.cumsum(_unpacked(pairs)), _unpacked(n)
+                t = tables(n, _unpacked(more))
+                use = np.flatnonzero(t)
+                for context, place in ((False, pairs[use] & 0xFFFFFFFF), (True, pairs[use] >> 32)):
+                    codes, unique = pd.factorize(place)
+                    sums = [np.bincount(codes, x[use], len(unique)).astype(float) for x in (t, n)]
+                    yield pa.RecordBatch.from_arrays([pa.array(unique.astype(np.int32)), pa.array(np.full(len(unique), context)), *map(pa.array, sums)], names=["place", "context", "t", "c"])
+
+        return rows.select("pairs", "n", "more").mapInArrow(add, "place int, context boolean, t double, c double").groupBy("place", "context").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+
+    def _histogram(self) -> DataFrame:
+        """(n, kinds): how many pairs come n times, for each bucket."""
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for (n,) in _rows_of(batches, ("n",)):
+                values, kinds = np.unique(_unpacked(n), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(kinds)], names=["n", "kinds"])
+
+        return self.blocks.select("n").mapInArrow(add, "n long, kinds long")
+
+    def words(self) -> DataFrame:
+        """(key, n, spelled): the customers of the word restaurant, the tables of all contexts."""
+        if self.seats is None:
+            return self.own.select("key", "n", "spelled")
+        more = self._extra().where("not context").select(F.col("place").cast("long").alias("word"), F.col("t").cast("long").alias("more"))
+        return self.own.join(more, "word", "left").select("key", (F.col("n") + F.coalesce("more", F.lit(0))).alias("n"), "spelled")
+
+    def _extra(self) -> DataFrame:
+        """Tables beyond a pair's first, of the last draw."""
+        return self._tally(self.seats, lambda n, more: (more & 0xFFFF_FFFF) - 1)
+
+    def seat(self, book: DataFrame, number: int, draws: int, keep: bool) -> None:
+        """A pass: ``draws`` draws of every pair's tables, by the words' probabilities and the contexts' last tables."""
+        d, known, first = self.discount, self.known, self.seats is None
+        tables = self.tables + (0 if first else self._array(self._extra().where("context"), "t"))
+        shared = self._share(book, (np.append(_by_key(book.select("key", F.pow(F.lit(10.0), "open_value").alias("p")), "p"), 0.0), tables))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            parent, room = shared.value
+            keys = np.append(known.value, _START)
+            for bucket, pairs, n, more in _rows_of(batches, ("bucket", "pairs", "n", "more")):
+                pairs, n = np.cumsum(_unpacked(pairs)), _unpacked(n)
+                if first:
+                    pairs, n = pairs[n > 1], n[n > 1]
+                    last, kept = np.ones(len(n), np.int64), np.zeros(len(n), np.int64)
+                else:
+                    more = _unpacked(more)
+                    last, kept = more & 0xFFFF_FFFF, more >> 32
+                prev, word = pairs >> 32, pairs & 0xFFFFFFFF
+                seed, others = _pair_hash(keys[prev], keys[word]), room[prev].astype(np.int64) - last
+                for k in range(draws):
+                    last = reseat(n, parent[word], others, d, seed, number * draws + k)
+                    kept = kept + last * keep
+                yield _block(bucket, 1, pairs, n, kept << 32 | last)
+
+        before, self.seats = self.seats, written((self.blocks if first else self.seats).mapInArrow(run, _BLOCK))
+        shared.destroy()
+        if before is not None:
+            discard(before)
+
+    def finish(self, draws: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each context the average of strength and discounted tables, and log10 of its back-off."""
+        extra = self._array(self._tally(self.seats, lambda n, more: (more >> 32) / draws - 1).where("context"), "t")
+        room = STRENGTH + self.discount * (self.tables + extra)
+        return room, np.log10(room / (STRENGTH + self.customers))
+
+    def score(self, docs: DataFrame, counts: np.ndarray, open_value: np.ndarray, room: np.ndarray, gamma: np.ndarray, draws: int, base: float, unknown: float) -> DataFrame:
+        """Words and back-off where texts are read.  What pairs add is asked of the buckets, but for the ``_HOT`` most
+        frequent ones, which go to all tasks.  Rows of one id and text add up together and are divided again."""
+        d, known, buckets = self.discount, self.known, self.buckets
+        shared = self._share(docs, (counts, open_value, room, gamma))
+
+        def lifts(pairs: np.ndarray, n: np.ndarray, t: np.ndarray) -> np.ndarray:
+            _, open_, rooms, _ = shared.value
+            return np.log10(1 + (n - d * t) / (rooms[pairs >> 32] * 10 ** open_[pairs & 0xFFFFFFFF]))
+
+        seen, least = 0, 2
+        for r in self._histogram().where("n > 1").groupBy("n").agg(F.sum("kinds").alias("kinds")).orderBy(F.desc("n")).limit(_HOT).toLocalIterator():
+            seen += r["kinds"]
+            if seen > _HOT:
+                least = r["n"] + 1
+                break
+
+        def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for pairs, n, more in _rows_of(batches, ("pairs", "n", "more")):
+                pairs, n, t = np.cumsum(_unpacked(pairs)), _unpacked(n), (_unpacked(more) >> 32) / draws
+                use = n >= least
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[use]), pa.array(lifts(pairs[use], n[use], t[use]))], names=["pair", "lift"])
+
+        got = self.seats.select("pairs", "n", "more").mapInArrow(frequent, "pair long, lift double").toArrow()
+        pair, lift = got.column("pair").to_numpy(), got.column("lift").to_numpy()
+        by = np.argsort(pair)
+        hot = self._share(docs, (pair[by], lift[by]))
+        del got, pair, lift, by
+        named = docs.withColumn("name", F.xxhash64("doc_id", "text"))
+
+        def parts(batch: pa.RecordBatch) -> Iterator[tuple]:
+            known_hot, hot_lift = hot.value
+            buf, offsets = text_bytes(batch.column("text"))
+            for i, j in slices(offsets):
+                keys, rows = _tokens(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                word = _numbered(keys, known.value)  # the lexicon has every word
+                prev = _previous(word, rows, j - i, len(known.value))
+                pair = prev << 32 | word
+                codes, unique = pd.factorize(pair)
+                at = np.minimum(np.searchsorted(known_hot, unique), max(len(known_hot) - 1, 0))
+                hit = known_hot[at] == unique if len(known_hot) else np.zeros(len(unique), bool)
+                yield i, j, rows, word, prev, pair, hit[codes], np.where(hit, hot_lift[at], 0.0)[codes] if len(known_hot) else np.zeros(len(pair))
+
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            n, open_, _, back = shared.value
+            for batch in batches:
+                for i, j, rows, word, prev, _, _, more in parts(batch):
+                    total = lambda w: np.bincount(rows, w, j - i)  # noqa: B023, E731
+                    more, some = more + back[prev], n[word] > 0
+                    yield pa.RecordBatch.from_arrays([batch.column("name").slice(i, j - i), batch.column("doc_id").slice(i, j - i), pa.array(np.bincount(rows, minlength=j - i)), pa.array(total(some).astype(np.int64)), pa.array(total(np.log10(n[word] + 1.0) - base)), pa.array(total(np.where(some, open_[word], unknown) + more)), pa.array(total(open_[word] + more))], names=["name", "doc_id", "n_tokens", "n_known", "base_score", "score", "open_score"])
+
+        def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Kind 2: a bucket's pairs in a chunk of texts, how often each comes, and of which names."""
+            n, _, _, back = shared.value
+            wait: list[tuple[np.ndarray, np.ndarray]] = []
+
+            def flush() -> Iterator[pa.RecordBatch]:
+                if not wait:
+                    return
+                pair, name = (np.concatenate(x) for x in zip(*wait, strict=True))
+                wait.clear()
+                by = np.lexsort((pair, home := _buckets_of(pair, buckets)))
+                pair, name = pair[by], name[by]
+                edges = np.searchsorted(home[by], np.arange(buckets + 1))
+                for b in np.flatnonzero(np.diff(edges)).tolist():
+                    pairs, times = np.unique(pair[edges[b] : edges[b + 1]], return_counts=True)
+                    codes, names = pd.factorize(name[edges[b] : edges[b + 1]])
+                    yield _block(b, 2, pairs, times, np.concatenate([[len(names)], names, codes]))
+
+            for batch in batches:
+                names = batch.column("name").to_numpy()
+                for i, _, rows, word, prev, pair, hit, _ in parts(batch):
+                    want = ~hit & (n[word] > 0) & (back[prev] != 0)
+                    wait.append((pair[want], names[i + rows[want]]))
+                    if sum(len(p) for p, _ in wait) > _CHUNK_TOKENS:
+                        yield from flush()
+            yield from flush()
+
+        def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            pairs = lift = np.zeros(0, np.int64)
+            now = None
+            for bucket, kind, own, n, more in _rows_of(batches, ("bucket", "kind", "pairs", "n", "more")):
+                own, n = np.cumsum(_unpacked(own)), _unpacked(n)
+                if bucket != now:
+                    now, pairs, lift = bucket, own[:0], np.zeros(0)
+                if kind == 0:
+                    pairs, lift = own, lifts(own, n, np.ones(len(n)))
+                elif kind == 1:
+                    lift[np.searchsorted(pairs, own)] = lifts(own, n, (_unpacked(more) >> 32) / draws)
+                elif len(pairs):
+                    more = _unpacked(more)
+                    at = np.minimum(np.searchsorted(pairs, own), len(pairs) - 1)
+                    names, codes = more[1 : 1 + more[0]], more[1 + more[0] :]
+                    adds = np.bincount(codes, np.repeat(np.where(pairs[at] == own, lift[at], 0.0), n), len(names)).astype(float)
+                    use = np.flatnonzero(adds)
+                    yield pa.RecordBatch.from_arrays([pa.array(names[use]), pa.array(adds[use])], names=["name", "lift"])
+
+        alone = written(named.mapInArrow(score, "name long, " + _SCORED))
+        rows = self.blocks.unionByName(self.seats).unionByName(named.mapInArrow(ask, _BLOCK))
+        sums = rows.repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(answer, "name long, lift double").groupBy("name").agg(F.sum("lift").alias("lift"))
+        share = sums.join(alone.groupBy("name").agg(F.count(F.lit(1)).alias("copies")), "name").select("name", (F.col("lift") / F.col("copies")).alias("more"))
+        more = F.coalesce("more", F.lit(0.0))
+        return alone.join(share, "name", "left").select("doc_id", "n_tokens", "n_known", "base_score", (F.col("score") + more).alias("score"), (F.col("open_score") + more).alias("open_score"))
+
+
+class JoinedPairs:
+    """The same restaurants as tables of keys, for a lexicon of any size: what a pass needs of others is joined."""
+
+    def __init__(self, docs: DataFrame, learn: Column, named: DataFrame):
+        self.pairs = written(pair_counts(docs, learn))
+        self.houses = written(self.pairs.groupBy("prev").agg(F.count(F.lit(1)).alias("tables"), F.sum("n").alias("c")))
+        kinds = self.pairs.groupBy(F.col("word").alias("key")).agg(F.count(F.lit(1)).alias("n"))
+        self.own = written(named.select("key", "spelled").join(kinds, "key", "left").select("key", F.coalesce("n", F.lit(0)).cast("long").alias("n"), "spelled"))
+        sizes = self.pairs.agg(F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first()
+        self.discount, self.seats = _discount(*map(int, sizes)), None
+
+    def words(self) -> DataFrame:
+        if self.seats is None:
+            return self.own
+        more = self.seats.groupBy(F.col("word").alias("key")).agg(F.sum(F.col("last") - 1).alias("more"))
+        return self.own.join(more, "key", "left").select("key", (F.col("n") + F.coalesce("more", F.lit(0))).alias("n"), "spelled")
+
+    def _rooms(self, tables: Column) -> DataFrame:
+        """(prev, room, c): strength, or 0, and all tables of each context; ``tables``: those beyond a pair's first."""
+        if self.seats is None:
+            return self.houses.select("prev", F.col("tables").cast("double").alias("room"), "c")
+        return self.houses.join(self.seats.groupBy("prev").agg(F.sum(tables).alias("more")), "prev", "left").select("prev", (F.col("tables") + F.coalesce("more", F.lit(0.0))).alias("room"), "c")
+
+    def seat(self, book: DataFrame, number: int, draws: int, keep: bool) -> None:
+        d = self.discount
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                n, seed, last, kept, p, room = (batch.column(c).to_numpy() for c in ("n", "pair", "last", "kept", "p", "room"))
+                others = room.astype(np.int64) - last
+                for k in range(draws):
+                    last = reseat(n, p, others, d, seed, number * draws + k)
+                    kept = kept + last * keep
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("pair", "prev", "word", "n")), pa.array(last), pa.array(kept)], names=["pair", "prev", "word", "n", "last", "kept"])
+
+        rows = self.pairs.where("n > 1").withColumns({"last": F.lit(1).cast("long"), "kept": F.lit(0).cast("long")}) if self.seats is None else self.seats
+        rows = rows.join(book.select(F.col("key").alias("word"), F.pow(F.lit(10.0), "open_value").alias("p")), "word").join(self._rooms(F.col("last") - 1), "prev")
+        before, self.seats = self.seats, written(rows.mapInArrow(run, "pair long, prev long, word long, n long, last long, kept long"))
+        if before is not None:
+            discard(before)
+
+    def score(self, docs: DataFrame, book: DataFrame, draws: int, base: float, unknown: float) -> DataFrame:
+        d = self.discount
+        rooms = self._rooms(F.col("kept") / draws - 1).withColumn("room", STRENGTH + d * F.col("room"))
+        gammas = rooms.select("prev", F.log10(F.col("room") / (STRENGTH + F.col("c"))).alias("gamma"))
+        tables = self.pairs.join(self.seats.select("pair", (F.col("kept") / draws).alias("t")), "pair", "left")
+        every = tables.join(rooms.select("prev", "room"), "prev").join(book.select(F.col("key").alias("word"), F.pow(F.lit(10.0), "open_value").alias("p")), "word")
+        lifts = every.select("pair", F.log10(1 + (F.col("n") - d * F.coalesce("t", F.lit(1.0))) / (F.col("room") * F.col("p"))).alias("lift"))
+        return _score_by_join(docs, book, gammas, lifts, base, unknown)
+
+
+def pair_counts(docs: DataFrame, learn: Column) -> DataFrame:
+    """(pair, prev, word, n): keys of every word of the learned texts and of the one before it, and of the two together."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            buf, offsets = text_bytes(batch.column("text"))
+            for i, j in slices(offsets):
+                word, rows = _tokens(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                prev = _previous(word, rows, j - i, _START)
+                codes, unique = pd.factorize(_pair_hash(prev, word))
+                first = np.empty(len(unique), np.int64)
+                first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
+                yield pa.RecordBatch.from_arrays([pa.array(unique), pa.array(prev[first]), pa.array(word[first]), pa.array(np.bincount(codes, minlength=len(unique)))], names=["pair", "prev", "word", "n"])
+
+    rows = docs.where(F.coalesce(learn, F.lit(False))).select("text")
+    return rows.mapInArrow(count, "pair long, prev long, word long, n long").groupBy("pair", "prev", "word").agg(F.sum("n").alias("n"))
 
 
 def _by_key(df: DataFrame, value: str) -> np.ndarray:
@@ -625,23 +829,24 @@ def _by_key(df: DataFrame, value: str) -> np.ndarray:
     return got.column(value).to_numpy()[np.argsort(got.column("key").to_numpy())]
 
 
-def score_texts(docs: DataFrame, folds: int = 7, held_out: int = 2, order: int = 6, broadcast_rows: int = 5_000_000) -> DataFrame:
+def score_texts(docs: DataFrame, folds: int = 7, held_out: int = 2, order: int = 6, broadcast_rows: int = 5_000_000, passes: int = 3, draws: int = 3) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, open_score for every row.
 
-    ``score`` and ``base_score`` (add-one unigrams) are over the same outcomes, the known words and one for unknown
-    words; ``open_score`` is the probability of the very words, unknown ones by their spelling.
+    ``score`` and ``base_score`` (add-one unigrams) are over the same outcomes, the known words and one for all unknown
+    words; ``open_score`` is the probability of the very words, unknown ones by their spelling.  ``score`` and
+    ``open_score`` take every word in the context of the one before it.
 
     Learns from the rows outside the held-out fold, all of them; null ids are scored but neither learned from nor
     held out; null texts count as empty (the end alone); repeated rows count as often as they come.  An empty
     training set makes every word unknown.
 
-    ``score`` and ``open_score`` take every word in the context of the one before it.
-
-    The spelling model and the lexicon are broadcast while each has ``broadcast_rows`` rows at most (24 bytes a
-    row); beyond that they are joined with the words' n-grams and the texts' words, to the same scores.  Of the word pairs about ``_HOT`` are broadcast, the others joined.
+    A pass seats the words on the tables of all contexts, then every context's customers, ``draws`` times; draws of
+    the first pass are thrown away.  The spelling model and the lexicon go to the tasks while each has
+    ``broadcast_rows`` rows at most (24 bytes a row); beyond that all is joined, to the same scores.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    words = written(word_counts(own, fold(F.col("doc_id"), folds) != held_out))
+    learn = fold(F.col("doc_id"), folds) != held_out
+    words = written(word_counts(own, learn))
     some = F.col("n") > 0
     seen = words.agg(F.count(F.lit(1)), F.count_if(some), F.coalesce(F.sum("n"), F.lit(0))).first()
     rows, kinds, total = (int(x) for x in seen)
@@ -651,14 +856,24 @@ def score_texts(docs: DataFrame, folds: int = 7, held_out: int = 2, order: int =
     named = written(_keyed(spelled))
     if shared:
         shared.destroy()
-    known = np.sort(named.select("key").toArrow().column("key").to_numpy()) if rows <= broadcast_rows else None
-    book, unknown, gammas, lifts = contexts(own, fold(F.col("doc_id"), folds) != held_out, named, kinds, known)
-    base = float(np.log10(total + kinds + 1))
-    if known is None:
-        scored = _score_by_join(own, named.select("key", "n").join(book.select("key", "open_value"), "key"), gammas, lifts, base, unknown)
+    fast = rows <= broadcast_rows
+    if fast:
+        pairs = WordPairs(own, learn, named, np.sort(named.select("key").toArrow().column("key").to_numpy()), total)
+    else:
+        pairs = JoinedPairs(own, learn, named)
+
+    def book() -> tuple[DataFrame, float]:
+        seats = written(pairs.words())
+        s = seats.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first()
+        return _seated(seats, int(s[0]), kinds, _discount(int(s[1]), int(s[2])), rounds=4, burn_in=1)
+
+    for number in range(passes):
+        pairs.seat(book()[0], number, draws, number > 0)
+    (words_, unknown), kept, base = book(), draws * (passes - 1), float(np.log10(total + kinds + 1))
+    if fast:
+        scored = pairs.score(own, _by_key(named, "n"), _by_key(words_, "open_value"), *pairs.finish(kept), kept, base, unknown)
     else:
-        counts = _by_key(named, "n")
-        scored = _score_in_tasks(own, (known, counts, _by_key(book, "open_value"), _ordered(gammas, "prev", "gamma", len(known) + 1, float)), lifts, base, unknown)
+        scored = pairs.score(own, named.select("key", "n").join(words_.select("key", "open_value"), "key"), kept, base, unknown)
     out = F.coalesce(fold(F.col("doc_id"), folds) == held_out, F.lit(False))
     return scored.select("doc_id", out.alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score", "open_score")
 
@@ -673,57 +888,6 @@ def _tokens(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.append(keys, np.full(n, _END)), np.append(rows, np.arange(n))
 
 
-def _score_in_tasks(docs: DataFrame, arrays: tuple[np.ndarray, ...], lifts: DataFrame, base: float, unknown: float) -> DataFrame:
-    """Words and back-off by arrays in tasks, and what pairs add: the most frequent ones there too, the others by a join
-    on pairs.  Rows of one id and text add up together and are divided again."""
-    spark, n_pairs = docs.sparkSession, lifts.count()
-    least = lifts.agg(F.percentile_approx("n", 1 - _HOT / n_pairs)).first()[0] + 1 if n_pairs > _HOT else 0
-    got = lifts.where(F.col("n") >= least).select("pair", "lift").toArrow()
-    pair, lift = got.column("pair").to_numpy(), got.column("lift").to_numpy()
-    by = np.argsort(pair)
-    shared = spark.sparkContext.broadcast((*arrays, pair[by], lift[by]))
-    del got, pair, lift, by, arrays
-    named = docs.withColumn("name", F.xxhash64("doc_id", "text"))
-
-    def parts(batch: pa.RecordBatch) -> Iterator[tuple]:
-        known, n, open_value, gamma, hot, hot_lift = shared.value
-        buf, offsets = text_bytes(batch.column("text"))
-        for i, j in slices(offsets):
-            keys, rows = _tokens(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-            word = _numbered(keys, known)  # the lexicon has every word
-            prev = _previous(word, rows, j - i, len(known))
-            pair = prev << 32 | word
-            codes, unique = pd.factorize(pair)
-            at = np.minimum(np.searchsorted(hot, unique), max(len(hot) - 1, 0))
-            hit = hot[at] == unique if len(hot) else np.zeros(len(unique), bool)
-            yield i, j, rows, word, prev, pair, hit[codes], np.where(hit, hot_lift[at], 0.0)[codes] if len(hot) else np.zeros(len(pair))
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, n, open_value, gamma, *_ = shared.value
-        for batch in batches:
-            for i, j, rows, word, prev, _, _, more in parts(batch):
-                total = lambda w: np.bincount(rows, w, j - i)  # noqa: B023, E731
-                more, seen = more + gamma[prev], n[word] > 0
-                yield pa.RecordBatch.from_arrays([batch.column("name").slice(i, j - i), batch.column("doc_id").slice(i, j - i), pa.array(np.bincount(rows, minlength=j - i)), pa.array(total(seen).astype(np.int64)), pa.array(total(np.log10(n[word] + 1.0) - base)), pa.array(total(np.where(seen, open_value[word], unknown) + more)), pa.array(total(open_value[word] + more))], names=["name", "doc_id", "n_tokens", "n_known", "base_score", "score", "open_score"])
-
-    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, n, _, gamma, *_ = shared.value
-        for batch in batches:
-            names = batch.column("name").to_numpy()
-            for i, _, rows, word, prev, pair, hit, _ in parts(batch):
-                ask = ~hit & (n[word] > 0) & (gamma[prev] != 0)
-                yield pa.RecordBatch.from_arrays([pa.array(names[i + rows[ask]]), pa.array(pair[ask])], names=["name", "pair"])
-
-    alone = written(named.mapInArrow(score, "name long, " + _SCORED))
-    if not least:
-        return alone.drop("name")
-    asked = named.mapInArrow(others, "name long, pair long")
-    sums = asked.join(lifts.where(F.col("n") < least).select("pair", "lift"), "pair").groupBy("name").agg(F.sum("lift").alias("lift"))
-    share = sums.join(alone.groupBy("name").agg(F.count(F.lit(1)).alias("copies")), "name").select("name", (F.col("lift") / F.col("copies")).alias("more"))
-    more = F.coalesce("more", F.lit(0.0))
-    return alone.join(share, "name", "left").select("doc_id", "n_tokens", "n_known", "base_score", (F.col("score") + more).alias("score"), (F.col("open_score") + more).alias("open_score"))
-
-
 def _score_by_join(docs: DataFrame, book: DataFrame, gammas: DataFrame, lifts: DataFrame, base: float, unknown: float) -> DataFrame:
     """The same by joins on words, contexts and pairs: equal texts of an id are counted once and given to all their rows."""
     named = docs.withColumn("name", F.coalesce(F.xxhash64("text"), F.lit(0).cast("long")))

@@ -31,4 +31,13 @@ def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """
     path = shared_dir(df.sparkSession)
     df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Removes the files of a table from ``written`` that nothing reads any more."""
+    jvm, path = df.sparkSession._jvm, df.written_to
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
