@@ -24,13 +24,14 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from readlake.llm.labelled import fold
 from readlake.llm.shared import discard, written
-from readlake.llm.textkit import LOWER, U64, mix, ragged, slices, span_hashes, text_bytes, word_spans
+from readlake.llm.textkit import LOWER, U64, binary_column, mix, ragged, slices, span_hashes, text_bytes, word_spans
 
 #: Discount and strength of restaurants by context length.
 DISCOUNTS = (0.3, 0.4, 0.5, 0.6, 0.7, 0.75, 0.8)
@@ -40,6 +41,7 @@ _END = 1  # the end token's key among word hashes
 _START = 2  # the key of the context before a text's first word
 _HOT = 500_000  # most frequent pairs, at most, that go to every task
 _BUCKET_TOKENS = 8_000_000  # training tokens a bucket of pairs, about
+_COUNT_BYTES = 24 << 20  # of text that a task gathers before it counts its words
 _CHUNK_TOKENS = 3_000_000  # tokens that a task gathers before it deals them over the buckets
 _SEED = 0x9E3779B97F4A7C15
 
@@ -228,32 +230,35 @@ def word_counts(docs: DataFrame, learn: Column) -> DataFrame:
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[int, list] = {}
+        wait: list[tuple[np.ndarray, ...]] = []
+        ends_seen = [0, 0]  # texts, learned ones
 
         def flush() -> Iterator[pa.RecordBatch]:
-            if kept:
-                yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in kept.values()], pa.binary()), pa.array([n for _, n in kept.values()], pa.int64())], names=["word", "n"])
-            kept.clear()
+            if not wait:
+                return
+            at = np.cumsum([0, *(len(w[0]) for w in wait)])
+            low = np.concatenate([w[0] for w in wait])
+            starts, ends = (np.concatenate([w[k] + a for w, a in zip(wait, at[:-1], strict=True)]) for k in (1, 2))
+            keys, learned = (np.concatenate([w[k] for w in wait]) for k in (3, 4))
+            wait.clear()
+            codes, unique = pd.factorize(keys)
+            first = np.empty(len(unique), np.int64)
+            first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
+            size = ends[first] - starts[first]
+            yield pa.RecordBatch.from_arrays([binary_column(low[ragged(starts[first], size)], size), pa.array(np.bincount(codes, learned, len(unique)).astype(np.int64))], names=["word", "n"])
 
         for batch in batches:
             buf, offsets = text_bytes(batch.column("text"))
             learns = batch.column("learn").to_numpy(zero_copy_only=False).astype(bool)
+            ends_seen[0], ends_seen[1] = ends_seen[0] + len(learns), ends_seen[1] + int(learns.sum())
             for i, j in slices(offsets):
                 low, starts, ends, rows, keys = text_tokens(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                codes, unique = pd.factorize(keys)
-                n = np.bincount(codes, learns[i:j][rows], len(unique)).astype(np.int64)
-                first = np.empty(len(unique), np.int64)
-                first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
-                raw = low.tobytes()
-                for key, m, a, b in zip(unique.tolist(), n.tolist(), starts[first].tolist(), ends[first].tolist(), strict=True):
-                    if key in kept:
-                        kept[key][1] += m
-                    else:
-                        kept[key] = [raw[a:b], m]
-                kept.setdefault(_END, [b"\n", 0])[1] += int(learns[i:j].sum())
-                if len(kept) > 150_000:
+                wait.append((low, starts, ends, keys, learns[i:j][rows]))
+                if sum(len(w[0]) for w in wait) > _COUNT_BYTES:
                     yield from flush()
         yield from flush()
+        if ends_seen[0]:
+            yield pa.RecordBatch.from_arrays([pa.array([b"\n"], pa.binary()), pa.array([ends_seen[1]], pa.int64())], names=["word", "n"])
 
     rows = docs.select("text", F.coalesce(learn, F.lit(False)).alias("learn"))
     return rows.mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -415,19 +420,17 @@ def _seated(named: DataFrame, total: int, kinds: int, discount: float, rounds: i
             yield t
 
     def count(batches: Iterator[pa.RecordBatch], sums: list[int]) -> Iterator[pa.RecordBatch]:
-        for part in batches:
-            n, spelled, key = (part.column(c).to_numpy() for c in ("n", "spelled", "key"))
+        for n, spelled, key in _runs(batches, ("n", "spelled", "key")):
             *_, t = replay(n, spelled, key, sums)
             yield pa.RecordBatch.from_arrays([pa.array([int(t.sum())])], names=["t"])
 
     def seat(batches: Iterator[pa.RecordBatch], sums: list[int]) -> Iterator[pa.RecordBatch]:
-        for part in batches:
-            n, spelled, key = (part.column(c).to_numpy() for c in ("n", "spelled", "key"))
+        for n, spelled, key in _runs(batches, ("n", "spelled", "key")):
             kept = np.zeros(len(n))
             for r, t in enumerate(replay(n, spelled, key, sums)):
                 if r >= burn_in:
                     kept += t
-            yield pa.RecordBatch.from_arrays([part.column("key"), part.column("n"), pa.array(kept / (rounds - burn_in)), part.column("spelled")], names=["key", "n", "tables", "spelled"])
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n), pa.array(kept / (rounds - burn_in)), pa.array(spelled)], names=["key", "n", "tables", "spelled"])
 
     sums = [kinds]
     for _ in range(rounds - 1):
@@ -440,7 +443,21 @@ def _seated(named: DataFrame, total: int, kinds: int, discount: float, rounds: i
     new = (STRENGTH + discount * float(got[0])) / (STRENGTH + total)
     exact = F.log10((F.col("n") - discount * F.col("tables")) / (STRENGTH + total) + new * F.exp("spelled"))
     unknown = float(np.log10(new * max(1.0 - float(got[1]), 1e-12)))
-    return seated.select("key", "n", exact.alias("open_value")), unknown
+    book = seated.select("key", "n", exact.alias("open_value"))
+    book.written_to = seated.written_to
+    return book, unknown
+
+
+def _runs(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...], least: int = 300_000) -> Iterator[list[np.ndarray]]:
+    """Columns as arrays of ``least`` rows or more, but for the last."""
+    kept: list[pa.RecordBatch] = []
+    for batch in batches:
+        kept.append(batch)
+        if sum(b.num_rows for b in kept) >= least:
+            yield [np.concatenate([b.column(c).to_numpy() for b in kept]) for c in columns]
+            kept = []
+    if kept:
+        yield [np.concatenate([b.column(c).to_numpy() for b in kept]) for c in columns]
 
 
 def _previous(tokens: np.ndarray, rows: np.ndarray, n_rows: int, start: int) -> np.ndarray:
@@ -518,8 +535,9 @@ class WordPairs:
         base = written(self._tally(self.blocks, lambda n, more: np.ones(len(n))))
         self.tables = self._array(base.where("context"), "t")
         self.customers = self._array(base.where("context"), "c")
-        kinds = base.where("not context").select(F.col("place").cast("long").alias("word"), F.col("t").cast("long").alias("n"))
-        self.own = written(self._with_places(named).join(kinds, "word", "left").select("word", "key", "spelled", F.coalesce("n", F.lit(0)).cast("long").alias("n")))
+        self.contexts = self._array(base.where("not context"), "t")
+        discard(base)
+        self.named = named
         sizes = self._histogram().agg(F.sum(F.when(F.col("n") == 1, F.col("kinds"))), F.sum(F.when(F.col("n") == 2, F.col("kinds")))).first()
         self.discount, self.seats = _discount(*(int(x or 0) for x in sizes)), None
 
@@ -527,15 +545,6 @@ class WordPairs:
     def _share(docs: DataFrame, value) -> Broadcast:
         return docs.sparkSession.sparkContext.broadcast(value)
 
-    def _with_places(self, named: DataFrame) -> DataFrame:
-        known = self.known
-
-        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.searchsorted(known.value, batch.column("key").to_numpy()))], names=["key", "spelled", "word"])
-
-        return named.select("key", "spelled").mapInArrow(add, "key long, spelled double, word long")
-
     def _array(self, rows: DataFrame, value: str) -> np.ndarray:
         """A column at the places of its rows; 0 elsewhere."""
         got, out = rows.select("place", value).toArrow(), np.zeros(self.size)
@@ -606,10 +615,15 @@ class WordPairs:
 
     def words(self) -> DataFrame:
         """(key, n, spelled): the customers of the word restaurant, the tables of all contexts."""
-        if self.seats is None:
-            return self.own.select("key", "n", "spelled")
-        more = self._extra().where("not context").select(F.col("place").cast("long").alias("word"), F.col("t").cast("long").alias("more"))
-        return self.own.join(more, "word", "left").select("key", (F.col("n") + F.coalesce("more", F.lit(0))).alias("n"), "spelled")
+        more = self.contexts if self.seats is None else self.contexts + self._array(self._extra().where("not context"), "t")
+        known, shared = self.known, self._share(self.named, more.astype(np.int64))
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                key = batch.column("key")
+                yield pa.RecordBatch.from_arrays([key, pa.array(shared.value[np.searchsorted(known.value, key.to_numpy())]), batch.column("spelled")], names=["key", "n", "spelled"])
+
+        return self.named.select("key", "spelled").mapInArrow(add, "key long, n long, spelled double")
 
     def _extra(self) -> DataFrame:
         """Tables beyond a pair's first, of the last draw."""
@@ -693,17 +707,10 @@ class WordPairs:
                 hit = known_hot[at] == unique if len(known_hot) else np.zeros(len(unique), bool)
                 yield i, j, rows, word, prev, pair, hit[codes], np.where(hit, hot_lift[at], 0.0)[codes] if len(known_hot) else np.zeros(len(pair))
 
-        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            n, open_, _, back = shared.value
-            for batch in batches:
-                for i, j, rows, word, prev, _, _, more in parts(batch):
-                    total = lambda w: np.bincount(rows, w, j - i)  # noqa: B023, E731
-                    more, some = more + back[prev], n[word] > 0
-                    yield pa.RecordBatch.from_arrays([batch.column("name").slice(i, j - i), batch.column("doc_id").slice(i, j - i), pa.array(np.bincount(rows, minlength=j - i)), pa.array(total(some).astype(np.int64)), pa.array(total(np.log10(n[word] + 1.0) - base)), pa.array(total(np.where(some, open_[word], unknown) + more)), pa.array(total(open_[word] + more))], names=["name", "doc_id", "n_tokens", "n_known", "base_score", "score", "open_score"])
-
         def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            """Kind 2: a bucket's pairs in a chunk of texts, how often each comes, and of which names."""
-            n, _, _, back = shared.value
+            """Kind 2: a bucket's pairs in a chunk of texts, how often each comes, and of which names.  Kind 3: a row's
+            sums of what needs no other bucket."""
+            n, open_, _, back = shared.value
             wait: list[tuple[np.ndarray, np.ndarray]] = []
 
             def flush() -> Iterator[pa.RecordBatch]:
@@ -711,48 +718,71 @@ class WordPairs:
                     return
                 pair, name = (np.concatenate(x) for x in zip(*wait, strict=True))
                 wait.clear()
-                by = np.lexsort((pair, home := _buckets_of(pair, buckets)))
+                by = np.argsort(pair)
                 pair, name = pair[by], name[by]
-                edges = np.searchsorted(home[by], np.arange(buckets + 1))
+                home = _buckets_of(pair, buckets)
+                by = np.argsort(home.astype(np.uint16) if buckets < 65536 else home, kind="stable")
+                pair, name, edges = pair[by], name[by], np.searchsorted(home[by], np.arange(buckets + 1))
                 for b in np.flatnonzero(np.diff(edges)).tolist():
-                    pairs, times = np.unique(pair[edges[b] : edges[b + 1]], return_counts=True)
+                    own = pair[edges[b] : edges[b + 1]]
+                    first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
                     codes, names = pd.factorize(name[edges[b] : edges[b + 1]])
-                    yield _block(b, 2, pairs, times, np.concatenate([[len(names)], names, codes]))
+                    yield wide(_block(b, 2, own[first], np.diff(np.append(first, len(own))), np.concatenate([[len(names)], names, codes])))
 
             for batch in batches:
-                names = batch.column("name").to_numpy()
-                for i, _, rows, word, prev, pair, hit, _ in parts(batch):
-                    want = ~hit & (n[word] > 0) & (back[prev] != 0)
-                    wait.append((pair[want], names[i + rows[want]]))
+                all_names = batch.column("name").to_numpy()
+                for i, j, rows, word, prev, pair, hit, more in parts(batch):
+                    total = lambda w: np.bincount(rows, w, j - i)  # noqa: B023, E731
+                    some, names = n[word] > 0, all_names[i:j]
+                    want = ~hit & some & (back[prev] != 0)
+                    more = more + back[prev]
+                    own = [names, batch.column("doc_id").slice(i, j - i), np.bincount(rows, minlength=j - i), total(some).astype(np.int64), total(np.log10(n[word] + 1.0) - base), total(np.where(some, open_[word], unknown) + more), total(open_[word] + more)]
+                    blank = [pa.nulls(j - i, pa.binary())] * 3
+                    yield pa.RecordBatch.from_arrays([pa.array((_buckets_of(names, buckets))), pa.array(np.full(j - i, 3, np.int32)), *blank, *(x if isinstance(x, pa.Array) else pa.array(x) for x in own)], names=fields)
+                    wait.append((pair[want], names[rows[want]]))
                     if sum(len(p) for p, _ in wait) > _CHUNK_TOKENS:
                         yield from flush()
             yield from flush()
 
+        fields = ["bucket", "kind", "pairs", "n", "more", "name", "doc_id", "n_tokens", "n_known", "base_score", "score", "open_score"]
+        kinds = [pa.int64()] * 4 + [pa.float64()] * 3
+
+        def wide(block: pa.RecordBatch) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*block.columns, *(pa.nulls(block.num_rows, k) for k in kinds)], names=fields)
+
         def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pairs = lift = np.zeros(0, np.int64)
             now = None
-            for bucket, kind, own, n, more in _rows_of(batches, ("bucket", "kind", "pairs", "n", "more")):
-                own, n = np.cumsum(_unpacked(own)), _unpacked(n)
-                if bucket != now:
-                    now, pairs, lift = bucket, own[:0], np.zeros(0)
-                if kind == 0:
-                    pairs, lift = own, lifts(own, n, np.ones(len(n)))
-                elif kind == 1:
-                    lift[np.searchsorted(pairs, own)] = lifts(own, n, (_unpacked(more) >> 32) / draws)
-                elif len(pairs):
-                    more = _unpacked(more)
-                    at = np.minimum(np.searchsorted(pairs, own), len(pairs) - 1)
-                    names, codes = more[1 : 1 + more[0]], more[1 + more[0] :]
-                    adds = np.bincount(codes, np.repeat(np.where(pairs[at] == own, lift[at], 0.0), n), len(names)).astype(float)
-                    use = np.flatnonzero(adds)
-                    yield pa.RecordBatch.from_arrays([pa.array(names[use]), pa.array(adds[use])], names=["name", "lift"])
-
-        alone = written(named.mapInArrow(score, "name long, " + _SCORED))
-        rows = self.blocks.unionByName(self.seats).unionByName(named.mapInArrow(ask, _BLOCK))
-        sums = rows.repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(answer, "name long, lift double").groupBy("name").agg(F.sum("lift").alias("lift"))
-        share = sums.join(alone.groupBy("name").agg(F.count(F.lit(1)).alias("copies")), "name").select("name", (F.col("lift") / F.col("copies")).alias("more"))
-        more = F.coalesce("more", F.lit(0.0))
-        return alone.join(share, "name", "left").select("doc_id", "n_tokens", "n_known", "base_score", (F.col("score") + more).alias("score"), (F.col("open_score") + more).alias("open_score"))
+            for batch in batches:
+                texts = pc.equal(batch.column("kind"), 3)
+                own = batch.filter(texts).select(fields[5:])
+                yield own.append_column("lift", pa.nulls(own.num_rows, pa.float64()))
+                for bucket, kind, own, n, more in _rows_of([batch.filter(pc.invert(texts))], ("bucket", "kind", "pairs", "n", "more")):
+                    own, n = np.cumsum(_unpacked(own)), _unpacked(n)
+                    if bucket != now:
+                        now, pairs, lift = bucket, own[:0], np.zeros(0)
+                    if kind == 0:
+                        pairs, lift = own, lifts(own, n, np.ones(len(n)))
+                    elif kind == 1:
+                        lift[np.searchsorted(pairs, own)] = lifts(own, n, (_unpacked(more) >> 32) / draws)
+                    elif len(pairs):
+                        more = _unpacked(more)
+                        at = np.minimum(np.searchsorted(pairs, own), len(pairs) - 1)
+                        names, codes = more[1 : 1 + more[0]], more[1 + more[0] :]
+                        adds = np.bincount(codes, np.repeat(np.where(pairs[at] == own, lift[at], 0.0), n), len(names)).astype(float)
+                        use = np.flatnonzero(adds)
+                        yield pa.RecordBatch.from_arrays([pa.array(names[use]), *(pa.nulls(len(use), k) for k in kinds[1:]), pa.array(adds[use])], names=[*fields[5:], "lift"])
+
+        fitted = self.blocks.unionByName(self.seats)
+        for c, kind in [(f, "long") for f in fields[5:9]] + [(f, "double") for f in fields[9:]]:
+            fitted = fitted.withColumn(c, F.lit(None).cast(kind))
+        rows = fitted.unionByName(named.mapInArrow(ask, _BLOCK + ", name long, " + _SCORED))
+        answers = rows.repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(answer, f"name long, {_SCORED}, lift double")
+        # rows of one name have equal texts, so equal values
+        texts = answers.groupBy("name").agg(*(F.max(c).alias(c) for c in fields[6:]), F.count("n_tokens").alias("copies"), F.coalesce(F.sum("lift"), F.lit(0.0)).alias("lift"))
+        more = F.col("lift") / F.col("copies")
+        every = texts.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+        return every.select("doc_id", "n_tokens", "n_known", "base_score", (F.col("score") + more).alias("score"), (F.col("open_score") + more).alias("open_score"))
 
 
 class JoinedPairs:
@@ -854,7 +884,9 @@ def score_texts(docs: DataFrame, folds: int = 7, held_out: int = 2, order: int =
     shared = own.sparkSession.sparkContext.broadcast(_in_arrays(model, top)) if model.count() <= broadcast_rows else None
     spelled = _spelled_in_tasks(words, shared) if shared else _spelled_by_join(words, model, top)
     named = written(_keyed(spelled))
+    discard(words)
     if shared:
+        discard(model)
         shared.destroy()
     fast = rows <= broadcast_rows
     if fast:
@@ -862,18 +894,22 @@ def score_texts(docs: DataFrame, folds: int = 7, held_out: int = 2, order: int =
     else:
         pairs = JoinedPairs(own, learn, named)
 
-    def book() -> tuple[DataFrame, float]:
+    def book(rounds: int, burn_in: int) -> tuple[DataFrame, float]:
         seats = written(pairs.words())
         s = seats.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first()
-        return _seated(seats, int(s[0]), kinds, _discount(int(s[1]), int(s[2])), rounds=4, burn_in=1)
+        out = _seated(seats, int(s[0]), kinds, _discount(int(s[1]), int(s[2])), rounds, burn_in)
+        discard(seats)
+        return out
 
     for number in range(passes):
-        pairs.seat(book()[0], number, draws, number > 0)
-    (words_, unknown), kept, base = book(), draws * (passes - 1), float(np.log10(total + kinds + 1))
+        now, _ = book(2, 1)
+        pairs.seat(now, number, draws, number > 0)
+        discard(now)
+    (last, unknown), kept, base = book(4, 1), draws * (passes - 1), float(np.log10(total + kinds + 1))
     if fast:
-        scored = pairs.score(own, _by_key(named, "n"), _by_key(words_, "open_value"), *pairs.finish(kept), kept, base, unknown)
+        scored = pairs.score(own, _by_key(named, "n"), _by_key(last, "open_value"), *pairs.finish(kept), kept, base, unknown)
     else:
-        scored = pairs.score(own, named.select("key", "n").join(words_.select("key", "open_value"), "key"), kept, base, unknown)
+        scored = pairs.score(own, named.select("key", "n").join(last.select("key", "open_value"), "key"), kept, base, unknown)
     out = F.coalesce(fold(F.col("doc_id"), folds) == held_out, F.lit(False))
     return scored.select("doc_id", out.alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score", "open_score")
 
