@@ -527,17 +527,17 @@ class WordPairs:
     and the contexts' tables, goes to the tasks in arrays as long as the lexicon.
     """
 
-    def __init__(self, docs: DataFrame, learn: Column, named: DataFrame, known: np.ndarray, total: int):
-        self.spark, self.known = docs.sparkSession, self._share(docs, known)
+    def __init__(self, docs: DataFrame, learn: Column, named: DataFrame, total: int):
+        known = np.sort(named.select("key").toArrow().column("key").to_numpy())
+        self.named, self.known, self.size = named, self._share(docs, known), len(known) + 1
+        del known
         self.buckets = max(48, total // _BUCKET_TOKENS)
         self.blocks = self._count(docs.where(F.coalesce(learn, F.lit(False))).select("text"))
-        self.size = len(known) + 1
         base = written(self._tally(self.blocks, lambda n, more: np.ones(len(n))))
-        self.tables = self._array(base.where("context"), "t")
-        self.customers = self._array(base.where("context"), "c")
-        self.contexts = self._array(base.where("not context"), "t")
+        self.tables = self._array(base.where("context"), "t", "long")
+        self.customers = self._array(base.where("context"), "c", "long")
+        self.contexts = self._array(base.where("not context"), "t", "long")
         discard(base)
-        self.named = named
         sizes = self._histogram().agg(F.sum(F.when(F.col("n") == 1, F.col("kinds"))), F.sum(F.when(F.col("n") == 2, F.col("kinds")))).first()
         self.discount, self.seats = _discount(*(int(x or 0) for x in sizes)), None
 
@@ -545,12 +545,27 @@ class WordPairs:
     def _share(docs: DataFrame, value) -> Broadcast:
         return docs.sparkSession.sparkContext.broadcast(value)
 
-    def _array(self, rows: DataFrame, value: str) -> np.ndarray:
-        """A column at the places of its rows; 0 elsewhere."""
-        got, out = rows.select("place", value).toArrow(), np.zeros(self.size)
+    def _array(self, rows: DataFrame, value: str, kind: str) -> np.ndarray:
+        """A column at the places of its rows, in four bytes each if they hold its whole numbers; 0 elsewhere."""
+        if kind == "long" and (rows.agg(F.max(value)).first()[0] or 0) < 1 << 31:
+            kind = "int"
+        got = rows.select("place", F.col(value).cast(kind)).toArrow()
+        out = np.zeros(self.size, {"int": np.int32, "long": np.int64, "float": np.float32, "double": np.float64}[kind])
         out[got.column("place").to_numpy()] = got.column(value).to_numpy()
+        del got
+        pa.default_memory_pool().release_unused()
         return out
 
+    def by_place(self, rows: DataFrame, value: str, kind: str) -> np.ndarray:
+        """A column of the lexicon's rows at their places."""
+        known = self.known
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(known.value, batch.column("key").to_numpy()).astype(np.int32)), batch.column("value")], names=["place", "value"])
+
+        return self._array(rows.select("key", F.col(value).cast(kind).alias("value")).mapInArrow(add, f"place int, value {kind}"), "value", kind)
+
     def _count(self, texts: DataFrame) -> DataFrame:
         known, buckets = self.known, self.buckets
 
@@ -615,13 +630,13 @@ class WordPairs:
 
     def words(self) -> DataFrame:
         """(key, n, spelled): the customers of the word restaurant, the tables of all contexts."""
-        more = self.contexts if self.seats is None else self.contexts + self._array(self._extra().where("not context"), "t")
-        known, shared = self.known, self._share(self.named, more.astype(np.int64))
+        more = self.contexts if self.seats is None else self.contexts + self._array(self._extra().where("not context"), "t", "long")
+        known, shared = self.known, self._share(self.named, more)
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 key = batch.column("key")
-                yield pa.RecordBatch.from_arrays([key, pa.array(shared.value[np.searchsorted(known.value, key.to_numpy())]), batch.column("spelled")], names=["key", "n", "spelled"])
+                yield pa.RecordBatch.from_arrays([key, pa.array(shared.value[np.searchsorted(known.value, key.to_numpy())].astype(np.int64)), batch.column("spelled")], names=["key", "n", "spelled"])
 
         return self.named.select("key", "spelled").mapInArrow(add, "key long, n long, spelled double")
 
@@ -632,8 +647,9 @@ class WordPairs:
     def seat(self, book: DataFrame, number: int, draws: int, keep: bool) -> None:
         """A pass: ``draws`` draws of every pair's tables, by the words' probabilities and the contexts' last tables."""
         d, known, first = self.discount, self.known, self.seats is None
-        tables = self.tables + (0 if first else self._array(self._extra().where("context"), "t"))
-        shared = self._share(book, (np.append(_by_key(book.select("key", F.pow(F.lit(10.0), "open_value").alias("p")), "p"), 0.0), tables))
+        tables = self.tables if first else self.tables + self._array(self._extra().where("context"), "t", "long")
+        shared = self._share(book, (self.by_place(book.withColumn("p", F.pow(F.lit(10.0), "open_value")), "p", "float"), tables))
+        del tables
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             parent, room = shared.value
@@ -649,7 +665,7 @@ class WordPairs:
                 prev, word = pairs >> 32, pairs & 0xFFFFFFFF
                 seed, others = _pair_hash(keys[prev], keys[word]), room[prev].astype(np.int64) - last
                 for k in range(draws):
-                    last = reseat(n, parent[word], others, d, seed, number * draws + k)
+                    last = reseat(n, parent[word].astype(float), others, d, seed, number * draws + k)
                     kept = kept + last * keep
                 yield _block(bucket, 1, pairs, n, kept << 32 | last)
 
@@ -659,16 +675,19 @@ class WordPairs:
             discard(before)
 
     def finish(self, draws: int) -> tuple[np.ndarray, np.ndarray]:
-        """For each context the average of strength and discounted tables, and log10 of its back-off."""
-        extra = self._array(self._tally(self.seats, lambda n, more: (more >> 32) / draws - 1).where("context"), "t")
-        room = STRENGTH + self.discount * (self.tables + extra)
-        return room, np.log10(room / (STRENGTH + self.customers))
-
-    def score(self, docs: DataFrame, counts: np.ndarray, open_value: np.ndarray, room: np.ndarray, gamma: np.ndarray, draws: int, base: float, unknown: float) -> DataFrame:
+        """For each context the average of strength and discounted tables, and its customers."""
+        extra = self._array(self._tally(self.seats, lambda n, more: (more >> 32) / draws - 1).where("context"), "t", "double")
+        extra += self.tables
+        extra *= self.discount
+        extra += STRENGTH
+        return extra, self.customers
+
+    def score(self, docs: DataFrame, counts: np.ndarray, open_value: np.ndarray, room: np.ndarray, customers: np.ndarray, draws: int, base: float, unknown: float) -> DataFrame:
         """Words and back-off where texts are read.  What pairs add is asked of the buckets, but for the ``_HOT`` most
         frequent ones, which go to all tasks.  Rows of one id and text add up together and are divided again."""
         d, known, buckets = self.discount, self.known, self.buckets
-        shared = self._share(docs, (counts, open_value, room, gamma))
+        shared = self._share(docs, (counts, open_value, room, customers))
+        del counts, open_value, room, customers
 
         def lifts(pairs: np.ndarray, n: np.ndarray, t: np.ndarray) -> np.ndarray:
             _, open_, rooms, _ = shared.value
@@ -710,7 +729,7 @@ class WordPairs:
         def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             """Kind 2: a bucket's pairs in a chunk of texts, how often each comes, and of which names.  Kind 3: a row's
             sums of what needs no other bucket."""
-            n, open_, _, back = shared.value
+            n, open_, room, customers = shared.value
             wait: list[tuple[np.ndarray, np.ndarray]] = []
 
             def flush() -> Iterator[pa.RecordBatch]:
@@ -734,8 +753,8 @@ class WordPairs:
                 for i, j, rows, word, prev, pair, hit, more in parts(batch):
                     total = lambda w: np.bincount(rows, w, j - i)  # noqa: B023, E731
                     some, names = n[word] > 0, all_names[i:j]
-                    want = ~hit & some & (back[prev] != 0)
-                    more = more + back[prev]
+                    want = ~hit & some & (customers[prev] > 0)
+                    more = more + np.log10(room[prev] / (STRENGTH + customers[prev]))
                     own = [names, batch.column("doc_id").slice(i, j - i), np.bincount(rows, minlength=j - i), total(some).astype(np.int64), total(np.log10(n[word] + 1.0) - base), total(np.where(some, open_[word], unknown) + more), total(open_[word] + more)]
                     blank = [pa.nulls(j - i, pa.binary())] * 3
                     yield pa.RecordBatch.from_arrays([pa.array((_buckets_of(names, buckets))), pa.array(np.full(j - i, 3, np.int32)), *blank, *(x if isinstance(x, pa.Array) else pa.array(x) for x in own)], names=fields)
@@ -854,11 +873,6 @@ def pair_counts(docs: DataFrame, learn: Column) -> DataFrame:
     return rows.mapInArrow(count, "pair long, prev long, word long, n long").groupBy("pair", "prev", "word").agg(F.sum("n").alias("n"))
 
 
-def _by_key(df: DataFrame, value: str) -> np.ndarray:
-    got = df.select("key", value).toArrow()
-    return got.column(value).to_numpy()[np.argsort(got.column("key").to_numpy())]
-
-
 def score_texts(docs: DataFrame, folds: int = 7, held_out: int = 2, order: int = 6, broadcast_rows: int = 5_000_000, passes: int = 3, draws: int = 3) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, open_score for every row.
 
@@ -890,7 +904,7 @@ def score_texts(docs: DataFrame, folds: int = 7, held_out: int = 2, order: int =
         shared.destroy()
     fast = rows <= broadcast_rows
     if fast:
-        pairs = WordPairs(own, learn, named, np.sort(named.select("key").toArrow().column("key").to_numpy()), total)
+        pairs = WordPairs(own, learn, named, total)
     else:
         pairs = JoinedPairs(own, learn, named)
 
@@ -907,7 +921,7 @@ def score_texts(docs: DataFrame, folds: int = 7, held_out: int = 2, order: int =
         discard(now)
     (last, unknown), kept, base = book(4, 1), draws * (passes - 1), float(np.log10(total + kinds + 1))
     if fast:
-        scored = pairs.score(own, _by_key(named, "n"), _by_key(last, "open_value"), *pairs.finish(kept), kept, base, unknown)
+        scored = pairs.score(own, pairs.by_place(named, "n", "long"), pairs.by_place(last, "open_value", "double"), *pairs.finish(kept), kept, base, unknown)
     else:
         scored = pairs.score(own, named.select("key", "n").join(last.select("key", "open_value"), "key"), kept, base, unknown)
     out = F.coalesce(fold(F.col("doc_id"), folds) == held_out, F.lit(False))
