@@ -17,17 +17,18 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from readlake.llm.labelled import fold, label_sample, sigmoid
-from readlake.llm.textkit import LOWER, U64, binary_column, mix, slices, span_hashes, text_bytes, word_spans
+from readlake.llm.textkit import LOWER, U64, binary_column, ragged, slices, span_hashes, text_bytes, word_spans
 
 #: ASCII letters, digits and every byte of a non-ASCII character.
 _INK = np.zeros(256, bool)
 _INK[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
-_PAIR = U64(0x9E3779B97F4A7C15)
+_EVIDENCE_WORDS = 100_000  # words whose evidence is made at once on the driver
 _PARTS = 4  # parts of the sample; each gets its evidence from the others
 
 
@@ -45,27 +46,13 @@ def text_words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def _before(words: np.ndarray, rows: np.ndarray, lag: int = 1) -> np.ndarray:
-    """The hash ``lag`` words back, 0 before a row's first word."""
-    out = np.zeros(len(words), U64)
+    """The word ``lag`` places back, 0 before a row's first."""
+    out = np.zeros_like(words)
     same = rows[lag:] == rows[:-lag]
     out[lag:][same] = words[:-lag][same]
     return out
 
 
-def _distinct(keys: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each value of ``kind`` how many different ``keys`` it has."""
-    _, first = np.unique(keys, return_index=True)
-    return np.unique(kind[first], return_counts=True)
-
-
-def _at(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, default: float) -> np.ndarray:
-    """``values`` of the sorted ``keys`` at ``wanted``."""
-    if not len(keys):
-        return np.full(len(wanted), default)
-    where = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return np.where(keys[where] == wanted, values[where], default)
-
-
 def _features(spans: tuple[int, ...]) -> int:
     return 1 + 2 * (1 + len(spans))
 
@@ -78,43 +65,53 @@ def _discount(counts: np.ndarray) -> float:
 
 @dataclass
 class _Class:
-    """One class: word probabilities, pairs and contexts."""
+    """One class over numbered words: their probabilities, the pairs' and every context's back-off weight."""
 
-    words: np.ndarray
     prob: np.ndarray
-    unseen: float
     pairs: np.ndarray
     pair_prob: np.ndarray
-    contexts: np.ndarray
     backoff: np.ndarray
 
     @classmethod
-    def fit(cls, words: np.ndarray, rows: np.ndarray, vocabulary: np.ndarray, even: float) -> _Class:
-        prev, prev2 = _before(words, rows), _before(words, rows, 2)
-        pair = mix(prev * _PAIR) ^ words
-        kinds, n = _distinct(pair, words)
-        count = np.zeros(len(vocabulary))
-        count[np.searchsorted(vocabulary, kinds)] = n
+    def fit(cls, codes: np.ndarray, rows: np.ndarray, kinds: int) -> _Class:
+        """``codes`` are 1 to ``kinds``; 0 is a text's start, ``kinds`` + 1 any unknown word."""
+        base, even = kinds + 2, 1 / (kinds + 1)
+        pair = _before(codes, rows).astype(np.int64) * base
+        pair += codes
+        pairs = np.unique(pair)
+        triple = np.searchsorted(pairs, pair)
+        del pair
+        triple *= base
+        triple += _before(codes, rows, 2)
+        triple.sort()
+        new = np.concatenate([[True], triple[1:] != triple[:-1]])[: len(triple)]
+        n = np.bincount(triple[new] // base, minlength=len(pairs))
+        del triple, new
+        count = np.bincount(pairs % base, minlength=base).astype(float)
         total = max(count.sum(), 1)
-        d = _discount(n)
-        freed = np.minimum(count, d).sum() / total if len(words) else 1.0
+        d = _discount(count[count > 0])
+        freed = np.minimum(count, d).sum() / total if len(pairs) else 1.0
         prob = np.maximum(count - d, 0) / total + freed * even
-        _, first = np.unique(mix(pair) ^ prev2, return_index=True)
-        pairs, at, n = np.unique(pair[first], return_index=True, return_counts=True)
-        contexts, which = np.unique(prev[first][at], return_inverse=True)
-        size = np.bincount(which, n, len(contexts))
+        context = pairs // base
+        size = np.bincount(context, n, base)
         d = _discount(n)
-        left = np.bincount(which, minlength=len(contexts)) * d
-        return cls(vocabulary, prob, freed * even, pairs, (n - d) / size[which], contexts, left / size)
+        left = np.bincount(context, minlength=base) * d
+        backoff = np.where(size > 0, left / np.maximum(size, 1), 1.0)
+        return cls(prob, pairs, ((n - d) / size[context]).astype(np.float32), backoff)
 
-    def log_probs(self, words: np.ndarray, prev: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def log_probs(self, codes: np.ndarray, prev: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of the words alone, and after the words before them."""
-        p = _at(self.words, self.prob, words, self.unseen)
-        return np.log(p), np.log(_at(self.pairs, self.pair_prob, pair, 0.0) + _at(self.contexts, self.backoff, prev, 1.0) * p)
+        p, own = self.prob[codes], np.zeros(len(codes))
+        if len(self.pairs):
+            pair = prev.astype(np.int64) * len(self.prob) + codes
+            at = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
+            own = np.where(self.pairs[at] == pair, self.pair_prob[at], 0.0)
+        return np.log(p), np.log(own + self.backoff[prev] * p)
 
 
 @dataclass
 class ToxicityModel:
+    vocabulary: np.ndarray
     toxic: _Class
     ordinary: _Class
     spans: tuple[int, ...]
@@ -122,27 +119,30 @@ class ToxicityModel:
     intercept: float = 0.0
 
     @classmethod
-    def learn(cls, words: np.ndarray, rows: np.ndarray, toxic: np.ndarray, spans: tuple[int, ...]) -> ToxicityModel:
-        """Both classes of the sample's words; ``toxic`` tells it of each word's row."""
-        vocabulary = np.unique(words)
-        even = 1 / (len(vocabulary) + 1)
-        parts = [_Class.fit(words[own], rows[own], vocabulary, even) for own in (toxic, ~toxic)]
-        return cls(parts[0], parts[1], spans, np.zeros(_features(spans)))
-
-    def evidence(self, words: np.ndarray, rows: np.ndarray, n_rows: int) -> np.ndarray:
+    def learn(cls, vocabulary: np.ndarray, codes: np.ndarray, rows: np.ndarray, toxic: np.ndarray, spans: tuple[int, ...]) -> ToxicityModel:
+        """Both classes of the sample's words, numbered by ``vocabulary``; ``toxic`` tells it of each word's row."""
+        parts = [_Class.fit(codes[own], rows[own], len(vocabulary)) for own in (toxic, ~toxic)]
+        return cls(vocabulary, parts[0], parts[1], spans, np.zeros(_features(spans)))
+
+    def codes(self, words: np.ndarray) -> np.ndarray:
+        if not len(self.vocabulary):
+            return np.ones(len(words), np.int32)
+        at = np.minimum(np.searchsorted(self.vocabulary, words), len(self.vocabulary) - 1)
+        return np.where(self.vocabulary[at] == words, at + 1, len(self.vocabulary) + 1).astype(np.int32)
+
+    def evidence(self, codes: np.ndarray, rows: np.ndarray, n_rows: int) -> np.ndarray:
         """Per row the logarithm of its length and, for words alone and for words in context, the mean log-ratio and
         the largest mean of each span's runs (of all words, where there are fewer); 0 without words."""
-        prev = _before(words, rows)
-        pair = mix(prev * _PAIR) ^ words
+        prev = _before(codes, rows)
         size = np.bincount(rows, minlength=n_rows) if len(rows) else np.zeros(n_rows)
         out = [np.log1p(size)]
-        for toxic, ordinary in zip(self.toxic.log_probs(words, prev, pair), self.ordinary.log_probs(words, prev, pair), strict=True):
+        for toxic, ordinary in zip(self.toxic.log_probs(codes, prev), self.ordinary.log_probs(codes, prev), strict=True):
             ratio = toxic - ordinary
             sums = np.concatenate([[0.0], np.cumsum(ratio)])
             mean = np.bincount(rows, ratio, n_rows) / np.maximum(size, 1) if len(rows) else np.zeros(n_rows)
             out.append(mean)
             for span in self.spans:
-                most, n = np.full(n_rows, -np.inf), len(words) - span + 1
+                most, n = np.full(n_rows, -np.inf), len(codes) - span + 1
                 if n > 0:
                     first = np.flatnonzero(rows[:n] == rows[span - 1 :])
                     np.maximum.at(most, rows[first], (sums[first + span] - sums[first]) / span)
@@ -150,7 +150,7 @@ class ToxicityModel:
         return np.stack(out, 1)
 
     def score(self, words: np.ndarray, rows: np.ndarray, n_rows: int) -> np.ndarray:
-        return sigmoid(self.evidence(words, rows, n_rows) @ self.weights + self.intercept)
+        return sigmoid(self.evidence(self.codes(words), rows, n_rows) @ self.weights + self.intercept)
 
 
 def _link(x: np.ndarray, y: np.ndarray, prior: float, steps: int = 50) -> tuple[np.ndarray, float]:
@@ -189,22 +189,28 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: i
 
     own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     got = own.join(F.broadcast(sample), "doc_id").select("label", "text").mapInArrow(hashes, "label int, words binary").toArrow()
-    unique = dict(zip(got.column("words").to_pylist(), got.column("label").to_pylist(), strict=True))
-    kinds = np.array(list(unique.values()), int)
-    per_doc = [np.frombuffer(w, U64) for w in unique]
-    rows = np.repeat(np.arange(len(per_doc)), [len(w) for w in per_doc])
-    words = np.concatenate([*per_doc, np.zeros(0, U64)])
-    model = ToxicityModel.learn(words, rows, kinds[rows] == 1, spans)
+    texts = pd.DataFrame({"words": got.column("words").to_pylist(), "toxic": got.column("label").to_numpy()}).drop_duplicates("words", keep="last")
+    del got
+    toxic = texts["toxic"].to_numpy().astype(bool)
+    size = np.array([len(w) // 8 for w in texts["words"]], np.int64)
+    part = np.array([int(np.bitwise_xor.reduce(np.frombuffer(w, U64))) % _PARTS for w in texts["words"]], int)
+    words = np.frombuffer(b"".join(texts["words"]), U64)
+    del texts
+    vocabulary = np.unique(words)
+    codes = (np.searchsorted(vocabulary, words) + 1).astype(np.int32)
+    del words
+    rows = np.repeat(np.arange(len(size), dtype=np.int32), size)
+    model = ToxicityModel.learn(vocabulary, codes, rows, toxic[rows], spans)
     rate = labels.where(F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), folds) != held_out)).agg(F.avg(F.col("toxic").cast("int"))).first()[0]
-    evidence = np.zeros((len(per_doc), _features(spans)))
-    part = np.array([int(np.bitwise_xor.reduce(w)) % _PARTS for w in per_doc], int)
+    evidence = np.zeros((len(size), _features(spans)))
+    begin = np.cumsum(size) - size
     for p in range(_PARTS):
-        out = part == p
-        rest = ~out[rows]
-        seen = ToxicityModel.learn(words[rest], rows[rest], kinds[rows][rest] == 1, spans)
-        place = np.cumsum(out) - 1
-        evidence[out] = seen.evidence(words[~rest], place[rows[~rest]], int(out.sum()))
-    model.weights, model.intercept = _link(evidence, kinds, min(max(rate or 0.0, 1e-3), 1 - 1e-3))
+        rest = (part != p)[rows]
+        seen = ToxicityModel.learn(vocabulary, codes[rest], rows[rest], toxic[rows[rest]], spans)
+        for own in np.array_split(np.flatnonzero(part == p), max(1, int(size[part == p].sum()) // _EVIDENCE_WORDS)):
+            evidence[own] = seen.evidence(codes[ragged(begin[own], size[own])], np.repeat(np.arange(len(own)), size[own]), len(own))
+        del seen, rest
+    model.weights, model.intercept = _link(evidence, toxic.astype(int), min(max(rate or 0.0, 1e-3), 1 - 1e-3))
     return model
 
 
