@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from pathlib import Path
 
 import numpy as np
@@ -33,11 +34,12 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
-        self.lib.encode_special_tokens = True
         spec = json.loads(Path(path).read_text(encoding="utf-8"))
         self.keeps_space = spec["normalizer"] is None  # byte-level: white space has ids of its own
         self.separator = "\n" if self.keeps_space else " 0 "
         self.separator_id = self._one(self.separator)[0]
+        added = [re.escape(t["content"].encode()) for t in spec["added_tokens"]]
+        self.added = re.compile(b"|".join(added)) if added else None
         self.max_known = max_known
         self._forget()
 
@@ -115,9 +117,13 @@ class Encoder:
         return at[:-1], at[1:], np.searchsorted(offsets, at[:-1], "right") - 1
 
     def _odd_rows(self, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Rows where wide white space touches ASCII white space: cutting there could change the ids."""
-        if not self.keeps_space:
-            return np.zeros(0, np.int64)
+        """Rows that the library must see whole: an added token's text has an id of its own, and where wide white
+        space touches ASCII white space a cut could change the ids."""
+        added = [m.start() for m in self.added.finditer(buf)] if self.added else []
+        spelled = np.unique(np.searchsorted(offsets, np.array(added, np.int64), "right") - 1)
+        return np.union1d(spelled, self._wide_rows(buf, offsets)) if self.keeps_space else spelled
+
+    def _wide_rows(self, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         lead = np.flatnonzero(np.isin(buf, np.array([0xC2, 0xE1, 0xE2, 0xE3], np.uint8)))
         rows = np.searchsorted(offsets, lead, "right") - 1
         odd = set()

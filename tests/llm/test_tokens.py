@@ -9,6 +9,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from readlake.llm import packing, records
 from readlake.llm.encode import Encoder
@@ -16,6 +17,7 @@ from readlake.llm.textkit import text_bytes
 
 public = pytest.importorskip("public_tokenizers")
 WORD, BYTE = public.path("word_bpe_49k.json"), public.path("byte_bpe_50k.json")
+FRESH = {p: Tokenizer.from_file(p) for p in (WORD, BYTE)}
 ENCODERS = {p: Encoder(p, max_known=500) for p in (WORD, BYTE)}
 
 
@@ -32,6 +34,18 @@ def test_encoder_gives_the_librarys_ids(path, texts):
     assert [p.tolist() for p in parts] == [[*plain_ids(path, t), 7] for t in texts]
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|", "endoftext", "|>", "a", " ", "é", "\n", "."]), max_size=12).map("".join), min_size=1, max_size=6))
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_added_tokens_have_the_librarys_ids(path, texts):
+    """Against an untouched tokenizer: the texts of added tokens are ids of their own, across rows they aren't."""
+    fresh = FRESH[path]
+    ids, n = ENCODERS[path].encode_with_end(*text_bytes(pa.array(texts, pa.string())), 7)
+    parts = np.split(ids, np.cumsum(n)[:-1])
+    assert [p.tolist() for p in parts] == [[*fresh.encode(t, add_special_tokens=False).ids, 7] for t in texts]
+    assert FRESH[BYTE].encode("a<|endoftext|>b", add_special_tokens=False).ids == [64, 50256, 65]
+
+
 def best_fit_decreasing(lengths, size):
     left = []
     for n in sorted(lengths, reverse=True):
