@@ -26,9 +26,11 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")
 #: The order in which kinds are listed.
 KINDS = ("assign", "access", "hex", "pem", "der", "token")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s:,.-]*?)-----END \1-----")
+# No pattern reads a stretch of text more than a fixed number of times: a body ends at five dashes, and of a run of
+# token letters only the first header is tried, as no later one can end elsewhere.
+_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----((?:[A-Za-z0-9+/=\s:,.]|-(?!----))*+)-----END \1-----")
 _BASE64 = re.compile(r"[A-Za-z0-9+/]{40,}={0,2}")
-_TOKEN = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
+_TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(?>[A-Za-z0-9_-]*?(?=eyJ))([A-Za-z0-9_-]{4,}+\.[A-Za-z0-9_-]++\.[A-Za-z0-9_-]*+)")
 _HEX_ANY = re.compile(r"(?:[0-9A-Fa-f]{2}){24,}")
 SPANS = "array<struct<kind:string,begin:int,finish:int>>"
 
@@ -133,7 +135,7 @@ def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
     if "30" in text:
         out += [("der", *m.span()) for m in _HEX_ANY.finditer(text) if m[0].startswith("30") and is_der_key(bytes.fromhex(m[0]))]
     if "eyJ" in text:
-        out += [("token", *m.span()) for m in _TOKEN.finditer(text) if is_token(m[0])]
+        out += [("token", *m.span(1)) for m in _TOKEN.finditer(text) if is_token(m[1])]
     return out
 
 

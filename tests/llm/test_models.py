@@ -296,3 +296,28 @@ def test_leaks_go_by_row(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     out = decontaminate.without_leaks(df, spark.createDataFrame([(1, item)], "item_id long, text string"))
     assert out.schema == df.schema and {tuple(r) for r in out.collect()} == {(None, "clean text"), (5, "another clean text"), (6, None)}
+
+
+def test_secret_patterns_read_long_texts_in_linear_time():
+    """Openings without an end, headers without a dot and runs of letters: megabytes take seconds, and keys after them are found."""
+    import time
+
+    key, signed = wrapped(RSA), token({"alg": "HS256"})
+    hostile = ["eyJ" * 1_700_000, "-----BEGIN RSA PRIVATE KEY-----\n" * 150_000, "eyJa." * 1_000_000, "token " * 800_000, "30" * 2_500_000, "a" * 5_000_000 + "eyJ", "-" * 5_000_000]
+    for text in hostile:
+        began = time.monotonic()
+        spans = secrets.base_spans(text) + secrets.confirmed_spans(text + " " + key + " " + signed)
+        assert time.monotonic() - began < 20
+        assert ("pem", len(text) + 1, len(text) + 1 + len(key.strip())) in spans or ("pem", len(text) + 1, len(text) + 1 + len(key)) in spans
+        assert ("token", len(text) + len(key) + 2, len(text) + len(key) + len(signed) + 2) in spans
+
+
+def test_tokens_as_the_plain_pattern_finds_them():
+    """The linear pattern has the matches of the plain one."""
+    import random
+
+    plain = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
+    rng = random.Random(5)
+    for _ in range(4000):
+        text = "".join(rng.choice(["eyJ", "ey", "J", ".", "a", "-", " ", "é"]) for _ in range(rng.randint(0, 24)))
+        assert [m.span(1) for m in secrets._TOKEN.finditer(text)] == [m.span() for m in plain.finditer(text)], text
