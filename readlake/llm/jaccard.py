@@ -339,6 +339,7 @@ def shingle_groups(docs: DataFrame, shingle: int = 3, percent: int = 90, block:
     for row in seen.where("part is not null").select("part", "counts").repartition("part").mapInArrow(add, "part int, counts binary").toLocalIterator():
         counts[row["part"]] = np.frombuffer(row["counts"], np.float32)
     order = spark.sparkContext.broadcast(ShingleOrder(*counts.reshape(2, -1), shingle))
+    del counts
 
     def sets_of(buf: np.ndarray, offsets: np.ndarray, skip=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Node, shingles in the global order one row after another, and their number, of each row."""
@@ -410,6 +411,7 @@ def shingle_groups(docs: DataFrame, shingle: int = 3, percent: int = 90, block:
     guests = second.where("comp <> main").select("key", F.pmod(F.xxhash64("key", "node"), F.col("halls")).cast("int").alias("guests"), "homes", "node", "comp").select("key", every(F.col("homes")).alias("home"), "guests", "node", "comp", F.lit(True).alias("probe"))
     more = _join_groups(hosts.unionByName(guests), nodes, own, sets_of, percent)
     stars = components(links.unionByName(more))
+    order.destroy()  # every table that needs the order is written by now
 
     named = nodes.join(stars, "node", "left").select("node", "first_doc", F.coalesce("root", "node").alias("root"))
     names = named.groupBy("root").agg(F.min("first_doc").alias("component"))
