@@ -73,11 +73,11 @@ def xlsx_sheets(sheets: DataFrame, rels: DataFrame) -> DataFrame:
 def xlsx_cells(cells: DataFrame, strings: DataFrame, kinds: dict[str, str] | None = None) -> DataFrame:
     """Cells with their shown value; blank ones are dropped.
 
-    Kinds: shared (looked up in ``strings(idx, text)``), boolean (1 is TRUE), error (as it is) and plain.
+    Kinds: shared (looked up in ``strings(idx, text)``, where it has ``doc`` in the document's own), boolean (1 is TRUE), error (as it is) and plain.
     """
     kind = F.col("type") if kinds is None else F.create_map(*(F.lit(x) for kv in kinds.items() for x in kv))[F.col("type")]
     shown = F.when(kind == "shared", F.col("text")).when(kind == "boolean", F.when(F.col("value") == "1", "TRUE").otherwise("FALSE")).otherwise(F.col("value"))
-    both = cells.join(strings, "idx", "left").withColumn("shown", shown)
+    both = cells.join(strings, ["doc", "idx"] if "doc" in strings.columns else "idx", "left").withColumn("shown", shown)
     return both.where(F.coalesce(strip(F.col("shown")), F.lit("")) != "").drop("text")
 
 
