@@ -24,7 +24,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from readlake.llm.components import components
@@ -289,11 +289,13 @@ def _join_groups(members: DataFrame, nodes: DataFrame, texts: DataFrame, sets_of
 def shingle_groups(docs: DataFrame, shingle: int = 3, percent: int = 90, block: int = 256, leaders: int = 4) -> DataFrame:
     """doc_id, n_shingles, component_id for every row: the smallest doc_id reachable by links of ``percent`` or more.
 
-    Null and empty texts have no shingles and are their own component; texts whose only ids are null link with
-    nothing; rows that repeat get the same answer.  Only doc_id and text are read.
+    ``copy`` is the text's 64-bit hash and ``stays`` marks the rows by which a group is kept: those with its smallest
+    id (null ids last) and, of that id's texts, the smallest hash.  Null and empty texts have no shingles, are their
+    own component and stay; texts whose only ids are null link with nothing but equal sets; rows that repeat get the
+    same answer.  Only doc_id and text are read.
     """
     spark = docs.sparkSession
-    own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), text_copy(docs).alias("copy"))
     n_slots = 1 << _SLOT_BITS
 
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -317,15 +319,15 @@ def shingle_groups(docs: DataFrame, shingle: int = 3, percent: int = 90, block:
                     settle()
                     waiting = 0
                 size = np.bincount(rows, minlength=n) if len(rows) else np.zeros(n, np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, n), pa.array(set_nodes(keys, rows, n)), pa.array(size), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=["doc_id", "node", "n_shingles", "part", "counts"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, n), batch.column("copy").slice(i, n), pa.array(set_nodes(keys, rows, n)), pa.array(size), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=["doc_id", "copy", "node", "n_shingles", "part", "counts"])
         settle()
         parts = np.minimum(counts, 65535).astype("<u2").reshape(-1, _BLOCK_SLOTS)
         for k in np.flatnonzero(parts.any(axis=1)):
             empty = pa.nulls(1, pa.int64())
-            yield pa.RecordBatch.from_arrays([empty, empty, empty, pa.array([k], pa.int32()), pa.array([parts[k].tobytes()], pa.binary())], names=["doc_id", "node", "n_shingles", "part", "counts"])
+            yield pa.RecordBatch.from_arrays([empty, empty, empty, empty, pa.array([k], pa.int32()), pa.array([parts[k].tobytes()], pa.binary())], names=["doc_id", "copy", "node", "n_shingles", "part", "counts"])
 
-    seen = written(own.mapInArrow(summarise, "doc_id long, node long, n_shingles long, part int, counts binary"))
-    described = seen.where("part is null").select("doc_id", "node", "n_shingles")
+    seen = written(own.mapInArrow(summarise, "doc_id long, copy long, node long, n_shingles long, part int, counts binary"))
+    described = seen.where("part is null").select("doc_id", "copy", "node", "n_shingles")
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
@@ -373,7 +375,7 @@ def shingle_groups(docs: DataFrame, shingle: int = 3, percent: int = 90, block:
                 head = keys[at < np.repeat(take, size)].view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(node[new]), pa.array(size[new]), binary_column(*parity_maps(keys, size[new])), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(take[new])]), pa.int32()), pa.array(head))], names=["node", "size", "parity", "keys"])
 
-    firsts = written(own.mapInArrow(prefixes, "node long, size long, parity binary, keys array<long>"))
+    firsts = written(own.select("doc_id", "text").mapInArrow(prefixes, "node long, size long, parity binary, keys array<long>"))
     heads = firsts.select("node", "size", F.explode("keys").alias("key"))
     several = lambda df: df.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("key")
     meeting = heads.join(several(heads), "key")
@@ -384,7 +386,7 @@ def shingle_groups(docs: DataFrame, shingle: int = 3, percent: int = 90, block:
     celled = written(celled.select("node", F.xxhash64("key", "cell").alias("key")).distinct())
     members = written(celled.join(several(celled), "key"))
     sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
-    docs_of = described.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("first_doc"))
+    docs_of = described.where("n_shingles > 0").groupBy("node").agg(F.min(_by_id()).alias("best"), F.min("doc_id").alias("first_doc"))
     # a node's rows in ``firsts`` are equal, one for each task that met it
     nodes = written(docs_of.join(firsts.select("node", "size", "parity").dropDuplicates(["node"]), "node"))
 
@@ -413,22 +415,39 @@ def shingle_groups(docs: DataFrame, shingle: int = 3, percent: int = 90, block:
     stars = components(links.unionByName(more))
     order.destroy()  # every table that needs the order is written by now
 
-    named = nodes.join(stars, "node", "left").select("node", "first_doc", F.coalesce("root", "node").alias("root"))
-    names = named.groupBy("root").agg(F.min("first_doc").alias("component"))
-    lookup = named.join(names, "root").select("node", "component")
-    return described.join(lookup, "node", "left").select("doc_id", "n_shingles", F.coalesce(F.when(F.col("n_shingles") > 0, F.col("component")), F.col("doc_id")).alias("component_id"))
+    named = nodes.join(stars, "node", "left").select("node", "best", F.coalesce("root", "node").alias("root"))
+    names = named.groupBy("root").agg(F.min("best").alias("best"))
+    lookup = named.select("node", "root").join(names, "root").select("node", "best")
+    has = F.col("n_shingles") > 0
+    return described.join(lookup, "node", "left").select(
+        "doc_id", "n_shingles", F.coalesce(F.when(has, F.col("best.doc_id")), F.col("doc_id")).alias("component_id"), "copy", (~has | (_by_id() == F.col("best"))).alias("stays")
+    )
+
+
+def text_copy(docs: DataFrame) -> Column:
+    """The hash by which rows with one id are told apart by their texts."""
+    return F.xxhash64(docs["text"].cast("string"))
+
+
+def _by_id() -> Column:
+    return F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "copy")
 
 
 def one_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id is their component's smallest; of rows with one id, one stays.  Null ids stay."""
-    out = groups.where("doc_id is not null and doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(small(out, out.count()), "doc_id", "left_anti")
-    ids = groups.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    if ids.isEmpty():
+    """One row of ``docs`` for each of ``shingle_groups(docs)``, with its columns.
+
+    The row's own id and text decide, so rows that share an id without being near copies all stay, and a null id is
+    like any other.  Of rows that repeat with id and text, one stays; rows without words all do.
+    """
+    ids = [docs["doc_id"].cast("long").eqNullSafe(F.col("its_id")), text_copy(docs).eqNullSafe(F.col("its_copy"))]
+    named = lambda df: df.select(F.col("doc_id").alias("its_id"), F.col("copy").alias("its_copy"))
+    out = named(groups.where("not stays")).distinct()
+    kept = docs.join(small(out, out.count()), ids, "left_anti")
+    twice = named(groups.where("stays and n_shingles > 0").groupBy("doc_id", "copy").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    if twice.isEmpty():
         return kept
-    twice = ids.select("doc_id")
-    alone = kept.join(twice, "doc_id", "left_anti")
-    return alone.unionByName(kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    alone = kept.join(twice, ids, "left_anti")
+    return alone.unionByName(kept.join(twice, ids, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def brute_force_groups(texts: dict[int, str | None], shingle: int, percent: int, words: Callable[[str], list[str]]) -> dict[int, tuple[int, int]]:

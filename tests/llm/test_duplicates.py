@@ -178,3 +178,20 @@ def test_chats_keep_maximal_conversations(spark):
     con.register("conversations", df.select("conv_id", "turn", "role", "text").toPandas())
     assert sorted(con.execute(chats.ORACLE).fetchall()) == sorted((r["conv_id"], r["part"], r["n_turns"], r["text"]) for r in got)
     assert chats.render_chats(df.limit(0)).collect() == []
+
+
+def test_one_of_each_goes_by_row(spark):
+    base = [f"w{k}" for k in range(300)]
+    text = " ".join(base)
+    near, other = " ".join([*base[:299], "changed"]), " ".join(f"o{k}" for k in range(50))
+    rows = [(5, text, 1), (5, other, 2), (6, near, 3), (6, "quite another text here", 4), (None, text, 5), (None, "only null ids", 6), (None, "only null ids", 7), (None, None, 8), (7, "", 9), (7, "", 10), (5, text, 11), (4, text.upper(), 12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, copy int")
+    kept = jaccard.one_of_each(df, jaccard.shingle_groups(df, shingle=5, percent=80))
+    got = [tuple(r) for r in kept.collect()]
+    assert kept.schema == df.schema
+    assert sorted(k for *_, k in got if k not in (6, 7)) == [2, 4, 8, 9, 10, 12]
+    assert sum(k in (6, 7) for *_, k in got) == 1
+    again = df.where("copy in (1, 2, 11)")
+    assert sorted(t[:2] for t in (r["text"] for r in jaccard.one_of_each(again, jaccard.shingle_groups(again)).collect())) == ["o0", "w0"]
+    none = df.limit(0)
+    assert jaccard.one_of_each(none, jaccard.shingle_groups(none)).collect() == []
