@@ -260,9 +260,18 @@ def format_size(n: Column) -> Column:
 
 
 def format_number(x: Column) -> Column:
-    """Up to 15 significant digits without trailing zeros; whole numbers without a point."""
-    plain = F.format_string("%.15s", F.round(x, 9).cast("decimal(30,9)").cast("string"))
-    return F.when(x == F.floor(x), F.format_string("%.0f", x)).otherwise(F.regexp_replace(F.regexp_replace(plain, "0+$", ""), "[.]$", ""))
+    """Up to 15 significant digits, never with an exponent, without trailing zeros; whole numbers without a point.
+
+    Null stays null; NaN and infinities are written as Spark casts them.
+    """
+    x = x.cast("double")
+    shown = F.format_string("%.14e", x)
+    power = F.regexp_extract(shown, "e([+-][0-9]+)$", 1).try_cast("int")
+    digits = F.regexp_replace(F.regexp_replace(F.regexp_extract(shown, "^-?([0-9.]+)e", 1), "[.]", ""), "0+$", "")
+    whole = F.when(power < 0, "0").otherwise(F.rpad(digits, power + 1, "0"))
+    part = F.when(power < 0, F.concat(F.repeat(F.lit("0"), -power - 1), digits)).otherwise(F.substr(digits, power + 2))
+    plain = F.concat(F.when(x < 0, "-").otherwise(""), whole, F.when(part == "", "").otherwise(F.concat(F.lit("."), part)))
+    return F.when(x.isNull(), None).when(x == 0, "0").when(power.isNull(), x.cast("string")).otherwise(plain)
 
 
 def file_ext(name: Column) -> Column:

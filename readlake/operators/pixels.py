@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -26,26 +28,42 @@ def bayer_quantize(grey: Column, x: Column, y: Column, levels: int) -> Column:
 def diffuse_quantize(pixels: DataFrame, levels: int) -> DataFrame:
     """img, x, y, q by error diffusion (7, 3, 5 and 1 sixteenths), each image on its own.
 
-    An image's rows come to one task in order; images are independent, so they spread over the cluster.
+    An image's pixels are gathered in one row, as its order of pixels asks for; the images of a batch that share a
+    size go through numpy together, one pixel of each at a time.  Missing pixels count as black and give no row.
     """
     step = 255.0 / (levels - 1)
 
-    def one(image: pd.DataFrame) -> pd.DataFrame:
-        width, height = int(image["x"].max()) + 1, int(image["y"].max()) + 1
-        work = np.zeros((height + 1, width + 2))
-        work[image["y"], image["x"] + 1] = image["grey"]
-        out = np.zeros((height, width), int)
+    def spread(grey: np.ndarray) -> np.ndarray:
+        """Quantized values of images × rows × columns."""
+        n, height, width = grey.shape
+        work = np.zeros((height + 1, width + 2, n))
+        work[:height, 1 : width + 1] = grey.transpose(1, 2, 0)
+        out = np.zeros((height, width, n), np.int32)
         for y in range(height):
             for x in range(width):
                 old = work[y, x + 1]
-                level = min(max(int(old / step + 0.5), 0), levels - 1)
-                out[y, x] = int(level * step + 0.5)
+                level = np.clip(np.trunc(old / step + 0.5), 0, levels - 1)
+                out[y, x] = level * step + 0.5
                 off = old - out[y, x]
                 work[y, x + 2] += off * 7 / 16
-                work[y + 1, x : x + 3] += off * np.array([3, 5, 1]) / 16
-        return image.assign(q=out[image["y"], image["x"]])[["img", "x", "y", "q"]]
-
-    return pixels.select("img", "x", "y", "grey").groupBy("img").applyInPandas(one, "img long, x int, y int, q int")
+                for k, share in ((0, 3), (1, 5), (2, 1)):
+                    work[y + 1, x + k] += off * share / 16
+        return out.transpose(2, 0, 1)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for (width, height), alike in batch.groupby(["width", "height"]):
+                size = alike["x"].map(len).to_numpy()
+                at = np.repeat(np.arange(len(alike)), size)
+                x, y = np.concatenate(alike["x"].to_list()), np.concatenate(alike["y"].to_list())
+                grey = np.zeros((len(alike), height, width))
+                grey[at, y, x] = np.concatenate(alike["grey"].to_list())
+                yield pd.DataFrame({"img": np.repeat(alike["img"].to_numpy(), size), "x": x, "y": y, "q": spread(grey)[at, y, x]})
+
+    own = F.array_sort(F.collect_list(F.struct("y", "x", "grey")))
+    sized = pixels.groupBy("img").agg((F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height"), own.alias("p"))
+    rows = sized.where("img is not null and width is not null and height is not null").select("img", "width", "height", *(F.col(f"p.{c}").alias(c) for c in ("x", "y", "grey")))
+    return rows.mapInPandas(run, "img long, x int, y int, q int")
 
 
 def contrast(grey: Column, step: int) -> Column:

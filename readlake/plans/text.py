@@ -140,7 +140,7 @@ def format_time(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select("event_id", F.date_format(F.col("ts").cast("timestamp"), "M/d HH:mm").alias("shown"))
 
 
-@add.query("format_number", None)
+@add.query("format_number", "select l_orderkey, l_linenumber, printf('%.15g', l_extendedprice) as price, printf('%.15g', l_quantity) as quantity from lineitem")
 def format_number(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", t.format_number(F.col("l_extendedprice")).alias("price"), t.format_number(F.col("l_quantity")).alias("quantity"))
 
@@ -152,3 +152,19 @@ def markdown_inline(spark: SparkSession, sf: str) -> DataFrame:
     safe = t.escape_html(F.col("text"))
     made = F.concat(F.lit("**"), F.substring_index(safe, " ", 1), F.lit("** `x` *y* ![alt](z.png) [site](https://e.org/a) [bad](javascript:1) "), safe)
     return table(spark, sf, "conversations").select("conv_id", "turn", t.markdown_inline(made).alias("html"))
+
+
+# every other text becomes an address: inline pictures, pictures elsewhere, and a type that isn't a picture's
+_SRC = "case doc_id % 3 when 0 then concat('data:image/PNG;base64,', {hex}(text)) when 1 then concat('https://', source, '.org/a.png') else concat('data:text/html;base64,', {hex}(text)) end"
+
+
+@add.query("safe_image_src", f"select doc_id, case when doc_id % 3 = 0 and text <> '' then {_SRC.format(hex='hex')} else '' end as src from documents")
+def safe_image_src(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select("doc_id", t.safe_image_src(F.expr(_SRC.format(hex="hex"))).alias("src"))
+
+
+@add.query("normalize_path", """
+select p_partkey, case p_partkey % 4 when 0 then 'OEBPS/' || b || '/' || p_name when 1 then p_name when 2 then b || '/a b.png' else 'OEBPS/text/' || b end as path from (select *, replace(p_brand, '#', '-') as b from part)""")
+def normalize_path(spark: SparkSession, sf: str) -> DataFrame:
+    target = "case p_partkey % 4 when 0 then concat('../', b, '/./', p_name, '#top') when 1 then concat('../../../', p_name) when 2 then concat('/', b, '/a%20b.png?x=../y') else concat(b, '/x/..') end"
+    return table(spark, sf, "part").withColumn("b", F.replace("p_brand", F.lit("#"), F.lit("-"))).select("p_partkey", t.normalize_path(F.lit("OEBPS/text/a.xhtml"), F.expr(target)).alias("path"))

@@ -1,8 +1,10 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from readlake.functions import text as t
-from readlake.operators import article, chat, registry
+from readlake.operators import article, chat, pixels, registry
 
 
 def value(spark, column):
@@ -67,3 +69,50 @@ def test_chat_context_keeps_the_last(spark):
     rows = [(1, i, "user" if i % 2 == 0 else "assistant", f"m{i}") for i in range(25)] + [(1, 25, "user", "question")]
     got = chat.chat_context(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), 20).orderBy("turn").collect()
     assert len(got) == 21 and got[0]["role"] == "system" and got[-1]["text"] == "question"
+
+
+def test_numbers_at_every_size(spark):
+    shown = {1e23: "1" + "0" * 23, 1e-12: "0.000000000001", 0.1 + 0.2: "0.3", -3.25: "-3.25", 123456789012345678.0: "123456789012346000", 2 / 3: "0.666666666666667", 999999999999999.9: "1" + "0" * 15, -0.0: "0", 0.05: "0.05", float("inf"): "Infinity"}
+    df = spark.createDataFrame([(v,) for v in [*shown, None]], "x double")
+    assert [r["s"] for r in df.select(t.format_number(F.col("x")).alias("s")).collect()] == [*shown.values(), None]
+
+
+def test_commas_are_one_list():
+    assert article._COMMA.findall("a,b،c﹐d︐e︑f⹁g⸴h⸲i，j.k、l") == list(",،﹐︐︑⹁⸴⸲，")
+
+
+def test_ladder_is_the_four_attempts_one_by_one(spark, sf):
+    """The one plan over four keys gives what the operators give one after another, where some pages fall through."""
+    pages = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "html")
+    body = "A sentence, with commas, and quite a few words in it to count. "
+    odd = [(-1, f"<div class='sidebar'><p>{body * 9}</p></div><p>short, but over twenty-five characters</p>"), (-2, f"<div class='comment'><div class='promo'><p>{body * 9}</p></div></div>"), (-3, f"<ul><li>{body}</li></ul><form><input><p>{body * 9}</p></form>"), (-4, None), (-5, ""), (-6, f"<div class='popup'><p>{body * 9}</p></div><p>short, but over twenty-five characters</p>")]
+    nodes = article.html_nodes(pages.unionByName(spark.createDataFrame(odd, pages.schema))).cache()
+    tries = {}
+    for k, (strict, weigh, clean) in enumerate([(True, True, True), (False, True, True), (False, False, True), (False, False, False)]):
+        kept = article.drop_unlikely(nodes, strict)
+        for r in article.top_candidates(article.clean_conditionally(kept) if clean else kept, 1, weigh).collect():
+            tries.setdefault(r["page_id"], []).append((k, r["text"]))
+    want = {p: min(own, key=lambda a: (0, a[0]) if len(a[1]) >= 500 else (1, -len(a[1]), a[0])) for p, own in tries.items()}
+    got = {r["page_id"]: (r["attempt"], r["text"]) for r in article.extract_ladder(nodes).collect()}
+    assert got == want and {a for a, _ in got.values()} >= {0, 1, 3}
+    assert article.extract_ladder(nodes.limit(0)).collect() == []
+
+
+def test_diffusion_is_pixel_by_pixel(spark):
+    rng, rows, want = random.Random(3), [], {}
+    for img, (w, h, levels) in enumerate([(8, 8, 4)] * 5 + [(1, 1, 4), (7, 3, 4), (3, 7, 4)]):
+        grey = [[float(rng.randrange(256)) for _ in range(w)] for _ in range(h)]
+        rows += [(img, x, y, grey[y][x]) for y in range(h) for x in range(w)]
+        work = {(x, y): grey[y][x] for y in range(h) for x in range(w)}
+        step = 255.0 / (levels - 1)
+        for y in range(h):
+            for x in range(w):
+                old = work[x, y]
+                new = int(min(max(int(old / step + 0.5), 0), levels - 1) * step + 0.5)
+                want[img, x, y] = new
+                for dx, dy, share in ((1, 0, 7), (-1, 1, 3), (0, 1, 5), (1, 1, 1)):
+                    if (x + dx, y + dy) in work:
+                        work[x + dx, y + dy] += (old - new) * share / 16
+    df = spark.createDataFrame(rows, "img long, x int, y int, grey double").repartition(3)
+    assert {(r["img"], r["x"], r["y"]): r["q"] for r in pixels.diffuse_quantize(df, 4).collect()} == want
+    assert pixels.diffuse_quantize(df.limit(0), 4).collect() == []
