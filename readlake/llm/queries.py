@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readlake.llm import centroids, chats, decontaminate, jaccard, neighbours, packing, pitman_yor, quality, records, secrets, toxicity
+from readlake.llm import centroids, chats, decontaminate, jaccard, merkle, neighbours, packing, pitman_yor, quality, records, secrets, toxicity
 from readlake.llm.labelled import fold
 from readlake.llm.shared import written
 
@@ -78,6 +78,10 @@ def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(vectors, k=8, rounds=10, seed=3, scale=1024)
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.document_manifest(spark.read.parquet(f"{sf_dir}/documents.parquet"), forged_by=7)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_token_records": op2_token_records,
@@ -90,5 +94,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_vantage_neighbours": op9_vantage_neighbours,
     "op10_toxicity": op10_toxicity,
     "op12_centroid_clusters": op12_centroid_clusters,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
-ORACLE: dict[str, str] = {"op8_chat_snapshots": chats.ORACLE, "op12_centroid_clusters": centroids.ORACLE}
+ORACLE: dict[str, str] = {"op8_chat_snapshots": chats.ORACLE, "op12_centroid_clusters": centroids.ORACLE, "op13_merkle_manifest": merkle.ORACLE}
