@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readlake.llm import centroids, chats, decontaminate, jaccard, merkle, neighbours, packing, pitman_yor, quality, records, secrets, toxicity
+from readlake.llm import bottomk, centroids, chats, decontaminate, jaccard, merkle, neighbours, packing, pitman_yor, quality, records, secrets, toxicity
 from readlake.llm.labelled import fold
 from readlake.llm.shared import written
 
@@ -73,6 +73,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+def op11_bottomk_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bottomk.sketch_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"), shingle=5, percent=85)
+
+
 def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = centroids.usable(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding")
     return centroids.cluster(vectors, k=8, rounds=10, seed=3, scale=1024)
@@ -93,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_snapshots": op8_chat_snapshots,
     "op9_vantage_neighbours": op9_vantage_neighbours,
     "op10_toxicity": op10_toxicity,
+    "op11_bottomk_groups": op11_bottomk_groups,
     "op12_centroid_clusters": op12_centroid_clusters,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
