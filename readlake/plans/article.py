@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from readlake.functions.text import BLOCK_TAGS, collapse_ws
 from readlake.operators import article as a
+from readlake.operators import trees as t
 from readlake.plans import sql as d
 from readlake.plans.registry import Registry, table
 
@@ -29,7 +30,6 @@ u as (select page_id, unnest(b) as b, unnest(range(0, len(b))) as i from e), n a
 t as (select page_id, arg_max(b, (n, -i)) as b, max(n) as n from n group by page_id)
 select c.page_id, case when t.n >= 80 then 'article' when regexp_extract(h, '(?is)<body\\b[^>]*>(.*)</body\\s*>', 1) <> '' then 'body' else 'page' end as source,
   case when t.n >= 80 then t.b when regexp_extract(h, '(?is)<body\\b[^>]*>(.*)</body\\s*>', 1) <> '' then regexp_extract(h, '(?is)<body\\b[^>]*>(.*)</body\\s*>', 1) else h end as body from c left join t using (page_id)""")
-_COM = "[" + "".join(rf"\x{{{c}}}" for c in ("002C", "060C", "FE50", "FE10", "FE11", "2E41", "2E34", "2E32", "FF0C")) + "]"
 _P = r"(?is)<p\b[^>]*>(.*?)</p\s*>"
 _BLOCKS = f"(select page_id, unnest(range(0, len(x))) as pos, unnest(x) as i from (select page_id, regexp_extract_all(html, {d.quote(_P)}, 1) as x from pages))"
 
@@ -40,9 +40,9 @@ def _scores(spark, sf):
     return rows.select("page_id", "pos", a.paragraph_score(text).alias("score")).where("score is not null")
 
 
-add("paragraph_score", _scores, f"select page_id, cast(pos as integer) as pos, cast(2 + len(regexp_extract_all(t, '{_COM}')) + least(length(t) // 100, 3) as integer) as score from (select page_id, pos, {_INNER} as t from {_BLOCKS}) where length(t) >= 25")
+add("paragraph_score", _scores, f"select page_id, cast(pos as integer) as pos, cast(2 + len(regexp_extract_all(t, '{t.COMMAS}')) + least(length(t) // 100, 3) as integer) as score from (select page_id, pos, {_INNER} as t from {_BLOCKS}) where length(t) >= 25")
 _CLS = """(select page_id, unnest(regexp_extract_all(html, '(?is)<[a-z0-9]+\\s+class="([^"]*)"', 1)) as cls from pages)"""
-_ONE = lambda c: f"case when {c} = '' then 0 else case when regexp_matches({c}, '{a.NEGATIVE}') then -25 else 0 end + case when regexp_matches({c}, '{a.POSITIVE}') then 25 else 0 end end"
+_ONE = lambda c: f"case when {c} = '' then 0 else case when regexp_matches({c}, '{t.NEGATIVE}') then -25 else 0 end + case when regexp_matches({c}, '{t.POSITIVE}') then 25 else 0 end end"
 
 
 def _weights(spark, sf):
@@ -83,14 +83,15 @@ t as (select *, case when starts_with(token, '<') then lower(regexp_extract(toke
 o as (select page_id, pos, case when tag is null then {d.escape(d.entities("token"))} when closing then '</' || tag || '>' when tag = 'a' and {_SAFE} <> '' then '<a href="' || replace({_SAFE}, '"', '&quot;') || '">' else '<' || tag || '>' end as o from t where tag is null or ({_ACT} = 'keep' and not (closing and tag in ('br', 'hr', 'img'))))
 select page_id, {d.strip(d.sub("string_agg(o, '' order by pos)", r"(?is)<p>\s*</p>", ""))} as html from o group by page_id""")
 add("sanitize_html", lambda s, sf: a.sanitize_html(table(s, sf, "pages")), None)
-_nodes = lambda s, sf: a.html_nodes(table(s, sf, "pages"))
-add("html_nodes", lambda s, sf: _nodes(s, sf), None)
-add("drop_unlikely", lambda s, sf: a.drop_unlikely(_nodes(s, sf)).groupBy("page_id").agg(F.count(F.lit(1)).alias("kept")), None)
-add("byline", lambda s, sf: a.byline(a.html_nodes(table(s, sf, "pages").withColumn("html", F.concat(F.lit("<div class='byline'>By A. Writer</div>"), "html")))), None)
-add("text_density", lambda s, sf: a.text_density(_nodes(s, sf), ("h1", "h2", "h3")).where("density > 0"), None)
-add("ancestor_score", lambda s, sf: a.ancestor_score(_nodes(s, sf)).withColumn("score", F.round("score", 6)), None)
-add("top_candidates", lambda s, sf: a.top_candidates(_nodes(s, sf)), None)
-add("clean_conditionally", lambda s, sf: a.clean_conditionally(_nodes(s, sf)).groupBy("page_id").agg(F.count(F.lit(1)).alias("kept")), None)
-add("extract_ladder", lambda s, sf: a.extract_ladder(_nodes(s, sf)), None)
+_pages = lambda s, sf: table(s, sf, "pages")
+add("html_nodes", lambda s, sf: t.html_nodes(_pages(s, sf)), None)
+add("page_texts", lambda s, sf: t.page_trees(_pages(s, sf)).select("page_id", "text"), None)
+add("drop_unlikely", lambda s, sf: t.drop_unlikely(_pages(s, sf)).groupBy("page_id").agg(F.count(F.lit(1)).alias("kept")), None)
+add("byline", lambda s, sf: t.byline(_pages(s, sf).withColumn("html", F.concat(F.lit("<div class='byline'>By A. Writer</div>"), "html"))), None)
+add("text_density", lambda s, sf: t.text_density(_pages(s, sf), ("h1", "h2", "h3")).where("density > 0"), None)
+add("ancestor_score", lambda s, sf: t.ancestor_score(_pages(s, sf)).withColumn("score", F.round("score", 6)), None)
+add("top_candidates", lambda s, sf: t.top_candidates(_pages(s, sf)), None)
+add("clean_conditionally", lambda s, sf: t.clean_conditionally(_pages(s, sf)).groupBy("page_id").agg(F.count(F.lit(1)).alias("kept")), None)
+add("extract_ladder", lambda s, sf: t.extract_ladder(_pages(s, sf)), None)
 add("jsonld_metadata", lambda s, sf: a.jsonld_metadata(table(s, sf, "pages").withColumn("html", F.concat(F.expr("""concat('<script type="application/ld+json">{"@context":"https://schema.org","@type":"NewsArticle","headline":"H ', page_id, '","author":[{"name":"W"}],"publisher":{"name":"P"}}</script>')"""), "html"))), "select page_id, 'H ' || page_id as title, 'W' as byline, cast(null as varchar) as excerpt, 'P' as site, cast(null as varchar) as published from pages")
 add("article_table", lambda s, sf: a.article_table(table(s, sf, "pages")), None)

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import io
+import re
+import struct
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -58,25 +61,39 @@ def decode_declared(content: pd.Series, charset: pd.Series) -> pd.Series:
 def scan_archive(files: DataFrame, accept: str = ".*", max_entry: int = 32 << 20) -> DataFrame:
     """One row for each archive entry: path, entry, ord, size, flags, method, content, status.
 
-    Only entries whose name matches ``accept`` are read; others have headers alone, as have encrypted and too large
-    ones.  A file that is no archive is one row with status ``corrupt``.
+    Only entries whose name matches ``accept`` are read; others have headers alone, as have ``encrypted`` ones, ones
+    packed by an ``unsupported`` method and ones ``too-large``.  An entry whose bytes are damaged is one ``corrupt``
+    row, the others of its archive are not touched by it; a file without a readable directory is one ``corrupt`` row.
     """
-    import re
-
     wanted = re.compile(accept)
 
+    def entry(z: zipfile.ZipFile, i: zipfile.ZipInfo) -> tuple[bytes | None, str]:
+        if i.flag_bits & 1:
+            return None, "encrypted"
+        if i.compress_type not in (zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED):
+            return None, "unsupported"
+        if not wanted.search(i.filename):
+            return None, "ok"
+        if i.file_size > max_entry:
+            return None, "too-large"
+        try:
+            with z.open(i) as data:
+                content = data.read(max_entry + 1)  # headers may lie about sizes
+        except (zipfile.BadZipFile, zlib.error, OSError, EOFError, ValueError, RuntimeError, NotImplementedError, struct.error):
+            return None, "corrupt"
+        return (None, "too-large") if len(content) > max_entry else (content, "ok")
+
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
             for path, content in zip(batch["path"], batch["content"], strict=True):
+                rows = []
                 try:
-                    with zipfile.ZipFile(io.BytesIO(content)) as z:
+                    with zipfile.ZipFile(io.BytesIO(content if content is not None else b"")) as z:
                         for k, i in enumerate(z.infolist()):
-                            ok = wanted.search(i.filename) and not i.flag_bits & 1 and i.file_size <= max_entry and i.compress_type in (0, 8)
-                            rows.append((path, i.filename, k, i.file_size, i.flag_bits, i.compress_type, z.read(i) if ok else None, "ok"))
-                except (zipfile.BadZipFile, OSError, EOFError, ValueError, RuntimeError):
-                    rows.append((path, None, None, None, None, None, None, "corrupt"))
-            yield pd.DataFrame(rows, columns=["path", "entry", "ord", "size", "flags", "method", "content", "status"]).astype({c: "Int64" for c in ("ord", "size", "flags", "method")})
+                            rows.append((path, i.filename, k, i.file_size, i.flag_bits, i.compress_type, *entry(z, i)))
+                except (zipfile.BadZipFile, OSError, EOFError, ValueError, RuntimeError, NotImplementedError, struct.error):
+                    rows = [(path, None, None, None, None, None, None, "corrupt")]
+                yield pd.DataFrame(rows, columns=["path", "entry", "ord", "size", "flags", "method", "content", "status"]).astype({c: "Int64" for c in ("ord", "size", "flags", "method")})
 
     return files.select("path", "content").mapInPandas(read, "path string, entry string, ord int, size long, flags int, method int, content binary, status string")
 

@@ -48,6 +48,32 @@ def test_archives_are_listed_sniffed_and_gated(spark):
     assert drm == {"doc": False, "book": True}
 
 
+def test_a_damaged_entry_is_its_own_row(spark):
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for name in ("a.xml", "b.xml", "c.xml", "d.png"):
+            z.writestr(name, f"<{name}>" + "".join(chr(97 + (k * k) % 26) for k in range(400)))
+        places = {i.filename: i.header_offset for i in z.infolist()}
+    whole = bytearray(out.getvalue())
+    flipped = bytearray(whole)
+    for k in range(places["b.xml"] + 36, places["b.xml"] + 60):
+        flipped[k] ^= 0xFF
+    odd = bytearray(whole)
+    at = odd.rindex(b"PK\x01\x02", 0, odd.rindex(b"PK\x01\x02"))  # the directory's c.xml
+    odd[at + 10] = 99
+    locked = bytearray(whole)
+    locked[locked.index(b"PK\x01\x02") + 8] |= 1
+    cases = {"whole": whole, "flipped": flipped, "odd": odd, "locked": locked, "cut": whole[:200], "none": None, "empty": bytearray()}
+    df = spark.createDataFrame(list(cases.items()), "path string, content binary")
+    got = {(r["path"], r["entry"]): r["status"] for r in files.scan_archive(df, r"[.]xml$", 2000).collect()}
+    assert {e: s for (p, e), s in got.items() if p == "whole"} == dict.fromkeys(("a.xml", "b.xml", "c.xml", "d.png"), "ok")
+    assert {e: s for (p, e), s in got.items() if p == "flipped"} == {"a.xml": "ok", "b.xml": "corrupt", "c.xml": "ok", "d.png": "ok"}
+    assert got["odd", "c.xml"] == "unsupported" and got["odd", "b.xml"] == "ok"
+    assert got["locked", "a.xml"] == "encrypted" and got["locked", "b.xml"] == "ok"
+    assert got["cut", None] == got["none", None] == got["empty", None] == "corrupt"
+    assert {r["status"] for r in files.scan_archive(df.where("path = 'whole'"), r"[.]xml$", 100).where("entry <> 'd.png'").collect()} == {"too-large"}
+
+
 def test_preflight_at_its_limits(spark):
     mib = 1 << 20
     rows = [("ok", 32 * mib, 0, 8)] * 6 + [("ok", 28 * mib, 0, 8)] + [("over", 32 * mib, 0, 8)] * 6 + [("over", 28 * mib + 1, 0, 8)] + [("locked", 1, 1, 8), ("bad", -1, 0, 8), ("odd", 1, 0, 14)]

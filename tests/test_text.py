@@ -39,7 +39,7 @@ def test_natural_order(spark):
 def test_sanitizer_balances_and_drops(spark):
     html = "<div><p>a<script>x()</script><b>b</p></i><a href='javascript:1' onclick=x>c</a><img src='http://x'><p> </p>&lt;"
     got = article.sanitize_html(spark.createDataFrame([(1, html)], "page_id long, html string")).first()["html"]
-    assert got == "<p>a<b>b</p><a>c</a><img>&lt;</b>"
+    assert got == "<p>a<b>b</b></p><b><a>c</a>&lt;</b>"
 
 
 def test_nodes_scores_and_ladder(spark):
