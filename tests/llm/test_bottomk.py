@@ -68,36 +68,48 @@ def test_whole_table_matches_brute_force(spark, sf):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in bottomk.sketch_groups(docs).collect()} == want
 
 
-def test_least_shared_bounds_the_chance():
+def test_bounds_keep_the_chance():
     from math import comb
 
     for k, percent in ((64, 85), (64, 80), (32, 90)):
-        least = bottomk.least_shared(k, percent)
-        tail = lambda s: sum(comb(k, x) * (percent / 100) ** x * (1 - percent / 100) ** (k - x) for x in range(s))  # noqa: B023, E731
-        assert tail(least) <= 1e-12 < tail(least + 1)
+        bound = bottomk.SketchBound(k, percent, unions=400)
+        for u in (k, k + 1, k + 9, 2 * k, 390):
+            shared, least = -(-percent * u // 100), int(bound.shared(np.array([u]))[0])
+            tail = sum(comb(shared, x) * comb(u - shared, k - x) for x in range(max(0, k - u + shared), least)) / comb(u, k)
+            assert tail <= 1e-12
+        far = sum(comb(k, x) * (percent / 100) ** x * (1 - percent / 100) ** (k - x) for x in range(bound.far))
+        assert far <= 1e-12 and bound.far <= bound.least[-1]
+        # all that may differ is less than the draw: no chance is left
+        assert bound.shared(np.array([k + 1]))[0] == k - (k + 1 - -(-percent * (k + 1) // 100))
 
 
 def test_prefixes_of_linked_sets_meet():
     """Every pair at the bound or above shares a value of its prefixes, whatever the common order."""
-    rng = np.random.default_rng(4)
-    for n in (1, 3, 12, 40, 58, 64, 70, 76, 300):
+    rng, bound = np.random.default_rng(4), bottomk.SketchBound(64, 85)
+    seen = 0
+    for n in (1, 3, 12, 40, 58, 64, 70, 76, 130, 300, 6000):
         for _ in range(40):
             base = rng.integers(1, 1 << 62, n).astype(np.uint64)
             off = int(rng.integers(0, max(1, int(0.08 * n)) + 1))
-            sets = [np.sort(base), np.sort(np.concatenate([base[off:], rng.integers(1, 1 << 62, off).astype(np.uint64)]))]
+            sets = [np.sort(base), np.sort(np.concatenate([base[off:], rng.integers(1, 1 << 62, int(rng.integers(0, off + 1))).astype(np.uint64)]))]
             shared = len(np.intersect1d(*sets))
-            if 100 * shared < 85 * (2 * n - shared):
+            if 100 * shared < 85 * (len(sets[0]) + len(sets[1]) - shared):
                 continue
+            seen += 1
             values = bottomk.padded([s[:64].tobytes() for s in sets], 64)
-            size = np.array([n, n])
-            assert bottomk.may_link(values, size, np.array([0]), np.array([1]), 64, 85).all()
-            assert len(bottomk.open_pairs(values, size, 64, 85)[0]) == 1
-            take = bottomk.prefix_length(size, 64, 85)
+            size = np.array([len(s) for s in sets])
+            one, other = np.array([0]), np.array([1])
+            assert bound.may_link(values, size, one, other).all()
+            maps = [bottomk.parity_maps(s, np.array([len(s)]))[0].tobytes() for s in sets]
+            assert len(bound.open_pairs(values, size, maps, np.ones((2, 2), bool))[0]) == 1
+            assert bottomk.maps_allow(maps, size, one, other, 85).all()
+            take = bound.prefix_length(size)
             order = lambda s: sorted(s[:64].tolist(), key=lambda v: (v * 2654435761) % 1000003)
             assert set(order(sets[0])[: take[0]]) & set(order(sets[1])[: take[1]])
+    assert seen > 200
 
 
-def test_estimate_counts_the_union_s_smallest():
+def test_estimate_counts_the_smallest_of_the_union():
     values = bottomk.padded([np.array(v, np.uint64).tobytes() for v in ([1, 3, 5, 7], [1, 2, 5, 6], [9])], 4)
     shared, low = bottomk.estimate(values, np.array([0, 0]), np.array([1, 2]), 4)
     assert shared.tolist() == [2, 0] and low.tolist() == [2, 0]
