@@ -70,12 +70,22 @@ def normalize_newlines(c: Column) -> Column:
     return strip(F.regexp_replace(F.regexp_replace(c, "^\\x{FEFF}", ""), "\r\n?", "\n"))
 
 
-def clean_control_chars(c: Column, field_depth: int = 3) -> Column:
-    """Word-processor control characters: cell marks to tabs, breaks to newlines, field codes to their results."""
+def clean_control_chars(c: Column) -> Column:
+    """Word-processor control characters: cell marks to tabs, breaks to newlines, field codes to their results.
+
+    Fields may hold fields: innermost ones go first, in as many passes as begin marks are open at once.
+    """
     c = F.regexp_replace(c, r"[\x02\x05\x08]", "")
     c = F.regexp_replace(F.regexp_replace(c, r"\x07", "\t"), r"[\x0b\x0c\x0d]", "\n")
-    for _ in range(field_depth):
-        c = F.regexp_replace(c, r"\x13[^\x13\x14\x15]*\x14?([^\x13\x14\x15]*)\x15", "$1")
+    start = F.struct(F.lit(0).alias("open"), F.lit(0).alias("most"))
+
+    def step(state: Column, mark: Column) -> Column:
+        now = F.greatest(state["open"] + F.when(mark == "\x13", 1).otherwise(-1), F.lit(0))
+        return F.struct(now.alias("open"), F.greatest(state["most"], now).alias("most"))
+
+    depth = F.aggregate(F.regexp_extract_all(c, F.lit(r"[\x13\x15]"), F.lit(0)), start, step, lambda state: state["most"])
+    field = r"\x13[^\x13\x14\x15]*\x14?([^\x13\x14\x15]*)\x15"
+    c = F.aggregate(F.array_repeat(F.lit(0), depth), c, lambda text, _: F.regexp_replace(text, field, "$1"))
     c = F.regexp_replace(c, r"[\x00-\x06\x0e-\x1f]", "")
     return F.regexp_replace(c, "\n{3,}", "\n\n")
 

@@ -6,11 +6,20 @@ streams.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
+
+from readlake.operators.scans import with_previous
+from readlake.scratch import written
 
 # One schema for all frame kinds; what a kind lacks is null.
 FRAME_SCHEMA = (
@@ -97,40 +106,161 @@ def keep_ratio(page: Column, pages: Column, new_pages: Column) -> Column:
 
 def frame_diff(frames: DataFrame, order: str, value: str, over: int, share: float | None = None, cells: int | None = None) -> DataFrame:
     """Frames (arrays of grey values) with ``changed``: more than ``share`` of the samples, or ``cells`` of them or
-    more, differ by more than ``over``.  The first frame, and one of another size, counts as changed."""
-    by = Window.partitionBy("stream").orderBy(order)
-    before = F.lag(value).over(by)
-    pair = frames.withColumn("_before", before)
+    more, differ by more than ``over``.  The first frame, and one of another size, counts as changed.
+
+    The frame before comes from a scan over ranges, so that a stream of any length spreads over tasks.
+    """
+    pair = with_previous(frames, ["stream"], [order], value, "_before")
     apart = F.aggregate(F.zip_with(value, "_before", lambda a, b: (F.abs(a - b) > over).cast("int")), F.lit(0), lambda n, x: n + x)
     enough = apart > share * F.size(value) if share is not None else apart >= cells
     fresh = F.col("_before").isNull() | (F.size("_before") != F.size(value))
     return pair.withColumn("changed", F.when(fresh, True).otherwise(enough)).drop("_before")
 
 
+class Throttle:
+    """The sends of a run of frames in order of time, from whatever was sent before it.
+
+    A frame is sent when none is in flight (its receipt came, or ``wait`` passed) and ``gap`` has passed since the last
+    one.  After a send the state is the same whatever came before, so a run is a set of chains: each frame leads to
+    the next that would be sent after it, and the state before the run only picks the frame where it enters.
+    """
+
+    def __init__(self, ms: np.ndarray, receipt: np.ndarray, gap: int, wait: int):
+        self.ms, self.gap, self.late, self.n = ms, gap, max(gap, wait + 1), len(ms)
+        at = np.arange(self.n + 1)
+        ahead = lambda mask: np.minimum.accumulate(np.append(np.where(mask, at[:-1], self.n), self.n)[::-1])[::-1]
+        self.next_frame, self.next_receipt = ahead(~receipt), ahead(receipt)
+
+    def after(self, last: int, busy: bool, at: int) -> int:
+        """The first frame from position ``at`` on that is sent, or the run's length."""
+        free = at
+        if busy:
+            free = int(self.next_receipt[at])
+            timed_out = int(self.next_frame[max(at, int(np.searchsorted(self.ms, last + self.late)))])
+        else:
+            timed_out = self.n
+        return min(timed_out, int(self.next_frame[max(free, int(np.searchsorted(self.ms, last + self.gap)))]))
+
+    def end(self, last: int, busy: bool, at: int) -> tuple[int, bool]:
+        """The state when nothing is sent from ``at`` on."""
+        return last, busy and int(self.next_receipt[at]) == self.n
+
+    def sends(self, last: int | None, busy: bool) -> np.ndarray:
+        """The positions of frames sent."""
+        at = int(self.next_frame[0]) if last is None else self.after(last, busy, 0)
+        out = []
+        while at < self.n:
+            out.append(at)
+            at = self.after(int(self.ms[at]), True, at + 1)
+        return np.array(out, np.int64)
+
+    def entries(self) -> list[dict]:
+        """Every frame at which some earlier state could enter, with the state that it leads to at the end."""
+        ends: dict[int, tuple[int, bool]] = {}
+        out = []
+        at = int(self.next_frame[0])
+        while at < self.n:
+            chain, now = [], at
+            while now < self.n and now not in ends:
+                chain.append(now)
+                now = self.after(int(self.ms[now]), True, now + 1)
+            final = ends.get(now) or self.end(int(self.ms[chain[-1]]), True, chain[-1] + 1)
+            ends.update(dict.fromkeys(chain, final))
+            out.append({"ms": int(self.ms[at]), "free": int(self.next_receipt[0]) < at, "last": final[0], "busy": final[1]})
+            if self.ms[at] >= self.ms[0] + self.late:  # open to any state
+                break
+            at = int(self.next_frame[at + 1])
+        return out
+
+
+_THROTTLED = "conn long, seq long, ms long, receipt boolean, sent boolean, part int, entries array<struct<ms: long, free: boolean, last: long, busy: boolean>>, any_receipt boolean"
+
+
 def ack_throttle(frames: DataFrame, gap_ms: int = 500, wait_ms: int = 1200) -> DataFrame:
     """conn, seq, sent for every live frame: one is in flight until its receipt or ``wait_ms``, and two are ``gap_ms``
-    apart.  A fold over each connection's frames in order: a connection's rows go through in Arrow batches."""
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        conn, last, busy = None, None, False
-        for batch in batches:
-            out = []
-            for c, seq, ms, kind in batch[["conn", "seq", "ms", "type"]].itertuples(index=False):
-                if c != conn:
-                    conn, last, busy = c, None, False
-                if kind == "rendered":
-                    busy = False
-                    continue
-                if busy and ms - last > wait_ms:
-                    busy = False
-                send = not busy and (last is None or ms - last >= gap_ms)
-                if send:
-                    last, busy = ms, True
-                out.append((c, seq, send))
-            yield pd.DataFrame(out, columns=["conn", "seq", "sent"])
-
-    ordered = frames.select("conn", "seq", "ms", "type").repartition("conn").sortWithinPartitions("conn", "ms", "seq")
-    return ordered.mapInPandas(fold, "conn long, seq long, sent boolean")
+    apart.  Frames without connection or time have no place in the order and are left out.
+
+    A connection's frames are cut into ranges of time.  Each range is a function of the state before it, small because
+    only frames of its first moments can be where a state enters; the functions are applied one after another, and
+    the ranges that another state reaches run again from it.  So one busy connection spreads over tasks.
+    """
+    rows = frames.where("conn is not null and ms is not null").select(F.col("conn").cast("long"), F.col("seq").cast("long"), F.col("ms").cast("long"), F.coalesce(F.col("type") == "rendered", F.lit(False)).alias("receipt"))
+
+    throttled, done = to_arrow_schema(StructType.fromDDL(_THROTTLED)), "conn long, seq long, receipt boolean, sent boolean"
+    resumed = to_arrow_schema(StructType.fromDDL(done))
+
+    def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        for conn, table in _runs(batches, ["conn"]):
+            ms, receipt = table.column("ms").to_numpy(), table.column("receipt").to_numpy()
+            run = Throttle(ms, receipt, gap_ms, wait_ms)
+            sent = np.zeros(len(ms), bool)
+            sent[run.sends(None, False)] = True
+            yield _columns(throttled, conn=table.column("conn"), seq=table.column("seq"), ms=table.column("ms"), receipt=table.column("receipt"), sent=sent, part=np.full(len(ms), part))
+            yield _columns(throttled, conn=conn, part=[part], entries=[run.entries()], any_receipt=[bool(receipt.any())])
+
+    keys = ["conn", "ms", "seq"]
+    placed = written(rows.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(ranges, _THROTTLED))
+    maps = placed.where("entries is not null").select("conn", "part", "entries", "any_receipt")
+    several = maps.groupBy("conn").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("conn")
+
+    def follow(ranges: pd.DataFrame) -> pd.DataFrame:
+        last, busy, out = None, False, []
+        for row in ranges.sort_values("part").itertuples(index=False):
+            out.append((row.conn, row.part, last, busy))
+            entry = next((e for e in row.entries if last is None or e["ms"] >= last + (gap_ms if e["free"] or not busy else max(gap_ms, wait_ms + 1))), None)
+            last, busy = (entry["last"], entry["busy"]) if entry else (last, busy and not row.any_receipt)
+        return pd.DataFrame(out, columns=["conn", "part", "last", "busy"]).astype({"last": "Int64"})
+
+    # a row for each range of a connection that has several
+    states = maps.join(several, "conn").groupBy("conn").applyInPandas(follow, "conn long, part int, last long, busy boolean").where("last is not null")
+    states = written(states)
+    first = placed.where("entries is null").join(states, ["conn", "part"], "left_anti").select("conn", "seq", "receipt", "sent")
+    again = placed.where("entries is null").join(states, ["conn", "part"]).select("conn", "part", "seq", "ms", "receipt", "last", "busy")
+
+    def resume(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, table in _runs(batches, ["conn", "part"]):
+            run = Throttle(table.column("ms").to_numpy(), table.column("receipt").to_numpy(), gap_ms, wait_ms)
+            sent = np.zeros(table.num_rows, bool)
+            sent[run.sends(table.column("last")[0].as_py(), table.column("busy")[0].as_py())] = True
+            yield _columns(resumed, conn=table.column("conn"), seq=table.column("seq"), receipt=table.column("receipt"), sent=sent)
+
+    later = again.repartition("conn", "part").sortWithinPartitions("conn", "part", "ms", "seq").mapInArrow(resume, done)
+    return first.unionByName(later).where("not receipt").select("conn", "seq", "sent")
+
+
+def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[list, pa.Table]]:
+    """The key and rows of each stretch of a partition with equal ``keys``, none of them null."""
+    held: list[pa.RecordBatch] = []
+    now = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        change = np.zeros(batch.num_rows, bool)
+        for k in keys:
+            own = batch.column(k).to_numpy()
+            change[1:] |= own[1:] != own[:-1]
+        edges = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
+        for a, b in itertools.pairwise(edges):
+            key = [batch.column(k)[a].as_py() for k in keys]
+            if key != now and held:
+                yield now, pa.Table.from_batches(held).combine_chunks()
+                held = []
+            now = key
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield now, pa.Table.from_batches(held).combine_chunks()
+
+
+def _columns(schema: pa.Schema, **values) -> pa.RecordBatch:
+    """A batch of the given columns, nulls in the others."""
+    n = len(next(iter(values.values())))
+    made = []
+    for f in schema:
+        v = values.get(f.name)
+        v = pa.nulls(n, f.type) if v is None else v.combine_chunks() if isinstance(v, pa.ChunkedArray) else pa.array(v, f.type)
+        made.append(v.chunk(0) if isinstance(v, pa.ChunkedArray) else v)
+    return pa.RecordBatch.from_arrays(made, schema=schema)
 
 
 def drop_on_backlog(frames: DataFrame, queued: str, most: int = 256 * 1024) -> DataFrame:

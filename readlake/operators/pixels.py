@@ -28,8 +28,9 @@ def bayer_quantize(grey: Column, x: Column, y: Column, levels: int) -> Column:
 def diffuse_quantize(pixels: DataFrame, levels: int) -> DataFrame:
     """img, x, y, q by error diffusion (7, 3, 5 and 1 sixteenths), each image on its own.
 
-    An image's pixels are gathered in one row, as its order of pixels asks for; the images of a batch that share a
-    size go through numpy together, one pixel of each at a time.  Missing pixels count as black and give no row.
+    An image's pixels are gathered in one row, as its order of pixels asks for.  Pixels with the same x + 2y wait for
+    none of each other, so an image takes width + 2 × height steps, and images of a batch that share a size take them
+    together.  Missing pixels count as black and give no row.
     """
     step = 255.0 / (levels - 1)
 
@@ -39,15 +40,16 @@ def diffuse_quantize(pixels: DataFrame, levels: int) -> DataFrame:
         work = np.zeros((height + 1, width + 2, n))
         work[:height, 1 : width + 1] = grey.transpose(1, 2, 0)
         out = np.zeros((height, width, n), np.int32)
-        for y in range(height):
-            for x in range(width):
-                old = work[y, x + 1]
-                level = np.clip(np.trunc(old / step + 0.5), 0, levels - 1)
-                out[y, x] = level * step + 0.5
-                off = old - out[y, x]
-                work[y, x + 2] += off * 7 / 16
-                for k, share in ((0, 3), (1, 5), (2, 1)):
-                    work[y + 1, x + k] += off * share / 16
+        for front in range(width + 2 * (height - 1)):
+            y = np.arange(max(0, (front - width + 2) // 2), min(height - 1, front // 2) + 1)
+            x = front - 2 * y
+            old = work[y, x + 1]
+            new = (np.clip(np.trunc(old / step + 0.5), 0, levels - 1) * step + 0.5).astype(np.int32)
+            out[y, x] = new
+            off = old - new
+            # in the order in which a pixel-by-pixel pass would add to each
+            for down, k, share in ((1, 0, 3), (1, 1, 5), (1, 2, 1), (0, 2, 7)):
+                work[y + down, x + k] += off * share / 16
         return out.transpose(2, 0, 1)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from readlake.functions.text import escape_html, markdown_inline, natural_sort_key, strip
+from readlake.operators.scans import running_sums
 
 HTML_MEDIA = ("application/xhtml+xml", "text/html")
 
@@ -98,27 +99,29 @@ def fill_grid(cells: DataFrame, max_cols: int = 256) -> DataFrame:
 
 
 def take_cells(cells: DataFrame, order: list[str], max_cells: int = 60_000, max_chars: int = 400_000, max_cell: int = 32_768) -> DataFrame:
-    """The leading cells of a document until a limit is met; the cell on the border is cut."""
+    """The leading cells of a document until a limit is met; the cell on the border is cut.
+
+    Running sums over ranges of cells, so a document of any number of cells spreads over tasks.
+    """
     cut = cells.withColumn("value", F.substring("value", 1, max_cell))
-    ahead = Window.partitionBy("doc").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    run = cut.withColumns({"before": F.coalesce(F.sum(F.length("value")).over(ahead), F.lit(0)), "place": F.row_number().over(Window.partitionBy("doc").orderBy(*order))})
+    run = running_sums(cut, ["doc"], order, before=F.length("value"))
     kept = run.where((F.col("place") <= max_cells) & (F.col("before") < max_chars))
-    return kept.withColumn("value", F.substr("value", F.lit(1), (F.lit(max_chars) - F.col("before")).cast("int"))).drop("before")
+    return kept.withColumn("value", F.substr("value", F.lit(1), (F.lit(max_chars) - F.col("before")).cast("int"))).drop("before", "before_all")
 
 
 def running_budget(parts: DataFrame, doc: str, order: str, text: str, limit: int, profile: str = "cut") -> DataFrame:
     """Parts of a document until ``limit`` characters: the last is cut (``cut``), left out (``drop``) or the whole
-    document is left out (``fail``)."""
-    by = Window.partitionBy(doc).orderBy(order)
-    run = parts.withColumn("through", F.sum(F.length(text)).over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    document is left out (``fail``).  Sums run over ranges of parts, whatever one document's share of them."""
+    run = running_sums(parts, [doc], [order], before=F.length(text))
+    through = F.col("before") + F.coalesce(F.length(text), F.lit(0))
     if profile == "fail":
-        return run.withColumn("all", F.sum(F.length(text)).over(Window.partitionBy(doc))).where(F.col("all") <= limit).drop("all", "through")
-    before = F.col("through") - F.length(text)
-    if profile == "drop":
-        return run.where(F.col("through") <= limit).drop("through")
-    kept = run.where((before < limit) | (F.col("through") == 0))
-    room = (F.lit(limit) - before).cast("int")
-    return kept.withColumns({"truncated": F.col("through") > limit, text: F.substr(text, F.lit(1), room)}).drop("through")
+        kept = run.where(F.col("before_all") <= limit)
+    elif profile == "drop":
+        kept = run.where(through <= limit)
+    else:
+        room = (F.lit(limit) - F.col("before")).cast("int")
+        kept = run.where((F.col("before") < limit) | (through == 0)).withColumns({"truncated": through > limit, text: F.substr(text, F.lit(1), room)})
+    return kept.drop("place", "before", "before_all")
 
 
 def islands(rows: DataFrame, doc: str, order: str, kind: Column) -> DataFrame:
@@ -151,14 +154,36 @@ def render_table(cells: DataFrame, header: bool = True) -> DataFrame:
     return rows.groupBy("doc", "sheet").agg(F.concat(F.lit("<table>"), ordered("row", F.col("tr")), F.lit("</table>")).alias("html"))
 
 
+def _chapter(title: str, body: str, number: Column) -> Column:
+    """A chapter's body, under a heading where it has none of its own."""
+    named = F.coalesce(F.nullif(F.col(title), F.lit("")), F.concat(F.lit("Chapter "), number.cast("string")))
+    return F.concat(F.when(F.col(body).rlike("(?i)<h[1-6]"), "").otherwise(F.concat(F.lit("<h2>"), escape_html(named), F.lit("</h2>"))), body)
+
+
 def assemble_chapters(chapters: DataFrame, owner: str, order: str, title: str, body: str) -> DataFrame:
-    """owner, chapters, body: non-empty chapters numbered by position, a heading where one is missing, rules between."""
+    """owner, chapters, body: non-empty chapters numbered by position, a heading where one is missing, rules between.
+
+    One value holds a whole owner; ``assemble_in_parts`` is for owners of any size.
+    """
     filled = chapters.where(strip(F.col(body)) != "").withColumn("n", F.row_number().over(Window.partitionBy(owner).orderBy(order)))
-    head = F.when(F.col(body).rlike("(?i)<h[1-6]"), "").otherwise(F.concat(F.lit("<h2>"), escape_html(F.coalesce(F.nullif(F.col(title), F.lit("")), F.concat(F.lit("Chapter "), F.col("n").cast("string")))), F.lit("</h2>")))
-    part = F.struct("n", F.concat(head, F.col(body)).alias("html"))
+    part = F.struct("n", _chapter(title, body, F.col("n")).alias("html"))
     return filled.groupBy(owner).agg(F.count(F.lit(1)).alias("chapters"), F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda p: p["html"]), "<hr>").alias("body"))
 
 
+def assemble_in_parts(chapters: DataFrame, owner: str, order: str, title: str, body: str, part_chars: int = 1 << 20) -> DataFrame:
+    """owner, part, body: what ``assemble_chapters`` gives, cut into parts of ``part_chars`` characters (the last may be
+    shorter); parts in order joined give it back.  A chapter is cut where parts meet, so no value is longer."""
+    numbered = running_sums(chapters.where(strip(F.col(body)) != ""), [owner], [order])
+    html = F.concat(F.when(F.col("place") > 1, "<hr>").otherwise(""), _chapter(title, body, F.col("place")))
+    run = running_sums(numbered.select(owner, "place", html.alias("html")).withColumnRenamed("place", "n"), [owner], ["n"], before=F.length("html"))
+    first, last = F.floor(F.col("before") / part_chars), F.floor((F.col("before") + F.length("html") - 1) / part_chars)
+    pieces = run.select(owner, "n", "before", "html", F.explode(F.sequence(first, last)).alias("part"))
+    begin = F.greatest(F.col("part") * part_chars - F.col("before"), F.lit(0))
+    end = (F.col("part") + 1) * part_chars - F.col("before")
+    cut = pieces.select(owner, F.col("part").cast("long").alias("part"), F.struct("n", F.substr("html", (begin + 1).cast("int"), (end - begin).cast("int")).alias("html")).alias("piece"))
+    return cut.groupBy(owner, "part").agg(F.array_join(F.transform(F.array_sort(F.collect_list("piece")), lambda p: p["html"]), "").alias("body"))
+
+
 def dedup_paragraphs(paragraphs: DataFrame, doc: str, order: str, text: str, least: int = 2) -> DataFrame:
     """The first copy of each paragraph of a document, ``least`` characters or more."""
     clean = paragraphs.withColumn(text, strip(F.col(text))).where(F.length(text) >= least)

@@ -13,7 +13,6 @@ registry = Registry()
 add = registry.add
 
 _F = oracle("frames")
-_CONTENT = "case when type = 'content.begin' then seq when k % 7 = 0 then -1 else (seq - k) end"
 _JSON = """case when k % 9 = 0 then 'not json' when k % 10 = 0 then '{"id": "no type"}' else '{"type": "' || type || '", "page": ' || k || ', "grayscale": ' || (k * 5) || ', "screen": {"width": ' || (1400 + k) || '}, "x": 0.5}' end"""
 
 
@@ -67,7 +66,14 @@ def _sent(spark, sf):
 add("prefetch_pages", lambda s, sf: e.prefetch_pages(_views(s, sf), _sent(s, sf), 100), _F + f", {_VIEW}, w as (select conn, unnest([page, page + 1, page - 1, page + 2]) as page, unnest([0, 1, 2, 3]) as priority from v) select conn, page, cast(priority as integer) as priority from w where page between 0 and 99 and not exists (select 1 from frames f where f.type = 'page' and f.conn = w.conn and f.k = w.page)")
 add("evict_pages", lambda s, sf: e.evict_pages(_sent(s, sf), _views(s, sf)), _F + f", {_VIEW} select distinct f.conn, f.k as page from frames f join v on v.conn = f.conn where f.type = 'page' and abs(f.k - v.page) <= 3")
 add("keep_ratio", lambda s, sf: _frames(s, sf).select("seq", e.keep_ratio(F.col("k"), F.lit(100), F.lit(37)).alias("page")), _F + "select seq, cast(greatest(least(floor(k / 99.0 * 36 + 0.5), 36), 0) as integer) as page from frames")
-add("ack_throttle", lambda s, sf: e.ack_throttle(_frames(s, sf).where("type in ('rendered', 'page')").select("conn", "seq", (F.unix_millis(F.col("ts").cast("timestamp")) / 10000).cast("long").alias("ms"), "type")), None)
+add("ack_throttle", lambda s, sf: e.ack_throttle(_frames(s, sf).where("type in ('rendered', 'page')").select("conn", "seq", (F.unix_millis(F.col("ts").cast("timestamp")) / 10000).cast("long").alias("ms"), "type")), _F.replace("with ", "with recursive ") + """
+, n as (select conn, seq, type = 'rendered' as receipt, epoch_ms(ts) // 10000 as ms from frames where type in ('rendered', 'page')),
+r as (select *, row_number() over (partition by conn order by ms, seq) as nth from n),
+t(conn, nth, last, busy, seq, receipt, sent) as (select distinct conn, cast(0 as bigint), cast(null as bigint), false, cast(null as bigint), true, false from r
+ union all select conn, nth, case when send then ms else last end, send or (still and not receipt), seq, receipt, send from (
+  select *, not receipt and not still and (last is null or ms - last >= 500) as send from (
+   select r.conn, r.nth, t.last, r.seq, r.receipt, r.ms, t.busy and not r.receipt and r.ms - t.last <= 1200 as still from t join r on r.conn = t.conn and r.nth = t.nth + 1)))
+select conn, seq, sent from t where not receipt""")
 add("drop_on_backlog", lambda s, sf: e.drop_on_backlog(_frames(s, sf).withColumn("queued", F.col("value") * 1000), "queued", 256 * 1024).groupBy("conn").agg(F.count_if("kept").alias("kept"), F.count_if(~F.col("kept")).alias("dropped")), _F + "select conn, count(*) filter (value * 1000 <= 262144) as kept, count(*) filter (value * 1000 > 262144) as dropped from frames group by conn")
 add("full_refresh_marks", lambda s, sf: e.full_refresh_marks(_frames(s, sf).where("type = 'page'").select("conn", "seq"), 4), _F + "select conn, seq, row_number() over (partition by conn order by seq) % 4 = 0 as \"full\" from frames where type = 'page'")
 add("live_sessions", lambda s, sf: e.live_sessions(_frames(s, sf)), _F + "select conn, cast(session as bigint) as session, count(*) as frames, count(*) filter (type = 'rendered') as shown from (select *, sum(case when type = 'content.begin' then 1 else 0 end) over (partition by conn order by seq) as session from frames) where session > 0 group by conn, session")
@@ -106,7 +112,12 @@ def _bayer(spark, sf):
 
 add("bayer_quantize", lambda s, sf: _bayer(s, sf).select("img", "pos", "q"), _P + f"select img, pos, {_Q} as q from pixels")
 add("image_stats", lambda s, sf: px.image_stats(_bayer(s, sf), "grey", "q", 16), _P + f"select img, count(distinct q) as used, round(avg(q - grey), 6) as shift, bool_and(q % 17 = 0) as on_levels from (select img, {_G} as grey, {_Q} as q from pixels) group by img")
-add("diffuse_quantize", lambda s, sf: px.diffuse_quantize(adapter(s, sf, "pixels").select("img", "x", "y", _grey().alias("grey")), 16), None)
+add("diffuse_quantize", lambda s, sf: px.diffuse_quantize(adapter(s, sf, "pixels").select("img", "x", "y", _grey().alias("grey")), 16), _P.replace("with ", "with recursive ") + f"""
+, w as (select img, list({_G} order by pos) as work from pixels group by img),
+t(img, p, x, y, q, work) as (select img, -1, 0, 0, 0, work from w
+ union all select img, p, p % 8, p // 8, q, list_transform(work, lambda v, i: case when i = p + 2 and p % 8 < 7 then v + off * 7 / 16 when i = p + 8 and p % 8 > 0 then v + off * 3 / 16 when i = p + 9 then v + off * 5 / 16 when i = p + 10 and p % 8 < 7 then v + off / 16 else v end) from (
+  select *, work[p + 1] - q as off from (select img, t.p + 1 as p, work, cast(floor(greatest(least(trunc(work[t.p + 2] / 17.0 + 0.5), 15), 0) * 17 + 0.5) as integer) as q from t where t.p < 63)))
+select img, cast(x as integer) as x, cast(y as integer) as y, q from t where p >= 0""")
 add("contrast", lambda s, sf: adapter(s, sf, "pixels").select("img", "pos", F.round(px.contrast(_grey(), 3), 6).alias("grey")), _P + f"select img, pos, round(greatest(least(({_G} - 128) * 1.36 + 128, 255.0), 0.0), 6) as grey from pixels")
 _SIZES = "p_partkey, p_size * 40 as w, cast(p_retailprice as int) as h"
 add("fit_box", lambda s, sf: table(s, sf, "part").selectExpr(*_SIZES.split(", ")).select("p_partkey", *px.fit_box(F.col("w"), F.col("h"), 1404, 1872)), f"""
@@ -131,3 +142,4 @@ _FR = _P + """, f as (select img, img % 4 as stream, list({0} order by pos) as v
 _W = "cast(floor((3 * r + 4 * g + b) / 8) as integer)"
 add("frame_diff_web", lambda s, sf: e.frame_diff(_stream(s, sf, F.floor((3 * F.col("r") + 4 * F.col("g") + F.col("b")) / 8).cast("int")), "img", "values", 24, share=0.5).select("img", "changed"), _FR.format(_W, 24, "n > 32.0"))
 add("frame_diff_grid", lambda s, sf: e.frame_diff(_stream(s, sf, _grey()), "img", "values", 12, cells=48).select("img", "changed"), _FR.format(_G, 12, "n >= 48"))
+add("frame_diff_one_stream", lambda s, sf: e.frame_diff(px.frame_arrays(adapter(s, sf, "pixels"), _grey()).withColumn("stream", F.lit("all")), "img", "values", 12, cells=48).select("img", "changed"), _FR.replace("img % 4 as stream", "'all' as stream").format(_G, 12, "n >= 48"))

@@ -35,11 +35,17 @@ select doc, sheet, row, col, case type when 'A' then p_name when 'R' then case w
 add("fill_grid", lambda s, sf: r.fill_grid(adapter(s, sf, "cells").where("doc % 10 = 0").withColumn("sheet", F.lit(1)).withColumn("row", F.lit(0))), oracle("cells") + """
 , i as (select doc, 1 as sheet, 0 as row, col, min(value) as value from cells where doc % 10 = 0 and col < 256 group by all), s as (select doc, min(col) as lo, max(col) as hi from i group by doc),
 e as (select doc, unnest(range(lo, hi + 1)) as col from s) select e.doc, 1 as sheet, 0 as row, cast(e.col as integer) as col, coalesce(value, '') as value from e left join i on i.doc = e.doc and i.col = e.col""")
+add("fill_grid_whole", lambda s, sf: r.fill_grid(adapter(s, sf, "cells").withColumn("row", F.col("row") % 4)), oracle("cells") + """
+, i as (select doc, sheet, row % 4 as row, col, min(value) as value from cells where col < 256 group by all), s as (select doc, sheet, row, min(col) as lo, max(col) as hi from i group by all),
+e as (select doc, sheet, row, unnest(range(lo, hi + 1)) as col from s) select e.doc, e.sheet, e.row, cast(e.col as integer) as col, coalesce(value, '') as value from e left join i on i.doc = e.doc and i.sheet = e.sheet and i.row = e.row and i.col = e.col""")
 add("clamp_range", lambda s, sf: r.clamp_range(adapter(s, sf, "cells"), 30, 200).select("doc", "sheet", "row", "col", "truncated"), oracle("cells") + "select doc, sheet, row, col, truncated from (select *, bool_or(row >= 30 or col >= 200) over (partition by doc, sheet) as truncated from cells) where row < 30 and col < 200")
 _TC = "sheet, row, col, idx"
 add("take_cells", lambda s, sf: r.take_cells(adapter(s, sf, "cells").withColumn("doc", F.col("doc") % 50), _TC.split(", "), 500, 700, 1).select("doc", *_TC.split(", "), "value"), oracle("cells") + f"""
 , c as (select doc % 50 as doc, {_TC}, substr(value, 1, 1) as value from cells), w as (select *, row_number() over o as place, coalesce(sum(length(value)) over (partition by doc order by {_TC} rows between unbounded preceding and 1 preceding), 0) as b from c window o as (partition by doc order by {_TC}))
 select doc, {_TC}, substr(value, 1, cast(700 - b as bigint)) as value from w where place <= 500 and b < 700""")
+add("take_cells_whole", lambda s, sf: r.take_cells(adapter(s, sf, "cells").selectExpr("idx % 97 as doc", "doc as sheet", "sheet as row", "col", "idx", "value"), ["sheet", "row", "col", "idx"], 400, 700).select("doc", "sheet", "row", "col", "idx", "value"), oracle("cells") + """
+, c as (select idx % 97 as doc, doc as sheet, sheet as row, col, idx, value from cells), w as (select *, row_number() over o as place, coalesce(sum(length(value)) over (partition by doc order by sheet, row, col, idx rows between unbounded preceding and 1 preceding), 0) as b from c window o as (partition by doc order by sheet, row, col, idx))
+select doc, sheet, row, col, idx, substr(value, 1, cast(700 - b as bigint)) as value from w where place <= 400 and b < 700""")
 
 
 def _parts(spark, sf):
@@ -50,6 +56,11 @@ _PARTS = "select source, doc_id, substr(text, 1, 400) as part, sum(length(substr
 add("running_budget", lambda s, sf: r.running_budget(_parts(s, sf), "source", "doc_id", "part", 3000), f"select source, doc_id, substr(part, 1, cast(3000 - through + length(part) as bigint)) as part, through > 3000 as truncated from ({_PARTS}) where through - length(part) < 3000 or through = 0")
 add("running_budget_drop", lambda s, sf: r.running_budget(_parts(s, sf), "source", "doc_id", "part", 3000, "drop"), f"select source, doc_id, part from ({_PARTS}) where through <= 3000")
 add("running_budget_fail", lambda s, sf: r.running_budget(_parts(s, sf), "source", "doc_id", "part", 19_500, "fail"), f"select source, doc_id, part from (select *, max(through) over (partition by source) as m from ({_PARTS})) where m <= 19500")
+_WHOLE = "(select source, doc_id, text as part, coalesce(sum(length(text)) over (partition by source order by doc_id), 0) as through from documents)"
+_all_parts = lambda s, sf: table(s, sf, "documents").select("source", "doc_id", F.col("text").alias("part"))
+add("running_budget_whole", lambda s, sf: r.running_budget(_all_parts(s, sf), "source", "doc_id", "part", 40_000), f"select source, doc_id, substr(part, 1, cast(40000 - through + length(part) as bigint)) as part, through > 40000 as truncated from {_WHOLE} where through - length(part) < 40000 or through = 0")
+add("running_budget_whole_drop", lambda s, sf: r.running_budget(_all_parts(s, sf), "source", "doc_id", "part", 40_000, "drop"), f"select source, doc_id, part from {_WHOLE} where through <= 40000")
+add("running_budget_whole_fail", lambda s, sf: r.running_budget(table(s, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "part")), "doc_id", "pos", "part", 2_000, "fail").select("doc_id", F.col("pos").cast("long").alias("pos"), "part"), "with l as (select doc_id, i - 1 as pos, x[i] as part from (select doc_id, string_split(text, chr(10)) as x from documents), lateral (select unnest(range(1, len(x) + 1)) as i)) select doc_id, pos, part from (select *, sum(length(part)) over (partition by doc_id) as m from l) where m <= 2000")
 
 
 def _lines(spark, sf, mapped="regexp_replace(line, ', ', '\t')"):
@@ -72,6 +83,15 @@ add("assemble_chapters", lambda s, sf: r.assemble_chapters(table(s, sf, "documen
 with p as (select source, doc_id, case when doc_id % 3 = 0 then '' else lang end as title, coalesce(nullif(array_to_string(list_transform({d.paragraphs("substr(text, 1, 120)")}, lambda q: '<p>' || replace({d.escape("q")}, chr(10), '<br>') || '</p>'), ''), ''), '<p></p>') as body from documents),
 n as (select *, row_number() over (partition by source order by doc_id) as n from p)
 select source, count(*) as chapters, string_agg('<h2>' || coalesce(nullif(title, ''), 'Chapter ' || n) || '</h2>' || body, '<hr>' order by n) as body from n group by source""")
+add("render_table_whole", lambda s, sf: r.render_table(adapter(s, sf, "cells").select("doc", "sheet", "row", F.struct("col", "idx").alias("col"), "value")), oracle("cells") + """
+, c as (select *, min(row) over (partition by doc, sheet) as f from cells),
+t as (select doc, sheet, row, '<tr>' || string_agg(case when row = f then '<th>' || value || '</th>' else '<td>' || value || '</td>' end, '' order by col, idx, value || '</') || '</tr>' as tr from c group by doc, sheet, row)
+select doc, sheet, '<table>' || string_agg(tr, '' order by row) || '</table>' as html from t group by doc, sheet""")
+add("assemble_in_parts", lambda s, sf: r.assemble_in_parts(table(s, sf, "documents").select("source", "doc_id", F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.col("lang")).alias("title"), text_to_html(F.col("text")).alias("body")), "source", "doc_id", "title", "body", 5_000), f"""
+with p as (select source, doc_id, case when doc_id % 3 = 0 then '' else lang end as title, coalesce(nullif(array_to_string(list_transform({d.paragraphs("text")}, lambda q: '<p>' || replace({d.escape("q")}, chr(10), '<br>') || '</p>'), ''), ''), '<p></p>') as body from documents),
+n as (select *, row_number() over (partition by source order by doc_id) as n from p),
+w as (select source, string_agg('<h2>' || coalesce(nullif(title, ''), 'Chapter ' || n) || '</h2>' || body, '<hr>' order by n) as whole from n group by source)
+select source, part, substr(whole, cast(part * 5000 + 1 as bigint), 5000) as body from (select source, whole, unnest(range(0, (length(whole) + 4999) // 5000)) as part from w)""")
 add("dedup_paragraphs", lambda s, sf: r.dedup_paragraphs(_lines(s, sf, "line"), "doc_id", "pos", "line").select("doc_id", "line", F.col("pos").cast("long").alias("pos")), f"with {_LINES}, t as (select doc_id, pos, {d.strip('line')} as line from l) select doc_id, line, min(pos) as pos from t where length(line) >= 2 group by doc_id, line")
 _NM = "p_brand || ' ' || p_size || '.png'"
 _NKEY = "array_to_string(list_transform(regexp_extract_all(lower(name), '[0-9]+|[^0-9]+'), lambda x: case when regexp_matches(x, '^[0-9]') then lpad(coalesce(nullif(ltrim(x, '0'), ''), '0'), 20, '0') else x end), '')"

@@ -1,21 +1,31 @@
-"""Places in the folder that driver and executors share."""
+"""Places in the folder that driver and executors share, and tables written there."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; one of its own only where none is set (tests, a laptop)."""
+    """The session's checkpoint folder; where none is set, one of its own on a single machine, an error on a cluster."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="readlake-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="readlake-"))
     return context.getCheckpointDir()
 
 
 def new_folder(spark: SparkSession) -> str:
     """A name under it that nothing uses yet."""
     return f"{checkpoint_dir(spark).rstrip('/')}/readlake-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet there and read again: lineage ends, and a lost executor costs only the tasks that read it."""
+    path = new_folder(df.sparkSession)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+
 from readlake.operators.events import parse_frames
 
 #: State of a connection without frames for so long is dropped.
@@ -161,3 +163,54 @@ def by_connection(frames: DataFrame, rule: ConnectionRule) -> DataFrame:
         yield pd.DataFrame(out, columns=rule.COLUMNS)
 
     return frames.groupBy("conn").applyInPandasWithState(run, rule.SCHEMA, rule.STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+class JobDeadline(StatefulProcessor):
+    """The state of a job whenever it changes, and ``timeout`` once the watermark passes ``limit_ms`` after its first
+    poll without an end: a timer brings that out, no further poll of the job is needed."""
+
+    SCHEMA = "job string, state string"
+
+    def __init__(self, limit_ms: int):
+        self.limit_ms = limit_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.seen = handle.getValueState("seen", "first long, ms long, seq long, state string")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        first, ms, seq, state = self.seen.get() if self.seen.exists() else (None, None, None, None)
+        before = state
+        for batch in rows:
+            for row in batch.sort_values(["ms", "seq"]).itertuples(index=False):
+                first = int(row.ms) if first is None else min(first, int(row.ms))
+                if ms is None or (int(row.ms), int(row.seq)) >= (ms, seq):
+                    ms, seq, state = int(row.ms), int(row.seq), str(row.state)
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.seen.update((first, ms, seq, state))
+        if state not in ("done", "failed"):
+            # a poll at the limit or after it is too late already
+            if ms - first >= self.limit_ms:
+                state = "timeout"
+                self.seen.update((first, ms, seq, state))
+            else:
+                self.handle.registerTimer(first + self.limit_ms)
+        yield pd.DataFrame({"job": [key[0]], "state": [state]} if state != before else {"job": [], "state": []})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        first, ms, seq, _ = self.seen.get()
+        self.seen.update((first, ms, seq, "timeout"))
+        yield pd.DataFrame({"job": [key[0]], "state": ["timeout"]})
+
+    def close(self) -> None:
+        pass
+
+
+def job_status(polls: DataFrame, limit_s: int, late: str = "0 seconds") -> DataFrame:
+    """job, state of a stream of polls (job, ts, seq, state), as ``JobDeadline`` puts them out; for update mode.
+
+    Needs the RocksDB state store: ``spark.sql.streaming.stateStore.providerClass``.
+    """
+    timed = with_event_time(polls, "ts", late).select(F.col("job").cast("string"), "ts", F.unix_millis("ts").alias("ms"), F.col("seq").cast("long"), F.col("state").cast("string"))
+    return timed.groupBy("job").transformWithStateInPandas(JobDeadline(limit_s * 1000), JobDeadline.SCHEMA, "Update", "EventTime")

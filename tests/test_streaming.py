@@ -73,3 +73,21 @@ def test_in_flight_gate(spark, tmp_path):
 def test_frames_from_json(spark, tmp_path):
     (tmp_path / "a.json").write_text('{"conn": 1, "seq": 1, "json": "{\\"type\\": \\"hello\\"}"}\n{"conn": 1, "seq": 2, "json": "not json"}\n')
     assert run(spark, s.read_frames(spark, str(tmp_path)).select("conn", "seq", "type")).collect() == [(1, 1, "hello")]
+
+
+def test_a_silent_job_times_out(spark, tmp_path):
+    """Job a says nothing after its first poll; the others' polls move the watermark past its limit."""
+    at = lambda second: f"2024-01-01 00:{second // 60:02}:{second % 60:02}"
+    polls = [("a", at(0), 1, "running"), ("b", at(0), 2, "running"), ("c", at(1), 3, "running"), ("b", at(50), 4, "done"), ("d", at(90), 5, "running"), ("c", at(95), 6, "failed"), ("e", at(400), 7, "running"), ("d", at(410), 8, "done")]
+    schema = "job string, ts string, seq long, state string"
+    for k in range(0, len(polls), 2):
+        spark.createDataFrame(polls[k : k + 2], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "p"))
+    key = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "p")).withColumn("ts", F.to_timestamp("ts"))
+        got = run(spark, s.job_status(stream, 100), "update").collect()
+    finally:
+        spark.conf.unset(key)
+    assert {("a", "running"), ("a", "timeout"), ("b", "done"), ("c", "failed"), ("e", "running")} <= {tuple(r) for r in got}
+    assert ("b", "timeout") not in {tuple(r) for r in got} and ("c", "timeout") not in {tuple(r) for r in got}
