@@ -115,16 +115,24 @@ def normalize_path(base: Column, target: Column) -> Column:
 
 
 def absolutize(base: Column, link: Column) -> Column:
-    """``link`` as an absolute address on the page ``base``; script links become empty."""
+    """``link`` as an absolute address on the page ``base``, escapes as they are; script links become empty."""
     scheme, host = F.regexp_extract(base, "^([a-zA-Z]+):", 1), F.regexp_extract(base, "^([a-zA-Z]+://[^/?#]+)", 1)
     path = F.concat(F.lit("/"), F.regexp_extract(base, "^[a-zA-Z]+://[^/?#]+/?([^?#]*)", 1))
-    tail = F.regexp_extract(link, "([?#].*)$", 1)
+    own, tail = F.regexp_replace(link, "[?#].*$", ""), F.regexp_extract(link, "([?#].*)$", 1)
+    parts = F.split(F.when(own.startswith("/"), own).otherwise(F.concat(F.regexp_replace(path, "[^/]*$", ""), own)), "/")
+
+    def step(done: Column, part: Column) -> Column:
+        return F.when(part.isin("", "."), done).when(part == "..", F.regexp_replace(done, "/[^/]*$", "")).otherwise(F.concat(done, F.lit("/"), part))
+
+    # a path that ends in a folder keeps its slash
+    resolved = F.concat(F.aggregate(parts, F.lit(""), step), F.when(F.element_at(parts, -1).isin("", ".", ".."), "/").otherwise(""))
     return (
         F.when(link.rlike("(?i)^\\s*javascript:"), F.lit(""))
         .when(link.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:"), link)
         .when(link.startswith("//"), F.concat(scheme, F.lit(":"), link))
-        .when(link.startswith("#"), F.concat(F.regexp_replace(base, "#.*$", ""), link))
-        .otherwise(F.concat(host, F.lit("/"), normalize_path(path, link), tail))
+        .when((link == "") | link.startswith("#"), F.concat(F.regexp_replace(base, "#.*$", ""), link))
+        .when(link.startswith("?"), F.concat(host, path, link))
+        .otherwise(F.concat(host, resolved, tail))
     )
 
 

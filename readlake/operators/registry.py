@@ -77,9 +77,22 @@ def active_config(configs: DataFrame, preferred: DataFrame, owner: str) -> DataF
     return uniqued(good.withColumn("rank", F.when(F.col("id") == F.col("wish"), 0).otherwise(1)), [owner], ["rank", "id"]).select(owner, "id")
 
 
+#: Settings up to this number are a literal list in the plan.
+FEW_SETTINGS = 1000
+
+
 def with_defaults(stored: DataFrame, defaults: DataFrame, key: str = "name") -> DataFrame:
-    """Every setting of ``defaults(name, value, low, high)`` per owner, the stored value within its limits."""
-    owners = stored.select("owner").distinct()
-    wanted = owners.join(F.broadcast(defaults.withColumnRenamed("value", "default")))
+    """Every setting of ``defaults(name, value, low, high)`` per owner, the stored value within its limits.
+
+    A list of settings as an application has it is counted and becomes a literal that each owner explodes; a longer one
+    meets the owners in a distributed product.
+    """
+    owners, named = stored.select("owner").distinct(), defaults.select(key, F.col("value").alias("default"), "low", "high")
+    few = named.limit(FEW_SETTINGS + 1).collect()
+    if len(few) > FEW_SETTINGS:
+        wanted = owners.crossJoin(named)
+    else:
+        settings = F.array(*(F.struct(*(F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, named.schema.fields, strict=True))) for row in few))
+        wanted = owners.select("owner", F.explode(settings).alias("s")).select("owner", "s.*") if few else owners.crossJoin(named)
     value = F.greatest(F.least(F.coalesce("value", "default"), F.col("high")), F.col("low"))
     return wanted.join(stored, ["owner", key], "left").select("owner", key, value.alias("value"))

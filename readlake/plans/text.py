@@ -70,9 +70,25 @@ def safe_href(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", links).withColumn("safe", t.safe_href(F.col("href")))
 
 
-@add.query("absolutize_urls", None)
+_MORE_LINKS = ("../up/./a%20b.html?x=1#y", "/root/../z/", "//other.org/q", "?only=query", "#top", "", "javascript:x()", "mailto:a@b.c", "..", "a/b/")
+
+
+def _resolved(parts: str) -> str:
+    """Path segments folded to a path, the oracle's way."""
+    return f"list_reduce(list_prepend('', {parts}), lambda a, q: case when q in ('', '.') then a when q = '..' then regexp_replace(a, '/[^/]*$', '') else a || '/' || q end)"
+
+
+@add.query("absolutize_urls", f"""
+with l as (select page_id, url, unnest(h) as href, cast(unnest(range(0, len(h))) as integer) as pos from (select page_id, url, list_concat(regexp_extract_all(html, {d.quote(_LINKS)}, 1), [{", ".join(map(d.quote, _MORE_LINKS))}]) as h from pages)),
+b as (select *, regexp_extract(url, '^([a-zA-Z]+://[^/?#]+)', 1) as host, '/' || regexp_extract(url, '^[a-zA-Z]+://[^/?#]+/?([^?#]*)', 1) as path, regexp_replace(href, '[?#].*$', '') as own from l),
+p as (select *, string_split(case when starts_with(own, '/') then own else regexp_replace(path, '[^/]*$', '') || own end, '/') as parts from b)
+select page_id, pos, href, case when regexp_matches(href, '(?i)^\\s*javascript:') then '' when regexp_matches(href, '^[a-zA-Z][a-zA-Z0-9+.-]*:') then href when starts_with(href, '//') then regexp_extract(url, '^([a-zA-Z]+):', 1) || ':' || href
+ when href = '' or starts_with(href, '#') then regexp_replace(url, '#.*$', '') || href when starts_with(href, '?') then host || path || href
+ else host || {_resolved("parts")} || case when parts[len(parts)] in ('', '.', '..') then '/' else '' end || regexp_extract(href, '([?#].*)$', 1) end as absolute,
+ ltrim({_resolved("string_split('a/b/../' || url_decode(own), '/')")}, '/') as path from p""")
 def absolutize_urls(spark: SparkSession, sf: str) -> DataFrame:
-    links = table(spark, sf, "pages").select("page_id", "url", F.posexplode(F.regexp_extract_all("html", F.lit(_LINKS), 1)).alias("pos", "href"))
+    every = F.concat(F.regexp_extract_all("html", F.lit(_LINKS), 1), F.array(*map(F.lit, _MORE_LINKS)))
+    links = table(spark, sf, "pages").select("page_id", "url", F.posexplode(every).alias("pos", "href"))
     return links.select("page_id", "pos", "href", t.absolutize(F.col("url"), F.col("href")).alias("absolute"), t.normalize_path(F.lit("a/b/c.html"), F.concat(F.lit("../"), "href")).alias("path"))
 
 

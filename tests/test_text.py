@@ -65,6 +65,23 @@ def test_device_and_book_limits(spark):
     assert len(got) == 20 and got[23] == 9
 
 
+def test_links_resolve_as_in_browsers(spark):
+    base = "https://e.org/a/b/c.html?q=1#f"
+    want = {"d.html": "https://e.org/a/b/d.html", "../d%20e/": "https://e.org/a/d%20e/", "/x/./y/../z?k#h": "https://e.org/x/z?k#h", "../../../..": "https://e.org/", "?n": "https://e.org/a/b/c.html?n", "": "https://e.org/a/b/c.html?q=1", "#top": "https://e.org/a/b/c.html?q=1#top", "//h/p": "https://h/p", "http://o/": "http://o/", "javascript:x": "", ".": "https://e.org/a/b/"}
+    df = spark.createDataFrame([(base, k) for k in want], "base string, link string")
+    assert {r["link"]: r["a"] for r in df.select("link", t.absolutize(F.col("base"), F.col("link")).alias("a")).collect()} == want
+
+
+def test_defaults_by_list_and_by_product(spark, monkeypatch):
+    stored = spark.createDataFrame([("a", "size", 5.0), ("a", "other", 1.0), ("b", "size", None), ("c", "margin", 900.0)], "owner string, name string, value double")
+    defaults = spark.createDataFrame([("size", 16.0, 8.0, 64.0), ("margin", 24.0, 0.0, 120.0)], "name string, value double, low double, high double")
+    want = {("a", "size"): 8.0, ("a", "margin"): 24.0, ("b", "size"): 16.0, ("b", "margin"): 24.0, ("c", "size"): 16.0, ("c", "margin"): 120.0}
+    for most in (1000, 1):
+        monkeypatch.setattr(registry, "FEW_SETTINGS", most)
+        assert {(r["owner"], r["name"]): r["value"] for r in registry.with_defaults(stored, defaults).collect()} == want
+    assert registry.with_defaults(stored, defaults.limit(0)).collect() == [] and registry.with_defaults(stored.limit(0), defaults).collect() == []
+
+
 def test_chat_context_keeps_the_last(spark):
     rows = [(1, i, "user" if i % 2 == 0 else "assistant", f"m{i}") for i in range(25)] + [(1, 25, "user", "question")]
     got = chat.chat_context(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), 20).orderBy("turn").collect()
