@@ -46,14 +46,14 @@ def pptx_slides(slide_ids: DataFrame, rels: DataFrame, files: DataFrame) -> Data
 
 
 def pptx_text(shapes: DataFrame) -> DataFrame:
-    """doc, n, title, body: the title placeholder or first block as the slide's title, the rest as paragraphs.
-    ``shapes(doc, n, pos, kind, text)``; kind is title, text or table (tables come as HTML)."""
+    """doc, n, title, body: the title placeholder or first block as the slide's title, the rest as paragraphs, tables
+    after them.  ``shapes(doc, n, pos, kind, text)``; kind is title, text or table (tables come as HTML)."""
     filled = shapes.where(strip(F.col("text")) != "")
-    rank = F.struct(F.when(F.col("kind") == "title", 0).when(F.col("kind") == "text", 1).otherwise(2), F.col("pos"))
+    rank = F.struct(F.when(F.col("kind") == "title", 0).otherwise(1), F.col("pos"))
     head = filled.where("kind <> 'table'").groupBy("doc", "n").agg(F.min_by(F.struct("pos", "text"), rank).alias("h")).select("doc", "n", F.col("h.pos").alias("title_pos"), F.col("h.text").alias("title"))
     both = filled.join(head, ["doc", "n"], "left")
     block = F.when(F.col("kind") == "table", F.col("text")).otherwise(F.concat(F.lit("<p>"), escape_html(F.col("text")), F.lit("</p>")))
-    part = F.when(~F.col("pos").eqNullSafe(F.col("title_pos")), F.struct("pos", block.alias("html")))
+    part = F.when(~F.col("pos").eqNullSafe(F.col("title_pos")), F.struct((F.col("kind") == "table").alias("last"), "pos", block.alias("html")))
     return both.groupBy("doc", "n").agg(F.first("title").alias("title"), F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda p: p["html"]), "").alias("body"))
 
 

@@ -50,14 +50,21 @@ def _docx(spark, sf):
 add("docx_blocks", _docx, f"""with r as (select doc_id as doc, cast(unnest(range(0, len(x))) as integer) as pos, unnest(x) as text from (select doc_id, string_split(text, chr(10)) as x from documents)),
 s as (select doc, pos, text, cast(case pos % 4 when 0 then 1 + pos % 6 when 1 then 1 else 0 end as integer) as level from r where trim(text) <> '')
 select doc, pos, level, '<' || case when level > 0 then 'h' || level else 'p' end || '>' || replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</' || case when level > 0 then 'h' || level else 'p' end || '>' as html from s""")
-_SH = "select l_orderkey as doc, l_linenumber as pos, l_partkey % 3 as n, case l_partkey % 4 when 0 then 'title' when 1 then 'table' else 'text' end as kind, l_returnflag || l_linestatus as text from "
+_SH = "select l_orderkey as doc, l_linenumber as pos, min(l_partkey) % 3 as n, case min(l_partkey) % 4 when 0 then 'title' when 1 then 'table' else 'text' end as kind, min(l_returnflag || l_linestatus) as text from {lineitem} group by l_orderkey, l_linenumber"
 
 
 def _shapes(spark, sf):
-    return rebuild.pptx_text(spark.sql(_SH + "{lineitem}", lineitem=table(spark, sf, "lineitem").dropDuplicates(["l_orderkey", "l_linenumber"])))
+    return rebuild.pptx_text(spark.sql(_SH, lineitem=table(spark, sf, "lineitem")))
 
 
-add("pptx_text", _shapes, None)
+add("pptx_text", _shapes, f"""
+with s as ({_SH.format(lineitem='lineitem')}), h as (select doc, n, arg_min(struct_pack(pos := pos, text := text), (case kind when 'title' then 0 else 1 end, pos)) as h from s where kind <> 'table' group by doc, n)
+select s.doc, cast(s.n as bigint) as n, any_value(h.h.text) as title, coalesce(string_agg(case when kind = 'table' then s.text else '<p>' || s.text || '</p>' end, '' order by kind = 'table', s.pos) filter (h.h is null or s.pos <> h.h.pos), '') as body
+from s left join h using (doc, n) group by s.doc, s.n""")
+_OCR_ALL = "(select doc_id, unnest(range(0, len(x))) as pos, trim(unnest(x)) as text from (select doc_id, string_split(text, chr(10)) as x from documents where doc_id % 9 <> 0))"
+add("ocr_text_whole", lambda s, sf: files.ocr_text(s.sql(_OCR.replace("slice(split(text, '\\n'), 1, 3)", "split(text, '\\n')"), documents=table(s, sf, "documents")), "doc_id"), f"with p as (select doc_id, string_agg(text, chr(10) || chr(10) order by pos) as text from {_OCR_ALL} where text <> '' group by doc_id) select d.doc_id, coalesce(p.text, '') as text, case when p.text is null then 'empty' else 'ok' end as status from documents d left join p using (doc_id)")
+add("list_saved_whole", lambda s, sf: files.list_saved(_saved(s, sf), table(s, sf, "documents").selectExpr("doc_id as id", "case when doc_id % 5 = 0 then '' else lang end as title", "n_chars as time")), "select id, coalesce(nullif(title, ''), 'untitled') as title, time, cast(size as bigint) as size from (select user_id as id, sum(cast(trunc(value * 100) as bigint)) as size from events group by 1) join (select doc_id as id, case when doc_id % 5 = 0 then '' else lang end as title, n_chars as time from documents) using (id)")
+add("html_frames_whole", lambda s, sf: files.html_frames(table(s, sf, "documents").selectExpr("doc_id as id", "lang as title", "text as body")).select(F.get_json_object("json", "$.type").alias("type"), F.get_json_object("json", "$.id").alias("id"), F.get_json_object("json", "$.title").alias("title"), F.get_json_object("json", "$.body").alias("body")), "select 'html' as type, cast(doc_id as varchar) as id, lang as title, text as body from documents")
 add("xlsx_sheets", lambda s, sf: rebuild.xlsx_sheets(table(s, sf, "orders").selectExpr("o_custkey as doc", "o_orderkey as ord", "concat('r', o_orderkey) as rid", "o_orderpriority as name"), table(s, sf, "orders").where("o_orderkey % 3 <> 0").selectExpr("o_custkey as doc", "concat('r', o_orderkey) as id", "concat(case when o_orderkey % 2 = 0 then '/xl/' else '' end, 'worksheets/s', o_orderkey, '.xml') as target")), "select o_custkey as doc, o_orderkey as ord, o_orderpriority as name, case when o_orderkey % 3 <> 0 then 'xl/worksheets/s' || o_orderkey || '.xml' else 'xl/worksheets/sheet' || o_orderkey || '.xml' end as entry from orders")
 
 
