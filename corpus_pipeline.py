@@ -5,7 +5,7 @@ result as Parquet in the shared folder and reads it again for the next.  All sta
 of ``documents``.
 
 1. quality: rejects documents that the line classifier scores under 0.7.
-2. near duplicates: one document of each group linked by 3-word shingles at Jaccard 0.9 stays.
+2. near duplicates: one document of each group linked by 5-word shingles at Jaccard 0.8 stays.
 3. decontamination: documents with a benchmark passage go.
 4. secrets: what the scan finds is replaced by a placeholder; ``n_chars`` follows the text.
 5. packing: token pieces with their sequences and places.
@@ -31,18 +31,24 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return jaccard.one_of_each(docs, written(jaccard.shingle_groups(docs, shingle=3, percent=90)))
+    """One row of each group of near copies, that with the smallest id; rows without words all stay, as do rows that
+    share an id but not the text."""
+    return jaccard.one_of_each(docs, written(jaccard.shingle_groups(docs, shingle=5, percent=80)))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows in whose text no item of ``benchmark`` is found; null and empty texts stay, an empty benchmark drops none."""
     return decontaminate.without_leaks(docs, _table(spark, sf_dir, "benchmark"), shingle=5, percent=80)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row, secrets replaced in its text and ``n_chars`` counted again where something was; null texts stay null."""
     return secrets.with_redactions(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every row's tokens (null text: its end token alone)
+    in sequences of 2,048; repeated rows are packed each."""
     import public_tokenizers
 
     pieces = written(packing.token_pieces(docs, public_tokenizers.path("word_bpe_49k.json"), 2048, 0))
@@ -62,6 +68,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over the whole of ``documents``, each on what the one before wrote; an empty table gives no rows."""
     docs = _table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir))

@@ -439,15 +439,16 @@ def one_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
     The row's own id and text decide, so rows that share an id without being near copies all stay, and a null id is
     like any other.  Of rows that repeat with id and text, one stays; rows without words all do.
     """
-    ids = [docs["doc_id"].cast("long").eqNullSafe(F.col("its_id")), text_copy(docs).eqNullSafe(F.col("its_copy"))]
+    # columns by their table: ``docs`` may have any names
+    same = lambda other: [docs["doc_id"].cast("long").eqNullSafe(other["its_id"]), text_copy(docs).eqNullSafe(other["its_copy"])]
     named = lambda df: df.select(F.col("doc_id").alias("its_id"), F.col("copy").alias("its_copy"))
     out = named(groups.where("not stays")).distinct()
-    kept = docs.join(small(out, out.count()), ids, "left_anti")
+    kept = docs.join(small(out, out.count()), same(out), "left_anti")
     twice = named(groups.where("stays and n_shingles > 0").groupBy("doc_id", "copy").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     if twice.isEmpty():
         return kept
-    alone = kept.join(twice, ids, "left_anti")
-    return alone.unionByName(kept.join(twice, ids, "left_semi").dropDuplicates(["doc_id", "text"]))
+    alone = kept.join(twice, same(twice), "left_anti")
+    return alone.unionByName(kept.join(twice, same(twice), "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def brute_force_groups(texts: dict[int, str | None], shingle: int, percent: int, words: Callable[[str], list[str]]) -> dict[int, tuple[int, int]]:

@@ -11,13 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """A new folder name under ``spark.checkpoint.dir``.
 
-    Where the setting is absent (tests, a laptop) one local folder is made for the session.
+    Where the setting is absent one local folder is made for the session on a single machine; a cluster must have it.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         if known.isDefined():
             base = known.get()
+        elif not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         else:
             base = "file://" + tempfile.mkdtemp(prefix="readlake-")
             spark.sparkContext.setCheckpointDir(base)

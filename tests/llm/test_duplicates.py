@@ -195,3 +195,12 @@ def test_one_of_each_goes_by_row(spark):
     assert sorted(t[:2] for t in (r["text"] for r in jaccard.one_of_each(again, jaccard.shingle_groups(again)).collect())) == ["o0", "w0"]
     none = df.limit(0)
     assert jaccard.one_of_each(none, jaccard.shingle_groups(none)).collect() == []
+
+
+def test_one_of_each_with_names_of_its_own(spark):
+    rows = [(1, "a b c d e f", 7, "p"), (2, "a b c d e f", 8, "q"), (2, "a b c d e f", 9, "r"), (3, "g h i", 1, "s")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, its_id long, its_copy string")
+    kept = jaccard.one_of_each(df, jaccard.shingle_groups(df, shingle=5, percent=80))
+    assert kept.columns == df.columns and sorted(tuple(r) for r in kept.collect()) == [rows[0], rows[3]]
+    again = df.where("doc_id = 2")
+    assert len(jaccard.one_of_each(again, jaccard.shingle_groups(again)).collect()) == 1
