@@ -58,6 +58,28 @@ def decode_declared(content: pd.Series, charset: pd.Series) -> pd.Series:
     return pd.Series([one(d, n) for d, n in zip(content, charset, strict=True)])
 
 
+#: What reading a damaged archive or entry raises.
+BROKEN = (zipfile.BadZipFile, zlib.error, OSError, EOFError, ValueError, RuntimeError, NotImplementedError, struct.error)
+
+
+def read_entry(z: zipfile.ZipFile, i: zipfile.ZipInfo, wanted: re.Pattern, most: int) -> tuple[bytes | None, str]:
+    """An entry's bytes, if its name is wanted, and its status."""
+    if i.flag_bits & 1:
+        return None, "encrypted"
+    if i.compress_type not in (zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED):
+        return None, "unsupported"
+    if not wanted.search(i.filename):
+        return None, "ok"
+    if i.file_size > most:
+        return None, "too-large"
+    try:
+        with z.open(i) as data:
+            content = data.read(most + 1)  # headers may lie about sizes
+    except BROKEN:
+        return None, "corrupt"
+    return (None, "too-large") if len(content) > most else (content, "ok")
+
+
 def scan_archive(files: DataFrame, accept: str = ".*", max_entry: int = 32 << 20) -> DataFrame:
     """One row for each archive entry: path, entry, ord, size, flags, method, content, status.
 
@@ -67,22 +89,6 @@ def scan_archive(files: DataFrame, accept: str = ".*", max_entry: int = 32 << 20
     """
     wanted = re.compile(accept)
 
-    def entry(z: zipfile.ZipFile, i: zipfile.ZipInfo) -> tuple[bytes | None, str]:
-        if i.flag_bits & 1:
-            return None, "encrypted"
-        if i.compress_type not in (zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED):
-            return None, "unsupported"
-        if not wanted.search(i.filename):
-            return None, "ok"
-        if i.file_size > max_entry:
-            return None, "too-large"
-        try:
-            with z.open(i) as data:
-                content = data.read(max_entry + 1)  # headers may lie about sizes
-        except (zipfile.BadZipFile, zlib.error, OSError, EOFError, ValueError, RuntimeError, NotImplementedError, struct.error):
-            return None, "corrupt"
-        return (None, "too-large") if len(content) > max_entry else (content, "ok")
-
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"], strict=True):
@@ -90,8 +96,8 @@ def scan_archive(files: DataFrame, accept: str = ".*", max_entry: int = 32 << 20
                 try:
                     with zipfile.ZipFile(io.BytesIO(content if content is not None else b"")) as z:
                         for k, i in enumerate(z.infolist()):
-                            rows.append((path, i.filename, k, i.file_size, i.flag_bits, i.compress_type, *entry(z, i)))
-                except (zipfile.BadZipFile, OSError, EOFError, ValueError, RuntimeError, NotImplementedError, struct.error):
+                            rows.append((path, i.filename, k, i.file_size, i.flag_bits, i.compress_type, *read_entry(z, i, wanted, max_entry)))
+                except BROKEN:
                     rows = [(path, None, None, None, None, None, None, "corrupt")]
                 yield pd.DataFrame(rows, columns=["path", "entry", "ord", "size", "flags", "method", "content", "status"]).astype({c: "Int64" for c in ("ord", "size", "flags", "method")})
 

@@ -4,7 +4,7 @@ import zipfile
 from pyspark.sql import functions as F
 
 from readlake.operators import routing
-from readlake.sources import files
+from readlake.sources import archives, files
 
 
 def archive(entries):
@@ -74,6 +74,37 @@ def test_a_damaged_entry_is_its_own_row(spark):
     assert {r["status"] for r in files.scan_archive(df.where("path = 'whole'"), r"[.]xml$", 100).where("entry <> 'd.png'").collect()} == {"too-large"}
 
 
+def test_archives_are_read_by_entry(spark, tmp_path):
+    names = [f"dir/{k:03}.xml" for k in range(40)]
+    data = {n: bytes((k * 31 + j * j) % 251 for j in range(3000)) for k, n in enumerate(names)}
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "large.zip").write_bytes(archive(data))
+    (tmp_path / "in" / "small.zip").write_bytes(archive({"a.xml": b"<a/>", "b.png": b"1"}))
+    (tmp_path / "in" / "no.zip").write_bytes(b"PK\x03\x04 broken" * 3000)
+    damaged = bytearray(archive(data))
+    damaged[damaged.index(data[names[7]][:500]) + 9] ^= 1
+    (tmp_path / "in" / "damaged.zip").write_bytes(damaged)
+    df = archives.read_archives(spark, f"file://{tmp_path}/in", r"[.]xml$", split_bytes=20_000)
+    assert df.rdd.getNumPartitions() >= 12
+    got = {(r["path"].rsplit("/", 1)[1], r["entry"]): r for r in df.collect()}
+    assert len(got) == 40 + 2 + 1 + 40
+    assert all(bytes(got["large.zip", n]["content"]) == data[n] and got["large.zip", n]["ord"] == k for k, n in enumerate(names))
+    assert {n for n in names if got["damaged.zip", n]["status"] == "corrupt"} == {names[7]}
+    assert got["no.zip", None]["status"] == "corrupt" and got["small.zip", "b.png"]["content"] is None
+    same = files.scan_archive(files.scan_files(spark, f"file://{tmp_path}/in"), r"[.]xml$")
+    assert {(r["path"].rsplit("/", 1)[1], r["entry"]): (r["ord"], r["size"], r["flags"], r["method"], r["content"], r["status"]) for r in same.collect()} == {k: (r["ord"], r["size"], r["flags"], r["method"], r["content"], r["status"]) for k, r in got.items()}
+    (tmp_path / "none").mkdir()
+    assert archives.read_archives(spark, f"file://{tmp_path}/none").collect() == []
+
+
+def test_filters_reach_the_archive_reader(spark, tmp_path):
+    (tmp_path / "a.zip").write_bytes(archive({"x/1.xml": b"1" * 10, "x/2.xml": b"2" * 2000, "y/3.xml": b"3"}))
+    df = archives.read_archives(spark, f"file://{tmp_path}/a.zip").where("entry like 'x/%' and size <= 100")
+    assert [r["entry"] for r in df.collect()] == ["x/1.xml"]
+    assert " Filter (" not in df._jdf.queryExecution().executedPlan().toString()
+    assert [r["entry"] for r in archives.read_archives(spark, f"file://{tmp_path}/a.zip").where("length(entry) > 3 and method = 0 and entry <> 'x/1.xml'").collect()] == ["x/2.xml", "y/3.xml"]
+
+
 def test_preflight_at_its_limits(spark):
     mib = 1 << 20
     rows = [("ok", 32 * mib, 0, 8)] * 6 + [("ok", 28 * mib, 0, 8)] + [("over", 32 * mib, 0, 8)] * 6 + [("over", 28 * mib + 1, 0, 8)] + [("locked", 1, 1, 8), ("bad", -1, 0, 8), ("odd", 1, 0, 14)]
