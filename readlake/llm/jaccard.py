@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from readlake.llm.components import components
-from readlake.llm.shared import written
+from readlake.llm.shared import give_back, written
 from readlake.llm.textkit import LOWER, U64, binary_column, mix, shingle_hashes, slices, span_hashes, text_bytes, word_spans
 
 _SLOT_BITS, _BLOCK_SLOTS = 21, 1 << 16
@@ -244,6 +244,7 @@ def _join_groups(members: DataFrame, nodes: DataFrame, texts: DataFrame, sets_of
                 node, data, size = sets_of(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 rows = batch.slice(i, j - i).drop_columns(["text"]).append_column("keys", binary_column(data.view(np.uint8), size * 8))
                 yield rows.filter(pa.array(node == rows.column("node").to_numpy()))  # an id may repeat with another text
+        give_back()
 
     def promising(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in _whole_groups(batches, by, 5000):
@@ -268,6 +269,7 @@ def _join_groups(members: DataFrame, nodes: DataFrame, texts: DataFrame, sets_of
                     keep[i[ok]] = keep[j[ok]] = True
                     shift += 1
             yield pa.RecordBatch.from_pandas(frame.loc[keep, [*by, "node", "comp", "probe"]], preserve_index=False)
+        give_back()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         groups = (frame.iloc[a:b] for frame in _whole_groups(batches, by, 2000) for a, b in itertools.pairwise(_group_edges(frame, by)))
@@ -277,6 +279,7 @@ def _join_groups(members: DataFrame, nodes: DataFrame, texts: DataFrame, sets_of
             nodes_ = group["node"].tolist()
             found = [(nodes_[p], nodes_[k]) for p in np.flatnonzero(group["probe"].to_numpy()) for k in trie.links(p)]
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
+        give_back()
 
     fields = "key long, home int, guests int, node long, comp long, probe boolean"
     mapped = members.join(nodes.where("first_doc is not null").select("node", "size", "parity"), "node").select(*by, "node", "comp", "probe", "size", "parity")
@@ -325,6 +328,8 @@ def shingle_groups(docs: DataFrame, shingle: int = 3, percent: int = 90, block:
         for k in np.flatnonzero(parts.any(axis=1)):
             empty = pa.nulls(1, pa.int64())
             yield pa.RecordBatch.from_arrays([empty, empty, empty, empty, pa.array([k], pa.int32()), pa.array([parts[k].tobytes()], pa.binary())], names=["doc_id", "copy", "node", "n_shingles", "part", "counts"])
+        del counts, parts
+        give_back()
 
     seen = written(own.mapInArrow(summarise, "doc_id long, copy long, node long, n_shingles long, part int, counts binary"))
     described = seen.where("part is null").select("doc_id", "copy", "node", "n_shingles")
@@ -374,6 +379,8 @@ def shingle_groups(docs: DataFrame, shingle: int = 3, percent: int = 90, block:
                 at = np.arange(len(keys)) - np.repeat(np.cumsum(size) - size, size)
                 head = keys[at < np.repeat(take, size)].view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(node[new]), pa.array(size[new]), binary_column(*parity_maps(keys, size[new])), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(take[new])]), pa.int32()), pa.array(head))], names=["node", "size", "parity", "keys"])
+        done.clear()
+        give_back()
 
     firsts = written(own.select("doc_id", "text").mapInArrow(prefixes, "node long, size long, parity binary, keys array<long>"))
     heads = firsts.select("node", "size", F.explode("keys").alias("key"))

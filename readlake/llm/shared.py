@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -43,3 +46,12 @@ def discard(df: DataFrame) -> None:
     jvm, path = df.sparkSession._jvm, df.written_to
     place = jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
+
+
+def give_back() -> None:
+    """Returns what this Python worker holds but doesn't use to the system: workers live on after a task."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
