@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from readlake.functions.text import paragraph_list, text_to_html
+from readlake.functions.text import text_to_html
 from readlake.operators import rebuild as r
 from readlake.plans import sql as d
 from readlake.plans.adapters import adapter, oracle

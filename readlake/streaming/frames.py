@@ -19,7 +19,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from readlake.operators.events import parse_frames
 
-#: State of a connection without frames for so long is dropped.
+#: State of a connection without frames for so long is dropped, unless given.
 IDLE_MS = 24 * 3600 * 1000
 
 
@@ -145,8 +145,11 @@ class AckThrottle(ConnectionRule):
         return ((int(row.ms), True) if send else (last, busy)), (int(row.seq), send)
 
 
-def by_connection(frames: DataFrame, rule: ConnectionRule) -> DataFrame:
-    """A rule over a stream of frames; for append mode."""
+def by_connection(frames: DataFrame, rule: ConnectionRule, idle_ms: int = IDLE_MS) -> DataFrame:
+    """A rule over a stream of frames; for append mode.
+
+    A connection without frames for ``idle_ms`` of processing time counts as closed: what it sends later starts anew.
+    """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
         if kept.hasTimedOut:
@@ -159,7 +162,7 @@ def by_connection(frames: DataFrame, rule: ConnectionRule) -> DataFrame:
             if made is not None:
                 out.append((key[0], *made))
         kept.update(state)
-        kept.setTimeoutDuration(IDLE_MS)
+        kept.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=rule.COLUMNS)
 
     return frames.groupBy("conn").applyInPandasWithState(run, rule.SCHEMA, rule.STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
