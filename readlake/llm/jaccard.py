@@ -178,16 +178,17 @@ class TrieJoin:
         return out
 
 
-def parity_bits(size: np.ndarray) -> np.ndarray:
-    """Bits of a set's parity map: the power of two from half its size up, 512 at least.  Unrelated maps then differ
-    in about half their bits, more than sets that link can."""
-    return 1 << np.maximum(np.ceil(np.log2(np.maximum(size, 1) / 2)), 9).astype(np.int64)
+def parity_bits(size: np.ndarray, percent: int = 90) -> np.ndarray:
+    """Bits of a set's parity map: a power of two, 512 at least, from half the size up at 90 % and more in proportion
+    to what linked sets may differ in.  Unrelated maps differ in about half their bits, twice what sets that link can."""
+    wide = np.maximum(size, 1) * (9.5 * (100 - percent) / (100 + percent))
+    return 1 << np.maximum(np.ceil(np.log2(wide)), 9).astype(np.int64)
 
 
-def parity_maps(keys: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def parity_maps(keys: np.ndarray, size: np.ndarray, percent: int = 90) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of the parity maps of rows with ``size`` keys each, one after another, and how many a row has: bit b is
     set when an odd number of the row's shingles hash to b."""
-    bits = parity_bits(size)
+    bits = parity_bits(size, percent)
     begin = np.cumsum(bits) - bits
     at = np.repeat(begin, size) + (keys & (np.repeat(bits, size) - 1).astype(U64)).astype(np.int64)
     odd = (np.bincount(at, minlength=int(bits.sum())) & 1).astype(np.uint8)
@@ -378,7 +379,7 @@ def shingle_groups(docs: DataFrame, shingle: int = 3, percent: int = 90, block:
                 take = np.where(new, size - -(-percent * size // 100) + 1, 0)
                 at = np.arange(len(keys)) - np.repeat(np.cumsum(size) - size, size)
                 head = keys[at < np.repeat(take, size)].view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(node[new]), pa.array(size[new]), binary_column(*parity_maps(keys, size[new])), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(take[new])]), pa.int32()), pa.array(head))], names=["node", "size", "parity", "keys"])
+                yield pa.RecordBatch.from_arrays([pa.array(node[new]), pa.array(size[new]), binary_column(*parity_maps(keys, size[new], percent)), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(take[new])]), pa.int32()), pa.array(head))], names=["node", "size", "parity", "keys"])
         done.clear()
         give_back()
 
