@@ -204,3 +204,15 @@ def test_one_of_each_with_names_of_its_own(spark):
     assert kept.columns == df.columns and sorted(tuple(r) for r in kept.collect()) == [rows[0], rows[3]]
     again = df.where("doc_id = 2")
     assert len(jaccard.one_of_each(again, jaccard.shingle_groups(again)).collect()) == 1
+
+
+def test_parity_maps_at_a_lower_bound():
+    """At 80 % maps are wide enough that unrelated sets of any size are told apart, and linked ones never are."""
+    rng = np.random.default_rng(3)
+    for n in (40, 500, 1000, 1024, 5000):
+        base, off = rng.integers(0, 1 << 63, n).astype(np.uint64), n // 10
+        near = np.concatenate([base[off:], rng.integers(0, 1 << 63, off).astype(np.uint64)])
+        maps = [jaccard.parity_maps(k, np.array([len(k)]), 80)[0].tobytes() for k in (base, near, rng.integers(0, 1 << 63, n).astype(np.uint64))]
+        whole = jaccard.folded(maps, len(maps[0]))
+        apart = [int(np.bitwise_count(whole[0] ^ m).sum()) for m in whole[1:]]
+        assert jaccard.can_link(n, n, apart[0], 80) and (n < 100 or not jaccard.can_link(n, n, apart[1], 80))
