@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from readlake.llm.shared import give_back
 from readlake.llm.textkit import LOWER, U64, ragged, shingle_hashes, slices, span_hashes, text_bytes, word_spans
 
 _FILTER_BITS = 22
@@ -198,6 +199,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, perce
                         for h in own.find(words, rows):
                             clean[i + int(h[0])] = False
                 yield batch.filter(pa.array(clean))
+            give_back()
 
         docs = docs.mapInArrow(keep, docs.schema)
     return docs

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from readlake.llm.encode import encoder
-from readlake.llm.shared import written
+from readlake.llm.shared import give_back, written
 from readlake.llm.textkit import binary_column, ragged, text_bytes
 
 PIECES = "doc_id long, piece int, start long, length long, ids binary, part int, local_rank long"
@@ -60,6 +60,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, max_tokens: int = 2048, end_id
                     ],
                     names=["doc_id", "piece", "start", "length", "ids", "part", "local_rank"],
                 )
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, PIECES)
 

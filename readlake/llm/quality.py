@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from readlake.llm.labelled import label_sample, sigmoid
+from readlake.llm.shared import give_back
 from readlake.llm.textkit import binary_column, slices, span_hashes, text_bytes, word_spans
 
 _SHARES = np.array([1e-9, 0.01, 0.03, 0.06, 0.12, 0.25, 0.5, 0.8])
@@ -216,5 +217,6 @@ def accepted(docs: DataFrame, model: LineCRF, threshold: float = 0.7, text: str
                 bins, size, rows = line_features(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 scores.append(shared.value.score(bins, size, rows, j - i))
             yield batch.filter(pa.array(np.concatenate([*scores, np.zeros(0)]) >= threshold))
+        give_back()
 
     return docs.mapInArrow(keep, docs.schema)

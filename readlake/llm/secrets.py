@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from readlake.llm.shared import give_back
+
 # The patterns and least lengths of the base kinds.
 _ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -213,5 +215,6 @@ def with_redactions(docs: DataFrame, text: str = "text", length: str = "n_chars"
                     sizes = [len(c) if s else n for c, s, n in zip(clean, found, batch.column(length).to_pylist(), strict=True)]
                     batch = batch.set_column(batch.schema.get_field_index(length), length, pa.array(sizes, batch.column(length).type))
             yield batch
+        give_back()
 
     return docs.mapInArrow(scan, docs.schema)
