@@ -387,3 +387,16 @@ def test_empty_forest_has_no_values():
     forest.clean_conditionally()
     assert forest.n == 0 and len(forest.chars()) == 0 and t.ladder(forest)[1] == []
     assert isinstance(forest.weight(), np.ndarray)
+
+
+def test_rules_see_pages_in_bounded_pieces(spark):
+    import pyarrow as pa
+
+    seen = lambda f: [f.page_id, pa.array([len(f.per_page)] * len(f.per_page), pa.int32()), pa.array([len(f.text.to_pylist()[0])] * len(f.per_page), pa.int32())]
+    small = spark.createDataFrame([(k, f"<p>page {k}</p>") for k in range(1000)], "page_id long, html string").coalesce(1)
+    for pages in (small, t.page_trees(small)):
+        rows = t.by_batch(pages, seen, "page_id long, n int, chars int").collect()
+        assert sorted(r["page_id"] for r in rows) == list(range(1000)) and max(r["n"] for r in rows) <= 256
+    large = spark.createDataFrame([(k, "<p>" + "word " * 80_000) for k in range(9)] + [(9, None)], "page_id long, html string").coalesce(1)
+    rows = t.by_batch(large, seen, "page_id long, n int, chars int").collect()
+    assert sorted(r["page_id"] for r in rows) == list(range(10)) and max(r["n"] for r in rows) <= 3
