@@ -7,9 +7,10 @@ import re
 import struct
 import zipfile
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -80,6 +81,42 @@ def read_entry(z: zipfile.ZipFile, i: zipfile.ZipInfo, wanted: re.Pattern, most:
     return (None, "too-large") if len(content) > most else (content, "ok")
 
 
+ENTRY = "path string, entry string, ord int, size long, flags int, method int, content binary, status string"
+_ENTRY_COLUMNS = (("path", pa.string()), ("entry", pa.string()), ("ord", pa.int32()), ("size", pa.int64()), ("flags", pa.int32()), ("method", pa.int32()), ("content", pa.binary()), ("status", pa.string()))
+#: Bytes of entries that a worker collects before it hands them on.
+_HELD_BYTES = 4 << 20
+
+
+def _entry_batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, (_, kind) in zip(zip(*rows, strict=True), _ENTRY_COLUMNS, strict=True)], names=[n for n, _ in _ENTRY_COLUMNS])
+
+
+def entry_batches(batches: Iterable[pa.RecordBatch], accept: str = ".*", max_entry: int = 32 << 20) -> Iterator[pa.RecordBatch]:
+    """Rows of ``scan_archive`` for batches of (path, content), many archives a batch, within ``_HELD_BYTES`` and an entry."""
+    wanted = re.compile(accept)
+
+    def entries(path: str, content: bytes | None) -> Iterator[tuple]:
+        try:
+            with zipfile.ZipFile(io.BytesIO(content if content is not None else b"")) as z:
+                for k, i in enumerate(z.infolist()):
+                    yield (path, i.filename, k, i.file_size, i.flag_bits, i.compress_type, *read_entry(z, i, wanted, max_entry))
+        except BROKEN:
+            yield path, None, None, None, None, None, None, "corrupt"
+
+    rows, held = [], 0
+    for batch in batches:
+        # one archive at a time becomes a Python object
+        for path, content in zip(batch.column("path"), batch.column("content"), strict=True):
+            for row in entries(path.as_py(), content.as_py()):
+                rows.append(row)
+                held += len(row[6] or b"")
+                if len(rows) >= 4096 or held >= _HELD_BYTES:
+                    yield _entry_batch(rows)
+                    rows, held = [], 0
+    if rows:
+        yield _entry_batch(rows)
+
+
 def scan_archive(files: DataFrame, accept: str = ".*", max_entry: int = 32 << 20) -> DataFrame:
     """One row for each archive entry: path, entry, ord, size, flags, method, content, status.
 
@@ -87,21 +124,7 @@ def scan_archive(files: DataFrame, accept: str = ".*", max_entry: int = 32 << 20
     packed by an ``unsupported`` method and ones ``too-large``.  An entry whose bytes are damaged is one ``corrupt``
     row, the others of its archive are not touched by it; a file without a readable directory is one ``corrupt`` row.
     """
-    wanted = re.compile(accept)
-
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for path, content in zip(batch["path"], batch["content"], strict=True):
-                rows = []
-                try:
-                    with zipfile.ZipFile(io.BytesIO(content if content is not None else b"")) as z:
-                        for k, i in enumerate(z.infolist()):
-                            rows.append((path, i.filename, k, i.file_size, i.flag_bits, i.compress_type, *read_entry(z, i, wanted, max_entry)))
-                except BROKEN:
-                    rows = [(path, None, None, None, None, None, None, "corrupt")]
-                yield pd.DataFrame(rows, columns=["path", "entry", "ord", "size", "flags", "method", "content", "status"]).astype({c: "Int64" for c in ("ord", "size", "flags", "method")})
-
-    return files.select("path", "content").mapInPandas(read, "path string, entry string, ord int, size long, flags int, method int, content binary, status string")
+    return files.select("path", "content").mapInArrow(lambda batches: entry_batches(batches, accept, max_entry), ENTRY)
 
 
 def sniff_format(files: DataFrame, entries: DataFrame) -> DataFrame:

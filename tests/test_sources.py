@@ -136,3 +136,15 @@ def test_size_limit_reaches_the_reader(spark, tmp_path):
 def test_routing_reads_only_needed_columns(spark, sf):
     plan = spark.read.parquet(f"{sf}/pages.parquet").where(routing.is_url(F.col("url"))).select("page_id")._jdf.queryExecution().toString()
     assert "html" not in plan.split("ReadSchema")[-1]
+
+
+def test_many_archives_share_a_batch():
+    import pyarrow as pa
+
+    content = [archive({"a.xml": b"x" * k, "b.bin": b"1"}) if k % 3 else b"none" if k % 2 else None for k in range(3000)]
+    batch = pa.RecordBatch.from_arrays([pa.array([str(k) for k in range(3000)]), pa.array(content, pa.binary())], names=["path", "content"])
+    out = list(files.entry_batches([batch], r"[.]xml$"))
+    rows = [r for b in out for r in b.to_pylist()]
+    assert len(out) <= 4 and [r["path"] for r in rows if r["ord"] in (None, 0)] == [str(k) for k in range(3000)]
+    assert all((r["content"] == b"x" * int(r["path"])) == (r["entry"] == "a.xml") and (r["status"] == "corrupt") == (r["entry"] is None) for r in rows)
+    assert max(b.nbytes for b in out) < 3 * files._HELD_BYTES
