@@ -38,11 +38,12 @@ def decode_text(files: DataFrame) -> DataFrame:
     return files.withColumn("text", text).withColumn("status", F.when(F.col("text").isNull(), "invalid").otherwise("ok"))
 
 
-@F.pandas_udf(T.StringType())
-def decode_declared(content: pd.Series, charset: pd.Series) -> pd.Series:
+@F.arrow_udf(T.StringType())
+def decode_declared(content: pa.Array, charset: pa.Array) -> pa.Array:
     """Bytes by their declared charset, else UTF-8, else Windows-1252 with what doesn't fit replaced.
 
-    Spark's own decoder knows neither GB 18030, Big 5 nor Windows-1252, so this one runs in Arrow batches.
+    Spark's own decoder knows neither GB 18030, Big 5 nor Windows-1252, so this one runs in Arrow batches, of which
+    256 values at a time are Python objects.
     """
 
     def one(data: bytes | None, name: str | None) -> str | None:
@@ -51,12 +52,13 @@ def decode_declared(content: pd.Series, charset: pd.Series) -> pd.Series:
         codec = CHARSETS.get((name or "").strip().lower(), "utf-8")
         for c in (codec, "utf-8"):
             try:
-                return bytes(data).decode(c)
+                return data.decode(c)
             except (UnicodeDecodeError, LookupError):
                 continue
-        return bytes(data).decode("cp1252", "replace")
+        return data.decode("cp1252", "replace")
 
-    return pd.Series([one(d, n) for d, n in zip(content, charset, strict=True)])
+    part = lambda at: pa.array(map(one, content.slice(at, 256).to_pylist(), charset.slice(at, 256).to_pylist()), pa.string())
+    return pa.concat_arrays([part(at) for at in range(0, len(content), 256)] or [pa.array([], pa.string())])
 
 
 #: What reading a damaged archive or entry raises.

@@ -148,3 +148,12 @@ def test_many_archives_share_a_batch():
     assert len(out) <= 4 and [r["path"] for r in rows if r["ord"] in (None, 0)] == [str(k) for k in range(3000)]
     assert all((r["content"] == b"x" * int(r["path"])) == (r["entry"] == "a.xml") and (r["status"] == "corrupt") == (r["entry"] is None) for r in rows)
     assert max(b.nbytes for b in out) < 3 * files._HELD_BYTES
+
+
+def test_declared_charsets_stay_arrow():
+    import pyarrow as pa
+
+    content = [None, b"caf\xe9", "汉字".encode("gbk")] * 400
+    got = files.decode_declared.func(pa.array(content, pa.binary()), pa.array([None, "latin1", " GBK "] * 400, pa.string()))
+    assert got.to_pylist() == [None, "café", "汉字"] * 400
+    assert files.decode_declared.func(pa.array([], pa.binary()), pa.array([], pa.string())).to_pylist() == []
