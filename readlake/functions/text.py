@@ -18,7 +18,7 @@ _WS = r"[ \t\n\x0b\f\r]"
 
 def strip(c: Column) -> Column:
     """White space off both ends."""
-    return F.regexp_replace(c, f"^{_WS}+|{_WS}+$", "")
+    return F.btrim(c, F.lit(" \t\n\x0b\f\r"))
 
 
 def collapse_ws(c: Column) -> Column:
@@ -283,13 +283,16 @@ def format_number(x: Column) -> Column:
     Null stays null; NaN and infinities are written as Spark casts them.
     """
     x = x.cast("double")
+    # what Spark casts to a plain number of at most 15 digits is it already
+    cast = x.cast("string")
+    short = F.abs(x).between(1e-3, 9_999_999) & (F.length(cast) <= F.when(x < 0, 17).otherwise(16))
     shown = F.format_string("%.14e", x)
     power = F.regexp_extract(shown, "e([+-][0-9]+)$", 1).try_cast("int")
     digits = F.regexp_replace(F.regexp_replace(F.regexp_extract(shown, "^-?([0-9.]+)e", 1), "[.]", ""), "0+$", "")
     whole = F.when(power < 0, "0").otherwise(F.rpad(digits, power + 1, "0"))
     part = F.when(power < 0, F.concat(F.repeat(F.lit("0"), -power - 1), digits)).otherwise(F.substr(digits, power + 2))
     plain = F.concat(F.when(x < 0, "-").otherwise(""), whole, F.when(part == "", "").otherwise(F.concat(F.lit("."), part)))
-    return F.when(x.isNull(), None).when(x == 0, "0").when(power.isNull(), x.cast("string")).otherwise(plain)
+    return F.when(x.isNull(), None).when(x == 0, "0").when(short, F.when(cast.endswith(".0"), F.substring_index(cast, ".", 1)).otherwise(cast)).when(power.isNull(), x.cast("string")).otherwise(plain)
 
 
 def file_ext(name: Column) -> Column:

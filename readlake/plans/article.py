@@ -35,9 +35,11 @@ _BLOCKS = f"(select page_id, unnest(range(0, len(x))) as pos, unnest(x) as i fro
 
 
 def _scores(spark, sf):
-    rows = table(spark, sf, "pages").select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(_P), 1)).alias("pos", "i"))
-    text = collapse_ws(a.unescape_entities(a._tags_off(F.col("i"))))
-    return rows.select("page_id", "pos", a.paragraph_score(text).alias("score")).where("score is not null")
+    # cleaned before the explode, so that neither score nor filter does it again
+    bare = F.transform(F.regexp_extract_all("html", F.lit(_P), 1), a._tags_off)
+    texts = F.transform(bare, lambda x: collapse_ws(F.when(x.contains("&"), a.unescape_entities(x)).otherwise(x)))
+    rows = table(spark, sf, "pages").select("page_id", F.posexplode(texts).alias("pos", "text")).where(F.length("text") >= 25)
+    return rows.select("page_id", "pos", a.paragraph_score(F.col("text")).alias("score"))
 
 
 add("paragraph_score", _scores, f"select page_id, cast(pos as integer) as pos, cast(2 + len(regexp_extract_all(t, '{t.COMMAS}')) + least(length(t) // 100, 3) as integer) as score from (select page_id, pos, {_INNER} as t from {_BLOCKS}) where length(t) >= 25")

@@ -38,8 +38,9 @@ _doc(
 _doc(t.collapse_ws, "collapse_ws", d.collapse("text"))
 _page(t.strip_containers, "strip_containers", d.without_containers("html"))
 _page(t.visible_text, "visible_text", f"array_to_string({d.visible('html')}, chr(10))")
-_doc(lambda c: t.trim_result(t.text_to_html(c), 500, "<p>…</p>"), "trim_result", f"""(with h as (select coalesce(nullif(array_to_string(list_transform({d.paragraphs('text')}, lambda p: '<p>' || replace({d.escape('p')}, chr(10), '<br>') || '</p>'), ''), ''), '<p></p>') as b)
-  select case when length(b) <= 500 then b else substr(b, 1, case when position('>' in reverse(substr(b, 1, 500))) between 1 and 50 then 501 - position('>' in reverse(substr(b, 1, 500))) else 500 end) || '<p>…</p>' end from h)""")
+# the html is a column of its own, so that it is made once
+add("trim_result", lambda s, sf: table(s, sf, "documents").select("doc_id", t.text_to_html(F.col("text")).alias("html")).select("doc_id", t.trim_result(F.col("html"), 500, "<p>…</p>").alias("value")), f"""select doc_id, (with h as (select coalesce(nullif(array_to_string(list_transform({d.paragraphs('text')}, lambda p: '<p>' || replace({d.escape('p')}, chr(10), '<br>') || '</p>'), ''), ''), '<p></p>') as b)
+  select case when length(b) <= 500 then b else substr(b, 1, case when position('>' in reverse(substr(b, 1, 500))) between 1 and 50 then 501 - position('>' in reverse(substr(b, 1, 500))) else 500 end) || '<p>…</p>' end from h) as value from documents""")
 _doc(t.text_to_html, "text_to_html", f"coalesce(nullif(array_to_string(list_transform({d.paragraphs('text')}, lambda p: '<p>' || replace({d.escape('p')}, chr(10), '<br>') || '</p>'), ''), ''), '<p></p>')")
 _doc(lambda c: t.short_title(c, 24, "untitled"), "short_title", f"coalesce(nullif({d.strip('substr(text, 1, 24)')}, ''), 'untitled')")
 _page(t.html_title, "html_title", f"nullif({d.collapse(d.entities(d.sub("regexp_extract(html, '(?is)<title\\b[^>]*>(.*?)</title\\s*>', 1)", '(?s)<[^>]*>', '')))}, '')")

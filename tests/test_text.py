@@ -133,3 +133,40 @@ def test_diffusion_is_pixel_by_pixel(spark):
     df = spark.createDataFrame(rows, "img long, x int, y int, grey double").repartition(3)
     assert {(r["img"], r["x"], r["y"]): r["q"] for r in pixels.diffuse_quantize(df, 4).collect()} == want
     assert pixels.diffuse_quantize(df.limit(0), 4).collect() == []
+
+
+def test_costly_columns_are_made_once(spark, sf):
+    from readlake.plans import all_queries
+
+    plan = lambda name: all_queries()[0][name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan("trim_result").count("split(") == 1
+    assert plan("paragraph_score").count("&nbsp;") == 1
+    assert "Aggregate" not in plan("text_similarity")
+
+
+def test_similarity_counts_repeated_words(spark):
+    from readlake.operators.article import similarity_pairs
+
+    rows = [(0, "a b", "b b c c"), (1, "", "x"), (2, "x", None), (3, "A_1 é z", "a_1 é Z"), (4, "q", "w ww w")]
+    got = dict(similarity_pairs(spark.createDataFrame(rows, "k int, a string, b string"), "k", "a", "b").collect())
+    assert got == {0: round(1 - 3 / 7, 9), 1: 0.0, 2: 0.0, 3: 1.0, 4: 0.0}
+
+
+def test_strip_leaves_line_separators(spark):
+    from readlake.functions.text import strip
+
+    rows = [(" \t\x0b\x0c\r\na b  ", "a b  "), (" \n ", ""), (None, None), ("a\r\n", "a"), ("\xa0 x", "\xa0 x")]
+    assert all(a == b for a, b in spark.createDataFrame(rows, "c string, want string").selectExpr("*").select(strip(F.col("c")), "want").collect())
+
+
+def test_numbers_at_the_edges_of_the_plain_form(spark):
+    from decimal import Decimal
+    import random
+
+    from readlake.functions.text import format_number
+
+    pick = random.Random(3)
+    values = [0.1, -0.1, 0.001, 0.000999, 9999999.0, 9999999.5, 1e7, -1234567.12345678, 0.1 + 0.2, 100.0, -5.0, 1 / 3, 1e-3 / 3, 123456.7890123456] + [round(pick.uniform(-1e6, 1e6), pick.randrange(10)) for _ in range(500)]
+    for x, shown in spark.createDataFrame([(v,) for v in values], "x double").select("x", format_number(F.col("x"))).collect():
+        want = format(Decimal(f"{x:.14e}"), "f")
+        assert shown == (want.rstrip("0").rstrip(".") if "." in want else want), x
