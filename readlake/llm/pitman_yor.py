@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from readlake.llm.labelled import fold
-from readlake.llm.shared import discard, written
+from readlake.llm.shared import discard, giving_back, written
 from readlake.llm.textkit import LOWER, U64, binary_column, mix, ragged, slices, span_hashes, text_bytes, word_spans
 
 #: Discount and strength of restaurants by context length.
@@ -40,9 +40,10 @@ _TOP = 2  # longest context sampled on the driver
 _END = 1  # the end token's key among word hashes
 _START = 2  # the key of the context before a text's first word
 _HOT = 500_000  # most frequent pairs, at most, that go to every task
-_BUCKET_TOKENS = 8_000_000  # training tokens a bucket of pairs, about
-_COUNT_BYTES = 24 << 20  # of text that a task gathers before it counts its words
-_CHUNK_TOKENS = 3_000_000  # tokens that a task gathers before it deals them over the buckets
+_BUCKET_TOKENS = 2_000_000  # training tokens a bucket of pairs, about
+_COUNT_WORDS = 500_000  # different words of slices of text that a task gathers before it adds them up
+_CHUNK_TOKENS = 1_000_000  # tokens that a task gathers before it deals them over the buckets
+_SPAN = 1 << 18  # places of the lexicon whose sums are a row
 _SEED = 0x9E3779B97F4A7C15
 
 
@@ -233,19 +234,20 @@ def word_counts(docs: DataFrame, learn: Column) -> DataFrame:
         wait: list[tuple[np.ndarray, ...]] = []
         ends_seen = [0, 0]  # texts, learned ones
 
+        def summed(low: np.ndarray, starts: np.ndarray, size: np.ndarray, keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+            """Bytes of the different words one after another, and their sizes, keys and sums of ``n``."""
+            codes, unique = pd.factorize(keys)
+            first = np.empty(len(unique), np.int64)
+            first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
+            return low[ragged(starts[first], size[first])], size[first], unique, np.bincount(codes, n, len(unique)).astype(np.int64)
+
         def flush() -> Iterator[pa.RecordBatch]:
             if not wait:
                 return
-            at = np.cumsum([0, *(len(w[0]) for w in wait)])
-            low = np.concatenate([w[0] for w in wait])
-            starts, ends = (np.concatenate([w[k] + a for w, a in zip(wait, at[:-1], strict=True)]) for k in (1, 2))
-            keys, learned = (np.concatenate([w[k] for w in wait]) for k in (3, 4))
+            low, size, keys, n = (np.concatenate(x) for x in zip(*wait, strict=True))
             wait.clear()
-            codes, unique = pd.factorize(keys)
-            first = np.empty(len(unique), np.int64)
-            first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
-            size = ends[first] - starts[first]
-            yield pa.RecordBatch.from_arrays([binary_column(low[ragged(starts[first], size)], size), pa.array(np.bincount(codes, learned, len(unique)).astype(np.int64))], names=["word", "n"])
+            low, size, _, n = summed(low, np.cumsum(size) - size, size, keys, n)
+            yield pa.RecordBatch.from_arrays([binary_column(low, size), pa.array(n)], names=["word", "n"])
 
         for batch in batches:
             buf, offsets = text_bytes(batch.column("text"))
@@ -253,15 +255,15 @@ def word_counts(docs: DataFrame, learn: Column) -> DataFrame:
             ends_seen[0], ends_seen[1] = ends_seen[0] + len(learns), ends_seen[1] + int(learns.sum())
             for i, j in slices(offsets):
                 low, starts, ends, rows, keys = text_tokens(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                wait.append((low, starts, ends, keys, learns[i:j][rows]))
-                if sum(len(w[0]) for w in wait) > _COUNT_BYTES:
+                wait.append(summed(low, starts, ends - starts, keys, learns[i:j][rows]))
+                if sum(len(w[1]) for w in wait) > _COUNT_WORDS:
                     yield from flush()
         yield from flush()
         if ends_seen[0]:
             yield pa.RecordBatch.from_arrays([pa.array([b"\n"], pa.binary()), pa.array([ends_seen[1]], pa.int64())], names=["word", "n"])
 
     rows = docs.select("text", F.coalesce(learn, F.lit(False)).alias("learn"))
-    return rows.mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(giving_back(count), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def gram_counts(words: DataFrame, order: int) -> DataFrame:
@@ -283,7 +285,7 @@ def gram_counts(words: DataFrame, order: int) -> DataFrame:
             key, n = _summed(np.concatenate([k for k, _ in wait]), np.concatenate([n for _, n in wait]))
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], names=["key", "n"])
 
-    return words.select("word").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return words.select("word").mapInArrow(giving_back(count), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
 def fit_spelling(grams: DataFrame, order: int, rounds: int = 12, burn_in: int = 4) -> tuple[DataFrame, Tables]:
@@ -330,7 +332,7 @@ def fit_spelling(grams: DataFrame, order: int, rounds: int = 12, burn_in: int =
 
     block = F.shiftright("key", 8).bitwiseAND((1 << 8 * (_TOP + 1)) - 1)
     dealt = grams.select(block.alias("block"), "key", "n").repartition("block").sortWithinPartitions("block", "key")
-    return written(dealt.mapInArrow(seat, "depth tinyint, is_context boolean, key long, value double")), top
+    return written(dealt.mapInArrow(giving_back(seat), "depth tinyint, is_context boolean, key long, value double")), top
 
 
 def _in_arrays(model: DataFrame, top: Tables) -> Tables:
@@ -360,7 +362,7 @@ def _spelled_in_tasks(words: DataFrame, shared: Broadcast) -> DataFrame:
                 logs = np.log(shared.value.probability(unique))[codes]
                 yield pa.RecordBatch.from_arrays([batch.column(c).slice(i, j - i) for c in ("word", "n")] + [pa.array(np.bincount(rows, logs, j - i))], names=["word", "n", "spelled"])
 
-    return words.mapInArrow(spell, "word binary, n long, spelled double")
+    return words.mapInArrow(giving_back(spell), "word binary, n long, spelled double")
 
 
 def _spelled_by_join(words: DataFrame, model: DataFrame, top: Tables) -> DataFrame:
@@ -395,7 +397,7 @@ def _keyed(spelled: DataFrame) -> DataFrame:
             is_end[is_end] = buf[offsets[:-1][is_end]] == 0x0A
             yield pa.RecordBatch.from_arrays([pa.array(np.where(is_end, _END, key)), part.column("n"), part.column("spelled")], names=["key", "n", "spelled"])
 
-    return spelled.select("word", "n", "spelled").mapInArrow(name, "key long, n long, spelled double")
+    return spelled.select("word", "n", "spelled").mapInArrow(giving_back(name), "key long, n long, spelled double")
 
 
 def lexicon(spelled: DataFrame, total: int, kinds: int, discount: float, rounds: int = 12, burn_in: int = 4) -> tuple[DataFrame, float]:
@@ -438,7 +440,7 @@ def _seated(named: DataFrame, total: int, kinds: int, discount: float, rounds: i
         if len(sums) == 1:
             once = named.where("n = 1").count()
         sums.append(int(more) + once)
-    seated = written(named.mapInArrow(lambda batches: seat(batches, sums), "key long, n long, tables double, spelled double"))
+    seated = written(named.mapInArrow(giving_back(lambda batches: seat(batches, sums)), "key long, n long, tables double, spelled double"))
     got = seated.agg(F.coalesce(F.sum("tables"), F.lit(0.0)), F.coalesce(F.sum(F.when(F.col("n") > 0, F.exp("spelled"))), F.lit(0.0))).first()
     new = (STRENGTH + discount * float(got[0])) / (STRENGTH + total)
     exact = F.log10((F.col("n") - discount * F.col("tables")) / (STRENGTH + total) + new * F.exp("spelled"))
@@ -533,13 +535,9 @@ class WordPairs:
         del known
         self.buckets = max(48, total // _BUCKET_TOKENS)
         self.blocks = self._count(docs.where(F.coalesce(learn, F.lit(False))).select("text"))
-        base = written(self._tally(self.blocks, lambda n, more: np.ones(len(n))))
-        self.tables = self._array(base.where("context"), "t", "long")
-        self.customers = self._array(base.where("context"), "c", "long")
-        self.contexts = self._array(base.where("not context"), "t", "long")
-        discard(base)
+        self.tables, self.contexts, self.customers = self._sums(self.blocks, lambda n, more: np.ones(len(n), np.int64), customers=True)
         sizes = self._histogram().agg(F.sum(F.when(F.col("n") == 1, F.col("kinds"))), F.sum(F.when(F.col("n") == 2, F.col("kinds")))).first()
-        self.discount, self.seats = _discount(*(int(x or 0) for x in sizes)), None
+        self.discount, self.seats, self.extra = _discount(*(int(x or 0) for x in sizes)), None, None
 
     @staticmethod
     def _share(docs: DataFrame, value) -> Broadcast:
@@ -600,23 +598,42 @@ class WordPairs:
                 n = np.bincount(at, np.concatenate([c for _, c in parts]), len(pairs)).astype(np.int64)
                 yield _block(bucket, 0, pairs, n, n[:0])
 
-        return written(texts.mapInArrow(count, _BLOCK).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(merge, _BLOCK))
+        return written(texts.mapInArrow(giving_back(count), _BLOCK).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(giving_back(merge), _BLOCK), "uncompressed")
 
-    @staticmethod
-    def _tally(rows: DataFrame, tables) -> DataFrame:
-        """(place, context, t, c): sums over the pairs of each word and of each context; ``tables`` of n and more."""
+    def _sums(self, rows: DataFrame, tables, customers: bool = False) -> list[np.ndarray]:
+        """Sums over the pairs of each context and of each word of ``tables`` of n and more; and of n for each context.
+
+        A task adds up its buckets in arrays as long as the lexicon, and spans of them are added up in turn: a row for
+        each task and span in place of one for each pair.
+        """
+        size, kinds = self.size, 2 + customers
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums = None
             for pairs, n, more in _rows_of(batches, ("pairs", "n", "more")):
                 pairs, n = np.cumsum(_unpacked(pairs)), _unpacked(n)
                 t = tables(n, _unpacked(more))
-                use = np.flatnonzero(t)
-                for context, place in ((False, pairs[use] & 0xFFFFFFFF), (True, pairs[use] >> 32)):
-                    codes, unique = pd.factorize(place)
-                    sums = [np.bincount(codes, x[use], len(unique)).astype(float) for x in (t, n)]
-                    yield pa.RecordBatch.from_arrays([pa.array(unique.astype(np.int32)), pa.array(np.full(len(unique), context)), *map(pa.array, sums)], names=["place", "context", "t", "c"])
+                sums = np.zeros((kinds, size), np.int64) if sums is None else sums
+                for own, place, x in zip(sums, (pairs >> 32, pairs & 0xFFFFFFFF, pairs >> 32), (t, t, n), strict=False):
+                    np.add.at(own, place, x)
+            if sums is not None:
+                for kind, at in itertools.product(range(kinds), range(0, size, _SPAN)):
+                    if sums[kind, at : at + _SPAN].any():
+                        yield piece(kind, at, sums[kind, at : at + _SPAN])
+
+        def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for (kind, at), own in itertools.groupby(_rows_of(batches, ("kind", "at", "sums")), lambda r: r[:2]):
+                yield piece(kind, at, sum(_unpacked(r[2]) for r in own))
+
+        def piece(kind: int, at: int, x: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([at], pa.int32()), pa.array([_packed(x)], pa.binary())], names=["kind", "at", "sums"])
 
-        return rows.select("pairs", "n", "more").mapInArrow(add, "place int, context boolean, t double, c double").groupBy("place", "context").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+        form = "kind int, at int, sums binary"
+        got = rows.select("pairs", "n", "more").mapInArrow(giving_back(add), form).repartition("kind", "at").sortWithinPartitions("kind", "at").mapInArrow(giving_back(merge), form)
+        out = [np.zeros(size, np.int64) for _ in range(kinds)]
+        for kind, at, sums in _rows_of(iter(got.toArrow().to_batches()), ("kind", "at", "sums")):
+            out[kind][at : at + _SPAN] = _unpacked(sums)
+        return [x.astype(np.int32) if x.max() < 1 << 31 else x for x in out]
 
     def _histogram(self) -> DataFrame:
         """(n, kinds): how many pairs come n times, for each bucket."""
@@ -626,11 +643,11 @@ class WordPairs:
                 values, kinds = np.unique(_unpacked(n), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(kinds)], names=["n", "kinds"])
 
-        return self.blocks.select("n").mapInArrow(add, "n long, kinds long")
+        return self.blocks.select("n").mapInArrow(giving_back(add), "n long, kinds long")
 
     def words(self) -> DataFrame:
         """(key, n, spelled): the customers of the word restaurant, the tables of all contexts."""
-        more = self.contexts if self.seats is None else self.contexts + self._array(self._extra().where("not context"), "t", "long")
+        more = self.contexts if self.seats is None else self.contexts + self.extra[1]
         known, shared = self.known, self._share(self.named, more)
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -638,16 +655,14 @@ class WordPairs:
                 key = batch.column("key")
                 yield pa.RecordBatch.from_arrays([key, pa.array(shared.value[np.searchsorted(known.value, key.to_numpy())].astype(np.int64)), batch.column("spelled")], names=["key", "n", "spelled"])
 
-        return self.named.select("key", "spelled").mapInArrow(add, "key long, n long, spelled double")
-
-    def _extra(self) -> DataFrame:
-        """Tables beyond a pair's first, of the last draw."""
-        return self._tally(self.seats, lambda n, more: (more & 0xFFFF_FFFF) - 1)
+        out = written(self.named.select("key", "spelled").mapInArrow(giving_back(add), "key long, n long, spelled double"))
+        shared.destroy()
+        return out
 
     def seat(self, book: DataFrame, number: int, draws: int, keep: bool) -> None:
         """A pass: ``draws`` draws of every pair's tables, by the words' probabilities and the contexts' last tables."""
         d, known, first = self.discount, self.known, self.seats is None
-        tables = self.tables if first else self.tables + self._array(self._extra().where("context"), "t", "long")
+        tables = self.tables if first else self.tables + self.extra[0]
         shared = self._share(book, (self.by_place(book.withColumn("p", F.pow(F.lit(10.0), "open_value")), "p", "float"), tables))
         del tables
 
@@ -669,14 +684,16 @@ class WordPairs:
                     kept = kept + last * keep
                 yield _block(bucket, 1, pairs, n, kept << 32 | last)
 
-        before, self.seats = self.seats, written((self.blocks if first else self.seats).mapInArrow(run, _BLOCK))
+        before, self.seats = self.seats, written((self.blocks if first else self.seats).mapInArrow(giving_back(run), _BLOCK), "uncompressed")
         shared.destroy()
         if before is not None:
             discard(before)
+        # tables beyond a pair's first, of the last draw
+        self.extra = self._sums(self.seats, lambda n, more: (more & 0xFFFF_FFFF) - 1)
 
     def finish(self, draws: int) -> tuple[np.ndarray, np.ndarray]:
         """For each context the average of strength and discounted tables, and its customers."""
-        extra = self._array(self._tally(self.seats, lambda n, more: (more >> 32) / draws - 1).where("context"), "t", "double")
+        extra = self._sums(self.seats, lambda n, more: (more >> 32) - draws)[0] / draws
         extra += self.tables
         extra *= self.discount
         extra += STRENGTH
@@ -706,7 +723,7 @@ class WordPairs:
                 use = n >= least
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[use]), pa.array(lifts(pairs[use], n[use], t[use]))], names=["pair", "lift"])
 
-        got = self.seats.select("pairs", "n", "more").mapInArrow(frequent, "pair long, lift double").toArrow()
+        got = self.seats.select("pairs", "n", "more").mapInArrow(giving_back(frequent), "pair long, lift double").toArrow()
         pair, lift = got.column("pair").to_numpy(), got.column("lift").to_numpy()
         by = np.argsort(pair)
         hot = self._share(docs, (pair[by], lift[by]))
@@ -795,8 +812,8 @@ class WordPairs:
         fitted = self.blocks.unionByName(self.seats)
         for c, kind in [(f, "long") for f in fields[5:9]] + [(f, "double") for f in fields[9:]]:
             fitted = fitted.withColumn(c, F.lit(None).cast(kind))
-        rows = fitted.unionByName(named.mapInArrow(ask, _BLOCK + ", name long, " + _SCORED))
-        answers = rows.repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(answer, f"name long, {_SCORED}, lift double")
+        rows = fitted.unionByName(named.mapInArrow(giving_back(ask), _BLOCK + ", name long, " + _SCORED))
+        answers = rows.repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(giving_back(answer), f"name long, {_SCORED}, lift double")
         # rows of one name have equal texts, so equal values
         texts = answers.groupBy("name").agg(*(F.max(c).alias(c) for c in fields[6:]), F.count("n_tokens").alias("copies"), F.coalesce(F.sum("lift"), F.lit(0.0)).alias("lift"))
         more = F.col("lift") / F.col("copies")
@@ -817,9 +834,9 @@ class JoinedPairs:
 
     def words(self) -> DataFrame:
         if self.seats is None:
-            return self.own
+            return written(self.own)
         more = self.seats.groupBy(F.col("word").alias("key")).agg(F.sum(F.col("last") - 1).alias("more"))
-        return self.own.join(more, "key", "left").select("key", (F.col("n") + F.coalesce("more", F.lit(0))).alias("n"), "spelled")
+        return written(self.own.join(more, "key", "left").select("key", (F.col("n") + F.coalesce("more", F.lit(0))).alias("n"), "spelled"))
 
     def _rooms(self, tables: Column) -> DataFrame:
         """(prev, room, c): strength, or 0, and all tables of each context; ``tables``: those beyond a pair's first."""
@@ -841,7 +858,7 @@ class JoinedPairs:
 
         rows = self.pairs.where("n > 1").withColumns({"last": F.lit(1).cast("long"), "kept": F.lit(0).cast("long")}) if self.seats is None else self.seats
         rows = rows.join(book.select(F.col("key").alias("word"), F.pow(F.lit(10.0), "open_value").alias("p")), "word").join(self._rooms(F.col("last") - 1), "prev")
-        before, self.seats = self.seats, written(rows.mapInArrow(run, "pair long, prev long, word long, n long, last long, kept long"))
+        before, self.seats = self.seats, written(rows.mapInArrow(giving_back(run), "pair long, prev long, word long, n long, last long, kept long"))
         if before is not None:
             discard(before)
 
@@ -909,7 +926,7 @@ def score_texts(docs: DataFrame, folds: int = 7, held_out: int = 2, order: int =
         pairs = JoinedPairs(own, learn, named)
 
     def book(rounds: int, burn_in: int) -> tuple[DataFrame, float]:
-        seats = written(pairs.words())
+        seats = pairs.words()
         s = seats.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first()
         out = _seated(seats, int(s[0]), kinds, _discount(int(s[1]), int(s[2])), rounds, burn_in)
         discard(seats)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 
@@ -55,3 +56,13 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
     except (AttributeError, OSError):  # another C library
         pass
+
+
+def giving_back(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``work`` on a task's batches, and ``give_back`` behind it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+        give_back()
+
+    return run

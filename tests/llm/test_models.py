@@ -4,11 +4,14 @@ import base64
 import json
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from readlake.llm import pitman_yor, quality, queries, secrets, toxicity
 
@@ -350,3 +353,43 @@ def test_stages_with_extra_columns_and_empty_tables(spark, tmp_path):
                     at += length
                 assert at <= 2048
             assert len(rows) >= wide.count()
+
+
+def test_word_counts_gather_different_words_only(spark):
+    """A task's memory goes with the different words of its texts, not with their length."""
+
+    class Rows:
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, work, schema):
+            self.work = work
+            return self
+
+        groupBy = agg = select
+
+    rows, text = Rows(), " ".join(f"w{k % 997}" for k in range(100_000))
+    pitman_yor.word_counts(rows, F.lit(True))
+    batch = pa.RecordBatch.from_pydict({"text": [text] * 40, "learn": [True] * 40})
+    tracemalloc.start()
+    found = {w: n for out in rows.work(iter([batch])) for w, n in zip(*(c.to_pylist() for c in out.columns), strict=True)}
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 120 << 20
+    assert found[b"\n"] == 40 and found[b"w0"] == 40 * text.split().count("w0") and len(found) == 998
+
+
+def test_word_sums_in_spans_match_brute_force(spark, docs, monkeypatch):
+    monkeypatch.setattr(pitman_yor, "_SPAN", 16)
+    named = pitman_yor.word_counts(docs, F.lit(True)).select("word", "n", F.lit(-1.0).alias("spelled"))
+    pairs = pitman_yor.WordPairs(docs, F.lit(True), pitman_yor._keyed(named), 1000)
+    counts = {}
+    for row in docs.select("text").collect():
+        words = [*re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), row["text"] or "")), None]
+        for pair in zip(["start", *words[:-1]], words, strict=True):
+            counts[pair] = counts.get(pair, 0) + 1
+    by = lambda at, value: sorted(Counter(v for pair, n in counts.items() for v in [pair[at]] * value(n)).values())
+    positive = lambda x: sorted(x[x > 0].tolist())
+    assert positive(pairs.tables) == by(0, lambda n: 1)
+    assert positive(pairs.contexts) == by(1, lambda n: 1)
+    assert positive(pairs.customers) == by(0, lambda n: n)
