@@ -320,9 +320,10 @@ def sketch_groups(docs: DataFrame, shingle: int = 5, percent: int = 85, k: int =
 
     fresh = seen.where("part is null and octet_length(sketch) > 0").select("node", "size", "sketch", "parity")
     listed = written(fresh.select("node", "size", "sketch").mapInArrow(heads, "node long, size long, keys array<long>"))
-    lists = listed.select("node", "size", F.explode("keys").alias("key"))
-    several = lambda df: df.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("key")
-    met = lists.join(several(lists), "key")
+    # dealt once for the sum and the join: the sum reads each column that the join needs, so both read one shuffle
+    lists = listed.select("node", "size", F.explode("keys").alias("key")).repartition("key")
+    several = lambda df, also="true": df.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.expr(f"bool_or({also})").alias("also")).where("lo <> hi and also").select("key")
+    met = lists.join(several(lists, "size > 0"), "key")
     # sets link only if their sizes are within the bound, so each goes to the cell of its size class and the next
     step = float(np.log(100 / percent)) * 1.001 + 1e-9  # a little wide, so that rounding parts no pair
     cell = F.floor(F.log("size") / step)
@@ -330,7 +331,9 @@ def sketch_groups(docs: DataFrame, shingle: int = 5, percent: int = 85, k: int =
     members = written(celled.join(several(celled), "key"))
     sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
     docs_of = described.where("size > 0").groupBy("node").agg(F.min("doc_id").alias("first_doc"))
-    nodes = written(docs_of.join(fresh.dropDuplicates(["node"]), "node"))
+    # only nodes that meet others bring their sketches and maps
+    meeting = written(members.select("node").distinct())
+    nodes = written(docs_of.join(fresh.join(small(meeting, meeting.count()), "node", "left_semi").dropDuplicates(["node"]), "node"))
 
     own_list = members.join(sizes, "key").groupBy("node").agg(F.max(F.struct("size", "key"))["key"].alias("key"))
     first = own_list.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")

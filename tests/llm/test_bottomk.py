@@ -114,3 +114,20 @@ def test_estimate_counts_the_smallest_of_the_union():
     shared, low = bottomk.estimate(values, np.array([0, 0]), np.array([1, 2]), 4)
     assert shared.tolist() == [2, 0] and low.tolist() == [2, 0]
     assert bottomk.estimate(values, np.array([0]), np.array([1]), 3)[1].tolist() == [1]
+
+
+def test_only_texts_that_meet_others_bring_sketches(spark, monkeypatch):
+    """Sketches are joined again in every round, so texts that share no listed value stay out of their table."""
+    seen, confirmed = [], bottomk._confirmed
+
+    def watched(members, nodes, *more):
+        seen.append(nodes.count())
+        return confirmed(members, nodes, *more)
+
+    monkeypatch.setattr(bottomk, "_confirmed", watched)
+    alone = [(k, " ".join(f"w{k}x{i}" for i in range(30))) for k in range(40)]
+    pair = " ".join(f"p{i}" for i in range(100))
+    rows = [*alone, (50, pair), (51, pair + " more")]
+    got = {r["doc_id"]: r for r in bottomk.sketch_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert seen and set(seen) == {2}
+    assert got[51]["component_id"] == 50 and not got[51]["kept"] and all(got[k]["kept"] for k in (*range(40), 50))
