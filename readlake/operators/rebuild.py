@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from readlake.functions.text import escape_html, markdown_inline, natural_sort_key, strip
 from readlake.operators.scans import running_sums
+from readlake.scratch import written
 
 HTML_MEDIA = ("application/xhtml+xml", "text/html")
 
@@ -154,10 +155,19 @@ def render_table(cells: DataFrame, header: bool = True) -> DataFrame:
     return rows.groupBy("doc", "sheet").agg(F.concat(F.lit("<table>"), ordered("row", F.col("tr")), F.lit("</table>")).alias("html"))
 
 
+def _heading(title: str, headed: Column, number: Column) -> Column:
+    """The heading of a chapter, empty where it is ``headed`` by itself."""
+    named = F.coalesce(F.nullif(F.col(title), F.lit("")), F.concat(F.lit("Chapter "), number.cast("string")))
+    return F.when(headed, "").otherwise(F.concat(F.lit("<h2>"), escape_html(named), F.lit("</h2>")))
+
+
+def _headed(body: str) -> Column:
+    return F.col(body).rlike("(?i)<h[1-6]")
+
+
 def _chapter(title: str, body: str, number: Column) -> Column:
     """A chapter's body, under a heading where it has none of its own."""
-    named = F.coalesce(F.nullif(F.col(title), F.lit("")), F.concat(F.lit("Chapter "), number.cast("string")))
-    return F.concat(F.when(F.col(body).rlike("(?i)<h[1-6]"), "").otherwise(F.concat(F.lit("<h2>"), escape_html(named), F.lit("</h2>"))), body)
+    return F.concat(_heading(title, _headed(body), number), body)
 
 
 def assemble_chapters(chapters: DataFrame, owner: str, order: str, title: str, body: str) -> DataFrame:
@@ -173,9 +183,13 @@ def assemble_chapters(chapters: DataFrame, owner: str, order: str, title: str, b
 def assemble_in_parts(chapters: DataFrame, owner: str, order: str, title: str, body: str, part_chars: int = 1 << 20) -> DataFrame:
     """owner, part, body: what ``assemble_chapters`` gives, cut into parts of ``part_chars`` characters (the last may be
     shorter); parts in order joined give it back.  A chapter is cut where parts meet, so no value is longer."""
-    numbered = running_sums(chapters.where(strip(F.col(body)) != ""), [owner], [order])
-    html = F.concat(F.when(F.col("place") > 1, "<hr>").otherwise(""), _chapter(title, body, F.col("place")))
-    run = running_sums(numbered.select(owner, "place", html.alias("html")).withColumnRenamed("place", "n"), [owner], ["n"], before=F.length("html"))
+    made = written(chapters.select(owner, order, title, F.col(body).alias("_body"), F.monotonically_increasing_id().alias("_id")))
+    # places and lengths are found without the bodies, which join them once
+    filled = written(made.where(strip(F.col("_body")) != "").select(owner, order, title, "_id", F.length("_body").alias("_chars"), _headed("_body").alias("_headed")))
+    numbered = running_sums(filled, [owner], [order])
+    head = F.concat(F.when(F.col("place") > 1, "<hr>").otherwise(""), _heading(title, F.col("_headed"), F.col("place")))
+    placed = running_sums(numbered.select(owner, F.col("place").alias("n"), "_id", "_chars", head.alias("_head")), [owner], ["n"], before=F.length("_head") + F.col("_chars"))
+    run = placed.select(owner, "n", "before", "_id", "_head").join(made.select("_id", "_body"), "_id").select(owner, "n", "before", F.concat("_head", "_body").alias("html"))
     first, last = F.floor(F.col("before") / part_chars), F.floor((F.col("before") + F.length("html") - 1) / part_chars)
     pieces = run.select(owner, "n", "before", "html", F.explode(F.sequence(first, last)).alias("part"))
     begin = F.greatest(F.col("part") * part_chars - F.col("before"), F.lit(0))
