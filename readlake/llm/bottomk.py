@@ -298,8 +298,8 @@ def sketch_groups(docs: DataFrame, shingle: int = 5, percent: int = 85, k: int =
     seen = written(own.mapInArrow(sketches, "doc_id long, node long, size long, sketch binary, parity binary, part int, counts binary"))
     described = seen.where("part is null").select("doc_id", "node", "size")
     counts = np.zeros((n_slots // _BLOCK_SLOTS, _BLOCK_SLOTS), np.float32)
-    # 2^21 counts of 4 bytes in all, whatever the input
-    for row in seen.where("part is not null").select("part", "counts").repartition("part").mapInArrow(add, "part int, counts binary").toLocalIterator():
+    # 2^21 counts of 4 bytes in all, whatever the input, fetched by one job: an iterator runs one after another for each partition
+    for row in seen.where("part is not null").select("part", "counts").repartition("part").mapInArrow(add, "part int, counts binary").toArrow().to_pylist():
         counts[row["part"]] = np.frombuffer(row["counts"], np.float32)
     over = counts.ravel() - 2 * counts.mean()
     order = spark.sparkContext.broadcast(np.round(8 * np.log2(1 + np.maximum(over, 0))).astype(np.uint8))
@@ -370,13 +370,14 @@ def sketch_groups(docs: DataFrame, shingle: int = 5, percent: int = 85, k: int =
         return confirmed(hosts.unionByName(guests))
 
     # lists that are the largest open one for most of their nodes come first: they settle most of the others
-    at_work = unsettled(components(links), None)
+    stars = components(links)
+    at_work = unsettled(stars, None)
     choice = at_work.groupBy("node").agg(F.max(F.struct("size", "key"))["key"].alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("chosen"))
     ahead = written(at_work.join(at_work.select("key", "size").distinct().join(choice, "key").where("2 * chosen > size").select("key"), "key"))
-    links = written(links.unionByName(gone_through(ahead.withColumn("met", F.lit(None).cast("long")))))
+    joined = lambda stars, more: components(stars.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+    stars = joined(stars, gone_through(ahead.withColumn("met", F.lit(None).cast("long"))))
     met = ahead.groupBy("node").agg(F.max(F.struct("size", "key"))["key"].alias("met"))
-    links = links.unionByName(gone_through(unsettled(components(links), ahead.select("key").distinct()).join(met, "node", "left")))
-    stars = components(links)
+    stars = joined(stars, gone_through(unsettled(stars, ahead.select("key").distinct()).join(met, "node", "left")))
     order.destroy()  # every table that needs the order is written by now
     for done in (listed, celled):
         discard(done)

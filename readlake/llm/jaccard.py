@@ -342,9 +342,9 @@ def shingle_groups(docs: DataFrame, shingle: int = 3, percent: int = 90, block:
                 total[part] = total.get(part, 0) + np.frombuffer(counts, "<u2").astype(np.float32)
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], names=["part", "counts"])
 
-    # 2 x 2^21 counts of 4 bytes in all, whatever the input
+    # 2 x 2^21 counts of 4 bytes in all, whatever the input, fetched by one job: an iterator runs one after another for each partition
     counts = np.zeros((2 * n_slots // _BLOCK_SLOTS, _BLOCK_SLOTS), np.float32)
-    for row in seen.where("part is not null").select("part", "counts").repartition("part").mapInArrow(add, "part int, counts binary").toLocalIterator():
+    for row in seen.where("part is not null").select("part", "counts").repartition("part").mapInArrow(add, "part int, counts binary").toArrow().to_pylist():
         counts[row["part"]] = np.frombuffer(row["counts"], np.float32)
     order = spark.sparkContext.broadcast(ShingleOrder(*counts.reshape(2, -1), shingle))
     del counts
@@ -420,7 +420,7 @@ def shingle_groups(docs: DataFrame, shingle: int = 3, percent: int = 90, block:
     hosts = second.select("key", F.pmod(F.xxhash64("node", "key"), F.col("homes")).cast("int").alias("home"), "halls", "node", "comp").select("key", "home", every(F.col("halls")).alias("guests"), "node", "comp", F.lit(False).alias("probe"))
     guests = second.where("comp <> main").select("key", F.pmod(F.xxhash64("key", "node"), F.col("halls")).cast("int").alias("guests"), "homes", "node", "comp").select("key", every(F.col("homes")).alias("home"), "guests", "node", "comp", F.lit(True).alias("probe"))
     more = _join_groups(hosts.unionByName(guests), nodes, own, sets_of, percent)
-    stars = components(links.unionByName(more))
+    stars = components(stars.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
     order.destroy()  # every table that needs the order is written by now
 
     named = nodes.join(stars, "node", "left").select("node", "best", F.coalesce("root", "node").alias("root"))

@@ -26,6 +26,23 @@ def test_components_of_chains_and_stars(spark):
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
+def test_components_of_a_long_chain_take_few_jobs(spark):
+    order = list(range(3000))
+    random.Random(3).shuffle(order)
+    pairs = [*zip(order[:2000], order[1:2000]), *((order[2000], x) for x in order[2000:])]
+    random.Random(4).shuffle(pairs)
+    links = spark.createDataFrame(pairs, "a long, b long").repartition(3)
+    links.count()
+    context = spark.sparkContext
+    context.setJobGroup("chain", "components of a chain and a star")
+    stars = components(links)
+    jobs = len(context.statusTracker().getJobIdsForGroup("chain"))
+    context.setLocalProperty("spark.jobGroup.id", None)
+    least, other = min(order[:2000]), min(order[2000:])
+    assert sorted(map(tuple, stars.collect())) == sorted([*((x, least) for x in order[:2000] if x != least), *((x, other) for x in order[2000:] if x != other)])
+    assert jobs <= 40
+
+
 @pytest.mark.parametrize("block", [3, 256])
 def test_groups_match_brute_force(spark, block):
     """Families of near copies larger than a block, chains, shared passages and odd texts."""
