@@ -350,8 +350,11 @@ def _in_arrays(model: DataFrame, top: Tables) -> Tables:
     return out
 
 
-def _spelled_in_tasks(words: DataFrame, shared: Broadcast) -> DataFrame:
-    """``words`` with ``spelled``, the natural logarithm of the spelling's probability."""
+def _spelled_in_tasks(words: DataFrame, shared: Broadcast, keyed: bool = False) -> DataFrame:
+    """``words`` with ``spelled``, the natural logarithm of the spelling's probability; ``keyed``: as ``_keyed`` has them.
+
+    One Python worker of a task does both: with two, an executor would keep twice the workers to the end of the job.
+    """
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -362,6 +365,8 @@ def _spelled_in_tasks(words: DataFrame, shared: Broadcast) -> DataFrame:
                 logs = np.log(shared.value.probability(unique))[codes]
                 yield pa.RecordBatch.from_arrays([batch.column(c).slice(i, j - i) for c in ("word", "n")] + [pa.array(np.bincount(rows, logs, j - i))], names=["word", "n", "spelled"])
 
+    if keyed:
+        return words.mapInArrow(giving_back(lambda batches: _by_key(spell(batches))), _KEYED)
     return words.mapInArrow(giving_back(spell), "word binary, n long, spelled double")
 
 
@@ -386,18 +391,21 @@ def _spelled_by_join(words: DataFrame, model: DataFrame, top: Tables) -> DataFra
     return grams.groupBy("word", "n").agg(F.sum(F.log(p)).alias("spelled"))
 
 
-def _keyed(spelled: DataFrame) -> DataFrame:
-    """(key, n, spelled): words by their hash."""
+_KEYED = "key long, n long, spelled double"
 
-    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in batches:
-            buf, offsets = text_bytes(part.column("word"))
-            key = span_hashes(buf, offsets[:-1], offsets[1:]).view(np.int64)
-            is_end = np.diff(offsets) == 1
-            is_end[is_end] = buf[offsets[:-1][is_end]] == 0x0A
-            yield pa.RecordBatch.from_arrays([pa.array(np.where(is_end, _END, key)), part.column("n"), part.column("spelled")], names=["key", "n", "spelled"])
 
-    return spelled.select("word", "n", "spelled").mapInArrow(giving_back(name), "key long, n long, spelled double")
+def _by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in batches:
+        buf, offsets = text_bytes(part.column("word"))
+        key = span_hashes(buf, offsets[:-1], offsets[1:]).view(np.int64)
+        is_end = np.diff(offsets) == 1
+        is_end[is_end] = buf[offsets[:-1][is_end]] == 0x0A
+        yield pa.RecordBatch.from_arrays([pa.array(np.where(is_end, _END, key)), part.column("n"), part.column("spelled")], names=["key", "n", "spelled"])
+
+
+def _keyed(spelled: DataFrame) -> DataFrame:
+    """(key, n, spelled): words by their hash."""
+    return spelled.select("word", "n", "spelled").mapInArrow(giving_back(_by_key), _KEYED)
 
 
 def lexicon(spelled: DataFrame, total: int, kinds: int, discount: float, rounds: int = 12, burn_in: int = 4) -> tuple[DataFrame, float]:
@@ -913,8 +921,7 @@ def score_texts(docs: DataFrame, folds: int = 7, held_out: int = 2, order: int =
     rows, kinds, total = (int(x) for x in seen)
     model, top = fit_spelling(written(gram_counts(words.where(some), order)), order)
     shared = own.sparkSession.sparkContext.broadcast(_in_arrays(model, top)) if model.count() <= broadcast_rows else None
-    spelled = _spelled_in_tasks(words, shared) if shared else _spelled_by_join(words, model, top)
-    named = written(_keyed(spelled))
+    named = written(_spelled_in_tasks(words, shared, keyed=True) if shared else _keyed(_spelled_by_join(words, model, top)))
     discard(words)
     if shared:
         discard(model)

@@ -393,3 +393,17 @@ def test_word_sums_in_spans_match_brute_force(spark, docs, monkeypatch):
     assert positive(pairs.tables) == by(0, lambda n: 1)
     assert positive(pairs.contexts) == by(1, lambda n: 1)
     assert positive(pairs.customers) == by(0, lambda n: n)
+
+
+def test_the_language_model_runs_one_python_worker_a_task(docs, monkeypatch):
+    stages, write = [], pitman_yor.written
+
+    def written(df, *more):
+        stages.extend(re.split("Exchange", df._jdf.queryExecution().executedPlan().toString()))
+        return write(df, *more)
+
+    monkeypatch.setattr(pitman_yor, "written", written)
+    last = pitman_yor.score_texts(docs)
+    stages.extend(re.split("Exchange", last._jdf.queryExecution().executedPlan().toString()))
+    assert sum("MapInArrow" in x for x in stages) > 5
+    assert max(x.count("MapInArrow") for x in stages) == 1
