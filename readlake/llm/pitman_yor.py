@@ -24,13 +24,12 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from readlake.llm.labelled import fold
-from readlake.llm.shared import discard, giving_back, written
+from readlake.llm.shared import discard, giving_back, without_shuffles, written
 from readlake.llm.textkit import LOWER, U64, binary_column, mix, ragged, slices, span_hashes, text_bytes, word_spans
 
 #: Discount and strength of restaurants by context length.
@@ -44,6 +43,7 @@ _BUCKET_TOKENS = 2_000_000  # training tokens a bucket of pairs, about
 _COUNT_WORDS = 500_000  # different words of slices of text that a task gathers before it adds them up
 _CHUNK_TOKENS = 1_000_000  # tokens that a task gathers before it deals them over the buckets
 _SPAN = 1 << 18  # places of the lexicon whose sums are a row
+_RANGE_WORDS = 4_000_000  # words of a range of a lexicon that no array holds, at most
 _SEED = 0x9E3779B97F4A7C15
 
 
@@ -371,36 +371,46 @@ def _spelled_in_tasks(words: DataFrame, shared: Broadcast, keyed: bool = False)
 
 
 def _spelled_by_join(words: DataFrame, model: DataFrame, top: Tables) -> DataFrame:
-    """The same by joins with the model's table, of any size."""
+    """(key, n, spelled) by joins with the model's table, of any size: every n-gram takes its probability once, and
+    words are two numbers for each of theirs."""
     order, shared = top.order, words.sparkSession.sparkContext.broadcast(top)
 
+    def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(shared.value.probability(batch.column("key").to_numpy(), _TOP))], names=["gram", "short"])
+
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, rows = spelling_grams(*text_bytes(batch.column("word")), order)
-            at = pa.array(rows)
-            yield pa.RecordBatch.from_arrays([batch.column("word").take(at), batch.column("n").take(at), pa.array(keys), pa.array(shared.value.probability(keys, _TOP))], names=["word", "n", "key", "short"])
+            buf, offsets = text_bytes(batch.column("word"))
+            key, n = _word_keys(buf, offsets), batch.column("n").to_numpy()
+            for i, j in slices(offsets, 1 << 18):
+                grams, rows = spelling_grams(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], order)
+                yield pa.RecordBatch.from_arrays([pa.array(key[i:j][rows]), pa.array(n[i:j][rows]), pa.array(grams)], names=["key", "n", "gram"])
 
-    grams, p = written(words.mapInArrow(parts, "word binary, n long, key long, short double")), F.col("short")
+    grams, p = gram_counts(words, order).select("key").mapInArrow(giving_back(short), "gram long, short double"), F.col("short")
     for depth in range(_TOP + 1, order):
         at = model.where(F.col("depth") == depth)
-        key = F.col("key").bitwiseAND((1 << 8 * (depth + 1)) - 1)
-        grams = grams.withColumn("part", key).withColumn("rest", F.shiftright("part", 8))
+        grams = grams.withColumn("part", F.col("gram").bitwiseAND((1 << 8 * (depth + 1)) - 1)).withColumn("rest", F.shiftright("part", 8))
         grams = grams.join(at.where("not is_context").select(F.col("key").alias("part"), F.col("value").alias(f"p{depth}")), "part", "left")
         grams = grams.join(at.where("is_context").select(F.col("key").alias("rest"), F.col("value").alias(f"g{depth}")), "rest", "left").drop("part", "rest")
         p = F.coalesce(F.col(f"p{depth}"), F.coalesce(F.col(f"g{depth}"), F.lit(1.0)) * p)
-    return grams.groupBy("word", "n").agg(F.sum(F.log(p)).alias("spelled"))
+    logs = written(grams.select("gram", F.log(p).alias("log")))
+    return words.select("word", "n").mapInArrow(giving_back(parts), "key long, n long, gram long").join(logs, "gram").groupBy("key", "n").agg(F.sum("log").alias("spelled"))
 
 
 _KEYED = "key long, n long, spelled double"
 
 
+def _word_keys(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    key = span_hashes(buf, offsets[:-1], offsets[1:]).view(np.int64)
+    is_end = np.diff(offsets) == 1
+    is_end[is_end] = buf[offsets[:-1][is_end]] == 0x0A
+    return np.where(is_end, _END, key)
+
+
 def _by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in batches:
-        buf, offsets = text_bytes(part.column("word"))
-        key = span_hashes(buf, offsets[:-1], offsets[1:]).view(np.int64)
-        is_end = np.diff(offsets) == 1
-        is_end[is_end] = buf[offsets[:-1][is_end]] == 0x0A
-        yield pa.RecordBatch.from_arrays([pa.array(np.where(is_end, _END, key)), part.column("n"), part.column("spelled")], names=["key", "n", "spelled"])
+        yield pa.RecordBatch.from_arrays([pa.array(_word_keys(*text_bytes(part.column("word")))), part.column("n"), part.column("spelled")], names=["key", "n", "spelled"])
 
 
 def _keyed(spelled: DataFrame) -> DataFrame:
@@ -528,6 +538,93 @@ def _buckets_of(pairs: np.ndarray, buckets: int) -> np.ndarray:
     return ((mix(pairs.view(U64)) >> U64(33)) % U64(buckets)).astype(np.int32)
 
 
+_ASKED = "cell int, bucket int, kind int, chunk long, pairs binary, n binary, more binary"
+_SCORED = "doc_id long, n_tokens long, n_known long, base_score double, score double, open_score double"
+
+
+def _row(types: str, *values) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    names, forms = zip(*(c.split() for c in types.split(", ")), strict=True)
+    return pa.RecordBatch.from_arrays([pa.array([v], kinds[f]) for v, f in zip(values, forms, strict=True)], names=list(names))
+
+
+class _Chunk:
+    """Texts one after another with the sums that a task has itself, and the pairs that they ask of buckets.
+
+    A row of kind 3 is a chunk's texts.  One of kind 2 is what it asks of a bucket: pairs, how often each comes, and in which of its texts;
+    answers (kind 5) name texts by their numbers as well.  A chunk's name is a hash of its texts, so chunks of one name
+    have equal sums; their answers add up together and are divided again.
+    """
+
+    def __init__(self, home, buckets: int, cell):
+        self.home, self.buckets, self.cell = home, buckets, cell
+        self.texts, self.asked, self.rows = [], [], 0
+
+    def add(self, ids: pa.Array, names: np.ndarray, sums: tuple[np.ndarray, ...], pair: np.ndarray, row: np.ndarray) -> Iterator[pa.RecordBatch]:
+        null = ids.is_null().to_numpy(zero_copy_only=False)
+        self.texts.append((names.copy(), ids.fill_null(0).to_numpy().copy(), null, *sums))
+        self.asked.append((pair, row + self.rows))
+        self.rows += len(names)
+        if sum(len(p) for p, _ in self.asked) > _CHUNK_TOKENS or self.rows > _CHUNK_TOKENS // 4:
+            yield from self.flush()
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if not self.rows:
+            return
+        names, ids, null, tokens, known, *sums = (np.concatenate(x) for x in zip(*self.texts, strict=True))
+        pair, row = (np.concatenate(x) for x in zip(*self.asked, strict=True))
+        self.texts, self.asked, self.rows = [], [], 0
+        chunk = int(mix(mix(names.view(U64) ^ mix(np.arange(len(names), dtype=U64))).sum(keepdims=True)).view(np.int64)[0])
+        home = chunk % self.buckets
+        yield _row(_ASKED, self.cell(home), home, 3, chunk, _packed(ids), _packed(np.concatenate([null, tokens, known])), np.concatenate(sums).tobytes())
+        by = np.argsort(pair)
+        pair, row = pair[by], row[by]
+        home = self.home(pair)
+        by = np.argsort(home.astype(np.uint16) if self.buckets < 65536 else home, kind="stable")
+        pair, row, edges = pair[by], row[by], np.searchsorted(home[by], np.arange(self.buckets + 1))
+        for b in np.flatnonzero(np.diff(edges)).tolist():
+            own = pair[edges[b] : edges[b + 1]]
+            first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+            yield _row(_ASKED, self.cell(b), b, 2, chunk, _packed(np.diff(own[first], prepend=0)), _packed(np.diff(np.append(first, len(own)))), _packed(row[edges[b] : edges[b + 1]]))
+
+
+def _answer(cell: int, bucket: int, chunk: int, lifted: np.ndarray, lift: np.ndarray, whole: tuple[np.ndarray, ...] | None = None) -> pa.RecordBatch:
+    """What a bucket adds to a chunk's texts: numbers and sums of lifts; and of words that are scored in the bucket
+    altogether the numbers of texts, the known ones, and sums for the three scores."""
+    rows, known, *sums = whole or (lifted[:0],) * 5
+    return _row(_ASKED, cell, bucket, 5, chunk, None, _packed(np.concatenate([[len(lifted)], lifted, rows, known])), np.concatenate([lift, *sums]).astype(float).tobytes())
+
+
+def _assembled(answers: DataFrame) -> DataFrame:
+    """Texts with their scores, from the rows of kinds 3 and 5."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, own in itertools.groupby(_rows_of(batches, ("chunk", "kind", "pairs", "n", "more")), lambda r: r[0]):
+            copies, texts, more = 0, None, None
+            for _, kind, pairs, n, sums in own:
+                if kind == 3:
+                    copies, texts = copies + 1, (pairs, n, sums)
+                    continue
+                if more is None:
+                    size = int.from_bytes(texts[0][:8], "little")
+                    more = np.zeros((4, size))
+                n, x = _unpacked(n), np.frombuffer(sums)
+                k = int(n[0])
+                for at in (2, 3):
+                    more[at][n[1 : k + 1]] += x[:k]
+                rest = n[k + 1 :].reshape(2, -1)
+                for at, y in zip(range(4), (rest[1], *x[k:].reshape(3, -1)), strict=True):
+                    more[at][rest[0]] += y
+            ids, (null, tokens, known), scores = _unpacked(texts[0]), _unpacked(texts[1]).reshape(3, -1), np.frombuffer(texts[2]).reshape(3, -1)
+            if more is not None:
+                more /= copies
+                known, scores = known + np.rint(more[0]).astype(np.int64), scores + more[1:]
+            for _ in range(copies):
+                yield pa.RecordBatch.from_arrays([pa.array(ids, mask=null.astype(bool)), pa.array(tokens), pa.array(known), *map(pa.array, scores)], names=[c.split()[0] for c in _SCORED.split(", ")])
+
+    return answers.select("chunk", "kind", "pairs", "n", "more").repartition("chunk").sortWithinPartitions("chunk", "kind").mapInArrow(giving_back(add), _SCORED)
+
+
 class WordPairs:
     """The restaurants of words in the context of the word before them, over places in the sorted lexicon ``known``.
 
@@ -718,12 +815,7 @@ class WordPairs:
             _, open_, rooms, _ = shared.value
             return np.log10(1 + (n - d * t) / (rooms[pairs >> 32] * 10 ** open_[pairs & 0xFFFFFFFF]))
 
-        seen, least = 0, 2
-        for r in self._histogram().where("n > 1").groupBy("n").agg(F.sum("kinds").alias("kinds")).orderBy(F.desc("n")).limit(_HOT).toLocalIterator():
-            seen += r["kinds"]
-            if seen > _HOT:
-                least = r["n"] + 1
-                break
+        least = _least(self._histogram().where("n > 1").groupBy("n").agg(F.sum("kinds").alias("kinds")))
 
         def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for pairs, n, more in _rows_of(batches, ("pairs", "n", "more")):
@@ -752,185 +844,466 @@ class WordPairs:
                 yield i, j, rows, word, prev, pair, hit[codes], np.where(hit, hot_lift[at], 0.0)[codes] if len(known_hot) else np.zeros(len(pair))
 
         def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            """Kind 2: a bucket's pairs in a chunk of texts, how often each comes, and of which names.  Kind 3: a row's
-            sums of what needs no other bucket."""
             n, open_, room, customers = shared.value
-            wait: list[tuple[np.ndarray, np.ndarray]] = []
-
-            def flush() -> Iterator[pa.RecordBatch]:
-                if not wait:
-                    return
-                pair, name = (np.concatenate(x) for x in zip(*wait, strict=True))
-                wait.clear()
-                by = np.argsort(pair)
-                pair, name = pair[by], name[by]
-                home = _buckets_of(pair, buckets)
-                by = np.argsort(home.astype(np.uint16) if buckets < 65536 else home, kind="stable")
-                pair, name, edges = pair[by], name[by], np.searchsorted(home[by], np.arange(buckets + 1))
-                for b in np.flatnonzero(np.diff(edges)).tolist():
-                    own = pair[edges[b] : edges[b + 1]]
-                    first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-                    codes, names = pd.factorize(name[edges[b] : edges[b + 1]])
-                    yield wide(_block(b, 2, own[first], np.diff(np.append(first, len(own))), np.concatenate([[len(names)], names, codes])))
-
+            chunk = _Chunk(lambda pairs: _buckets_of(pairs, buckets), buckets, lambda bucket: bucket)
             for batch in batches:
-                all_names = batch.column("name").to_numpy()
+                names = batch.column("name").to_numpy()
                 for i, j, rows, word, prev, pair, hit, more in parts(batch):
                     total = lambda w: np.bincount(rows, w, j - i)  # noqa: B023, E731
-                    some, names = n[word] > 0, all_names[i:j]
+                    some = n[word] > 0
                     want = ~hit & some & (customers[prev] > 0)
                     more = more + np.log10(room[prev] / (STRENGTH + customers[prev]))
-                    own = [names, batch.column("doc_id").slice(i, j - i), np.bincount(rows, minlength=j - i), total(some).astype(np.int64), total(np.log10(n[word] + 1.0) - base), total(np.where(some, open_[word], unknown) + more), total(open_[word] + more)]
-                    blank = [pa.nulls(j - i, pa.binary())] * 3
-                    yield pa.RecordBatch.from_arrays([pa.array((_buckets_of(names, buckets))), pa.array(np.full(j - i, 3, np.int32)), *blank, *(x if isinstance(x, pa.Array) else pa.array(x) for x in own)], names=fields)
-                    wait.append((pair[want], names[rows[want]]))
-                    if sum(len(p) for p, _ in wait) > _CHUNK_TOKENS:
-                        yield from flush()
-            yield from flush()
-
-        fields = ["bucket", "kind", "pairs", "n", "more", "name", "doc_id", "n_tokens", "n_known", "base_score", "score", "open_score"]
-        kinds = [pa.int64()] * 4 + [pa.float64()] * 3
-
-        def wide(block: pa.RecordBatch) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([*block.columns, *(pa.nulls(block.num_rows, k) for k in kinds)], names=fields)
+                    own = (np.bincount(rows, minlength=j - i), total(some).astype(np.int64), total(np.log10(n[word] + 1.0) - base), total(np.where(some, open_[word], unknown) + more), total(open_[word] + more))
+                    yield from chunk.add(batch.column("doc_id").slice(i, j - i), names[i:j], own, pair[want], rows[want])
+            yield from chunk.flush()
 
         def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pairs = lift = np.zeros(0, np.int64)
             now = None
+            for row in _rows_of(batches, ("cell", "bucket", "kind", "chunk", "pairs", "n", "more")):
+                _, bucket, kind, chunk, own, n, more = row
+                if kind == 3:
+                    yield _row(_ASKED, *row)
+                    continue
+                own, n = np.cumsum(_unpacked(own)), _unpacked(n)
+                if bucket != now:
+                    now, pairs, lift = bucket, own[:0], np.zeros(0)
+                if kind == 0:
+                    pairs, lift = own, lifts(own, n, np.ones(len(n)))
+                elif kind == 1:
+                    lift[np.searchsorted(pairs, own)] = lifts(own, n, (_unpacked(more) >> 32) / draws)
+                elif len(pairs):
+                    at = np.minimum(np.searchsorted(pairs, own), len(pairs) - 1)
+                    adds = np.bincount(_unpacked(more), np.repeat(np.where(pairs[at] == own, lift[at], 0.0), n))
+                    use = np.flatnonzero(adds)
+                    yield _answer(bucket, bucket, chunk, use, adds[use])
+
+        fitted = self.blocks.unionByName(self.seats).withColumns({"cell": F.col("bucket"), "chunk": F.lit(None).cast("long")})
+        rows = fitted.unionByName(named.mapInArrow(giving_back(ask), _ASKED))
+        return _assembled(rows.repartition("cell").sortWithinPartitions("cell", "bucket", "kind").mapInArrow(giving_back(answer), _ASKED))
+
+
+_CELL = "cell int, bucket int, kind int, pairs binary, n binary, more binary"
+_RANGED = "range int, what int, values binary"
+#: What a range of the lexicon has in a row of its own, of its words and, from _TABLES on, of their contexts.
+_KEYS, _COUNTS, _SPELLED, _TOPS, _ALIKE, _ALIKE_AT, _TOTALS, _CHANCE, _OPEN, _CONTEXTS, _MORE_CONTEXTS, _TABLES, _CUSTOMERS, _MORE_TABLES, _KEPT = range(15)
+_BEFORE = 16  # added to what a cell has of its words of context
+
+
+class _Places:
+    """Places of keys in the sorted lexicon by their upper halves, in four bytes a word; keys that share theirs stand
+    beside in full.  Only words of the lexicon are asked."""
+
+    def __init__(self, parts: list[dict[int, bytes]], edges: np.ndarray):
+        self.parts, self.edges = parts, edges
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        if self.parts is not None:  # on a worker, once
+            self.tops = np.empty(int(self.edges[-1]), np.int32)
+            for part, i, j in zip(self.parts, self.edges[:-1], self.edges[1:], strict=True):
+                if part:
+                    self.tops[i:j] = np.cumsum(_unpacked(part[_TOPS]))
+            self.alike, self.alike_at = (np.concatenate([np.zeros(0, np.int64), *(_unpacked(p[what]) + e * (what == _ALIKE_AT) for p, e in zip(self.parts, self.edges, strict=False) if p)]) for what in (_ALIKE, _ALIKE_AT))
+            self.parts = None
+        at = np.searchsorted(self.tops, (keys >> 32).astype(np.int32))
+        if len(self.alike):
+            k = np.minimum(np.searchsorted(self.alike, keys), len(self.alike) - 1)
+            same = self.alike[k] == keys
+            at[same] = self.alike_at[k[same]]
+        return at
+
+
+@dataclass
+class _Grid:
+    """Ranges of the sorted lexicon by ``edges``, the start behind the last word; cells of a range of words before and a
+    range of words, and their buckets, by the ``first`` of each cell."""
+
+    edges: np.ndarray
+    first: np.ndarray
+
+    @property
+    def ranges(self) -> int:
+        return len(self.edges) - 1
+
+    @property
+    def start(self) -> int:
+        return int(self.edges[-1])
+
+    def size(self, at: int) -> int:
+        return int(self.edges[at + 1] - self.edges[at]) + (at == self.ranges - 1)
+
+    def home(self, pairs: np.ndarray) -> np.ndarray:
+        inner = self.edges[1:-1]
+        cell = np.searchsorted(inner, pairs >> 32, "right") * self.ranges + np.searchsorted(inner, pairs & 0xFFFFFFFF, "right")
+        return self.first[cell] + ((mix(pairs.view(U64)) >> U64(33)).astype(np.int64) % np.diff(self.first)[cell])
+
+    def cell(self, bucket: int) -> int:
+        return int(np.searchsorted(self.first, bucket, "right")) - 1
+
+    def whole(self, at: int, blob: bytes | np.ndarray | None, start=0) -> np.ndarray:
+        """A range's values, ``start`` for the start where they have none; zeros where no row has them."""
+        x = np.zeros(0, np.int64) if blob is None else _unpacked(blob) if isinstance(blob, bytes) else blob
+        out = np.zeros(self.size(at), x.dtype)
+        out[-1:] = start
+        out[: len(x)] = x
+        return out
+
+
+def _piece(at: int, what: int, values: bytes) -> pa.RecordBatch:
+    return _row(_RANGED, at, what, values)
+
+
+class GridPairs:
+    """The same restaurants for a lexicon of any size: no array as long as the lexicon, but for ``_Places``.
+
+    The sorted lexicon falls into ranges, and a pair lives in the cell of the ranges of its two words.  What a pass needs of
+    other buckets goes to a cell for its two ranges alone, as rows beside its buckets, and so do the questions of texts.
+    A task knows the most frequent words and pairs; all else of a text is scored in the cells.
+    """
+
+    def __init__(self, docs: DataFrame, learn: Column, named: DataFrame, rows: int, total: int):
+        bits = max(1, (rows // _RANGE_WORDS).bit_length())
+        self.named, self.range = named, (F.shiftright("key", 64 - bits) + (1 << bits - 1)).cast("int")
+
+        def cut(key: np.ndarray, n: np.ndarray, spelled: np.ndarray) -> Iterator[tuple[int, bytes]]:
+            tops = key >> 32
+            same = np.concatenate([[False], tops[1:] == tops[:-1], [False]])
+            alike = np.flatnonzero(same[1:] | same[:-1])
+            yield from ((_KEYS, _packed(np.diff(key, prepend=0))), (_COUNTS, _packed(n)), (_SPELLED, spelled.tobytes()))
+            yield from ((_TOPS, _packed(np.diff(tops, prepend=0))), (_ALIKE, _packed(key[alike])), (_ALIKE_AT, _packed(alike)))
+            yield _TOTALS, _packed(np.array([len(key), n.sum(), n[key == _END].sum()]))
+
+        self.lexicon = self._ranged(named.select("key", "n", "spelled"), cut)
+        parts: list[dict[int, bytes]] = [{} for _ in range(1 << bits)]
+        for at, what, values in _rows_of(iter(self.lexicon.where(F.col("what").between(_TOPS, _TOTALS)).toArrow().to_batches()), ("range", "what", "values")):
+            parts[at][what] = values
+        sizes, n, ends = np.array([_unpacked(p[_TOTALS]) if p else [0, 0, 0] for p in parts]).T
+        before = n.astype(float)
+        before[-1] += ends.sum()  # of the start
+        buckets = np.maximum(1, np.ceil(np.outer(before, n) / max(total, 1) / _BUCKET_TOKENS)).astype(np.int64)
+        self.grid = _Grid(np.append(0, np.cumsum(sizes)), np.append(0, np.cumsum(buckets)))
+        self.places = docs.sparkSession.sparkContext.broadcast(_Places(parts, self.grid.edges))
+        del parts
+        self.blocks = self._count(docs.where(F.coalesce(learn, F.lit(False))).select("text"))
+        self.first = self._sums(self.blocks, lambda n, more: np.ones(len(n), np.int64), (_TABLES, _CONTEXTS, _CUSTOMERS))
+        sizes = self._histogram().agg(F.sum(F.when(F.col("n") == 1, F.col("kinds"))), F.sum(F.when(F.col("n") == 2, F.col("kinds")))).first()
+        self.discount, self.seats, self.extra = _discount(*(int(x or 0) for x in sizes)), None, None
+
+    def _ranged(self, rows: DataFrame, cut) -> DataFrame:
+        """(range, what, values): what ``cut`` makes of the columns of each range, in order of its keys."""
+        columns = rows.columns
+
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            kept, now = [], None
             for batch in batches:
-                texts = pc.equal(batch.column("kind"), 3)
-                own = batch.filter(texts).select(fields[5:])
-                yield own.append_column("lift", pa.nulls(own.num_rows, pa.float64()))
-                for bucket, kind, own, n, more in _rows_of([batch.filter(pc.invert(texts))], ("bucket", "kind", "pairs", "n", "more")):
-                    own, n = np.cumsum(_unpacked(own)), _unpacked(n)
-                    if bucket != now:
-                        now, pairs, lift = bucket, own[:0], np.zeros(0)
-                    if kind == 0:
-                        pairs, lift = own, lifts(own, n, np.ones(len(n)))
-                    elif kind == 1:
-                        lift[np.searchsorted(pairs, own)] = lifts(own, n, (_unpacked(more) >> 32) / draws)
-                    elif len(pairs):
-                        more = _unpacked(more)
-                        at = np.minimum(np.searchsorted(pairs, own), len(pairs) - 1)
-                        names, codes = more[1 : 1 + more[0]], more[1 + more[0] :]
-                        adds = np.bincount(codes, np.repeat(np.where(pairs[at] == own, lift[at], 0.0), n), len(names)).astype(float)
-                        use = np.flatnonzero(adds)
-                        yield pa.RecordBatch.from_arrays([pa.array(names[use]), *(pa.nulls(len(use), k) for k in kinds[1:]), pa.array(adds[use])], names=[*fields[5:], "lift"])
-
-        fitted = self.blocks.unionByName(self.seats)
-        for c, kind in [(f, "long") for f in fields[5:9]] + [(f, "double") for f in fields[9:]]:
-            fitted = fitted.withColumn(c, F.lit(None).cast(kind))
-        rows = fitted.unionByName(named.mapInArrow(giving_back(ask), _BLOCK + ", name long, " + _SCORED))
-        answers = rows.repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(giving_back(answer), f"name long, {_SCORED}, lift double")
-        # rows of one name have equal texts, so equal values
-        texts = answers.groupBy("name").agg(*(F.max(c).alias(c) for c in fields[6:]), F.count("n_tokens").alias("copies"), F.coalesce(F.sum("lift"), F.lit(0.0)).alias("lift"))
-        more = F.col("lift") / F.col("copies")
-        every = texts.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
-        return every.select("doc_id", "n_tokens", "n_known", "base_score", (F.col("score") + more).alias("score"), (F.col("open_score") + more).alias("open_score"))
-
-
-class JoinedPairs:
-    """The same restaurants as tables of keys, for a lexicon of any size: what a pass needs of others is joined."""
-
-    def __init__(self, docs: DataFrame, learn: Column, named: DataFrame):
-        self.pairs = written(pair_counts(docs, learn))
-        self.houses = written(self.pairs.groupBy("prev").agg(F.count(F.lit(1)).alias("tables"), F.sum("n").alias("c")))
-        kinds = self.pairs.groupBy(F.col("word").alias("key")).agg(F.count(F.lit(1)).alias("n"))
-        self.own = written(named.select("key", "spelled").join(kinds, "key", "left").select("key", F.coalesce("n", F.lit(0)).cast("long").alias("n"), "spelled"))
-        sizes = self.pairs.agg(F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first()
-        self.discount, self.seats = _discount(*map(int, sizes)), None
+                at = batch.column("range").to_numpy()
+                edges = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(at)]
+                for i, j in itertools.pairwise(edges):
+                    if i == j:
+                        continue
+                    if kept and at[i] != now:
+                        yield from done(now, kept)
+                        kept = []
+                    now = int(at[i])
+                    kept.append([batch.column(c).slice(i, j - i).to_numpy() for c in columns])
+            if kept:
+                yield from done(now, kept)
 
-    def words(self) -> DataFrame:
-        if self.seats is None:
-            return written(self.own)
-        more = self.seats.groupBy(F.col("word").alias("key")).agg(F.sum(F.col("last") - 1).alias("more"))
-        return written(self.own.join(more, "key", "left").select("key", (F.col("n") + F.coalesce("more", F.lit(0))).alias("n"), "spelled"))
+        def done(now: int, kept: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+            for what, values in cut(*(np.concatenate(x) for x in zip(*kept, strict=True))):
+                yield _piece(now, what, values)
 
-    def _rooms(self, tables: Column) -> DataFrame:
-        """(prev, room, c): strength, or 0, and all tables of each context; ``tables``: those beyond a pair's first."""
-        if self.seats is None:
-            return self.houses.select("prev", F.col("tables").cast("double").alias("room"), "c")
-        return self.houses.join(self.seats.groupBy("prev").agg(F.sum(tables).alias("more")), "prev", "left").select("prev", (F.col("tables") + F.coalesce("more", F.lit(0.0))).alias("room"), "c")
+        return written(rows.withColumn("range", self.range).repartition("range").sortWithinPartitions("range", "key").mapInArrow(giving_back(work), _RANGED), "uncompressed")
 
-    def seat(self, book: DataFrame, number: int, draws: int, keep: bool) -> None:
-        d = self.discount
+    def _count(self, texts: DataFrame) -> DataFrame:
+        places, grid = self.places, self.grid
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            wait: list[np.ndarray] = []
+            buckets = int(grid.first[-1])
+
+            def flush() -> Iterator[pa.RecordBatch]:
+                if wait:
+                    pairs, n = np.unique(np.concatenate(wait), return_counts=True)
+                    wait.clear()
+                    home = grid.home(pairs)
+                    by = np.argsort(home, kind="stable")
+                    edges = np.searchsorted(home[by], np.arange(buckets + 1))
+                    for b in np.flatnonzero(np.diff(edges)).tolist():
+                        own = by[edges[b] : edges[b + 1]]
+                        yield _row(_CELL, grid.cell(b), b, 0, _packed(np.diff(pairs[own], prepend=0)), _packed(n[own]), None)
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                n, seed, last, kept, p, room = (batch.column(c).to_numpy() for c in ("n", "pair", "last", "kept", "p", "room"))
-                others = room.astype(np.int64) - last
-                for k in range(draws):
-                    last = reseat(n, p, others, d, seed, number * draws + k)
-                    kept = kept + last * keep
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("pair", "prev", "word", "n")), pa.array(last), pa.array(kept)], names=["pair", "prev", "word", "n", "last", "kept"])
+                buf, offsets = text_bytes(batch.column("text"))
+                for i, j in slices(offsets):
+                    keys, rows = _tokens(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                    codes, unique = pd.factorize(keys)
+                    word = places.value.find(unique)[codes]
+                    wait.append(_previous(word, rows, j - i, grid.start) << 32 | word)
+                    if sum(map(len, wait)) > _CHUNK_TOKENS:
+                        yield from flush()
+            yield from flush()
 
-        rows = self.pairs.where("n > 1").withColumns({"last": F.lit(1).cast("long"), "kept": F.lit(0).cast("long")}) if self.seats is None else self.seats
-        rows = rows.join(book.select(F.col("key").alias("word"), F.pow(F.lit(10.0), "open_value").alias("p")), "word").join(self._rooms(F.col("last") - 1), "prev")
-        before, self.seats = self.seats, written(rows.mapInArrow(giving_back(run), "pair long, prev long, word long, n long, last long, kept long"))
-        if before is not None:
-            discard(before)
+        def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for (cell, bucket), rows in itertools.groupby(_rows_of(batches, ("cell", "bucket", "pairs", "n")), lambda r: r[:2]):
+                parts = [(np.cumsum(_unpacked(p)), _unpacked(n)) for *_, p, n in rows]
+                pairs, at = np.unique(np.concatenate([p for p, _ in parts]), return_inverse=True)
+                n = np.bincount(at, np.concatenate([c for _, c in parts]), len(pairs)).astype(np.int64)
+                yield _row(_CELL, cell, bucket, 0, _packed(np.diff(pairs, prepend=0)), _packed(n), _packed(n[:0]))
 
-    def score(self, docs: DataFrame, book: DataFrame, draws: int, base: float, unknown: float) -> DataFrame:
-        d = self.discount
-        rooms = self._rooms(F.col("kept") / draws - 1).withColumn("room", STRENGTH + d * F.col("room"))
-        gammas = rooms.select("prev", F.log10(F.col("room") / (STRENGTH + F.col("c"))).alias("gamma"))
-        tables = self.pairs.join(self.seats.select("pair", (F.col("kept") / draws).alias("t")), "pair", "left")
-        every = tables.join(rooms.select("prev", "room"), "prev").join(book.select(F.col("key").alias("word"), F.pow(F.lit(10.0), "open_value").alias("p")), "word")
-        lifts = every.select("pair", F.log10(1 + (F.col("n") - d * F.coalesce("t", F.lit(1.0))) / (F.col("room") * F.col("p"))).alias("lift"))
-        return _score_by_join(docs, book, gammas, lifts, base, unknown)
+        return written(texts.mapInArrow(giving_back(count), _CELL).repartition("cell").sortWithinPartitions("cell", "bucket").mapInArrow(giving_back(merge), _CELL), "uncompressed")
 
+    def _sums(self, rows: DataFrame, tables, names: tuple[int, ...]) -> DataFrame:
+        """Sums of ``tables`` of n and more over the pairs of each context and of each word, and of n for each context."""
+        grid = self.grid
 
-def pair_counts(docs: DataFrame, learn: Column) -> DataFrame:
-    """(pair, prev, word, n): keys of every word of the learned texts and of the one before it, and of the two together."""
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for cell, own in itertools.groupby(_rows_of(batches, ("cell", "pairs", "n", "more")), lambda r: r[0]):
+                i, j = divmod(cell, grid.ranges)
+                sides = (i, j, i)[: len(names)]
+                sums = [np.zeros(grid.size(at), np.int64) for at in sides]
+                for _, pairs, n, more in own:
+                    pairs, n = np.cumsum(_unpacked(pairs)), _unpacked(n)
+                    t = tables(n, _unpacked(more))
+                    for x, at, place, v in zip(sums, sides, (pairs >> 32, pairs & 0xFFFFFFFF, pairs >> 32), (t, t, n), strict=False):
+                        np.add.at(x, place - grid.edges[at], v)
+                for at, what, x in zip(sides, names, sums, strict=True):
+                    yield _piece(at, what, _packed(x))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            buf, offsets = text_bytes(batch.column("text"))
-            for i, j in slices(offsets):
-                word, rows = _tokens(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                prev = _previous(word, rows, j - i, _START)
-                codes, unique = pd.factorize(_pair_hash(prev, word))
-                first = np.empty(len(unique), np.int64)
-                first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
-                yield pa.RecordBatch.from_arrays([pa.array(unique), pa.array(prev[first]), pa.array(word[first]), pa.array(np.bincount(codes, minlength=len(unique)))], names=["pair", "prev", "word", "n"])
+        def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for (at, what), own in itertools.groupby(_rows_of(batches, ("range", "what", "values")), lambda r: r[:2]):
+                total = 0
+                for *_, x in own:
+                    total = total + _unpacked(x)
+                yield _piece(at, what, _packed(total))
 
-    rows = docs.where(F.coalesce(learn, F.lit(False))).select("text")
-    return rows.mapInArrow(count, "pair long, prev long, word long, n long").groupBy("pair", "prev", "word").agg(F.sum("n").alias("n"))
+        pieces = rows.select("cell", "pairs", "n", "more").mapInArrow(giving_back(add), _RANGED)
+        return written(pieces.repartition("range", "what").sortWithinPartitions("range", "what").mapInArrow(giving_back(merge), _RANGED), "uncompressed")
 
+    def _histogram(self) -> DataFrame:
+        return WordPairs._histogram(self)
+
+    def _beside(self, rows: DataFrame, before: tuple[int, ...], own: tuple[int, ...]) -> DataFrame:
+        """Rows of ranges as rows that come first in their cells."""
+        other = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(self.grid.ranges - 1))).alias("other"))
+        form = lambda cell, kind: (cell.cast("int").alias("cell"), F.lit(-1).alias("bucket"), kind.cast("int").alias("kind"), F.lit(None).cast("binary").alias("pairs"), F.lit(None).cast("binary").alias("n"), F.col("values").alias("more"))
+        left = other.where(F.col("what").isin(*before)).select(*form(F.col("range") * self.grid.ranges + F.col("other"), F.col("what") + _BEFORE))
+        return left.unionByName(other.where(F.col("what").isin(*own)).select(*form(F.col("other") * self.grid.ranges + F.col("range"), F.col("what"))))
+
+    def _state(self, *more: DataFrame) -> DataFrame:
+        out = self.lexicon.unionByName(self.first)
+        for rows in (self.extra, *more):
+            out = out if rows is None else out.unionByName(rows)
+        return out
 
-def score_texts(docs: DataFrame, folds: int = 7, held_out: int = 2, order: int = 6, broadcast_rows: int = 5_000_000, passes: int = 3, draws: int = 3) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, open_score for every row.
+    def words(self) -> DataFrame:
+        """(key, n, spelled): the customers of the word restaurant, the tables of all contexts."""
+        grid = self.grid
 
-    ``score`` and ``base_score`` (add-one unigrams) are over the same outcomes, the known words and one for all unknown
-    words; ``open_score`` is the probability of the very words, unknown ones by their spelling.  ``score`` and
-    ``open_score`` take every word in the context of the one before it.
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for at, own in itertools.groupby(_rows_of(batches, ("range", "what", "values")), lambda r: r[0]):
+                got = {what: values for _, what, values in own}
+                if _KEYS in got:
+                    key, spelled = np.cumsum(_unpacked(got[_KEYS])), np.frombuffer(got[_SPELLED])
+                    n = (grid.whole(at, got.get(_CONTEXTS)) + grid.whole(at, got.get(_MORE_CONTEXTS)))[: len(key)]
+                    for k in range(0, len(key), _SPAN):
+                        yield pa.RecordBatch.from_arrays([pa.array(x[k : k + _SPAN]) for x in (key, n, spelled)], names=["key", "n", "spelled"])
 
-    Learns from the rows outside the held-out fold, all of them; null ids are scored but neither learned from nor
-    held out; null texts count as empty (the end alone); repeated rows count as often as they come.  An empty
-    training set makes every word unknown.
+        rows = self._state().where(F.col("what").isin(_KEYS, _SPELLED, _CONTEXTS, _MORE_CONTEXTS))
+        return written(rows.repartition("range").sortWithinPartitions("range").mapInArrow(giving_back(add), "key long, n long, spelled double"))
 
-    A pass seats the words on the tables of all contexts, then every context's customers, ``draws`` times; draws of
-    the first pass are thrown away.  The spelling model and the lexicon go to the tasks while each has
-    ``broadcast_rows`` rows at most (24 bytes a row); beyond that all is joined, to the same scores.
-    """
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    learn = fold(F.col("doc_id"), folds) != held_out
+    def seat(self, book: DataFrame, number: int, draws: int, keep: bool) -> None:
+        d, grid, first = self.discount, self.grid, self.seats is None
+        chance = self._ranged(book.select("key", F.pow(F.lit(10.0), "open_value").cast("float").alias("p")), lambda _, p: [(_CHANCE, p.tobytes())])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for cell, rows in itertools.groupby(_rows_of(batches, ("cell", "bucket", "pairs", "n", "more", "kind")), lambda r: r[0]):
+                (i, j), got, ready = divmod(cell, grid.ranges), {}, None
+                for _, bucket, pairs, n, more, kind in rows:
+                    if bucket < 0:
+                        got[kind] = more
+                        continue
+                    if ready is None:
+                        keys = [grid.whole(at, np.cumsum(_unpacked(got[k])) if k in got else None, start=_START) for at, k in ((i, _KEYS + _BEFORE), (j, _KEYS))]
+                        ready = *keys, grid.whole(i, got.get(_TABLES + _BEFORE)) + grid.whole(i, got.get(_MORE_TABLES + _BEFORE)), np.frombuffer(got[_CHANCE], np.float32)
+                        got = {}
+                    before, own, room, parent = ready
+                    pairs, n = np.cumsum(_unpacked(pairs)), _unpacked(n)
+                    if first:
+                        pairs, n = pairs[n > 1], n[n > 1]
+                        last, kept = np.ones(len(n), np.int64), np.zeros(len(n), np.int64)
+                    else:
+                        more = _unpacked(more)
+                        last, kept = more & 0xFFFF_FFFF, more >> 32
+                    prev, word = (pairs >> 32) - grid.edges[i], (pairs & 0xFFFFFFFF) - grid.edges[j]
+                    seed, others = _pair_hash(before[prev], own[word]), room[prev] - last
+                    for k in range(draws):
+                        last = reseat(n, parent[word].astype(float), others, d, seed, number * draws + k)
+                        kept = kept + last * keep
+                    yield _row(_CELL, cell, bucket, 1, _packed(np.diff(pairs, prepend=0)), _packed(n), _packed(kept << 32 | last))
+
+        beside = self._beside(self._state(chance), (_KEYS, _TABLES, _MORE_TABLES), (_KEYS, _CHANCE))
+        rows = (self.blocks if first else self.seats).unionByName(beside)
+        old = [chance, self.seats, self.extra]
+        self.seats = written(rows.repartition("cell").sortWithinPartitions("cell", "bucket").mapInArrow(giving_back(run), _CELL), "uncompressed")
+        self.extra = self._sums(self.seats, lambda n, more: (more & 0xFFFF_FFFF) - 1, (_MORE_TABLES, _MORE_CONTEXTS))
+        for rows in old:
+            if rows is not None:
+                discard(rows)
+
+    def score(self, docs: DataFrame, book: DataFrame, draws: int, base: float, unknown: float) -> DataFrame:
+        d, grid, places = self.discount, self.grid, self.places
+        share = docs.sparkSession.sparkContext.broadcast
+        kept = self._sums(self.seats, lambda n, more: (more >> 32) - draws, (_KEPT,))
+        state = self._state(kept, self._ranged(book.select("key", "open_value"), lambda _, x: [(_OPEN, x.tobytes())]))
+
+        def contexts(at: int, got: dict[int, bytes], more: int) -> tuple[np.ndarray, np.ndarray]:
+            return (grid.whole(at, got.get(_KEPT + more)) / draws + grid.whole(at, got.get(_TABLES + more))) * d + STRENGTH, grid.whole(at, got.get(_CUSTOMERS + more))
+
+        def lifts(n: np.ndarray, t: np.ndarray, room: np.ndarray, open_: np.ndarray) -> np.ndarray:
+            return np.log10(1 + (n - d * t) / (room * 10**open_))
+
+        least_word = _least(self.named.where("n > 1").groupBy("n").agg(F.count(F.lit(1)).alias("kinds")))
+        least_pair = _least(self._histogram().where("n > 1").groupBy("n").agg(F.sum("kinds").alias("kinds")))
+
+        def frequent_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for at, own in itertools.groupby(_rows_of(batches, ("range", "what", "values")), lambda r: r[0]):
+                got = {what: values for _, what, values in own}
+                n = grid.whole(at, got.get(_COUNTS), start=least_word)
+                use = np.flatnonzero(n >= least_word)
+                open_, (room, customers) = grid.whole(at, np.frombuffer(got.get(_OPEN, b""))), contexts(at, got, 0)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (grid.edges[at] + use, n[use], open_[use], room[use], customers[use])], names=["place", "n", "open", "room", "customers"])
+
+        needed = state.where(F.col("what").isin(_COUNTS, _OPEN, _TABLES, _CUSTOMERS, _KEPT))
+        got = needed.repartition("range").sortWithinPartitions("range").mapInArrow(giving_back(frequent_words), "place long, n long, open double, room double, customers long").orderBy("place").toArrow()
+        words = tuple(c.to_numpy() for c in got.columns)
+        if not len(words[0]) or words[0][-1] != grid.start:  # no word in the last range
+            words = tuple(np.append(x, v) for x, v in zip(words, (grid.start, least_word, 0.0, STRENGTH, 0), strict=True))
+        words = share(words)
+
+        def frequent_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            place, _, open_, room, _ = words.value
+            for pairs, n, more in _rows_of(batches, ("pairs", "n", "more")):
+                pairs, n, t = np.cumsum(_unpacked(pairs)), _unpacked(n), (_unpacked(more) >> 32) / draws
+                before, own = _at(place, pairs >> 32), _at(place, pairs & 0xFFFFFFFF)
+                use = (n >= least_pair) & (before >= 0) & (own >= 0)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[use]), pa.array(lifts(n[use], t[use], room[before[use]], open_[own[use]]))], names=["pair", "lift"])
+
+        got = self.seats.select("pairs", "n", "more").mapInArrow(giving_back(frequent_pairs), "pair long, lift double").toArrow()
+        pair, lift = got.column("pair").to_numpy(), got.column("lift").to_numpy()
+        by = np.argsort(pair)
+        hot = share((pair[by], lift[by]))
+        del got, pair, lift, by
+
+        def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            (place, n, open_, room, customers), (known_hot, hot_lift) = words.value, hot.value
+            score_base, gamma = np.log10(n + 1.0) - base, np.log10(room / (STRENGTH + customers))
+            chunk = _Chunk(grid.home, int(grid.first[-1]), grid.cell)
+            for batch in batches:
+                buf, offsets = text_bytes(batch.column("text"))
+                names = batch.column("name").to_numpy()
+                for i, j in slices(offsets):
+                    keys, rows = _tokens(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                    codes, unique = pd.factorize(keys)
+                    unique = places.value.find(unique)
+                    word, own = unique[codes], _at(place, unique)[codes]
+                    prev, before = _previous(word, rows, j - i, grid.start), _previous(own, rows, j - i, len(place) - 1)
+                    known = (own >= 0) & (before >= 0)
+                    pair = prev << 32 | word
+                    codes, unique = pd.factorize(pair)
+                    at = _at(known_hot, unique)
+                    lift = np.where(at >= 0, hot_lift[at], 0.0)[codes] if len(known_hot) else np.zeros(len(pair))
+                    want = (at[codes] < 0) | ~known
+                    row, own, before = rows[known], own[known], before[known]
+                    total = lambda w: np.bincount(row, w, j - i)  # noqa: B023, E731
+                    score = total(open_[own] + gamma[before] + lift[known])
+                    sums = np.bincount(rows, minlength=j - i), np.bincount(row, minlength=j - i), total(score_base[own]), score, score
+                    yield from chunk.add(batch.column("doc_id").slice(i, j - i), names[i:j], sums, pair[want], rows[want])
+            yield from chunk.flush()
+
+        def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            cell = now = None
+            got, ready = {}, None
+            pairs = lift = np.zeros(0, np.int64)
+            for row in _rows_of(batches, ("cell", "bucket", "kind", "chunk", "pairs", "n", "more")):
+                at, bucket, kind, chunk, own, n, more = row
+                if at != cell:
+                    cell, got, ready = at, {}, None
+                    i, j = divmod(cell, grid.ranges)
+                if bucket < 0:
+                    got[kind] = more
+                    continue
+                if kind == 3:
+                    yield _row(_ASKED, *row)
+                    continue
+                if ready is None:
+                    n_before, n_word = grid.whole(i, got.get(_COUNTS + _BEFORE), start=least_word), grid.whole(j, got.get(_COUNTS))
+                    room, customers = contexts(i, got, _BEFORE)
+                    ready = n_before >= least_word, n_word, room, np.log10(room / (STRENGTH + customers)), np.frombuffer(got.get(_OPEN, b""))
+                    got = {}
+                    del n_before, n_word, room, customers
+                often, counts, room, gamma, open_ = ready
+                own, n = np.cumsum(_unpacked(own)), _unpacked(n)
+                prev, word = (own >> 32) - grid.edges[i], (own & 0xFFFFFFFF) - grid.edges[j]
+                if bucket != now:
+                    now, pairs, lift = bucket, own[:0], np.zeros(0)
+                if kind == 0:
+                    pairs, lift = own, lifts(n, np.ones(len(n)), room[prev], open_[word])
+                elif kind == 1:
+                    lift[np.searchsorted(pairs, own)] = lifts(n, (_unpacked(more) >> 32) / draws, room[prev], open_[word])
+                else:
+                    at = _at(pairs, own)
+                    up = np.where(at >= 0, lift[at], 0.0) if len(pairs) else np.zeros(len(own))
+                    texts, rare = _unpacked(more), np.repeat(~(often[prev] & (counts[word] >= least_word)), n)
+                    adds = np.bincount(texts[~rare], np.repeat(up, n)[~rare])
+                    use, whole = np.flatnonzero(adds), None
+                    if rare.any():
+                        some = counts[word] > 0
+                        more = np.log10(counts[word] + 1.0) - base, np.where(some, open_[word], unknown) + gamma[prev] + up, open_[word] + gamma[prev] + up
+                        texts, of = np.unique(texts[rare], return_inverse=True)
+                        whole = texts, *(np.bincount(of, np.repeat(x, n)[rare]) for x in (some, *more))
+                        whole = texts, whole[1].astype(np.int64), *whole[2:]
+                    if len(use) or whole:
+                        yield _answer(cell, bucket, chunk, use, adds[use], whole)
+
+        beside = self._beside(state, (_COUNTS, _TABLES, _CUSTOMERS, _KEPT), (_COUNTS, _OPEN))
+        fitted = self.blocks.unionByName(self.seats).unionByName(beside).withColumn("chunk", F.lit(None).cast("long"))
+        rows = fitted.unionByName(docs.withColumn("name", F.xxhash64("doc_id", "text")).mapInArrow(giving_back(ask), _ASKED))
+        return _assembled(rows.repartition("cell").sortWithinPartitions("cell", "bucket", "kind").mapInArrow(giving_back(answer), _ASKED))
+
+
+def _at(known: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Where sorted ``known`` has each, -1 where it has not."""
+    if not len(known):
+        return np.full(len(wanted), -1)
+    at = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
+    return np.where(known[at] == wanted, at, -1)
+
+
+def _least(rows: DataFrame) -> int:
+    """The least n from which on no more than ``_HOT`` are as frequent, of (n, kinds)."""
+    got = rows.orderBy(F.desc("n")).limit(_HOT).toArrow()
+    n, over = got.column("n").to_numpy(), np.flatnonzero(np.cumsum(got.column("kinds").to_numpy()) > _HOT)
+    return int(n[over[0]]) + 1 if len(over) else 2
+
+
+def _scored(own: DataFrame, learn: Column, order: int, broadcast_rows: int, passes: int, draws: int) -> tuple[DataFrame, int]:
     words = written(word_counts(own, learn))
     some = F.col("n") > 0
     seen = words.agg(F.count(F.lit(1)), F.count_if(some), F.coalesce(F.sum("n"), F.lit(0))).first()
     rows, kinds, total = (int(x) for x in seen)
     model, top = fit_spelling(written(gram_counts(words.where(some), order)), order)
     shared = own.sparkSession.sparkContext.broadcast(_in_arrays(model, top)) if model.count() <= broadcast_rows else None
-    named = written(_spelled_in_tasks(words, shared, keyed=True) if shared else _keyed(_spelled_by_join(words, model, top)))
+    named = written(_spelled_in_tasks(words, shared, keyed=True) if shared else _spelled_by_join(words, model, top))
     discard(words)
+    discard(model)
     if shared:
-        discard(model)
         shared.destroy()
     fast = rows <= broadcast_rows
     if fast:
         pairs = WordPairs(own, learn, named, total)
     else:
-        pairs = JoinedPairs(own, learn, named)
+        pairs = GridPairs(own, learn, named, rows, total)
 
     def book(rounds: int, burn_in: int) -> tuple[DataFrame, float]:
         seats = pairs.words()
@@ -947,12 +1320,31 @@ def score_texts(docs: DataFrame, folds: int = 7, held_out: int = 2, order: int =
     if fast:
         scored = pairs.score(own, pairs.by_place(named, "n", "long"), pairs.by_place(last, "open_value", "double"), *pairs.finish(kept), kept, base, unknown)
     else:
-        scored = pairs.score(own, named.select("key", "n").join(last.select("key", "open_value"), "key"), kept, base, unknown)
-    out = F.coalesce(fold(F.col("doc_id"), folds) == held_out, F.lit(False))
-    return scored.select("doc_id", out.alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score", "open_score")
+        scored = pairs.score(own, last, kept, base, unknown)
+    return scored, total
 
 
-_SCORED = "doc_id long, n_tokens long, n_known long, base_score double, score double, open_score double"
+def score_texts(docs: DataFrame, folds: int = 7, held_out: int = 2, order: int = 6, broadcast_rows: int = 5_000_000, passes: int = 3, draws: int = 3) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, open_score for every row.
+
+    ``score`` and ``base_score`` (add-one unigrams) are over the same outcomes, the known words and one for all unknown
+    words; ``open_score`` is the probability of the very words, unknown ones by their spelling.  ``score`` and
+    ``open_score`` take every word in the context of the one before it.
+
+    Learns from the rows outside the held-out fold, all of them; null ids are scored but neither learned from nor
+    held out; null texts count as empty (the end alone); repeated rows count as often as they come.  An empty
+    training set makes every word unknown.
+
+    A pass seats the words on the tables of all contexts, then every context's customers, ``draws`` times; draws of
+    the first pass are thrown away.  The spelling model and the lexicon go to the tasks while each has
+    ``broadcast_rows`` rows at most (24 bytes a row); beyond that all is joined, to the same scores.
+    """
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    learn = fold(F.col("doc_id"), folds) != held_out
+    with without_shuffles(own.sparkSession):
+        scored, total = _scored(own, learn, order, broadcast_rows, passes, draws)
+    out = F.coalesce(fold(F.col("doc_id"), folds) == held_out, F.lit(False))
+    return scored.select("doc_id", out.alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score", "open_score")
 
 
 def _tokens(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -960,29 +1352,3 @@ def _tokens(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     _, _, _, rows, keys = text_tokens(buf, offsets)
     n = len(offsets) - 1
     return np.append(keys, np.full(n, _END)), np.append(rows, np.arange(n))
-
-
-def _score_by_join(docs: DataFrame, book: DataFrame, gammas: DataFrame, lifts: DataFrame, base: float, unknown: float) -> DataFrame:
-    """The same by joins on words, contexts and pairs: equal texts of an id are counted once and given to all their rows."""
-    named = docs.withColumn("name", F.coalesce(F.xxhash64("text"), F.lit(0).cast("long")))
-
-    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            buf, offsets = text_bytes(batch.column("text"))
-            for i, j in slices(offsets):
-                key, row = _tokens(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                prev = _previous(key, row, j - i, _START)
-                pair = _pair_hash(prev, key)
-                by = np.lexsort((pair, row))
-                key, row, prev, pair = key[by], row[by], prev[by], pair[by]
-                first = np.flatnonzero(np.concatenate([[True], (pair[1:] != pair[:-1]) | (row[1:] != row[:-1])]))
-                at = pa.array(row[first] + i)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("name").take(at), pa.array(key[first]), pa.array(prev[first]), pa.array(pair[first]), pa.array(np.diff(np.append(first, len(key))))], names=["doc_id", "name", "key", "prev", "pair", "m"])
-
-    once = named.dropDuplicates(["doc_id", "name"]).mapInArrow(parts, "doc_id long, name long, key long, prev long, pair long, m long")
-    m, more = F.col("m"), F.coalesce("gamma", F.lit(0.0)) + F.coalesce("lift", F.lit(0.0))
-    sums = once.join(book, "key").join(gammas, "prev", "left").join(lifts.select("pair", "lift"), "pair", "left").groupBy("doc_id", "name").agg(
-        F.sum(m).alias("n_tokens"), F.sum(F.when(F.col("n") > 0, m).otherwise(0)).alias("n_known"), F.sum(m * (F.log10(F.col("n") + 1) - base)).alias("base_score"), F.sum(m * (F.when(F.col("n") > 0, F.col("open_value")).otherwise(unknown) + more)).alias("score"), F.sum(m * (F.col("open_value") + more)).alias("open_score")
-    )
-    names = named.select("doc_id", "name")
-    return names.join(sums, names["doc_id"].eqNullSafe(sums["doc_id"]) & (names["name"] == sums["name"])).select(names["doc_id"], "n_tokens", "n_known", "base_score", "score", "open_score")

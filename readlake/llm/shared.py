@@ -6,6 +6,7 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 
@@ -49,6 +50,21 @@ def discard(df: DataFrame) -> None:
     place.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
 
 
+@contextmanager
+def without_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Jobs inside remove their shuffle files when they end; else those stay until the driver happens to collect its garbage.
+
+    For jobs whose results are written or come to the driver: a frame that outlives this shuffles in its own jobs.
+    """
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def give_back() -> None:
     """Returns what this Python worker holds but doesn't use to the system: workers live on after a task."""
     pa.default_memory_pool().release_unused()

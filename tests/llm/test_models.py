@@ -4,6 +4,7 @@ import base64
 import json
 import math
 import re
+import time
 import tracemalloc
 import zlib
 from collections import Counter, defaultdict
@@ -407,3 +408,45 @@ def test_the_language_model_runs_one_python_worker_a_task(docs, monkeypatch):
     stages.extend(re.split("Exchange", last._jdf.queryExecution().executedPlan().toString()))
     assert sum("MapInArrow" in x for x in stages) > 5
     assert max(x.count("MapInArrow") for x in stages) == 1
+
+
+def test_a_lexicon_in_ranges_gives_the_same_scores(spark, docs, monkeypatch):
+    """Many ranges and small chunks; the table twice, so that chunks of texts come twice as well; few frequent words and pairs."""
+    twice = docs.select("doc_id", "text").unionByName(docs.select("doc_id", "text"))
+    value = lambda r: (r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], round(r["base_score"], 5), round(r["score"], 5), round(r["open_score"], 5))
+    want = Counter(map(value, pitman_yor.score_texts(twice).collect()))
+    assert set(want.values()) >= {2}
+    for k, v in (("_RANGE_WORDS", 60), ("_BUCKET_TOKENS", 100), ("_CHUNK_TOKENS", 900), ("_HOT", 40)):
+        monkeypatch.setattr(pitman_yor, k, v)
+    assert Counter(map(value, pitman_yor.score_texts(twice, broadcast_rows=0).collect())) == want
+
+
+def test_places_of_keys_with_equal_upper_halves():
+    rng = np.random.default_rng(1)
+    keys = np.unique(np.concatenate([rng.integers(-(1 << 63), (1 << 63) - 1, 500), (rng.integers(-4, 4, 60) << 32) + rng.integers(0, 1 << 32, 60), [1, -(1 << 63)]]))
+    edges = np.array([0, np.searchsorted(keys, 0), np.searchsorted(keys, 0), len(keys)])
+    parts = []
+    for i, j in zip(edges[:-1], edges[1:], strict=True):
+        tops = keys[i:j] >> 32
+        alike = np.flatnonzero([(tops == t).sum() > 1 for t in tops])
+        parts.append({pitman_yor._TOPS: pitman_yor._packed(np.diff(tops, prepend=0)), pitman_yor._ALIKE: pitman_yor._packed(keys[i:j][alike]), pitman_yor._ALIKE_AT: pitman_yor._packed(alike)} if i < j else {})
+    asked = rng.permutation(len(keys))
+    assert (pitman_yor._Places(parts, edges).find(keys[asked]) == asked).all()
+
+
+@pytest.mark.parametrize("broadcast_rows", [5_000_000, 0])
+def test_the_language_model_leaves_no_shuffle_files(spark, docs, broadcast_rows):
+    """What its jobs dealt out goes with them, so that the disk need not hold all of it to the end."""
+    blocks = lambda: {b.name() for b in iter_java(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()) if b.isShuffle()}
+
+    def iter_java(found):
+        return [found.apply(k) for k in range(found.size())]
+
+    before = blocks()
+    scored = pitman_yor.score_texts(docs.select("doc_id", "text"), broadcast_rows=broadcast_rows)
+    end = time.monotonic() + 20
+    while (left := blocks() - before) and time.monotonic() < end:
+        time.sleep(0.2)
+    assert not left
+    assert scored.count() == docs.count()
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
