@@ -43,7 +43,7 @@ _BUCKET_TOKENS = 2_000_000  # training tokens a bucket of pairs, about
 _COUNT_WORDS = 500_000  # different words of slices of text that a task gathers before it adds them up
 _CHUNK_TOKENS = 1_000_000  # tokens that a task gathers before it deals them over the buckets
 _SPAN = 1 << 18  # places of the lexicon whose sums are a row
-_RANGE_WORDS = 4_000_000  # words of a range of a lexicon that no array holds, at most
+_RANGE_WORDS = 1_200_000  # words of a range of a lexicon that no array holds, at most; a cell has two
 _SEED = 0x9E3779B97F4A7C15
 
 
@@ -1337,7 +1337,7 @@ def score_texts(docs: DataFrame, folds: int = 7, held_out: int = 2, order: int =
 
     A pass seats the words on the tables of all contexts, then every context's customers, ``draws`` times; draws of
     the first pass are thrown away.  The spelling model and the lexicon go to the tasks while each has
-    ``broadcast_rows`` rows at most (24 bytes a row); beyond that all is joined, to the same scores.
+    ``broadcast_rows`` rows at most (24 bytes a row); beyond that spellings are joined and pairs lie in cells, to the same scores.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     learn = fold(F.col("doc_id"), folds) != held_out
